@@ -25,7 +25,7 @@ def _table(radix: int, n: int) -> np.ndarray:
     """radix to the powers 0 .. n-1, modulo 2**64."""
     have = _powers.get(radix)
     if have is None or len(have) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = ((int(n) >> 20) + 1) << 20
         step = np.full(size, radix, U64)
         step[0] = 1
         have = _powers[radix] = np.cumprod(step, dtype=U64)
@@ -59,6 +59,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.
     return mix(h ^ (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def hashes_by_parts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, radix: int = _RADIX, part: int = 1 << 20) -> np.ndarray:
+    """span_hashes() for spans in ascending order of their starts, with tables of about ``part`` bytes' length."""
+    out, i = np.empty(len(starts), U64), 0
+    inverse = pow(radix, -1, 1 << 64)
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + part)))
+        lo, hi = starts[i], ends[i:j].max()
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        sums = prefix_sums(buf[lo:hi], radix)
+        h = (sums[e] - sums[s]) * _table(inverse, hi - lo + 1)[s]
+        out[i:j] = mix(h ^ (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        i = j
+    return out
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text or binary column and the n+1 places where rows begin; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,9 @@ Three exchanges, keyed by hashes and answered by block:
 3. removed ranges return to their blocks and the documents are cut.
 
 Before the second exchange each block drops its own equal occurrences, so a passage that
-a third of all documents share is sent once by each block.
+a third of all documents share is sent once by each block. A minimizer that occurs very
+often amid different text has its strings dealt by their own hashes instead, so no group
+grows with the input.
 
 Defined cases: null and empty texts have no bytes and no spans; rows without doc_id come
 before all others; rows that repeat doc_id and text are one document and get the same
@@ -43,6 +45,10 @@ from quernstone.llm._store import blocks, bucket_count, pack, unpack, with_key
 GRAM = 32
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
+#: A minimizer that occurs more often than this is dealt out string by string.
+HOT = 1 << 14
+#: Text that one suffix sort holds at most, but for a single minimizer's occurrences (HOT of them at most).
+SORT_BYTES = 1 << 20
 SECOND_RADIX = 0xC2B2AE3D27D4EB4F
 LOWEST = np.iinfo(np.int64).min
 
@@ -98,7 +104,6 @@ def bounded_lpf(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, rank:
     doubling, bounded at ``length`` bytes.
     """
     n = len(text)
-    order_key = np.zeros(n, np.int64)
     lanes = np.zeros(n + 8, np.uint64)
     lanes[:n] = text
     word = np.zeros(n, np.uint64)
@@ -126,17 +131,19 @@ def bounded_lpf(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, rank:
 
 def take(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of buf, one behind the other."""
-    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return buf[at + np.repeat(starts, sizes)]
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(to[-1], np.uint8)
+    for a in range(0, len(sizes), 4096):
+        b = min(a + 4096, len(sizes))
+        out[to[a] : to[b]] = buf[np.arange(to[b] - to[a]) + np.repeat(starts[a:b] - (to[a:b] - to[a]), sizes[a:b])]
+    return out
 
 
 def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray, np.ndarray]:
     """(keeps, later): which occurrences stand first among equal ones, and which are equal to one that starts earlier."""
     ends = starts + sizes
-    one = B.span_hashes(buf, starts, ends)
-    two = B.prefix_sums(buf, SECOND_RADIX)
-    inverse = B._table(pow(SECOND_RADIX, -1, 1 << 64), len(buf) + 1)
-    two = B.mix((two[ends] - two[starts]) * inverse[starts] ^ B.mix(lead.astype(np.uint64)))
+    one = B.hashes_by_parts(buf, starts, ends)
+    two = B.mix(B.hashes_by_parts(buf, starts, ends, SECOND_RADIX) ^ lead.astype(np.uint64))
     order = np.lexsort((*order_by[::-1], two, one, key))
     same = np.zeros(len(order), bool)
     for x in (key, one, two):
@@ -155,7 +162,7 @@ def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray
     return keeps, later
 
 
-def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, text, spans) for each row of ``docs``: spans lists the maximal removed byte ranges [start, end) of the text."""
     length = max(length, GRAM)
     table = blocks(docs, "repeat-blocks", BLOCK_BYTES)
@@ -188,16 +195,16 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             for block_id, body in zip(batch.column("block_id").to_pylist(), batch.column("body").to_pylist()):
                 _, buf, offsets = opened(body)
                 keys, _, counts, _ = distinct_keys(buf, offsets)
-                yield as_batch(dealt((keys % np.uint64(n)).astype(np.int64), block_id, lambda part: pa.table({"key": keys[part], "many": counts[part] > 1})))
+                yield as_batch(dealt((keys % np.uint64(n)).astype(np.int64), block_id, lambda part: pa.table({"key": keys[part], "count": counts[part]})))
 
     def answer_keys(group: pa.Table) -> pa.Table:
         asked = [unpack(x) for x in group.column("body").to_pylist()]
         keys = np.concatenate([t.column("key").to_numpy() for t in asked])
-        many = np.concatenate([t.column("many").to_numpy() for t in asked])
-        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        repeats = (counts[inverse] > 1) | many
+        counts = np.concatenate([t.column("count").to_numpy() for t in asked])
+        _, inverse = np.unique(keys, return_inverse=True)
+        total = np.bincount(inverse, counts)[inverse]
         cuts = np.cumsum([0, *(t.num_rows for t in asked)])
-        bodies = [np.packbits(repeats[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        bodies = [np.packbits(total[a:b] > 1).tobytes() + np.packbits(total[a:b] > hot).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({"bucket": group.column("bucket"), "block_id": group.column("block_id"), "body": pa.array(bodies, pa.binary())})
 
     def ask_text(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -206,14 +213,20 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         key, place, first, last = block_occurrences(buf, offsets, length)
         keys, inverse = np.unique(key, return_inverse=True)
         bucket_of = (keys % np.uint64(n)).astype(np.int64)
-        repeats = np.zeros(len(keys), bool)
+        repeats, often = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         order = np.argsort(bucket_of, kind="stable")
         cuts = np.searchsorted(bucket_of[order], np.arange(n + 1))
         for b, body in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist()):
             part = order[cuts[b] : cuts[b + 1]]
-            repeats[part] = np.unpackbits(np.frombuffer(body, np.uint8), count=len(part)).astype(bool)
-        on = np.flatnonzero(repeats[inverse])
-        key, place, first, last = key[on], place[on], first[on], last[on]
+            half = np.frombuffer(body, np.uint8).reshape(2, -1)
+            repeats[part], often[part] = (np.unpackbits(x, count=len(part)).astype(bool) for x in half)
+        on = np.flatnonzero(repeats[inverse] & ~often[inverse])
+        each = np.flatnonzero(often[inverse])
+        strings = last[each] - first[each] + 1
+        alone = np.repeat(first[each] - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
+        by_start = np.argsort(np.concatenate([first[on], alone]), kind="stable")
+        key = np.concatenate([key[on], B.hashes_by_parts(buf, alone, alone + length)])[by_start]
+        place, first, last = (np.concatenate([x, alone])[by_start] for x in (place[on], first[on], last[on]))
         doc = np.searchsorted(offsets, first, "right") - 1
         ids = rows.column("doc_id").fill_null(LOWEST).to_numpy()
         tags = B.span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
@@ -247,26 +260,16 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             left = np.flatnonzero(keeps)
             _, inverse, counts = np.unique(key[left], return_inverse=True, return_counts=True)
             left = left[counts[inverse] > 1]
-            if len(left):
-                rank = np.zeros(len(left), np.int64)
-                by = np.lexsort((at[left], tag[left], doc_id[left]))
-                d, t = doc_id[left][by], tag[left][by]
-                document = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (t[1:] != t[:-1]))])
-                rank[by] = (document << 32) + at[left][by]
-                strings = size[left] - length + 1
-                behind = np.cumsum(size[left]) - size[left]
-                removed = bounded_lpf(take(buf, starts[left], size[left]), behind, strings, rank, length)
-                edge = np.concatenate([[0], removed.astype(np.int8), [0]])
-                string_of = np.repeat(np.arange(len(left)), strings)
-                head = np.cumsum(strings) - strings
-                border = np.zeros(len(removed) + 1, bool)
-                border[head] = True
-                rise = np.flatnonzero(removed & ((edge[:-2] == 0) | border[:-1]))
-                fall = np.flatnonzero(removed & ((edge[2:] == 0) | border[1:]))
-                k = string_of[rise]
-                row.append(left[k])
-                lo.append(rise - head[k])
-                hi.append(fall - head[k] + length)
+            left = left[np.argsort(key[left], kind="stable")]
+            rank = text_order(doc_id[left], tag[left], at[left])
+            groups = np.concatenate([[0], np.flatnonzero(np.diff(key[left].view(np.int64))) + 1, [len(left)]]) if len(left) else np.zeros(1, np.int64)
+            sums = np.concatenate([[0], np.cumsum(size[left])])
+            for g, h in B.slices(sums[groups], SORT_BYTES):
+                some = left[groups[g] : groups[h]]
+                k, a, b = string_runs(take(buf, starts[some], size[some]), size[some], rank[groups[g] : groups[h]], length)
+                row.append(some[k])
+                lo.append(a)
+                hi.append(b)
             row, lo, hi = (np.concatenate(x) for x in (row, lo, hi))
             docs_, base = every.column("doc").to_numpy().astype("i8")[row], at[row]
             for k, (b, i, _) in enumerate(asked):
@@ -296,6 +299,30 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     return keyed.groupBy("block_id").cogroup(found.groupBy("block_id")).applyInArrow(cut, "doc_id long, text string, spans array<struct<start: long, end: long>>")
 
 
+def text_order(doc_id: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers in the order of (doc_id, tag, at), whose differences within a document are distances."""
+    by = np.lexsort((at, tag, doc_id))
+    d, t = doc_id[by], tag[by]
+    rank = np.zeros(len(by), np.int64)
+    if len(by):
+        rank[by] = (np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (t[1:] != t[:-1]))]) << 32) + at[by]
+    return rank
+
+
+def string_runs(text: np.ndarray, size: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, end) of runs of removed strings within stretches of text that stand one behind the other."""
+    strings = size - length + 1
+    removed = bounded_lpf(text, np.cumsum(size) - size, strings, rank, length)
+    head = np.cumsum(strings) - strings
+    border = np.zeros(len(removed) + 1, bool)
+    border[head] = border[-1] = True
+    edge = np.concatenate([[False], removed, [False]])
+    rise = np.flatnonzero(removed & (~edge[:-2] | border[:-1]))
+    fall = np.flatnonzero(removed & (~edge[2:] | border[1:]))
+    k = np.searchsorted(head, rise, "right") - 1
+    return k, rise - head[k], fall - head[k] + length
+
+
 def text_column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
