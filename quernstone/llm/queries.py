@@ -9,17 +9,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quernstone.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, breaks="words")
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.language_model import scores
+
+    return scores(table(spark, sf_dir, "documents"), held_out_of=(7, 2))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.repeats import digests
 
     return digests(table(spark, sf_dir, "documents"), length=100)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quernstone.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op6_suffix_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op5_language_model, op6_suffix_dedup, op7_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
