@@ -9,6 +9,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -17,6 +24,19 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, breaks="words")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), query_every=20, id_column="vec_id", vector_column="embedding", k=20)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.quality import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.language_model import scores
 
@@ -43,5 +63,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op5_language_model, op6_suffix_dedup, op7_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
