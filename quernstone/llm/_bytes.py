@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +117,14 @@ def words(buf: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def give_back() -> None:
+    """Returns freed memory of a worker process to the machine, as workers wait for their next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least node of each node's component, for nodes 0 .. n-1 and links a-b, by hooking and pointer jumping."""
     label = np.arange(n)

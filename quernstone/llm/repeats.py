@@ -43,8 +43,8 @@ from quernstone.llm import _bytes as B
 from quernstone.llm._store import blocks, bucket_count, pack, unpack, with_key
 
 GRAM = 32
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+BUCKET_BYTES = 5 << 20
 #: A minimizer that occurs more often than this is dealt out string by string.
 HOT = 1 << 14
 #: Text that one suffix sort holds at most, but for a single minimizer's occurrences (HOT of them at most).
@@ -164,6 +164,16 @@ def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray
 
 def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, text, spans) for each row of ``docs``: spans lists the maximal removed byte ranges [start, end) of the text."""
+    return _removed(docs, length, hot, spans_of, "doc_id long, text string, spans array<struct<start: long, end: long>>")
+
+
+def digests(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``."""
+    return _removed(docs, length, hot, digest_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> DataFrame:
+    """``result`` of each block's rows, bytes, row places, and removed ranges with the n+1 places where rows' ranges begin."""
     length = max(length, GRAM)
     table = blocks(docs, "repeat-blocks", BLOCK_BYTES)
     n = bucket_count(table, BUCKET_BYTES)
@@ -243,6 +253,7 @@ def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFra
         out = list(dealt((key[sent] % np.uint64(n)).astype(np.int64), block_id, columns))
         if len(known):
             out.append((block_id % n, block_id, b"known" + pack(pa.table({"doc": doc[known].astype(np.uint32), "start": at[known].astype(np.uint32), "end": (at + size)[known].astype(np.uint32)}))))
+        B.give_back()
         return pa.Table.from_batches([as_batch(out)])
 
     def answer_text(group: pa.Table) -> pa.Table:
@@ -276,6 +287,7 @@ def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFra
                 mine = owner[row] == k
                 if mine.any():
                     out.append((b, i, pack(pa.table({"doc": docs_[mine].astype(np.uint32), "start": (base + lo)[mine].astype(np.uint32), "end": (base + hi)[mine].astype(np.uint32)}))))
+        B.give_back()
         return pa.Table.from_batches([as_batch(out)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -288,15 +300,35 @@ def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFra
             np.add.at(level, base + t.column("end").to_numpy(), -1)
         gone = np.cumsum(level[:-1]) > 0
         starts, ends, first = B.words(gone.view(np.uint8), offsets, np.array([True] + [False] * 255))
-        base = np.repeat(offsets[:-1], np.diff(first))
-        spans = pa.StructArray.from_arrays([pa.array((starts - base).astype(np.int64)), pa.array((ends - base).astype(np.int64))], ["start", "end"])
-        return pa.table({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "spans": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), spans)})
+        out = result(rows, buf, offsets, starts, ends, first)
+        B.give_back()
+        return out
 
     keyed = table.select("block_id", "body")
     flags = keyed.mapInArrow(ask_keys, request).groupBy("bucket").applyInArrow(answer_keys, request)
     texts = keyed.groupBy("block_id").cogroup(flags.groupBy("block_id")).applyInArrow(ask_text, request)
     found = texts.groupBy("bucket").applyInArrow(answer_text, request)
-    return keyed.groupBy("block_id").cogroup(found.groupBy("block_id")).applyInArrow(cut, "doc_id long, text string, spans array<struct<start: long, end: long>>")
+    return keyed.groupBy("block_id").cogroup(found.groupBy("block_id")).applyInArrow(cut, schema)
+
+
+def spans_of(rows, buf, offsets, starts, ends, first) -> pa.Table:
+    base = np.repeat(offsets[:-1], np.diff(first))
+    spans = pa.StructArray.from_arrays([pa.array((starts - base).astype(np.int64)), pa.array((ends - base).astype(np.int64))], ["start", "end"])
+    return pa.table({"doc_id": rows.column("doc_id"), "text": rows.column("text"), "spans": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), spans)})
+
+
+def digest_of(rows, buf, offsets, starts, ends, first) -> pa.Table:
+    sums = np.concatenate([[0], np.cumsum(ends - starts)])
+    data, sha = memoryview(np.ascontiguousarray(buf)), []
+    s, e = starts.tolist(), ends.tolist()
+    for k in range(len(offsets) - 1):
+        at, h = int(offsets[k]), hashlib.sha256()
+        for i in range(first[k], first[k + 1]):
+            h.update(data[at : s[i]])
+            at = e[i]
+        h.update(data[at : offsets[k + 1]])
+        sha.append(h.hexdigest())
+    return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(sums[first[1:]] - sums[first[:-1]]), "n_spans": pa.array(np.diff(first).astype(np.int64)), "kept_sha256": pa.array(sha, pa.string())})
 
 
 def text_order(doc_id: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -336,30 +368,6 @@ def kept_bytes(text: str | None, spans) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def digests(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) from removed_spans()."""
-
-    def run(batches):
-        for batch in batches:
-            buf, offsets = B.column_bytes(batch.column("text"))
-            spans = batch.column("spans")
-            first = spans.offsets.to_numpy()
-            first, flat = first - first[0], spans.flatten()
-            start, end = flat.field("start").to_numpy(), flat.field("end").to_numpy()
-            sums = np.concatenate([[0], np.cumsum(end - start)])
-            data, sha = buf.tobytes(), []
-            for k in range(batch.num_rows):
-                at, h = int(offsets[k]), hashlib.sha256()
-                for s, e in zip(start[first[k] : first[k + 1]].tolist(), end[first[k] : first[k + 1]].tolist()):
-                    h.update(data[at : offsets[k] + s])
-                    at = int(offsets[k]) + e
-                h.update(data[at : offsets[k + 1]])
-                sha.append(h.hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(sums[first[1:]] - sums[first[:-1]]), "n_spans": pa.array(np.diff(first).astype(np.int64)), "kept_sha256": pa.array(sha)})
-
-    return removed_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with removed bytes cut from text; characters cut apart at a removed range's ends are dropped whole."""
 
