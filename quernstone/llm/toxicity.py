@@ -1,10 +1,11 @@
 """Toxicity: boosted trees over dense features of whole texts, with isotonic calibration.
 
-Features: densities of two lexicons (a fixed list of insults, and words that mark toxic
-documents in one part of the training rows), how near second-person words stand, rates of
+Features: densities of lexicons (a fixed list of insults, and the words and word beginnings
+that mark toxic documents among the training rows), how near second-person words stand, rates of
 capitals, punctuation and obfuscation (letters replaced by digits or signs, letters
-stretched), and sizes. Histogram-based trees fit the logistic loss by Newton steps on a
-second part; a third calibrates their sum by isotonic regression.
+stretched), and sizes. A training row's own features come from a lexicon learnt without its
+fold. Histogram-based trees fit the logistic loss by Newton steps on all folds but one; the
+last calibrates their sum by isotonic regression.
 
 The classifier is trained on the driver over a bounded sample of labelled rows (``rows``).
 Scoring is one pass over whole texts without a shuffle.
@@ -40,7 +41,7 @@ SECOND_PERSON = "you your yours yourself youre u ur du dich dir dein deine ihr e
 # Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
-NAMES = ("words", "length", "insults", "any_insult", "marked", "any_marked", "you", "insults_near_you", "capitals", "shouted", "punctuation", "exclamations", "digits", "obfuscated", "hidden_insults", "stretched")
+NAMES = ("words", "length", "insults", "any_insult", "marked", "any_marked", "marked_stems", "any_marked_stem", "you", "insults_near_you", "capitals", "shouted", "punctuation", "exclamations", "digits", "obfuscated", "hidden_insults", "stretched")
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -81,19 +82,31 @@ def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 _INSULTS, _YOU = hashes_of(INSULTS), hashes_of(SECOND_PERSON)
 
 
-def features(buf: np.ndarray, offsets: np.ndarray, marked: np.ndarray, near: int = 3) -> np.ndarray:
-    """One row of NAMES for each text. marked: sorted hashes of the learnt lexicon."""
-    return np.concatenate([_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], marked, near) for i, j in B.slices(offsets)] or [np.zeros((0, len(NAMES)))])
+def stems(buf: np.ndarray, offsets: np.ndarray, length: int = 5) -> np.ndarray:
+    """Hashes of the first ``length`` bytes of the same words."""
+    text = B.LOWER[buf]
+    starts, ends, _ = B.words(text, offsets, ~LETTER)
+    return B.span_hashes(text, starts, np.minimum(starts + length, ends))
+
+
+Lexicon = tuple[np.ndarray, np.ndarray]
+NO_LEXICON: Lexicon = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
 
+def features(buf: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, near: int = 3) -> np.ndarray:
+    """One row of NAMES for each text. lexicon: sorted hashes of learnt words and stems."""
+    return np.concatenate([_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lexicon, near) for i, j in B.slices(offsets)] or [np.zeros((0, len(NAMES)))])
 
-def _features(buf: np.ndarray, at: np.ndarray, marked: np.ndarray, near: int) -> np.ndarray:
+
+def _features(buf: np.ndarray, at: np.ndarray, lexicon: Lexicon, near: int) -> np.ndarray:
     size = np.maximum(np.diff(at), 1)
     text = B.LOWER[buf]
     starts, ends, first = B.words(text, at, ~LETTER)
     word = B.span_hashes(text, starts, ends)
     n = np.diff(first)
     many = np.maximum(n, 1)
-    insult, you, mark = among(word, _INSULTS), among(word, _YOU), among(word, marked)
+    insult, you, mark = among(word, _INSULTS), among(word, _YOU), among(word, lexicon[0])
+    stem = among(B.span_hashes(text, starts, np.minimum(starts + 5, ends)), lexicon[1])
     # Insults with a second-person word at most ``near`` words away, within their row.
     row = np.repeat(np.arange(len(n)), n)
     places = np.flatnonzero(you)
@@ -123,7 +136,7 @@ def _features(buf: np.ndarray, at: np.ndarray, marked: np.ndarray, near: int) ->
     by_byte = lambda x: sums(x, at)
     return np.stack(
         [
-            np.log1p(n), np.log1p(np.diff(at)), by_word(insult) / many, np.log1p(by_word(insult)), by_word(mark) / many, np.log1p(by_word(mark)), by_word(you) / many,
+            np.log1p(n), np.log1p(np.diff(at)), by_word(insult) / many, np.log1p(by_word(insult)), by_word(mark) / many, np.log1p(by_word(mark)), by_word(stem) / many, np.log1p(by_word(stem)), by_word(you) / many,
             np.log1p(by_word(close)), by_byte(capital) / size, by_word(shouted) / many, by_byte(punctuation) / size, by_byte(exclamation) / size, by_byte(digit) / size,
             sums(mixed, f2) / many, np.log1p(sums(hidden, f2)), by_byte(same) / size,
         ],
@@ -131,17 +144,22 @@ def _features(buf: np.ndarray, at: np.ndarray, marked: np.ndarray, near: int) ->
     )
 
 
-def marking_words(word: np.ndarray, first: np.ndarray, label: np.ndarray, least: int = 5, ratio: float = 4.0, most: int = 500) -> np.ndarray:
-    """Sorted hashes of words found in ``least`` toxic documents or more, ``ratio`` times their share of all or more."""
-    row = np.repeat(np.arange(len(label)), np.diff(first))
-    pair = np.unique(np.stack([word, row.astype(np.uint64)]), axis=1) if len(word) else np.zeros((2, 0), np.uint64)
-    distinct, inverse = np.unique(pair[0], return_inverse=True)
-    toxic = np.bincount(inverse, label[pair[1].astype(np.int64)], minlength=len(distinct))
-    every = np.bincount(inverse, minlength=len(distinct))
-    base = max(label.mean(), 1e-9) if len(label) else 1.0
-    lift = (toxic + base) / (every + 1) / base
-    good = np.flatnonzero((toxic >= least) & (lift >= min(ratio, 0.7 / base)))
-    return np.sort(distinct[good[np.argsort(-toxic[good] * np.log(lift[good]))][:most]])
+class Marks:
+    """In which labelled documents each word stands; learns the words that mark toxic ones."""
+
+    def __init__(self, word: np.ndarray, first: np.ndarray):
+        self.n = len(first) - 1
+        self.distinct, of = np.unique(word, return_inverse=True)
+        pair = np.unique(of * max(self.n, 1) + np.repeat(np.arange(self.n), np.diff(first)))
+        self.word, self.row = pair // max(self.n, 1), pair % max(self.n, 1)
+
+    def learn(self, label: np.ndarray, rows: np.ndarray, least: int = 4, rate: float = 0.75, most: int = 2000) -> np.ndarray:
+        """Sorted hashes of words found in ``least`` toxic documents of ``rows`` or more, ``rate`` of all they stand in."""
+        inside = rows[self.row]
+        toxic = np.bincount(self.word[inside], label[self.row[inside]], len(self.distinct))
+        every = np.bincount(self.word[inside], minlength=len(self.distinct))
+        good = np.flatnonzero((toxic >= least) & ((toxic + 0.1) / (every + 1) >= rate))
+        return np.sort(self.distinct[good[np.argsort(-toxic[good], kind="stable")][:most]])
 
 
 class Trees:
@@ -229,26 +247,34 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[np.ndar
 class Model:
     """The learnt lexicon, trees and calibration."""
 
+    FOLDS = 5
+
     def __init__(self, texts: pa.Array, label: np.ndarray):
         n = len(label)
         self.share = float(label.mean()) if n else 0.5
-        self.marked, self.trees = np.zeros(0, np.uint64), None
+        self.lexicon, self.trees = NO_LEXICON, None
         if not 0 < label.sum() < n or n < 50:
             return
-        part = np.arange(n) % 10
-        buf, offsets = B.column_bytes(texts.take(pa.array(np.flatnonzero(part < 4))))
-        self.marked = marking_words(*plain_words(buf, offsets), label[part < 4])
-        x = features(*B.column_bytes(texts), self.marked)
-        self.trees = Trees().fit(x[(part >= 4) & (part < 8)], label[(part >= 4) & (part < 8)])
-        self.knots = isotonic(self.trees.predict(x[part >= 8]), label[part >= 8])
+        fold = np.arange(n) % self.FOLDS
+        buf, offsets = B.column_bytes(texts)
+        word, first = plain_words(buf, offsets)
+        marks = [Marks(word, first), Marks(stems(buf, offsets), first)]
+        x = np.zeros((n, len(NAMES)))
+        for f in range(self.FOLDS):
+            lexicon = tuple(m.learn(label, fold != f) for m in marks)
+            x[fold == f] = features(*B.column_bytes(texts.take(pa.array(np.flatnonzero(fold == f)))), lexicon)
+        self.lexicon = tuple(m.learn(label, fold >= 0) for m in marks)
+        last = fold == self.FOLDS - 1
+        self.trees = Trees().fit(x[~last], label[~last])
+        self.knots = isotonic(self.trees.predict(x[last]), label[last])
 
     def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(offsets) - 1, self.share)
-        return np.clip(np.interp(self.trees.predict(features(buf, offsets, self.marked)), *self.knots), 0, 1)
+        return np.clip(np.interp(self.trees.predict(features(buf, offsets, self.lexicon)), *self.knots), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, rows: int = 12_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, rows: int = 10_000) -> Model:
     """A model of label 1 of ``toxic`` from ``rows`` labelled rows at most that aren't held out."""
     table = sample(docs, labels, "toxic", modulus, remainder, rows).select("doc_id", "text", "label").toArrow()
     table = table.sort_by("doc_id").combine_chunks()
