@@ -1,10 +1,63 @@
-"""Five stages from raw documents to packed training sequences."""
+"""Raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
+the last return the columns of ``documents``. ``run`` writes each stage's result to the
+shared folder and reads it again, so a lost executor costs a stage's tasks, not the chain.
+
+A row of the result is a piece of a document in a sequence: doc_id, piece, start, length,
+ids_crc32, sequence_id, offset.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from quernstone.llm import decontaminate, packing, quality, repeats, simhash
+from quernstone.llm._store import written
+
+#: No SQL expresses the trained classifier or the tokenizer; tests compare with a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.good_documents(docs, quality.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the least doc_id."""
+    return simhash.one_of_each(docs, width=3, budget=2)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that also stand earlier in the corpus are cut from the texts."""
+    return repeats.without_repeats(docs, length=100)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces get places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("best-fit packing", packed_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,7 +44,7 @@ def unpack(body: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
-    """(block_id, n_bytes, body): documents packed into compressed blocks of about ``block_bytes`` of text.
+    """(block_id, n_bytes, body): rows of ``docs`` packed into compressed blocks of about ``block_bytes`` of text, all columns kept.
 
     The table is written to the shared folder, so a block's number and content never change
     afterwards, also if executors are lost.
@@ -72,7 +72,7 @@ def blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
         if held:
             yield row()
 
-    return written(with_key(docs).mapInArrow(run, "block_id long, n_bytes long, body binary"), name)
+    return written(docs.mapInArrow(run, "block_id long, n_bytes long, body binary"), name)
 
 
 def bucket_count(table: DataFrame, bucket_bytes: int) -> int:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import blocks, bucket_count, pack, unpack, written
+from quernstone.llm._store import blocks, bucket_count, pack, unpack, with_key, written
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
@@ -89,7 +89,7 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), mass:
     held_out_of: modulus and remainder of crc32(doc_id as text) of the documents that don't
     train; None: all train. mass: the smoothing mass m.
     """
-    table = blocks(docs, "model-blocks", BLOCK_BYTES)
+    table = blocks(with_key(docs), "model-blocks", BLOCK_BYTES)
     n = bucket_count(table, BUCKET_BYTES)
     keyed = table.select("block_id", "body")
     request = "bucket long, block_id long, body binary"

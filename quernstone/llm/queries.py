@@ -57,11 +57,45 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.licences import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quernstone.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op8_decontamination, op9_licences, op10_simhash)}
+# Item windows against every place of every document, word for word.
+OP8_SQL = r"""
+with w as (
+  select item_id, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from benchmark where item_id is not null and text is not null
+), win as (
+  select distinct cast(item_id as varchar) as item_id, w[s : s + 9] as words, len(w[s : s + 9]) as size
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from w where len(w) > 0)
+), d as (
+  select doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+), cut as (
+  select doc_id, s, size, w[s : s + size - 1] as words
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as s from d, (select distinct size from win) where len(w) >= size)
+), hit as (select distinct doc_id, item_id, s, cut.size from cut join win on cut.words = win.words),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from hit) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from hit) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (doc_id) left join found using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}

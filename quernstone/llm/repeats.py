@@ -164,12 +164,12 @@ def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray
 
 def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, text, spans) for each row of ``docs``: spans lists the maximal removed byte ranges [start, end) of the text."""
-    return _removed(docs, length, hot, spans_of, "doc_id long, text string, spans array<struct<start: long, end: long>>")
+    return _removed(with_key(docs), length, hot, spans_of, "doc_id long, text string, spans array<struct<start: long, end: long>>")
 
 
 def digests(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``."""
-    return _removed(docs, length, hot, digest_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _removed(with_key(docs), length, hot, digest_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> DataFrame:
@@ -360,27 +360,22 @@ def text_column(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def kept_bytes(text: str | None, spans) -> bytes:
-    data, out, at = (text or "").encode(), [], 0
-    for s in spans:
-        out.append(data[at : s["start"]])
-        at = s["end"]
-    return b"".join([*out, data[at:]])
+def without_repeats(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
+    """``docs`` with removed bytes cut from text, and n_chars, if there, its new length.
 
+    A character that a removed range's end cuts apart goes with it; null texts stay null.
+    """
+    typed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    out = _removed(typed, length, hot, rows_cut, typed.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
-def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``docs`` with removed bytes cut from text; characters cut apart at a removed range's ends are dropped whole."""
 
-    def run(batches):
-        for batch in batches:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist())
-            out = [(i, t, None if t is None else kept_bytes(t, s).decode("utf-8", "ignore")) for i, t, s in rows]
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[x] for r in out], t) for x, (k, t) in enumerate((("_id", pa.int64()), ("_text", pa.string()), ("_kept", pa.string())))})
-
-    cut = removed_spans(docs, length).where(F.size("spans") > 0).mapInArrow(run, "_id long, _text string, _kept string")
-    cut = cut.select("_id", F.xxhash64("_text").alias("_tag"), "_kept").dropDuplicates(["_id", "_tag"])
-    out = docs.withColumn("_tag0", F.xxhash64(F.col("text"))).join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag0") == F.col("_tag")), "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+def rows_cut(rows, buf, offsets, starts, ends, first) -> pa.Table:
+    data, texts = memoryview(np.ascontiguousarray(buf)), rows.column("text").to_pylist()
+    for k in np.flatnonzero(np.diff(first)).tolist():
+        at, kept = int(offsets[k]), []
+        for i in range(first[k], first[k + 1]):
+            kept.append(bytes(data[at : starts[i]]).decode("utf-8", "ignore"))
+            at = int(ends[i])
+        texts[k] = "".join([*kept, bytes(data[at : offsets[k + 1]]).decode("utf-8", "ignore")])
+    return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
