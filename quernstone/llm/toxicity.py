@@ -41,6 +41,8 @@ SECOND_PERSON = "you your yours yourself youre u ur du dich dir dein deine ihr e
 # Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
+#: Bytes of a word's beginning.
+STEM = 5
 NAMES = ("words", "length", "insults", "any_insult", "marked", "any_marked", "marked_stems", "any_marked_stem", "you", "insults_near_you", "capitals", "shouted", "punctuation", "exclamations", "digits", "obfuscated", "hidden_insults", "stretched")
 
 LETTER = np.zeros(256, bool)
@@ -72,23 +74,9 @@ def sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (total[at[1:]] - total[at[:-1]]).astype(np.float64)
 
 
-def plain_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased runs of letters, and the n+1 places where rows begin."""
-    text = B.LOWER[buf]
-    starts, ends, first = B.words(text, offsets, ~LETTER)
-    return B.span_hashes(text, starts, ends), first
-
-
 _INSULTS, _YOU = hashes_of(INSULTS), hashes_of(SECOND_PERSON)
 
 
-def stems(buf: np.ndarray, offsets: np.ndarray, length: int = 5) -> np.ndarray:
-    """Hashes of the first ``length`` bytes of the same words."""
-    text = B.LOWER[buf]
-    starts, ends, _ = B.words(text, offsets, ~LETTER)
-    return B.span_hashes(text, starts, np.minimum(starts + length, ends))
-
-
 Lexicon = tuple[np.ndarray, np.ndarray]
 NO_LEXICON: Lexicon = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
@@ -106,7 +94,7 @@ def _features(buf: np.ndarray, at: np.ndarray, lexicon: Lexicon, near: int) -> n
     n = np.diff(first)
     many = np.maximum(n, 1)
     insult, you, mark = among(word, _INSULTS), among(word, _YOU), among(word, lexicon[0])
-    stem = among(B.span_hashes(text, starts, np.minimum(starts + 5, ends)), lexicon[1])
+    stem = among(B.span_hashes(text, starts, np.minimum(starts + STEM, ends)), lexicon[1])
     # Insults with a second-person word at most ``near`` words away, within their row.
     row = np.repeat(np.arange(len(n)), n)
     places = np.flatnonzero(you)
@@ -147,11 +135,21 @@ def _features(buf: np.ndarray, at: np.ndarray, lexicon: Lexicon, near: int) -> n
 class Marks:
     """In which labelled documents each word stands; learns the words that mark toxic ones."""
 
-    def __init__(self, word: np.ndarray, first: np.ndarray):
-        self.n = len(first) - 1
-        self.distinct, of = np.unique(word, return_inverse=True)
-        pair = np.unique(of * max(self.n, 1) + np.repeat(np.arange(self.n), np.diff(first)))
-        self.word, self.row = pair // max(self.n, 1), pair % max(self.n, 1)
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, stem: int | None = None):
+        words, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, j in B.slices(offsets):
+            text, at = B.LOWER[buf[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+            starts, ends, first = B.words(text, at, ~LETTER)
+            word = B.span_hashes(text, starts, ends if stem is None else np.minimum(starts + stem, ends))
+            row = np.repeat(np.arange(i, j), np.diff(first))
+            order = np.lexsort((word, row))
+            word, row = word[order], row[order]
+            new = np.concatenate([[True], (word[1:] != word[:-1]) | (row[1:] != row[:-1])]) if len(word) else np.zeros(0, bool)
+            words.append(word[new])
+            rows.append(row[new])
+        self.row = np.concatenate(rows).astype(np.int32)
+        self.distinct, word = np.unique(np.concatenate(words), return_inverse=True)
+        self.word = word.astype(np.int32)
 
     def learn(self, label: np.ndarray, rows: np.ndarray, least: int = 4, rate: float = 0.75, most: int = 2000) -> np.ndarray:
         """Sorted hashes of words found in ``least`` toxic documents of ``rows`` or more, ``rate`` of all they stand in."""
@@ -257,8 +255,7 @@ class Model:
             return
         fold = np.arange(n) % self.FOLDS
         buf, offsets = B.column_bytes(texts)
-        word, first = plain_words(buf, offsets)
-        marks = [Marks(word, first), Marks(stems(buf, offsets), first)]
+        marks = [Marks(buf, offsets), Marks(buf, offsets, STEM)]
         x = np.zeros((n, len(NAMES)))
         for f in range(self.FOLDS):
             lexicon = tuple(m.learn(label, fold != f) for m in marks)
@@ -267,6 +264,7 @@ class Model:
         last = fold == self.FOLDS - 1
         self.trees = Trees().fit(x[~last], label[~last])
         self.knots = isotonic(self.trees.predict(x[last]), label[last])
+        B.give_back()
 
     def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if self.trees is None:
