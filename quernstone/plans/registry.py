@@ -1,6 +1,425 @@
-"""All queries of the library by name, with their SQL equivalents."""
+"""All queries of the library by name, with their SQL equivalents for an independent engine.
+
+Documents stand in for chunks (id = doc_id, path = source/doc_id.md, title = source,
+breadcrumb = lang), benchmark items for queries, embeddings for vectors of equal id, and
+sources for releases.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.functions import text as T
+from quernstone.functions.tokenize import query_terms, tokens
+from quernstone.operators import catalog, hybrid, lexical, markdown
+from quernstone.operators.vector import knn
+from quernstone.plans import index, render
+
+BASE, RAW = "https://docs.example.org", "https://raw.example.org"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with SQL for its rows where SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.lit("")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), empty.alias("anchor"),
+        F.col("source").alias("title"), F.col("lang").alias("breadcrumb"), empty.alias("heading"), F.lit("r1").alias("release"), F.col("text").alias("content"),
+        empty.alias("canonical_url"), empty.alias("last_updated"),
+    )
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def vectors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors_of(spark, sf_dir).withColumnRenamed("id", "query_id").join(asked(spark, sf_dir), "query_id", "left_semi")
+
+
+def refs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is a branch, whose tip is as old as its first document is numbered; some names are no releases."""
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("committed_at"))
+    name = F.when(F.col("source") == "src3", "main").when(F.col("source") == "src4", "team/feature/x").otherwise(F.col("source"))
+    return rows.select(name.alias("name"), "committed_at", F.md5("source").alias("commit"), (F.col("source") == "src5").alias("is_default"))
+
+
+REFS_SQL = "select case source when 'src3' then 'main' when 'src4' then 'team/feature/x' else source end as name, min(doc_id) as committed_at, md5(source) as commit, source = 'src5' as is_default from documents group by source"
+RELEASES_SQL = f"select * from ({REFS_SQL}) where name not in ('main', 'master', 'HEAD', 'gh-pages', 'origin', 'nofamily', 'mobile', 'other', 'store') and not contains(name, 'feature/')"
+TRIM = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+
+
+def markdown_of(spark: SparkSession, sf_dir: str, paragraphs: bool) -> DataFrame:
+    """Documents as Markdown: frontmatter, a heading for each line but the first, and paragraphs for sentences if asked."""
+    docs = table(spark, sf_dir, "documents")
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n## Part: A b!\n"))
+    body = F.replace(body, F.lit(". "), F.lit(".\n\n")) if paragraphs else body
+    head = F.concat(F.lit("---\ntitle: Doc "), F.col("doc_id").cast("string"), F.lit("\nbreadcrumb:\n  - "), F.col("source"), F.lit("\n  - "), F.col("lang"), F.lit("\ncanonical_url: 'https://docs.example.org/x'\n---\n"))
+    return docs.select(F.lit("r1").alias("release"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(head, body).alias("content"), "doc_id", "source", "lang")
+
+
+# --- text and paths ---
+
+
+@query("select doc_id, regexp_replace(trim(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s-]', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)), '\\s+', '-', 'g') as anchor from documents")
+def slug_headings(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("anchor"))
+
+
+_SNIPPET = TRIM(r"substring(regexp_replace(text, '\s+', ' ', 'g'), 1, 240)")
+
+
+@query(f"select doc_id, {_SNIPPET} as snippet from documents")
+def snippets_240(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+_P = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '^https?://[^/]+/docs/', ''), '^https?://[^/]+/', ''), '^/+', ''), '^r/', ''), '^markdown/', ''), '\\.html$', '')"
+_KNOWN = "(select distinct split_part(url, '/', 4) as r from pages where split_part(url, '/', 5) <> '')"
+
+
+@query(f"""
+with p as (select page_id, url, string_split({_P}, '/') as s from pages), q as (select *, len(s) > 1 and s[1] in (select r from {_KNOWN}) as inside from p),
+u as (select *, array_to_string(case when inside then s[2:] else s end, '/') as t from q)
+select page_id, case when t <> '' and not ends_with(t, '.md') then t || '.md' else t end as repo_path, coalesce(case when inside then s[1] end, '') as release_in_path from u
+""")
+def url_to_repo_path(spark, sf_dir):
+    """Releases are the first folders of the pages' own paths."""
+    pages = table(spark, sf_dir, "pages")
+    part = F.split("url", "/")
+    known = pages.where(F.coalesce(F.get(part, 4), F.lit("")) != "").agg(F.collect_set(F.get(part, 3)).alias("known"))
+    p = T.repo_path(F.col("url"), F.col("known"))
+    return pages.crossJoin(F.broadcast(known)).select("page_id", p["repo_path"].alias("repo_path"), F.coalesce(p["release_in_path"], F.lit("")).alias("release_in_path"))
+
+
+@query(f"select doc_id, '{BASE}/r/' || source || '/' || doc_id as url, '{RAW}/' || lang || '/markdown/' || source || '/' || doc_id || '.md' as raw_url, substring(md5(source), 1, 8) as short_commit from documents")
+def docs_url(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return docs.select("doc_id", T.docs_url(path, BASE).alias("url"), T.raw_url(F.col("lang"), F.concat(F.lit("markdown/"), path), RAW).alias("raw_url"), T.short_commit(F.md5("source")).alias("short_commit"))
+
+
+@query(f"""
+select doc_id, case when doc_id % 3 = 0 then '' else source end as anchor,
+  (case when doc_id % 2 = 0 then '{BASE}/r/' || source || '/' || doc_id else '{BASE}/x' end) || (case when doc_id % 3 = 0 then '' else '#' || source end) as url,
+  case when doc_id % 5 > 0 then 'T' || doc_id when doc_id % 7 > 0 then 'H' || doc_id else source || '/' || doc_id || '.md' end as title from documents
+""")
+def hit_projection(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    path, anchor = F.concat("source", F.lit("/"), text, F.lit(".md")), F.when(n % 3 == 0, "").otherwise(F.col("source"))
+    url = T.hit_url(path, anchor, F.when(n % 2 == 0, "").otherwise(f"{BASE}/x"), BASE)
+    title = T.first_filled(F.when(n % 5 > 0, F.concat(F.lit("T"), text)).otherwise(""), F.when(n % 7 > 0, F.concat(F.lit("H"), text)).otherwise(""), path)
+    return docs.select("doc_id", anchor.alias("anchor"), url.alias("url"), title.alias("title"))
+
+
+# --- documents to chunks ---
+
+
+@query("select doc_id, 'Doc ' || doc_id as title, source || ' > ' || lang as breadcrumb, 'https://docs.example.org/x' as canonical_url, '' as last_updated, length(replace(text, chr(10), chr(10) || chr(10) || '## Part: A b!' || chr(10))) as body_chars from documents")
+def frontmatter_fields(spark, sf_dir):
+    return markdown.parse_docs(markdown_of(spark, sf_dir, False)).select("doc_id", "meta.*", F.length("body").cast("long").alias("body_chars"))
+
+
+_SECTIONS = f"select doc_id, source, lang, n - 1 as section, case when n = 1 then '' else 'Part: A b!' end as heading, {TRIM('t')} as text from (select doc_id, source, lang, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents)"
+_KEPT = f"select *, row_number() over (partition by doc_id order by section) - 1 as nth from ({_SECTIONS}) where text <> '' or heading <> ''"
+
+
+@query(f"select doc_id, nth as section, heading, md5(text) as text_md5 from ({_KEPT})")
+def section_split(spark, sf_dir):
+    parsed = markdown.parse_docs(markdown_of(spark, sf_dir, False))
+    each = parsed.select("doc_id", F.posexplode(markdown.sections(F.col("body"))).alias("section", "s"))
+    return each.select("doc_id", F.col("section").cast("long").alias("section"), "s.heading", F.md5("s.text").alias("text_md5"))
+
+
+_WINDOWS = "unnest(case when length(text) <= 1600 then [0] else range(0, cast(ceil((length(text) - 1600) / 1440.0) as bigint) + 1) end)"
+
+
+@query(f"select doc_id, w as window, md5(substring(text, 1440 * w + 1, case when w < ceil((length(text) - 1600) / 1440.0) then 1600 else length(text) end)) as text_md5 from (select doc_id, text, {_WINDOWS} as w from documents)")
+def window_hard_split(spark, sf_dir):
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.windows(F.col("text"))).alias("window", "w"))
+    return each.select("doc_id", F.col("window").cast("long").alias("window"), F.md5("w").alias("text_md5"))
+
+
+@query()
+def window_paragraphs(spark, sf_dir):
+    """Windows cut between paragraphs; tests compare with a plain model."""
+    text = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.windows(text)).alias("window", "text"))
+
+
+_CHUNKS = f"""
+select row_number() over (order by path, section, w) as id, * from (
+  select source || '/' || doc_id || '.md' as path, case when heading = '' then '' else 'part-a-b' end as anchor, 'Doc ' || doc_id as title, source || ' > ' || lang as breadcrumb, heading,
+    {TRIM('substring(text, 1440 * w + 1, case when w < ceil((length(text) - 1600) / 1440.0) then 1600 else length(text) end)')} as content, nth as section, w
+  from (select *, {_WINDOWS} as w from ({_KEPT})))
+where content <> '' or heading <> ''
+"""
+
+
+@query(f"select id, path, anchor, title, breadcrumb, heading, md5(content) as content_md5 from ({_CHUNKS})")
+def chunk_docs(spark, sf_dir):
+    made = markdown.with_ids(markdown.chunk_docs(markdown_of(spark, sf_dir, False)))
+    return made.select("id", "path", "anchor", "title", "breadcrumb", "heading", F.md5("content").alias("content_md5"))
+
+
+@query("select source || '/' || doc_id || '.md' as path, '' as anchor, 'T' || doc_id as heading, lang as content from documents")
+def title_only_fallback(spark, sf_dir):
+    body = F.concat(F.lit("---\ntitle: T"), F.col("doc_id").cast("string"), F.lit("\nbreadcrumb: "), F.col("lang"), F.lit("\n---\n  \n"))
+    docs = markdown_of(spark, sf_dir, False).select("release", "path", body.alias("content"))
+    return markdown.chunk_docs(docs).select("path", "anchor", "heading", "content")
+
+
+@query("select doc_id, md5(array_to_string(list_filter([lang, case when doc_id % 2 = 0 then lang else source end, case when doc_id % 3 = 0 then '' else 'h' end], lambda x, i: x <> '' and (i <> 2 or x <> lang)), ' — ') || chr(10) || chr(10) || text) as embed_md5 from documents")
+def embed_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("breadcrumb"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")).alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise("h").alias("heading"), F.col("text").alias("content"))
+    return docs.select("doc_id", F.md5(markdown.embed_text()).alias("embed_md5"))
+
+
+# --- lexical search ---
+
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2))"
+_TOKENS = "regexp_extract_all(strip_accents(lower(text || ' ' || source || ' ' || lang)), '[\\p{L}\\p{N}]+')"
+_POSTINGS = f"select doc_id as id, dl, term, count(*) as tf from (select doc_id, len({_TOKENS}) as dl, unnest({_TOKENS}) as term from documents) group by all"
+_BM25 = f"""
+with p as materialized ({_POSTINGS}), s as (select count(*) as n, avg(len({_TOKENS})) as avgdl from documents), df as (select term, count(*) as df from p group by term),
+q as (select item_id as query_id, unnest({_TERMS}) as term from benchmark),
+w as (select query_id, term, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end as idf, avgdl from q join df using (term), s),
+sc as (select query_id, id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from p join w using (term) group by query_id, id),
+lex as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9), id) - 1 as rank from sc qualify rank < 40)
+"""
+_KNN = """
+vec as (select query_id, id, distance, row_number() over (partition by query_id order by round(distance, 12), id) - 1 as rank from (
+  select a.vec_id as query_id, b.vec_id as id, sqrt(list_sum(list_transform(list_zip(cast(a.embedding as double[]), cast(b.embedding as double[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as distance
+  from embeddings a join benchmark on item_id = a.vec_id, embeddings b) qualify rank < 40)
+"""
+_FUSED = """
+fu as (select query_id, id, sum(1.0 / (61 + rank)) as score, max(lex) as l, max(vec) as v from (select query_id, id, rank, rank as lex, null as vec from lex union all select query_id, id, rank, null, rank from vec) group by query_id, id),
+fused as (select query_id, id, score, coalesce(l, count(l) over (partition by query_id) + v) as position from fu)
+"""
+
+
+def _hits(limit: int) -> str:
+    return f"""
+best as (select f.query_id, f.score, f.position, d.source || '/' || d.doc_id || '.md' as path, d.* from fused f join documents d on d.doc_id = f.id
+  qualify row_number() over (partition by f.query_id, d.source || '/' || d.doc_id || '.md' order by round(f.score, 12) desc, position) = 1),
+hits as (select *, row_number() over (partition by query_id order by round(score, 12) desc, position) as rank from best qualify rank <= {max(limit, 1)})
+"""
+
+
+@query(f"select item_id as query_id, array_to_string(list_sort({_TERMS}), ' ') as terms from benchmark")
+def query_term_sets(spark, sf_dir):
+    return asked(spark, sf_dir).select("query_id", F.array_join(F.array_sort(query_terms(F.col("query"))), " ").alias("terms"))
+
+
+@query(f"select id, term, cast(tf as bigint) as tf, cast(dl as bigint) as dl from ({_POSTINGS})")
+def token_postings(spark, sf_dir):
+    found = lexical.build(chunks_of(spark, sf_dir), stemmed=False).postings
+    return found.select("id", "term", "tf", F.col("dl").cast("long").alias("dl"))
+
+
+@query(f"select term, count(*) as df from ({_POSTINGS}) group by term")
+def term_df(spark, sf_dir):
+    return lexical.build(chunks_of(spark, sf_dir), stemmed=False).term_stats
+
+
+@query(f"select count(*) as n_docs, round(avg(len({_TOKENS})), 6) as avgdl from documents")
+def corpus_stats(spark, sf_dir):
+    return lexical.build(chunks_of(spark, sf_dir), stemmed=False).corpus_stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"{_BM25} select query_id, id, rank, round(score, 6) as score from lex")
+def bm25_topk(spark, sf_dir):
+    found = lexical.bm25(lexical.build(chunks_of(spark, sf_dir), stemmed=False), asked(spark, sf_dir), 40)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_topk_stemmed(spark, sf_dir):
+    """With Porter stems; tests compare with SQLite's full-text search."""
+    found = lexical.bm25(lexical.build(chunks_of(spark, sf_dir)), asked(spark, sf_dir), 40)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+# --- vector and hybrid search ---
+
+
+@query(f"with {_KNN} select query_id, id, rank, round(distance, 9) as distance from vec")
+def knn_l2_topk(spark, sf_dir):
+    found = knn(vectors_of(spark, sf_dir), asked_vectors(spark, sf_dir), 40)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 9).alias("distance"))
+
+
+def _arms(spark, sf_dir, limit=8):
+    pool = hybrid.pool_size(limit)
+    return lexical.bm25(lexical.build(chunks_of(spark, sf_dir), stemmed=False), asked(spark, sf_dir), pool), knn(vectors_of(spark, sf_dir), asked_vectors(spark, sf_dir), pool)
+
+
+@query(f"{_BM25}, {_KNN}, {_FUSED} select query_id, id, round(score, 9) as score, position from fused")
+def rrf_fusion(spark, sf_dir):
+    return hybrid.fuse(*_arms(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"), F.col("position").cast("long").alias("position"))
+
+
+@query(f"{_BM25}, {_KNN}, {_FUSED}, best as (select query_id, source, doc_id as id, round(score, 9) as score from fused join documents on doc_id = id qualify row_number() over (partition by query_id, source order by round(score, 12) desc, position) = 1) select * from best")
+def best_chunk_per_path(spark, sf_dir):
+    """With the source as path, so that many chunks share one."""
+    chunks = chunks_of(spark, sf_dir).withColumn("path", F.col("title"))
+    return hybrid.best_of_paths(hybrid.fuse(*_arms(spark, sf_dir)), chunks, 10**6).select("query_id", F.col("path").alias("source"), "id", F.round("score", 9).alias("score"))
+
+
+def _search(spark, sf_dir, limit, queries=None):
+    built = lexical.build(chunks_of(spark, sf_dir), stemmed=False)
+    return hybrid.search_batch(built, chunks_of(spark, sf_dir), vectors_of(spark, sf_dir), asked(spark, sf_dir) if queries is None else queries, asked_vectors(spark, sf_dir), limit, BASE)
+
+
+_HITS = "select query_id, rank, path, source as title, lang as breadcrumb, '' as anchor, 'r1' as release, 'https://docs.example.org/r/' || source || '/' || doc_id as url, " + TRIM("substring(regexp_replace(text, '\\s+', ' ', 'g'), 1, 240)") + " as snippet, round(score, 9) as score from hits"
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
+
+
+@query(f"{_BM25}, {_KNN}, {_FUSED}, {_hits(8)} select * exclude (query_id) from ({_HITS}) where query_id = 0")
+def hybrid_search(spark, sf_dir):
+    """One query: the first benchmark item's text."""
+    one = asked(spark, sf_dir).where("query_id = 0")
+    return _plain(_search(spark, sf_dir, 8, one)).drop("query_id")
+
+
+@query(f"{_BM25}, {_KNN}, {_FUSED}, {_hits(8)} {_HITS}")
+def hybrid_search_batch(spark, sf_dir):
+    return _plain(_search(spark, sf_dir, 8))
+
+
+@query(f"{_BM25}, {_KNN}, {_FUSED}, {_hits(0)} {_HITS}")
+def hybrid_limit_zero(spark, sf_dir):
+    """A limit of zero gives one hit."""
+    return _plain(_search(spark, sf_dir, 0))
+
+
+@query(f"""{_BM25}, {_KNN}, {_FUSED}, {_hits(8)}, h as ({_HITS})
+select query_id, 'Documentation search results:' || chr(10) || chr(10) || string_agg(rank || '. ' || title || ' — ' || breadcrumb || ' (' || release || ')' || chr(10) || case when snippet = '' then '' else '   ' || snippet || chr(10) end || '   url: ' || url || chr(10) || '   path: ' || path || chr(10), chr(10) order by rank)
+  || chr(10) || 'To read a result, fetch its path; add a version for another release.' as body from h group by query_id""")
+def render_search(spark, sf_dir):
+    return render.search_texts(_search(spark, sf_dir, 8))
+
+
+# --- releases and lookup ---
+
+
+@query(f"select name, committed_at from ({RELEASES_SQL})")
+def non_release_filter(spark, sf_dir):
+    return catalog.releases(refs_of(spark, sf_dir)).select("name", "committed_at")
+
+
+@query("select 'src5' as release")
+def latest_version(spark, sf_dir):
+    return catalog.latest_release(refs_of(spark, sf_dir))
+
+
+@query(f"select row_number() over (order by is_default desc, committed_at desc, name) as ord, name as release, is_default as is_latest from ({RELEASES_SQL})")
+def version_list(spark, sf_dir):
+    return catalog.versions(refs_of(spark, sf_dir))
+
+
+@query(f"select '- ' || name || case when is_default then '  (latest)' else '' end as line from ({RELEASES_SQL})")
+def render_versions(spark, sf_dir):
+    return catalog.versions(refs_of(spark, sf_dir)).select(render.version_line().alias("line"))
+
+
+def _requests(spark, sf_dir):
+    """One request for each document: by URL or path, with and without a version, some for other releases' names."""
+    n, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    source = F.when(n % 4 == 0, F.concat(F.lit("https://docs.example.org/docs/r/"), F.col("source"), F.lit("/"), text, F.lit(".html"))).when(n % 4 == 1, F.concat(F.lit("/markdown/"), text, F.lit(".md"))).otherwise(text)
+    version = F.when(n % 3 == 0, F.upper("source")).when(n % 3 == 1, "nowhere")
+    return table(spark, sf_dir, "documents").select(n.alias("request_id"), source.alias("source"), version.alias("version"))
+
+
+_RESOLVED = f"""
+with k as (select name from ({RELEASES_SQL})),
+r as (select doc_id, source, text, lang, case when doc_id % 3 = 0 and source in (select name from k) then source when doc_id % 4 = 0 and source in (select name from k) then source else 'src5' end as release,
+  case when doc_id % 4 = 0 and source not in (select name from k) then source || '/' || doc_id || '.md' else doc_id || '.md' end as path from documents)
+"""
+
+
+@query(f"{_RESOLVED} select doc_id as request_id, path as repo_path, release from r")
+def branch_resolution(spark, sf_dir):
+    return catalog.resolve(_requests(spark, sf_dir), refs_of(spark, sf_dir)).select("request_id", "repo_path", "release")
+
+
+def _library(spark, sf_dir):
+    docs = markdown_of(spark, sf_dir, False)
+    return docs.select(F.col("source").alias("release"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "content")
+
+
+_FETCHED = f"{_RESOLVED}, f as (select r.doc_id, r.path, r.release, d.doc_id as hit, d.text from r left join documents d on d.source = r.release and d.doc_id || '.md' = r.path)"
+_BODY = "case when starts_with(" + TRIM("replace(text, chr(10), chr(10) || chr(10) || '## Part: A b!' || chr(10))") + ", '#') then '' else '# Doc ' || hit || chr(10) || chr(10) end || " + TRIM("replace(text, chr(10), chr(10) || chr(10) || '## Part: A b!' || chr(10))")
+
+
+@query(f"{_FETCHED} select doc_id as request_id, md5({_BODY}) as markdown_md5, 'https://docs.example.org/x' as source_url, path, release from f where hit is not null")
+def fetch_docs(spark, sf_dir):
+    found = catalog.fetch_many(_requests(spark, sf_dir), refs_of(spark, sf_dir), _library(spark, sf_dir), BASE).where("found")
+    return found.select("request_id", F.md5("markdown").alias("markdown_md5"), "source_url", "path", "release")
+
+
+@query(f"{_FETCHED} select doc_id as request_id, path, release from f where hit is null")
+def fetch_misses(spark, sf_dir):
+    found = catalog.fetch_many(_requests(spark, sf_dir), refs_of(spark, sf_dir), _library(spark, sf_dir), BASE).where("not found")
+    return found.select("request_id", "path", "release")
+
+
+@query(f"{_FETCHED} select doc_id as request_id, md5('> Source: https://docs.example.org/x (release: ' || release || ')' || chr(10) || chr(10) || {_BODY}) as body_md5 from f where hit is not null")
+def render_fetch(spark, sf_dir):
+    found = catalog.fetch_many(_requests(spark, sf_dir), refs_of(spark, sf_dir), _library(spark, sf_dir), BASE).where("found")
+    return found.select("request_id", F.md5(render.fetch_column()).alias("body_md5"))
+
+
+# --- index and lifecycle ---
+
+
+@query("select source || '/' || doc_id || '.md' as path from documents order by 1 limit 100")
+def file_cap(spark, sf_dir):
+    return index.capped(markdown_of(spark, sf_dir, False), 100).select("path")
+
+
+@query(f"select (select count(*) from ({_CHUNKS})) as chunk_count, (select count(*) from documents) as file_count")
+def manifest(spark, sf_dir):
+    docs = markdown_of(spark, sf_dir, False)
+    return index.manifest_row(markdown.chunk_docs(docs), docs)
+
+
+@query("select source || '/' || doc_id || '.md' as path from documents where doc_id % 2 = 1")
+def changed_documents(spark, sf_dir):
+    """Extension: the documents that an incremental build takes, where the older build had every other text otherwise."""
+    docs = markdown_of(spark, sf_dir, False)
+    old = docs.withColumn("content", F.when(F.col("doc_id") % 2 == 1, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
+    return index.changed_chunks(docs, old).select("path")
+
+
+@query(f"select name, commit <> md5('src5') as stale from ({REFS_SQL})")
+def change_detection(spark, sf_dir):
+    """Whether an index built at the default branch's tip is stale against each branch's tip."""
+    refs = refs_of(spark, sf_dir)
+    built = refs.where("is_default").select(F.col("commit").alias("built"))
+    return refs.crossJoin(F.broadcast(built.limit(1))).select("name", (F.col("commit") != F.col("built")).alias("stale"))
