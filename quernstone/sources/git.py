@@ -109,8 +109,8 @@ def read_doc(folder: str | Path, branch: str, path: str) -> str | None:
 
 
 class _Range(InputPartition):
-    def __init__(self, entries: list[tuple[str, str]]):
-        self.entries = entries
+    def __init__(self, commit: str, entries: list[tuple[str, str]]):
+        self.commit, self.entries = commit, entries
 
 
 class _Reader(DataSourceReader):
@@ -118,9 +118,9 @@ class _Reader(DataSourceReader):
         self.folder, self.branch, self.size = options["path"], options["branch"], int(options.get("files_a_partition", 500))
 
     def partitions(self) -> list[InputPartition]:
-        self.commit = tip_commit(self.folder, self.branch)
+        commit = tip_commit(self.folder, self.branch)
         try:
-            listed = git(self.folder, "ls-tree", "-r", "-z", f"{self.commit}:{MARKDOWN_PREFIX.rstrip('/')}")
+            listed = git(self.folder, "ls-tree", "-r", "-z", f"{commit}:{MARKDOWN_PREFIX.rstrip('/')}")
         except GitError as e:
             if e.corrupt and "does not exist in" not in str(e):
                 raise
@@ -131,7 +131,7 @@ class _Reader(DataSourceReader):
             if kind.split()[1] == b"blob" and name.endswith(b".md"):
                 entries.append((name.decode("utf-8", "replace"), kind.split()[2].decode()))
         entries.sort(key=lambda e: e[0].encode())
-        return [_Range(entries[i : i + self.size]) for i in range(0, len(entries), self.size)] or [_Range([])]
+        return [_Range(commit, entries[i : i + self.size]) for i in range(0, len(entries), self.size)] or [_Range(commit, [])]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         if not partition.entries:
@@ -144,7 +144,7 @@ class _Reader(DataSourceReader):
             if len(head) != 3:
                 raise GitError(f"missing blob {out[at:end].decode('utf-8', 'replace')}")
             size = int(head[2])
-            yield self.branch, path, out[end + 1 : end + 1 + size].decode("utf-8", "replace"), self.commit
+            yield self.branch, path, out[end + 1 : end + 1 + size].decode("utf-8", "replace"), partition.commit
             at = end + 2 + size
 
 
