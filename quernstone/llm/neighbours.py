@@ -14,8 +14,7 @@ leaf that holds a third of all rows is as many small tasks. A chunk returns the
 
 Defined cases: vectors that are null, zero, of another length than most or hold null or
 non-finite components take no part, as queries or as candidates, nor do rows without id;
-rows that repeat an id are candidates each, a pair of ids is returned once, with its
-largest score; with fewer than ``k`` candidates all are returned; ties go to the smaller
+rows that repeat an id are one row, with the vector that is largest as an array; with fewer than ``k`` candidates all are returned; ties go to the smaller
 id; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -177,8 +176,9 @@ def nearest(vectors: DataFrame, query_every: int, id_column: str, vector_column:
                 row = pa.array(np.repeat(np.arange(part.num_rows), size))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen).astype(np.int32)), pa.array(np.concatenate([np.arange(s) for s in size]).astype(np.int32)), part.column("id").take(row), part.column("v").take(row)], ["leaf", "visit", "id", "v"])
 
-    rows = written(fine.mapInArrow(place, "leaf int, id long, v array<double>"), "leaves")
-    asked = fine.where(F.pmod("id", F.lit(query_every)) == 0).mapInArrow(route, "leaf int, visit int, id long, v array<double>")
+    one = fine.groupBy("id").agg(F.max("v").alias("v"))
+    rows = written(one.mapInArrow(place, "leaf int, id long, v array<double>"), "leaves")
+    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).select("id", "v").mapInArrow(route, "leaf int, visit int, id long, v array<double>")
     # At most one row for each leaf comes to the driver.
     row_chunks = {r["leaf"]: -(-r["n"] // CHUNK) for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     chunk_map = vectors.sparkSession.createDataFrame(sorted(row_chunks.items()), "leaf int, chunks long")
@@ -206,9 +206,8 @@ def nearest(vectors: DataFrame, query_every: int, id_column: str, vector_column:
         return left.select(*keys, "id", "v", "floor").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return once.withColumn("rank", nth).where(F.col("rank") <= k)
+        return pairs.withColumn("rank", nth).where(F.col("rank") <= k)
 
     asked = written(asked, "visits")
     first = written(ranked(found(asked.where(F.col("visit") < first_visits).withColumn("floor", F.lit(float("-inf"))))), "first-visits")
