@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.config import BM25_B, BM25_K1, IDF_FLOOR
 from quernstone.functions.tokenize import query_terms, stem, tokens
+from quernstone.shared import written
 
 #: Queries of up to so many distinct terms are broadcast to the postings.
 BROADCAST_TERMS = 200_000
@@ -35,6 +36,13 @@ def build(chunks: DataFrame, stemmed: bool = True) -> LexicalIndex:
     return LexicalIndex(said, said.groupBy("term").agg(F.count("*").alias("df")), stats, stemmed)
 
 
+def stored(index: LexicalIndex) -> LexicalIndex:
+    """``index`` written to the shared folder: postings are read again for the statistics and each search."""
+    postings = written(index.postings, "postings")
+    stats = postings.groupBy("term").agg(F.count("*").alias("df"))
+    return LexicalIndex(postings, written(stats, "terms"), written(index.corpus_stats, "corpus"), index.stemmed)
+
+
 def terms_of(queries: DataFrame, stemmed: bool) -> DataFrame:
     """(query_id, term, qtf) of (query_id, query): distinct words, which may share a stem."""
     each = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))

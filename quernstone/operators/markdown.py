@@ -130,16 +130,15 @@ def chunk_docs(docs: DataFrame) -> DataFrame:
     cut = F.flatten(
         F.transform(
             "sections",
-            lambda s, i: F.transform(windows(s["text"]), lambda w, j: F.struct(i.alias("section"), j.alias("window"), s["heading"].alias("heading"), trim_ws(w).alias("content"))),
+            lambda s, i: F.transform(windows(s["text"]), lambda w, j: F.struct(i.alias("section"), j.alias("window"), s["heading"].alias("heading"), trim_ws(w).alias("content"), F.lit(False).alias("titled"))),
         )
     )
     cut = F.filter(cut, lambda c: (c["content"] != "") | (c["heading"] != ""))
-    parsed = parsed.withColumn("chunks", cut)
-    alone = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("window"), F.col("meta.title").alias("heading"), F.col("meta.breadcrumb").alias("content")))
-    titled = (F.size("chunks") == 0) & (F.col("meta.title") != "")
-    parsed = parsed.withColumn("titled", titled).withColumn("chunks", F.when(titled, alone).otherwise(F.col("chunks")))
-    each = parsed.select("release", "path", "meta", "titled", F.explode("chunks").alias("c"))
-    anchor = F.when(F.col("titled") | (F.col("c.heading") == ""), "").otherwise(slug(F.col("c.heading")))
+    alone = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("window"), F.col("meta.title").alias("heading"), F.col("meta.breadcrumb").alias("content"), F.lit(True).alias("titled")))
+    # Computed once: a document without chunks but with a title gives one chunk of that.
+    chunks = let(cut, lambda c: F.when((F.size(c) == 0) & (F.col("meta.title") != ""), alone).otherwise(c))
+    each = parsed.select("release", "path", "meta", F.explode(chunks).alias("c"))
+    anchor = F.when(F.col("c.titled") | (F.col("c.heading") == ""), "").otherwise(slug(F.col("c.heading")))
     return each.select("path", anchor.alias("anchor"), "meta.title", "meta.breadcrumb", "c.heading", "release", "c.content", "meta.canonical_url", "meta.last_updated", "c.section", "c.window")
 
 
@@ -158,7 +157,8 @@ def with_ids(chunks: DataFrame) -> DataFrame:
     """
     keys = ["release", "path", "section", "window"]
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = chunks.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    # Drawing ranges reads the rows twice, so what made them is computed and written first.
+    ranged = written(chunks, "chunks").repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
     ranked = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     ranked = written(ranked, "ranked-chunks")
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition

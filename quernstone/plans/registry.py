@@ -201,11 +201,11 @@ def embed_text(spark, sf_dir):
 
 _TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2))"
 _TOKENS = "regexp_extract_all(strip_accents(lower(text || ' ' || source || ' ' || lang)), '[\\p{L}\\p{N}]+')"
-_POSTINGS = f"select doc_id as id, dl, term, count(*) as tf from (select doc_id, len({_TOKENS}) as dl, unnest({_TOKENS}) as term from documents) group by all"
+_POSTINGS = f"select id, any_value(dl) as dl, term, count(*) as tf from (select id, len(t) as dl, unnest(t) as term from (select doc_id as id, {_TOKENS} as t from documents)) group by id, term"
 _BM25 = f"""
-with p as materialized ({_POSTINGS}), s as (select count(*) as n, avg(len({_TOKENS})) as avgdl from documents), df as (select term, count(*) as df from p group by term),
-q as (select item_id as query_id, unnest({_TERMS}) as term from benchmark),
-w as (select query_id, term, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end as idf, avgdl from q join df using (term), s),
+with p as materialized ({_POSTINGS}), s as materialized (select count(*) as n, avg(len({_TOKENS})) as avgdl from documents), df as materialized (select term, count(*) as df from p group by term),
+q as materialized (select item_id as query_id, unnest({_TERMS}) as term from benchmark),
+w as materialized (select query_id, term, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end as idf, avgdl from q join df using (term), s),
 sc as (select query_id, id, -sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from p join w using (term) group by query_id, id),
 lex as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9), id) - 1 as rank from sc qualify rank < 40)
 """
@@ -251,14 +251,14 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"{_BM25} select query_id, id, rank, round(score, 6) as score from lex")
 def bm25_topk(spark, sf_dir):
-    found = lexical.bm25(lexical.build(chunks_of(spark, sf_dir), stemmed=False), asked(spark, sf_dir), 40)
+    found = lexical.bm25(lexical.stored(lexical.build(chunks_of(spark, sf_dir), stemmed=False)), asked(spark, sf_dir), 40)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query()
 def bm25_topk_stemmed(spark, sf_dir):
     """With Porter stems; tests compare with SQLite's full-text search."""
-    found = lexical.bm25(lexical.build(chunks_of(spark, sf_dir)), asked(spark, sf_dir), 40)
+    found = lexical.bm25(lexical.stored(lexical.build(chunks_of(spark, sf_dir))), asked(spark, sf_dir), 40)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -273,7 +273,7 @@ def knn_l2_topk(spark, sf_dir):
 
 def _arms(spark, sf_dir, limit=8):
     pool = hybrid.pool_size(limit)
-    return lexical.bm25(lexical.build(chunks_of(spark, sf_dir), stemmed=False), asked(spark, sf_dir), pool), knn(vectors_of(spark, sf_dir), asked_vectors(spark, sf_dir), pool)
+    return lexical.bm25(lexical.stored(lexical.build(chunks_of(spark, sf_dir), stemmed=False)), asked(spark, sf_dir), pool), knn(vectors_of(spark, sf_dir), asked_vectors(spark, sf_dir), pool)
 
 
 @query(f"{_BM25}, {_KNN}, {_FUSED} select query_id, id, round(score, 9) as score, position from fused")
@@ -289,7 +289,7 @@ def best_chunk_per_path(spark, sf_dir):
 
 
 def _search(spark, sf_dir, limit, queries=None):
-    built = lexical.build(chunks_of(spark, sf_dir), stemmed=False)
+    built = lexical.stored(lexical.build(chunks_of(spark, sf_dir), stemmed=False))
     return hybrid.search_batch(built, chunks_of(spark, sf_dir), vectors_of(spark, sf_dir), asked(spark, sf_dir) if queries is None else queries, asked_vectors(spark, sf_dir), limit, BASE)
 
 
