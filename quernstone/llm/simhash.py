@@ -14,8 +14,10 @@ Components of the links come from alternating large-star and small-star steps.
 
 Defined cases: null and empty texts and texts of spaces have the fingerprint zero, which is
 linked like any other; a text of fewer than ``width`` words is one shingle; rows that repeat
-a doc_id are one node; rows without doc_id take part under the largest id and return null
-for it; other columns of the input are ignored; an empty table gives an empty result.
+a doc_id are one node; rows without doc_id link by their fingerprints and return null for
+doc_id, and null for component_id where no row with a doc_id is reached (doc_ids are below
+2**62; budgets under two take such rows for linked if only their lowest two bits differ);
+other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from quernstone.llm._store import with_key, written
 
 #: Widths of the blocks into which a fingerprint is cut, lowest bits first.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-NO_ID = (1 << 63) - 1
+#: Nodes from here on stand for fingerprints that only rows without doc_id have.
+NO_ID = 1 << 62
+#: A fingerprint of more than this part of all rows is matched by broadcast.
+OFTEN = 1024
 
 
 def fingerprint_rows(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
@@ -191,17 +196,32 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def with_component(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the component of their fingerprint from ``classes`` (fp, n, component).
+
+    Rows of a fingerprint that more than ``total`` / OFTEN rows share stay where they are:
+    there are fewer than OFTEN such fingerprints, so they are broadcast. All others meet by
+    fingerprint, none with more than that share of the rows.
+    """
+    often = F.broadcast(classes.where(F.col("n") * OFTEN > total).select("fp", "component"))
+    rest = classes.where(F.col("n") * OFTEN <= total).select("fp", "component")
+    return rows.join(often, "fp").unionByName(rows.join(often, "fp", "left_anti").join(rest, "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``: near copies share the component's least doc_id."""
-    prints = written(fingerprints(docs, width), "fingerprints").withColumn("node", F.coalesce("doc_id", F.lit(NO_ID)))
-    # Rows of one document hold together, and rows of one fingerprint.
-    classes = prints.groupBy("fp").agg(F.min("node").alias("rep"))
-    several = prints.groupBy("node").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("node")
-    same_id = prints.join(several, "node", "left_semi").join(classes, "fp").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    parts = connected(links(classes, budget).unionByName(same_id))
-    classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = prints.join(classes, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
+    prints = written(fingerprints(docs, width), "fingerprints")
+    node = F.coalesce("doc_id", F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NO_ID)))
+    classes = written(prints.groupBy("fp").agg(F.min(node).alias("rep"), F.count("*").alias("n")), "classes")
+    total = prints.count()
+    # Rows that repeat a doc_id hold together, whatever their fingerprints.
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
+    repeated = prints.join(several, "doc_id", "left_semi").distinct()
+    same_id = with_component(repeated, classes.withColumnRenamed("rep", "component"), total).select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+    parts = connected(links(classes.select("fp", "rep"), budget).unionByName(same_id))
+    classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
+    out = with_component(prints, written(classes, "components"), total)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:

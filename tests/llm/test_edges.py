@@ -97,3 +97,20 @@ def test_neighbours_edges(spark):
     few = neighbours.nearest(table.where("vec_id in (20, 21)"), 20, "vec_id", "embedding").collect()
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(20, 21)}
     assert neighbours.nearest(table.where("false"), 20, "vec_id", "embedding").count() == 0
+
+
+def test_rows_without_id_link_by_fingerprint_alone(spark):
+    first, second = "alpha beta gamma delta epsilon", "one two three four five six"
+    rows = [(None, first), (None, second), (4, first), (9, second), (None, "nobody else says any of this")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=str) == sorted([(None, 4), (None, 9), (4, 4), (9, 9), (None, None)], key=str)
+
+
+def test_common_fingerprints_meet_as_rare_ones(spark, monkeypatch):
+    rows = [(i, f"text number {i // 7} of this many" if i % 3 else "the same for all") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for often in (1, 4, 1 << 20):
+        monkeypatch.setattr(simhash, "OFTEN", often)
+        found.append(sorted(simhash.near_duplicates(docs).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 200
