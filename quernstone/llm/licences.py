@@ -7,9 +7,11 @@ words that are no licence, for the unknown class. The probability below which a
 is unknown is calibrated on held-out mixtures. A prediction stands only where enough of a
 template of that family is found in the paragraph.
 
-Scanning uses DataFrame functions only: paragraphs (lines) that hold a cue word are split
-into n-grams, which join the weights, a table of fixed size; sums, probabilities and
-template shares follow from aggregates. A paragraph without a cue word is unknown.
+Scanning uses DataFrame functions only. A paragraph (line) with the required share of some
+template holds one of that template's cue words, which are chosen so that too few n-grams
+are left without them; all others are unknown, whatever their probability, and go no
+further. Paragraphs with a cue word are split into n-grams, which join the weights, a table
+of fixed size; sums, probabilities and template shares follow from aggregates.
 
 Defined cases: null and empty texts have no paragraphs and no families; rows that repeat
 doc_id and text give a row each; other columns are ignored; an empty table gives an empty
@@ -25,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.llm._store import written
+
 # Notices by which works name their licence, by family.
 TEMPLATES = {
     "Apache-2.0": ["licensed under the apache license version 2.0", "distributed under the apache license 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license-2.0", "spdx-license-identifier apache-2.0"],
@@ -40,11 +44,11 @@ TEMPLATES = {
     "CC0": ["to the extent possible under law the author has waived all copyright and related rights", "released into the public domain under cc0 1.0", "this work is dedicated to the public domain"],
     "proprietary": ["all rights reserved", "copyright all rights reserved", "confidential and proprietary unauthorized copying is strictly prohibited"],
 }
-# One of these stands in every template.
-CUES = ("licens", "copyright", "rights reserved", "public domain", "gpl", "permission is hereby", "redistribution", "free software", "proprietary", "spdx", "waived")
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 WORD = r"[^a-z0-9.\-]+"
+# Words of templates that most texts hold; they serve as cues only if no other word is left.
+EVERYDAY = set("a all and any are at by following for from have in into is it may not of or possible provided related that the this to under use version with without work you".split())
 #: Words of no licence, for texts around notices and for mixtures.
 OTHER = "the of a in to and for with was by on is driver fishing season renewed office apply holder fee year plate lost issued valid state road vote civil human equal property water read note page see also table figure people house garden music".split()
 
@@ -54,6 +58,20 @@ def grams_of(text: str) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+def cues(share: float) -> list[str]:
+    """Words of which one stands in every paragraph with ``share`` (above 0) of the n-grams of any template."""
+    chosen: list[str] = []
+    for t in sorted((t for ts in TEMPLATES.values() for t in ts), key=lambda t: (len(t), t)):
+        grams = grams_of(t)
+        spare = len(grams) - next(n for n in range(len(grams) + 1) if n / len(grams) >= share)
+        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in EVERYDAY, len(w), w))
+        while words and sum(any(c in g for c in chosen) for g in grams) <= spare:
+            word = words.pop()
+            if not any(c in word for c in chosen):
+                chosen.append(word)
+    return [c for c in chosen if not any(d != c and d in c for d in chosen)]
+
+
 class Classifier:
     """Weights by n-gram, biases, the calibrated probability, and the templates' n-grams."""
 
@@ -108,21 +126,24 @@ class Classifier:
         return weights, spark.createDataFrame(rows, "template int, family string, gram string, size int")
 
 
-def paragraphs(docs: DataFrame, model: Classifier, share: float = 0.7) -> DataFrame:
-    """(doc_id, tag, n_paragraphs, paragraph, text, family, probability, template_share): one row for each paragraph with a cue word, and one with paragraph null for each row of ``docs``."""
-    weights, templates = model.tables(docs.sparkSession)
+def cued_lines(docs: DataFrame, share: float) -> DataFrame:
+    """(doc_id, tag, n_paragraphs, paragraph, line): the lines with a cue word, and one with line null for each row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.array_remove(F.split(text, r"[\r\n]+"), "")
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), lines.alias("lines"))
+    lines = lambda t: F.array_remove(F.split(t, r"[\r\n]+"), "")
+    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), lines(text).alias("line"), lines(F.lower(text)).alias("low"))
+    # Lines go next to their lower case, which is made once and searched for each cue.
+    end = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("low")))
+    each = low.select("doc_id", "tag", F.size("line").cast("long").alias("n_paragraphs"), F.posexplode(F.concat(F.arrays_zip("line", "low"), end)).alias("paragraph", "pair"))
+    has_cue = F.col("pair.line").isNull()
+    for c in cues(share):
+        has_cue = has_cue | F.contains(F.col("pair.low"), F.lit(c))
+    return each.where(has_cue).select("doc_id", "tag", "n_paragraphs", "paragraph", F.col("pair.line").alias("line"))
 
-    def has_cue(line):
-        out = F.lit(False)
-        for c in CUES:
-            out = out | F.contains(F.lower(line), F.lit(c))
-        return out
 
-    each = low.select("doc_id", "tag", F.size("lines").cast("long").alias("n_paragraphs"), F.posexplode(F.concat("lines", F.array(F.lit(None).cast("string")))).alias("paragraph", "line"))
-    each = each.where(F.col("line").isNull() | has_cue(F.col("line")))
+def paragraphs(docs: DataFrame, model: Classifier, share: float = 0.7) -> DataFrame:
+    """(doc_id, tag, n_paragraphs, paragraph, text, family, probability, template_share): one row for each paragraph with a cue word, and one with paragraph null for each row of ``docs``."""
+    weights, templates = model.tables(docs.sparkSession)
+    each = written(cued_lines(docs, share), "licence-lines")
     kept = each.where(F.col("line").isNotNull()).dropDuplicates(["doc_id", "tag", "paragraph"])
     word = F.filter(F.transform(F.split(F.lower("line"), WORD), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", "")), lambda w: w != "")
     worded = kept.withColumn("w", word)

@@ -219,6 +219,23 @@ def test_op9_families(spark):
     assert got == {1: (1, "MIT"), 2: (1, "Apache-2.0"), 3: (0, ""), 4: (2, "GPL,proprietary"), 5: (0, ""), 6: (1, "CC-BY-NC"), 7: (0, "")}
 
 
+def test_op9_cues_lose_no_paragraph(spark, folder, monkeypatch):
+    import random
+
+    from quernstone.llm import licences
+
+    rng, rows = random.Random(5), []
+    for t in sorted(t for ts in licences.TEMPLATES.values() for t in ts):
+        for left_out in (0.0, 0.15, 0.3):
+            rows.append((len(rows), " ".join(w for w in t.split() if rng.random() >= left_out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    found = []
+    for cues in (licences.cues, lambda share: [""]):
+        monkeypatch.setattr(licences, "cues", cues)
+        found.append(sorted((r["doc_id"], r["n_licences"], r["families"]) for r in licences.licences(docs).collect()))
+    assert found[0] == found[1] and sum(n > 0 for _, n, _ in found[0]) > 40
+
+
 @pytest.mark.parametrize(("query", "label", "remainder"), [(queries.op1_toxicity, "toxic", (4, 2)), (queries.op4_quality, "quality", (5, 0))])
 def test_op1_and_op4_on_held_out_rows(spark, query, label, remainder):
     folder = "/root/testdata/sf0.1"
