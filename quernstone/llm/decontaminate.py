@@ -54,8 +54,9 @@ def tokens(docs: DataFrame, found: DataFrame) -> DataFrame:
     vocabulary = spread.select("token").distinct()
     small = vocabulary.count() <= PART
     said = docs.select(F.explode(word_array(F.col("text"))).alias("word")).select(F.lower("word").alias("token"))
-    counts = said.join(F.broadcast(vocabulary) if small else vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = spread.join(counts, "token", "left")
+    near = F.broadcast if small else (lambda table: table)
+    counts = said.join(near(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+    ranked = spread.join(near(counts), "token", "left")
     order = Window.partitionBy("item_id", "body").orderBy(F.coalesce("n", F.lit(0)), "token", "ahead")
     return ranked.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("item_id", "body", "size", "token", "ahead")
 
