@@ -206,6 +206,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
                 _, buf, offsets = opened(body)
                 keys, _, counts, _ = distinct_keys(buf, offsets)
                 yield as_batch(dealt((keys % np.uint64(n)).astype(np.int64), block_id, lambda part: pa.table({"key": keys[part], "count": counts[part]})))
+            B.give_back()
 
     def answer_keys(group: pa.Table) -> pa.Table:
         asked = [unpack(x) for x in group.column("body").to_pylist()]
@@ -215,6 +216,8 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         total = np.bincount(inverse, counts)[inverse]
         cuts = np.cumsum([0, *(t.num_rows for t in asked)])
         bodies = [np.packbits(total[a:b] > 1).tobytes() + np.packbits(total[a:b] > hot).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        del asked, keys, counts, inverse, total
+        B.give_back()
         return pa.table({"bucket": group.column("bucket"), "block_id": group.column("block_id"), "body": pa.array(bodies, pa.binary())})
 
     def ask_text(left: pa.Table, right: pa.Table) -> pa.Table:

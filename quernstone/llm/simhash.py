@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for batch in batches:
             fp = fingerprint_rows(*B.column_bytes(batch.column("text")), width)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+        B.give_back()
 
     return with_key(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -167,6 +168,7 @@ def links(classes: DataFrame, budget: int = 2) -> DataFrame:
             moved = np.flatnonzero(label != np.arange(len(nodes)))
             if len(moved):
                 yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[moved]), "v": pa.array(nodes[label[moved]])})
+        B.give_back()
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     choices = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks(budget))])
