@@ -159,7 +159,11 @@ def paragraphs(docs: DataFrame, model: Classifier, share: float = 0.7) -> DataFr
     predicted = weighed.select(*key, best.alias("family"), (1 / total).alias("probability"))
     matched = grams.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template", "size").agg(F.count("*").alias("n"))
     matched = matched.groupBy(*key, "family").agg(F.max(F.col("n") / F.col("size")).alias("template_share"))
-    judged = predicted.join(matched, [*key, "family"], "left").withColumn("template_share", F.coalesce("template_share", F.lit(0.0)))
+    other = matched.select(*[F.col(k).alias(f"_{k}") for k in (*key, "family")], "template_share")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for k in (*key[1:], "family"):
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    judged = predicted.join(other, same, "left").select(*key, "family", "probability", F.coalesce("template_share", F.lit(0.0)).alias("template_share"))
     sure = (F.col("probability") >= model.least) & (F.col("template_share") >= share)
     judged = judged.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN))
     return _joined(each, judged, key)

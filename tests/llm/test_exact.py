@@ -219,6 +219,14 @@ def test_op9_families(spark):
     assert got == {1: (1, "MIT"), 2: (1, "Apache-2.0"), 3: (0, ""), 4: (2, "GPL,proprietary"), 5: (0, ""), 6: (1, "CC-BY-NC"), 7: (0, "")}
 
 
+def test_op9_rows_without_id(spark):
+    from quernstone.llm.licences import licences
+
+    rows = [(None, "some words\nReleased under the MIT License."), (None, "All rights reserved."), (1, "Released under the MIT License.")]
+    got = [(r["doc_id"], r["n_licences"], r["families"]) for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1, "MIT"), (None, 1, "proprietary"), (1, 1, "MIT")], key=str)
+
+
 def test_op9_cues_lose_no_paragraph(spark, folder, monkeypatch):
     import random
 
