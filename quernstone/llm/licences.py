@@ -7,7 +7,12 @@ words that are no licence, for the unknown class. The probability below which a
 is unknown is calibrated on held-out mixtures. A prediction stands only where enough of a
 template of that family is found in the paragraph.
 
-Scanning uses DataFrame functions only. A paragraph (line) with the required share of some
+A paragraph is a line or a run of lines, so a notice is found however it is wrapped: the
+lines after each line are added one by one, as long as fewer words stand between than twice
+the longest template has. Of runs of one family that share a line the first and shortest
+counts.
+
+Scanning uses DataFrame functions only. A paragraph with the required share of some
 template holds one of that template's cue words, which are chosen so that too few n-grams
 are left without them; all others are unknown, whatever their probability, and go no
 further. Paragraphs with a cue word are split into n-grams, which join the weights, a table
@@ -20,11 +25,12 @@ result.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm._store import written
@@ -47,6 +53,9 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 WORD = r"[^a-z0-9.\-]+"
+WORD_BREAK = r"[^A-Za-z0-9.\-]+"
+#: Words that may stand between the first and the last line of a notice: twice the longest template.
+REACH = 2 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
 # Words of templates that most texts hold; they serve as cues only if no other word is left.
 EVERYDAY = set("a all and any are at by following for from have in into is it may not of or possible provided related that the this to under use version with without work you".split())
 #: Words of no licence, for texts around notices and for mixtures.
@@ -126,29 +135,47 @@ class Classifier:
         return weights, spark.createDataFrame(rows, "template int, family string, gram string, size int")
 
 
-def cued_lines(docs: DataFrame, share: float) -> DataFrame:
-    """(doc_id, tag, n_paragraphs, paragraph, line): the lines with a cue word, and one with line null for each row of ``docs``."""
+def cued_runs(docs: DataFrame, share: float) -> DataFrame:
+    """(doc_id, tag, n_paragraphs, paragraph, last, line): the runs of lines with a cue word, and one with line null for each row of ``docs``.
+
+    A run is the lines ``paragraph`` to ``last``, joined by spaces; lines without a letter or
+    digit don't count as lines of a run. Fewer than REACH words stand between its first and last line.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = lambda t: F.array_remove(F.split(t, r"[\r\n]+"), "")
-    low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), lines(text).alias("line"), lines(F.lower(text)).alias("low"))
-    # Lines go next to their lower case, which is made once and searched for each cue.
-    end = F.array(F.struct(F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("low")))
-    each = low.select("doc_id", "tag", F.size("line").cast("long").alias("n_paragraphs"), F.posexplode(F.concat(F.arrays_zip("line", "low"), end)).alias("paragraph", "pair"))
-    has_cue = F.col("pair.line").isNull()
-    for c in cues(share):
-        has_cue = has_cue | F.contains(F.col("pair.low"), F.lit(c))
-    return each.where(has_cue).select("doc_id", "tag", "n_paragraphs", "paragraph", F.col("pair.line").alias("line"))
+    low = F.lower(text)
+    has_cue = lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(c)) for c in cues(share)))
+    lines = F.array_remove(F.split(text, r"[\r\n]+"), "")
+    noted = F.transform(F.filter(lines, lambda x: x.rlike("[A-Za-z0-9]")), lambda x: F.struct(x.alias("line"), F.size(F.split(F.trim(x), WORD_BREAK)).alias("n"), has_cue(F.lower(x)).alias("cue")))
+    none = F.array().cast("array<struct<paragraph: int, last: int, line: string>>")
+
+    def from_line(some, i):
+        """The runs that begin with the first of ``some``, line i."""
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("between"), F.lit(False).alias("cue"), F.lit("").alias("line"), none.alias("out"))
+
+        def longer(acc, x):
+            cue, line = acc["cue"] | x["cue"], F.concat_ws(" ", acc["line"], x["line"])
+            run = F.array(F.struct(i.alias("paragraph"), (i + acc["k"]).cast("int").alias("last"), line.alias("line")))
+            more = F.struct((acc["k"] + 1).alias("k"), (acc["between"] + F.when(acc["k"] > 0, x["n"]).otherwise(0)).alias("between"), cue.alias("cue"), line.alias("line"), F.when(cue, F.concat(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+            return F.when(acc["between"] < REACH, more).otherwise(acc)
+
+        return F.when(F.exists(some, lambda x: x["cue"]), F.aggregate(some, start, longer, lambda acc: acc["out"])).otherwise(none)
+
+    # An array of one binds the lines to a variable, so that they are made once.
+    runs = F.transform(F.array(noted), lambda all_: F.flatten(F.transform(all_, lambda _, i: from_line(F.slice(all_, i + 1, REACH + 2), i))))[0]
+    end = F.array(F.struct(F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("line")))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.size(lines).cast("long").alias("n_paragraphs"), F.explode(F.concat(F.when(has_cue(low), runs).otherwise(none), end)).alias("run"))
+    return each.select("doc_id", "tag", "n_paragraphs", "run.*")
 
 
 def paragraphs(docs: DataFrame, model: Classifier, share: float = 0.7) -> DataFrame:
-    """(doc_id, tag, n_paragraphs, paragraph, text, family, probability, template_share): one row for each paragraph with a cue word, and one with paragraph null for each row of ``docs``."""
+    """(doc_id, tag, n_paragraphs, paragraph, last, text, family, probability, template_share): one row for each run of lines with a cue word, and one with paragraph null for each row of ``docs``."""
     weights, templates = model.tables(docs.sparkSession)
-    each = written(cued_lines(docs, share), "licence-lines")
-    kept = each.where(F.col("line").isNotNull()).dropDuplicates(["doc_id", "tag", "paragraph"])
+    each = written(cued_runs(docs, share), "licence-lines")
+    kept = each.where(F.col("line").isNotNull()).dropDuplicates(["doc_id", "tag", "paragraph", "last"])
     word = F.filter(F.transform(F.split(F.lower("line"), WORD), lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", "")), lambda w: w != "")
     worded = kept.withColumn("w", word)
     pair = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    key = ["doc_id", "tag", "paragraph"]
+    key = ["doc_id", "tag", "paragraph", "last"]
     grams = worded.select(*key, F.explode(F.array_distinct(F.concat("w", pair))).alias("gram"))
     # Both small sides have a size that the templates fix.
     weighed = grams.join(F.broadcast(weights), "gram").groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(len(FAMILIES))])
@@ -171,20 +198,33 @@ def paragraphs(docs: DataFrame, model: Classifier, share: float = 0.7) -> DataFr
 
 def _joined(each: DataFrame, judged: DataFrame, key: list[str]) -> DataFrame:
     judged = judged.select(*[F.col(k).alias(f"_{k}") for k in key], "family", "probability", "template_share")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tag") == F.col("_tag")) & (F.col("paragraph") == F.col("_paragraph"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    for k in key[1:]:
+        same = same & (F.col(k) == F.col(f"_{k}"))
     out = each.join(judged, same & F.col("line").isNotNull(), "left")
-    return out.select("doc_id", "tag", "n_paragraphs", F.when(F.col("line").isNotNull(), F.col("paragraph")).alias("paragraph"), F.col("line").alias("text"), "family", "probability", "template_share")
+    return out.select("doc_id", "tag", "n_paragraphs", "paragraph", "last", F.col("line").alias("text"), "family", "probability", "template_share")
+
+
+def apart(found: Column) -> Column:
+    """(n, probability) of a set of (family, last, first, probability) with first negated: of runs of one family that share a line the one that ends first counts, the shortest of those."""
+    start = F.struct(F.lit("").alias("family"), F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("probability"))
+
+    def after(acc, x):
+        more = F.struct(x["family"].alias("family"), x["last"].alias("last"), (acc["n"] + 1).alias("n"), F.greatest(acc["probability"], x["probability"]).alias("probability"))
+        return F.when((x["family"] != acc["family"]) | (-x["first"] > acc["last"]), more).otherwise(acc)
+
+    return F.aggregate(F.array_sort(found), start, after)
 
 
 def licences(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """(doc_id, n_paragraphs, n_licences, families, probability) for each row of ``docs``: families sorted and comma-joined, probability the largest of theirs."""
     found = paragraphs(docs, model or Classifier())
     named = F.col("family").isNotNull() & (F.col("family") != UNKNOWN)
+    run = F.struct("family", "last", (-F.col("paragraph")).alias("first"), "probability")
     per = found.groupBy("doc_id", "tag", "n_paragraphs").agg(
         F.count_if(F.col("paragraph").isNull()).alias("copies"),
-        F.count_if(named).alias("n"),
         F.array_join(F.array_sort(F.collect_set(F.when(named, F.col("family")))), ",").alias("families"),
-        F.max(F.when(named, F.col("probability"))).alias("probability"),
+        F.collect_set(F.when(named, run)).alias("runs"),
     )
-    per = per.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return per.select("doc_id", "n_paragraphs", (F.col("n") / F.col("copies")).cast("long").alias("n_licences"), "families", F.coalesce("probability", F.lit(0.0)).alias("probability"))
+    per = per.withColumn("of", apart(F.col("runs"))).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return per.select("doc_id", "n_paragraphs", F.col("of.n").alias("n_licences"), "families", F.col("of.probability").alias("probability"))

@@ -227,6 +227,28 @@ def test_op9_rows_without_id(spark):
     assert sorted(got, key=str) == sorted([(None, 1, "MIT"), (None, 1, "proprietary"), (1, 1, "MIT")], key=str)
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize("width", [14, 40, 60, 75, 1000])
+def test_op9_wrapped_notices(spark, width):
+    import textwrap
+
+    from quernstone.llm.licences import licences
+
+    rows, want = [], []
+    for family, notice in (("MIT", MIT), ("BSD", BSD), ("GPL", GPL)):
+        for lead, end in (("", "\n"), ("# ", "\n"), (" * ", "\r\n")):
+            body = [lead + x for x in textwrap.wrap(notice, width)]
+            rows.append((len(rows), end.join(["Some words before the notice.", "", *body, lead, "Some words after it."])))
+            want.append((1, family))
+    rows.append((len(rows), "\n".join([*textwrap.wrap(MIT, width), "", "and again", *textwrap.wrap(MIT, width), "All rights reserved."])))
+    got = {r["doc_id"]: (r["n_licences"], r["families"]) for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate([*want, (3, "MIT,proprietary")]))
+
+
 def test_op9_cues_lose_no_paragraph(spark, folder, monkeypatch):
     import random
 
