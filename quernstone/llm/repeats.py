@@ -139,8 +139,8 @@ def take(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray, np.ndarray]:
-    """(keeps, later): which occurrences stand first among equal ones, and which are equal to one that starts earlier."""
+def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keeps, later, first): which occurrences stand first among equal ones, which are equal to one that starts earlier, and each one's first."""
     ends = starts + sizes
     one = B.hashes_by_parts(buf, starts, ends)
     two = B.mix(B.hashes_by_parts(buf, starts, ends, SECOND_RADIX) ^ lead.astype(np.uint64))
@@ -159,7 +159,19 @@ def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray
     for x in order_by:
         differs |= x[order] != x[head]
     later[order] = ~first & differs
-    return keeps, later
+    first_of = np.zeros(len(order), np.int64)
+    first_of[order] = head
+    return keeps, later, first_of
+
+
+def first_rows(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """For each row the first that has its id and tag."""
+    order = np.lexsort((tags, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (tags[order][1:] != tags[order][:-1])
+    out = np.zeros(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    return out
 
 
 def removed_spans(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
@@ -184,6 +196,10 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         buf, offsets = B.column_bytes(rows.column("text"))
         return rows, buf, offsets
 
+    def names(rows, buf, offsets):
+        """The doc_id and the hash of the text of each row."""
+        return rows.column("doc_id").fill_null(LOWEST).to_numpy(), B.span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
+
     def dealt(bucket_of, block_id, columns):
         """One request for each bucket that gets rows of ``columns``; text goes as sizes and bytes."""
         order = np.argsort(bucket_of, kind="stable")
@@ -241,10 +257,12 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         key = np.concatenate([key[on], B.hashes_by_parts(buf, alone, alone + length)])[by_start]
         place, first, last = (np.concatenate([x, alone])[by_start] for x in (place[on], first[on], last[on]))
         doc = np.searchsorted(offsets, first, "right") - 1
-        ids = rows.column("doc_id").fill_null(LOWEST).to_numpy()
-        tags = B.span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
+        ids, tags = names(rows, buf, offsets)
+        # Of rows that repeat doc_id and text the first is asked for; the others get its ranges.
+        own = first_rows(ids, tags)[doc] == doc
+        key, place, first, last, doc = (x[own] for x in (key, place, first, last, doc))
         at, size = first - offsets[doc], last - first + length
-        keeps, later = first_of_equals(key, place - first, buf, first, size, (ids[doc], tags[doc], at))
+        keeps, later, _ = first_of_equals(key, place - first, buf, first, size, (ids[doc], tags[doc], at))
         # What this block already knows goes to any bucket, to come back with the answers.
         known = np.flatnonzero(later)
         sent = np.flatnonzero(keeps)
@@ -268,7 +286,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
             key, lead, size, doc_id, tag, at = (every.column(c).to_numpy().astype(t) for c, t in (("key", "u8"), ("lead", "i8"), ("size", "i8"), ("id", "i8"), ("tag", "i8"), ("at", "i8")))
             buf, offsets = B.column_bytes(every.column("text"))
             starts, owner = offsets[:-1], np.repeat(np.arange(len(asked)), [t.num_rows for *_, t in asked])
-            keeps, later = first_of_equals(key, lead, buf, starts, size, (doc_id, tag, at))
+            keeps, later, first_of = first_of_equals(key, lead, buf, starts, size, (doc_id, tag, at))
             row, lo, hi = [np.flatnonzero(later)], [np.zeros(later.sum(), np.int64)], [size[later]]
             # Different occurrences of one minimizer: suffix order decides string by string.
             left = np.flatnonzero(keeps)
@@ -285,6 +303,13 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
                 lo.append(a)
                 hi.append(b)
             row, lo, hi = (np.concatenate(x) for x in (row, lo, hi))
+            # Repeated rows from other blocks, which start where their first does, get its ranges.
+            twins = np.flatnonzero(~keeps & ~later)
+            twins = twins[np.argsort(first_of[twins], kind="stable")]
+            a, b = (np.searchsorted(first_of[twins], row, side) for side in ("left", "right"))
+            more = np.repeat(np.arange(len(row)), b - a)
+            twin = twins[np.arange(len(more)) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)]
+            row, lo, hi = np.concatenate([row, twin]), np.concatenate([lo, lo[more]]), np.concatenate([hi, hi[more]])
             docs_, base = every.column("doc").to_numpy().astype("i8")[row], at[row]
             for k, (b, i, _) in enumerate(asked):
                 mine = owner[row] == k
@@ -302,6 +327,9 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
             np.add.at(level, base + t.column("start").to_numpy(), 1)
             np.add.at(level, base + t.column("end").to_numpy(), -1)
         gone = np.cumsum(level[:-1]) > 0
+        first_row = first_rows(*names(rows, buf, offsets))
+        for k in np.flatnonzero(first_row != np.arange(len(first_row))).tolist():
+            gone[offsets[k] : offsets[k + 1]] = gone[offsets[first_row[k]] : offsets[first_row[k] + 1]]
         starts, ends, first = B.words(gone.view(np.uint8), offsets, np.array([True] + [False] * 255))
         out = result(rows, buf, offsets, starts, ends, first)
         B.give_back()

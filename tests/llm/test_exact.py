@@ -101,6 +101,29 @@ def test_op6_random_small_alphabet(spark):
     assert got == {i: (len(b), int(g.sum())) for i, (b, g) in cut(rows).items()}
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_op6_repeated_rows(spark, hot):
+    rng = np.random.default_rng(7)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = [text(150) for _ in range(8)]
+    once = {i: " ".join([text(90), shared[i % 8], text(int(rng.integers(0, 60))), shared[(i * 3) % 8][5:140]]) for i in range(1, 25)}
+    lost = text(80) + shared[0] + text(80)
+    want = {i: (len(b), int(g.sum())) for i, (b, g) in cut([(None, lost), *once.items()]).items()}
+    assert want[8][1] > 100
+    # Each row three times: twice in one block and once in another, behind earlier documents or ahead of them.
+    first = [(i, t) for i, t in once.items() if i < 4]
+    rest = [(i, t) for i, t in [*once.items(), (None, lost)] if i is None or i >= 4]
+    parts = [first, [r for r in rest for _ in range(2)], rest[::-1]]
+    schema, docs = "doc_id long, text string", None
+    for part in parts:
+        d = spark.createDataFrame(part, schema).coalesce(1)
+        docs = d if docs is None else docs.unionByName(d)
+    got = collections.defaultdict(list)
+    for r in repeats.digests(docs, 100, hot).collect():
+        got[r[0]].append((r[1], r[2]))
+    assert got == {i: [w] * (1 if i in (1, 2, 3) else 3) for i, w in want.items()}
+
+
 def test_op2_round_trip(spark, folder, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
