@@ -4,7 +4,8 @@ A tokenizer whose pre-tokenizer never joins what stands on both sides of certain
 gives the same ids for a text and for its stretches one by one. ``words`` breaks at ASCII
 white space and drops it (tokenizers that drop white space); ``spaced`` breaks before a
 single space between two characters that aren't white space (byte-level tokenizers whose
-words begin with their space). Rows with white space beyond ASCII are encoded whole.
+words begin with their space). Rows with white space beyond ASCII, and rows that hold the
+text of an added token (which gets its id, as the library does it), are encoded whole.
 Distinct stretches of a slice are found by 64-bit hashes of their bytes.
 """
 
@@ -44,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.breaks = breaks
         # Both kinds of vocabulary write one character for each byte of a token, and </w> for a word's end.
         self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -62,7 +64,9 @@ class Encoder:
         joint = b" " if self.breaks == "words" else b""
         alone, groups, held = [], [], []
         for k, t in enumerate(texts):
-            if joint or (t[:1] == b" " and not _BLANK[t[-1]] and not _WIDE_SPACE.search(t)):
+            if self.added and self.added.search(t):
+                alone.append(k)
+            elif joint or (t[:1] == b" " and not _BLANK[t[-1]] and not _WIDE_SPACE.search(t)):
                 held.append(k)
                 if len(held) == self.JOINED:
                     groups.append(held)
@@ -91,9 +95,20 @@ class Encoder:
         size = size[back]
         return ids[np.arange(size.sum()) + np.repeat(begin[back] - (np.cumsum(size) - size), size)], size
 
+    def _rows_with_added(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        places = np.array([m.start() for m in self.added.finditer(buf.tobytes())] if self.added else [], np.int64)
+        return np.unique(np.searchsorted(offsets, places, "right") - 1)
+
     def stretches(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        whole = self._rows_with_added(buf, offsets)
         if self.breaks == "words":
-            return B.words(buf, offsets)
+            starts, ends, first = B.words(buf, offsets)
+            if not len(whole):
+                return starts, ends, first
+            other = ~np.isin(np.searchsorted(offsets, starts, "right") - 1, whole)
+            starts, ends = np.concatenate([starts[other], offsets[whole]]), np.concatenate([ends[other], offsets[whole + 1]])
+            order = np.argsort(starts, kind="stable")
+            return starts[order], ends[order], np.searchsorted(starts[order], offsets)
         blank = _BLANK[buf]
         cut = np.zeros(len(buf) + 1, bool)
         if len(buf) > 2:
@@ -101,6 +116,8 @@ class Encoder:
         for m in _WIDE_SPACE.finditer(buf.tobytes()):
             k = int(np.searchsorted(offsets, m.start(), "right")) - 1
             cut[offsets[k] : offsets[k + 1]] = False
+        for k in whole.tolist():
+            cut[offsets[k] : offsets[k + 1]] = False
         cut[offsets] = True
         cut[-1] = False
         # A space at a row's end or beginning stays with its row.

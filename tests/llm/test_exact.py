@@ -136,6 +136,23 @@ def test_op2_round_trip(spark, folder, texts):
     assert sorted(tuple(r) for r in queries.op2_token_files(spark, folder).collect()) == want
 
 
+@pytest.mark.parametrize(("name", "breaks"), [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
+def test_added_tokens_get_their_ids(name, breaks):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quernstone.llm import _bytes as B
+    from quernstone.llm.tokens import Encoder
+
+    path = public_tokenizers.path(name)
+    t, coder = Tokenizer.from_file(path), Encoder(path, breaks)
+    texts = ["a plain text", "a b <|endoftext|> c", "", "<|endoftext|>", "x<|startoftext|>y  <|endoftext|><|endoftext|> ", " <|endoftext| > c", "<|", "endoftext|>", "\n<|endoftext|>\tA b", "a b <|ENDOFTEXT|> c\u00a0d", "the last"]
+    for _ in range(2):
+        ids, at = coder.encode(*B.column_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 @pytest.mark.parametrize("ids", [[], [5], [0, 2**32 - 1] * 100, list(range(128)), [7] * 1000, [1, 2, 3] * 50 + [10**9]])
 def test_op2_file_format(ids):
     ids = np.array(ids, np.uint32)
