@@ -3,12 +3,12 @@
 Documents become ids with an end id; one longer than a sequence is cut into pieces of whole
 sequences, the first of which may be shorter. What is to be packed is then known by the
 number of pieces of each length, at most ``capacity`` numbers whatever the corpus, and the
-driver packs that histogram: around the largest piece left it enumerates fillings of the
-rest of the sequence, largest pieces first, leaves those that waste more than the bound
-still allows and those dominated by a filling tried before, and applies the one chosen to
-as many sequences as its lengths last. The best-fit solution is the first incumbent; the
-search goes back for a better one until it meets the lower bound ceil(ids / capacity) or
-its budget of nodes ends. Pieces then get their places by their rank among equal lengths,
+driver packs that histogram: around the largest piece left it takes a filling of the rest of
+the sequence, for as many sequences as its lengths last. The way of least waste and the
+best-fit one give the first incumbent. If it is above the lower bound ceil(ids / capacity),
+the search goes over the undominated fillings at each node, those of equal waste too, for
+as many sequences as possible, half of them, and one, until it meets the bound or its budget
+of nodes or steps ends. Pieces then get their places by their rank among equal lengths,
 counted in salted groups, so that no length's pieces meet in one task.
 
 Defined cases: null and empty texts have the end id alone; rows without doc_id and rows
@@ -18,6 +18,7 @@ an empty result.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -29,6 +30,8 @@ from quernstone.llm import _bytes as B
 from quernstone.llm._store import with_key, written
 from quernstone.llm.tokens import encoder, with_end
 
+#: Fillings of more pieces than this are not compared for dominance, and all kept.
+MANY = 8
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,7 +66,7 @@ def fillings(room: int, left: np.ndarray, waste: int, tries: int, most: int) ->
 
     left: numbers of pieces by length, up to ``room`` at least. A branch ends where even the
     best of it wastes more than the best ``most`` found; of fillings with one waste the one
-    found first, of larger pieces, dominates the others.
+    found first, of larger pieces, stands for the others, and a full one ends the enumeration.
     """
     lengths = np.flatnonzero(left[: room + 1])[::-1].tolist()
     found: dict[int, dict[int, int]] = {}
@@ -99,63 +102,147 @@ def fillings(room: int, left: np.ndarray, waste: int, tries: int, most: int) ->
     return sorted(found.items())[:most]
 
 
+def dominates(a: dict[int, int], b: dict[int, int]) -> bool:
+    """Whether the pieces of ``b`` go into the pieces of ``a`` as into bins (Martello and Toth); False where either has more than MANY pieces."""
+    bins = [k for k, n in a.items() for _ in range(n)]
+    items = sorted((k for k, n in b.items() for _ in range(n)), reverse=True)
+    if max(len(bins), len(items)) > MANY or sum(items) > sum(bins):
+        return False
+
+    def place(k: int) -> bool:
+        if k == len(items):
+            return True
+        for room in {x for x in bins if x >= items[k]}:
+            bins[bins.index(room)] -= items[k]
+            if place(k + 1):
+                return True
+            bins[bins.index(room - items[k])] = room
+        return False
+
+    return place(0)
+
+
+def undominated(room: int, left: np.ndarray, waste: int, tries: int, most: int) -> tuple[list[dict[int, int]], int]:
+    """({length: count} of the fillings of ``room`` that none other dominates, by least waste; steps taken).
+
+    Several may have one waste, zero too. Fillings that leave room for one more piece don't
+    count. After ``tries`` steps the enumeration ends; ``most`` fillings are returned at most.
+    """
+    lengths = np.flatnonzero(left[: room + 1])[::-1].tolist()
+    reach = np.concatenate([np.cumsum((left[lengths] * lengths)[::-1])[::-1], [0]]).tolist() if lengths else [0]
+    found: list[tuple[int, dict[int, int]]] = []
+    steps = 0
+
+    def down(k: int, room: int, chosen: dict[int, int]) -> None:
+        nonlocal steps
+        steps += 1
+        while k < len(lengths) and lengths[k] > room:
+            k += 1
+        if all(x > room or left[x] == chosen.get(x, 0) for x in reversed(lengths)):
+            if room <= waste:
+                found.append((room, dict(chosen)))
+            return
+        for i in range(k, len(lengths)):
+            if steps > tries or room - reach[i] > waste:
+                return
+            size = lengths[i]
+            for count in range(min(room // size, int(left[size])), 0, -1):
+                chosen[size] = count
+                down(i + 1, room - size * count, chosen)
+                del chosen[size]
+                if steps > tries:
+                    return
+
+    down(0, room, {})
+    kept: list[dict[int, int]] = []
+    for _, f in sorted(found, key=lambda x: x[0]):
+        if not any(dominates(g, f) for g in kept):
+            kept = [g for g in kept if not dominates(f, g)] + [f]
+        if len(kept) == most:
+            break
+    return kept, steps
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
     """(sequences, {length: count}) of best-fit decreasing over a histogram, pattern by pattern."""
-    return complete(counts, capacity, tries=1, most=1, nodes=0)
+    return first_way(counts, capacity, tries=1, most=1)
 
 
-def complete(counts: np.ndarray, capacity: int, tries: int = 4000, most: int = 3, nodes: int = 3000) -> list[tuple[int, dict[int, int]]]:
+def first_way(counts: np.ndarray, capacity: int, tries: int = 4000, most: int = 3) -> list[tuple[int, dict[int, int]]]:
+    """(sequences, {length: count}) for each pattern used, where the filling of least waste is taken each time."""
+    left, out = np.array(counts, np.int64), []
+    while left.any():
+        largest = int(np.flatnonzero(left)[-1])
+        left[largest] -= 1
+        pattern = dict(fillings(capacity - largest, left, capacity, tries, most)[0][1])
+        left[largest] += 1
+        pattern[largest] = pattern.get(largest, 0) + 1
+        times = min(int(left[k]) // v for k, v in pattern.items())
+        for k, v in pattern.items():
+            left[k] -= v * times
+        out.append((times, pattern))
+    return out
+
+
+def complete(counts: np.ndarray, capacity: int, tries: int = 2000, most: int = 12, nodes: int = 3000, steps: int = 400_000) -> list[tuple[int, dict[int, int]]]:
     """(sequences, {length: count}) for each pattern used: bin completion with branch and bound.
 
-    tries: steps of one enumeration; most: fillings kept at a node; nodes: nodes visited once
-    the first way down is complete.
+    The better of the first ways is the incumbent. The search then takes at each node every
+    undominated filling, for as many sequences as its lengths last, for half of them and for
+    one; ways that depart least from the first choices come first. It ends at the lower bound.
+    tries: steps of one enumeration; most: fillings kept at a node; nodes: nodes visited;
+    steps: steps of all enumerations.
     """
     total = int((np.arange(len(counts)) * counts).sum())
     bound = -(-total // capacity)
-    best: list | None = None
-    best_count = np.inf
-    visited = 0
-
-    def options(left: np.ndarray, used: int, rest: int) -> list[tuple[int, dict[int, int]]]:
+    best = min((first_way(counts, capacity), best_fit(counts, capacity)), key=sequences)
+    best_count = sequences(best)
+    heap: list[tuple] = [(0, 0, np.array(counts, np.int64), 0, total, None, None)] if best_count > bound else []
+    tick = visited = 0
+    while heap and best_count > bound and visited < nodes and steps > 0:
+        departed, _, before, used, rest, path, choice = heapq.heappop(heap)
+        left = before
+        if choice:
+            times, pattern = choice
+            left = before.copy()
+            for k, v in pattern.items():
+                left[k] -= v * times
+            path = (path, choice)
+        if used + -(-rest // capacity) >= best_count:
+            continue
+        if not rest:
+            best_count, best = used, []
+            while path:
+                path, choice = path
+                best.append(choice)
+            continue
+        visited += 1
         largest = int(np.flatnonzero(left)[-1])
         left[largest] -= 1
         # Waste that a solution better than the incumbent may still have.
-        spare = capacity if best is None else (int(best_count) - 1 - used) * capacity - rest
-        found = fillings(capacity - largest, left, min(capacity, max(spare, 0)), tries, most)
+        spare = (best_count - 1 - used) * capacity - rest
+        found, took = undominated(capacity - largest, left, min(capacity, spare), tries, most)
         left[largest] += 1
-        out = []
-        for _, filling in found:
+        steps -= took
+        options: list[tuple[int, dict[int, int]]] = []
+        for filling in found:
             pattern = dict(filling)
             pattern[largest] = pattern.get(largest, 0) + 1
-            out.append((min(int(left[k]) // v for k, v in pattern.items()), pattern))
-        return out
+            options.append((min(int(left[k]) // v for k, v in pattern.items()), pattern))
+        options += [(t, pattern) for share in (2, None) for times, pattern in options if times > 1 for t in [times // share if share else 1] if share or times // 2 > 1]
+        for rank, (times, pattern) in enumerate(options):
+            tick -= 1
+            heapq.heappush(heap, (departed + rank, tick, left, used + times, rest - times * sum(k * v for k, v in pattern.items()), path, (times, pattern)))
+    return best
 
-    stack = [(np.array(counts, np.int64), 0, total, [], None)]
-    while stack:
-        left, used, rest, path, todo = stack.pop()
-        if not rest:
-            if used < best_count:
-                best, best_count = path, used
-            if best_count <= bound:
-                break
-            continue
-        if used + -(-rest // capacity) >= best_count:
-            continue
-        if best is not None:
-            visited += 1
-            if visited > nodes:
-                break
-        for times, pattern in reversed(options(left, used, rest) if todo is None else todo):
-            after = left.copy()
-            for k, v in pattern.items():
-                after[k] -= v * times
-            stack.append((after, used + times, rest - times * sum(k * v for k, v in pattern.items()), [*path, (times, pattern)], None))
-    return best or []
+
+def sequences(patterns: list[tuple[int, dict[int, int]]]) -> int:
+    return sum(times for times, _ in patterns)
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
     """The better of bin completion and best-fit decreasing."""
-    return min((complete(counts, capacity), best_fit(counts, capacity)), key=lambda p: sum(t for t, _ in p))
+    return complete(counts, capacity)
 
 
 def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:

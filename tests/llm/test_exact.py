@@ -208,6 +208,18 @@ def test_op7_never_worse_than_best_fit():
         assert (used == counts).all()
 
 
+@pytest.mark.parametrize("each", [1, 2, 7, 1000])
+def test_op7_goes_back_past_a_full_sequence(each):
+    counts = each * np.bincount([500, 300, 224, 262, 262, 267, 267, 266, 241, 241, 242], minlength=1025)
+    plan = packing.plan(counts, 1024)
+    used = np.zeros(1025, int)
+    for times, pattern in plan:
+        assert sum(k * v for k, v in pattern.items()) <= 1024
+        for k, v in pattern.items():
+            used[k] += times * v
+    assert (used == counts).all() and sum(t for t, _ in plan) == 3 * each
+
+
 def test_op5_equals_direct_counts(spark, folder, texts, mass=20.0):
     tokens = {i: [*words(t), "\0end"] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
