@@ -8,6 +8,7 @@ nearest suffixes before and after it that start earlier in the text (previous an
 smaller positions). With comparisons bounded at ``length`` bytes and ties ordered by
 position, the previous smaller position of every suffix but the first of a tie is the
 suffix just before it, so each tie keeps its first and gives LPF >= ``length`` to the rest.
+So no array is built: ties of bounded ranks, and hashes of whole occurrences, stand in for it.
 
 Suffixes are dealt out so that equal strings meet: the string at position i belongs to its
 minimizer, the 32-byte gram in it with the least hash, whose place depends on the string
