@@ -11,7 +11,7 @@ order; a file is written under a name of its own and renamed, so a task that run
 replaces its file with an equal one.
 
 Defined cases: null and empty texts have the end id alone; rows without doc_id come first;
-rows that repeat a doc_id are written each, in no fixed order among themselves; other
+rows that repeat a doc_id are written each, in the order of a hash of their texts; other
 columns are ignored; an empty table gives no files and an empty result.
 """
 
@@ -142,7 +142,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, breaks:
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = with_key(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # The order is total but for equal rows, so a task that runs again cuts the same files; rows of one doc_id may span ranges.
+    keyed = with_key(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"), F.monotonically_increasing_id().alias("nth"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "tag", "nth").sortWithinPartitions("doc_id", "tag", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(run, "part long, file long, ids long, documents long"), "token-files")
 
 

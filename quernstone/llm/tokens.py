@@ -37,7 +37,7 @@ class Encoder:
 
     #: Distinct stretches held at most; then the store starts anew. 36 bytes or so each.
     HELD = 1_500_000
-    #: New stretches that are encoded as one text, where token boundaries show that this is the same.
+    #: New ASCII stretches that are encoded as one text, where token boundaries show that this is the same.
     JOINED = 2000
 
     def __init__(self, path: str, breaks: str):
@@ -60,13 +60,17 @@ class Encoder:
         self.start = np.zeros(1 << 14, np.int64)
 
     def _lists(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each of ``texts``, one behind the other, and how many each has."""
+        """The ids of each of ``texts``, one behind the other, and how many each has.
+
+        Only ASCII texts are joined: normalisation changes no byte count there, so the tokens'
+        lengths tell where each text ends. All others are encoded one by one.
+        """
         joint = b" " if self.breaks == "words" else b""
         alone, groups, held = [], [], []
         for k, t in enumerate(texts):
             if self.added and self.added.search(t):
                 alone.append(k)
-            elif joint or (t[:1] == b" " and not _BLANK[t[-1]] and not _WIDE_SPACE.search(t)):
+            elif t.isascii() and (joint or (t[:1] == b" " and not _BLANK[t[-1]])):
                 held.append(k)
                 if len(held) == self.JOINED:
                     groups.append(held)
