@@ -12,8 +12,11 @@ TESTS_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one stands in only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{TESTS_FOLDER}").rstrip("/")
+    """The session's ``spark.checkpoint.dir``; a local folder stands in where that is unset, on a local master alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or f"file://{TESTS_FOLDER}").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -44,20 +47,27 @@ def unpack(body: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
-    """(block_id, n_bytes, body): rows of ``docs`` packed into compressed blocks of about ``block_bytes`` of text, all columns kept.
+    """(block_id, n_bytes, path): rows of ``docs`` in compressed files of about ``block_bytes`` of text, all columns kept.
 
-    The table is written to the shared folder, so a block's number and content never change
-    afterwards, also if executors are lost.
+    The files stand in the shared folder and the table that names them is written there, so
+    a block's number and content never change afterwards, also if executors are lost; what
+    a lost task left behind is named nowhere. Exchanges move a block's path, never its text.
     """
+    folder = new_folder(docs.sparkSession, f"{name}-files")
 
     def run(batches):
         from pyspark import TaskContext
 
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        store, base = filesystem(folder)
+        store.create_dir(base, recursive=True)
 
         def row():
-            body = pack(pa.Table.from_batches(held).combine_chunks())
-            return pa.RecordBatch.from_pydict({"block_id": pa.array([(part << 32) + seq], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "body": pa.array([body], pa.binary())})
+            block_id = (part << 32) + seq
+            path = f"{base}/{block_id}-{uuid.uuid4().hex}"
+            with store.open_output_stream(path) as out:
+                out.write(pack(pa.Table.from_batches(held).combine_chunks()))
+            return pa.RecordBatch.from_pydict({"block_id": pa.array([block_id], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "path": pa.array([path])})
 
         for batch in batches:
             from quernstone.llm._bytes import column_bytes, slices
@@ -72,7 +82,20 @@ def blocks(docs: DataFrame, name: str, block_bytes: int) -> DataFrame:
         if held:
             yield row()
 
-    return written(docs.mapInArrow(run, "block_id long, n_bytes long, body binary"), name)
+    table = written(docs.mapInArrow(run, "block_id long, n_bytes long, path string"), name)
+    return table.withColumn("folder", F.lit(folder))
+
+
+def filesystem(folder: str):
+    """The file system of a shared folder's URI and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
+def read_block(folder: str, path: str) -> pa.Table:
+    with filesystem(folder)[0].open_input_stream(path) as data:
+        return unpack(data.read())
 
 
 def bucket_count(table: DataFrame, bucket_bytes: int) -> int:

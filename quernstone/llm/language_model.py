@@ -1,21 +1,26 @@
 """Language-model scores by a weighted backoff automaton learnt from the corpus.
 
 Tokens of a document are its words (A-Z lower-cased, cut at ASCII white space) and one end.
-The automaton has a state for the beginning, one for each word and one, without history, to
-which failure arcs lead. A state h has an arc for each word seen behind it, with weight
+The automaton is of third order. It has a root, a state for the beginning, one for each word
+and one for each word pair of the training documents. With c() the counts there, p0(w) =
+(c(w) + 1) / (N + V + 1) and t(h) the number of different tokens behind a state, smoothed
+after Witten and Bell, these are its weights, as log10:
 
-    log10((c(h w) + m p(w)) / (c(h) + m)),   p(w) = (c(w) + 1) / (N + V + 1)
+    arc of the root by w            p0(w), also for words never seen
+    arc of state h by w, c(hw) > 0  (c(hw) + t(h) p(w | h')) / (c(h) + t(h))
+    failure arc of h to h'          t(h) / (c(h) + t(h))
 
-(Dirichlet smoothing with mass m); its failure arc weighs log10(m / (c(h) + m)) and the
-arcs of the state without history weigh log10 p(w), also for words never seen. The weights
-leaving a state sum to one. A text is scored in one traversal from left to right: at each
-token the state's arc is taken if there is one, else the failure arc and then the arc of
-the state without history; the token names the next state.
+h' is h without its first word. t() is counted for words; for a pair uv it follows by Heaps'
+law from its last word: c(uv) to the power log t(v) / log c(v). Weights that leave a state
+sum to one. A text is scored in one traversal from left to right, which carries the state:
+at each token it follows failure arcs until the state has an arc, and takes it to the state
+of the longest history that there is.
 
-Counts come from all training documents: blocks of documents send their distinct words
-and word pairs, by 64-bit hash and with their own counts, to buckets of hashes; a bucket
-adds up and answers every block that asked. A block then holds the part of the automaton
-that its texts can reach. Nothing that grows with the corpus is broadcast or collected.
+Counts come from all training documents by exchanges of hashed n-grams (``_counts``): first
+words and pairs; then numbers of different pairs by word, and triples. A block doesn't ask
+for a triple one of whose pairs occurs in its own texts alone: all its occurrences are there.
+A block then holds the part of the automaton that its texts can reach. Nothing that grows
+with the corpus is broadcast or collected.
 
 Defined cases: null and empty texts are the end alone; rows without doc_id train (they
 have no remainder); rows that repeat a doc_id count and score each; other columns are
@@ -32,17 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import blocks, bucket_count, pack, unpack, with_key, written
+from quernstone.llm import _counts as C
+from quernstone.llm._store import blocks, bucket_count, read_block, with_key, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 5 << 20
 BUCKET_BYTES = 16 << 20
 #: Hashes that stand for the end token and for the beginning; words' hashes come from span_hashes().
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
+#: Tokens of a text that one lane of the traversal takes; longer texts take several.
+LANE = 256
 
 
 class BlockTokens:
-    """The tokens of a block of documents, as hashes."""
+    """The tokens of a block of documents, as hashes and as numbers among the block's n-grams."""
 
     def __init__(self, rows: pa.Table, held_out_of: tuple[int, int] | None):
         buf, offsets = B.column_bytes(rows.column("text"))
@@ -62,121 +70,194 @@ class BlockTokens:
         self.ids = rows.column("doc_id").to_pylist()
         self.n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self.hash = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        before = np.empty(len(self.hash), np.uint64)
-        before[1:] = self.hash[:-1]
-        before[self.first[:-1]] = BEGIN
-        self.before = before
+        token = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         m, r = held_out_of or (1, 1)
         self.held_out = np.array([i is not None and zlib.crc32(str(i).encode()) % m == r for i in self.ids], bool)
-        self.trains = np.repeat(~self.held_out, self.n)
+        trains = np.repeat(~self.held_out, self.n)
+        head = self.first[:-1]
+        before = np.empty(len(token), np.uint64)
+        before[1:] = token[:-1]
+        before[head] = BEGIN
+        mixed = B.mix(token)
+        pair = B.mix(before * MULTIPLIER ^ mixed)
+        # The beginning is a word that no text holds; it counts the training documents.
+        words, self.word = np.unique(np.append(token, BEGIN), return_inverse=True)
+        self.begin, self.word = int(self.word[-1]), self.word[:-1].astype(np.int32)
+        count = np.bincount(self.word[trains], minlength=len(words))
+        count[self.begin] = int((~self.held_out).sum())
+        self.words, self.word_count = words, count
+        self.pairs, self.pair, self.pair_count = distinct(pair, trains)
+        self.context = np.empty(len(token), np.int32)
+        self.context[1:] = self.word[:-1]
+        self.context[head] = self.begin
+        # A triple stands at each token but a text's first; it is the pair before and the pair here.
+        inner = np.ones(len(token), bool)
+        inner[head] = False
+        self.at = np.flatnonzero(inner)
+        self.triples, self.triple, self.triple_count = distinct(B.mix(pair[self.at - 1] * MULTIPLIER ^ mixed[self.at]), trains[self.at])
+        # One place of each pair and triple tells its parts.
+        one = np.zeros(len(self.pairs), np.int64)
+        one[self.pair] = np.arange(len(token))
+        self.pair_from, self.pair_to = self.context[one], self.word[one]
+        one = np.zeros(len(self.triples), np.int64)
+        one[self.triple] = self.at
+        self.triple_from, self.triple_to, self.triple_word = self.pair[one - 1], self.pair[one], self.word[one]
 
-    def words(self):
-        return self._grams(self.hash)
+    def asked_triples(self, shared: np.ndarray) -> np.ndarray:
+        """Triples that may occur in other blocks: both their pairs do."""
+        return np.flatnonzero(shared[self.triple_from] & shared[self.triple_to])
 
-    def pairs(self):
-        return self._grams(B.mix(self.before * MULTIPLIER ^ B.mix(self.hash)))
 
-    def _grams(self, keys: np.ndarray):
-        """(distinct, inverse, counts in training documents)."""
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        return distinct, inverse, np.bincount(inverse[self.trains], minlength=len(distinct))
+def distinct(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, each key's number, and counts in training documents."""
+    found, number = np.unique(keys, return_inverse=True)
+    return found, number.astype(np.int32), np.bincount(number[trains], minlength=len(found))
 
 
-def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), mass: float = 20.0) -> DataFrame:
+class Known:
+    """What a block's tokens got answered in the first exchange."""
+
+    def __init__(self, tokens: BlockTokens, n: int, buckets: list[int], bodies: list[bytes]):
+        (words, shared_words, _), (pairs, shared_pairs, owner) = C.answered([tokens.words, tokens.pairs], n, buckets, bodies)
+        self.word_total, self.pair_total = tokens.word_count + words, tokens.pair_count + pairs
+        self.shared_words, self.asked = np.flatnonzero(shared_words), tokens.asked_triples(shared_pairs)
+        # Different training pairs behind each word that this block is the first to hold.
+        self.behind = np.bincount(tokens.pair_from[owner], minlength=len(tokens.words))
+
+
+class Automaton:
+    """States: the root, one for each word (the beginning too), one for each pair that doesn't end a text.
+
+    words, pairs and triples with a count above zero in ``word``, ``pair`` and ``triple``
+    have states and arcs; all words have arcs of the root. types: t() of each word.
+    """
+
+    def __init__(self, tokens: BlockTokens, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, types: np.ndarray, normal: int):
+        n, end = len(word), np.searchsorted(tokens.words, END)
+        self.width, self.begin = n, 1 + tokens.begin
+        plain = (word + 1) / normal
+        count = np.concatenate([[1], word, pair]).astype(np.float64)
+        t = np.concatenate([[1], types, pair_types(pair, word[tokens.pair_to], types[tokens.pair_to])]).astype(np.float64)
+        share = t / np.maximum(count + t, 1)
+        self.failure = np.log10(np.where(share > 0, share, 1))
+        self.fail_to = np.concatenate([np.zeros(1 + n, np.int64), 1 + tokens.pair_to])
+        # The longest history that a state's arc leads to.
+        word_state = np.where(word > 0, 1 + np.arange(n), 0)
+        pair_state = np.where((pair > 0) & (tokens.pair_to != end), 1 + n + np.arange(len(pair)), 0)
+        seen, thrice = np.flatnonzero(pair > 0), np.flatnonzero(triple > 0)
+        h = 1 + tokens.pair_from.astype(np.int64)
+        of_pair = (pair + t[h] * plain[tokens.pair_to]) / np.maximum(count[h] + t[h], 1)
+        g = 1 + n + tokens.triple_from.astype(np.int64)
+        of_triple = (triple + t[g] * of_pair[tokens.triple_to]) / np.maximum(count[g] + t[g], 1)
+        key = np.concatenate([np.arange(n), h[seen] * n + tokens.pair_to[seen], g[thrice] * n + tokens.triple_word[thrice]])
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.weight = np.log10(np.concatenate([plain, of_pair[seen], of_triple[thrice]]))[order]
+        self.next = np.concatenate([word_state, pair_state[seen], pair_state[tokens.triple_to[thrice]]])[order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each step by ``word``, failure arcs included, and the states after it."""
+        total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        todo = np.arange(len(state))
+        while len(todo):
+            want = state * self.width + word
+            arc = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            has = self.key[arc] == want
+            total[todo] += np.where(has, self.weight[arc], self.failure[state])
+            after[todo[has]] = self.next[arc[has]]
+            todo, state, word = todo[~has], self.fail_to[state[~has]], word[~has]
+        return total, after
+
+    def traverse(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The weight of each token of texts that begin at ``first`` (their end is the last of it).
+
+        Texts go in lanes, one token of each at a step. A lane that begins amid a text takes the
+        two tokens before it first, from the root: the state after them is that of the text.
+        """
+        n = np.diff(first)
+        lanes = -(-n // LANE)
+        text = np.repeat(np.arange(len(n)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        lead = np.where(nth > 0, 2, 0)
+        at = first[text] + nth * LANE - lead
+        size = np.minimum(n[text] - nth * LANE, LANE) + lead
+        order = np.argsort(-size, kind="stable")
+        at, size, lead = at[order], size[order], lead[order]
+        state = np.where(lead > 0, 0, self.begin)
+        out = np.zeros(len(word))
+        for t in range(int(size.max(initial=0))):
+            m = int(np.searchsorted(-size, -t, "left"))
+            weight, state = self.step(state[:m], word[at[:m] + t])
+            counts = t >= lead[:m]
+            out[at[:m][counts] + t] = weight[counts]
+        return out
+
+
+def pair_types(pair: np.ndarray, word: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """t() of pairs with count ``pair`` whose last words have these counts and numbers of types."""
+    power = np.log(np.maximum(types, 1)) / np.log(np.maximum(word, 2))
+    return np.where(pair > 0, np.maximum(pair, 1) ** power, 0)
+
+
+def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     held_out_of: modulus and remainder of crc32(doc_id as text) of the documents that don't
-    train; None: all train. mass: the smoothing mass m.
+    train; None: all train.
     """
-    table = blocks(with_key(docs), "model-blocks", BLOCK_BYTES)
-    n = bucket_count(table, BUCKET_BYTES)
-    keyed = table.select("block_id", "body")
-    request = "bucket long, block_id long, body binary"
-    answer = "block_id long, bucket long, types long, tokens long, starts long, body binary"
+    table = blocks(with_key(docs), "model-blocks", block_bytes)
+    n = bucket_count(table, bucket_bytes)
+    keyed = table.select("block_id", "folder", "path")
+
+    def tokens_of(folder, path):
+        return BlockTokens(read_block(folder, path), held_out_of)
 
     def ask(batches):
         for batch in batches:
-            for block_id, body in zip(batch.column("block_id").to_pylist(), batch.column("body").to_pylist()):
-                tokens = BlockTokens(unpack(body), held_out_of)
-                (words, _, word_counts), (pairs, _, pair_counts) = tokens.words(), tokens.pairs()
-                rows = []
-                starts = int((~tokens.held_out).sum())
-                by_word, by_pair = bucketed(words, n), bucketed(pairs, n)
-                for b in range(n):
-                    w, p = by_word(b), by_pair(b)
-                    if len(w) or len(p) or (starts and b == block_id % n):
-                        rows.append((b, pack(pa.table({"key": np.concatenate([words[w], pairs[p]]), "count": np.concatenate([word_counts[w], pair_counts[p]]).astype(np.uint32), "word": np.arange(len(w) + len(p)) < len(w)}).replace_schema_metadata({"starts": str(starts if b == block_id % n else 0)}))))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int64()), "block_id": pa.array([block_id] * len(rows), pa.int64()), "body": pa.array([x for _, x in rows], pa.binary())})
-
-    def add_up(group: pa.Table) -> pa.Table:
-        asked = [unpack(x) for x in group.column("body").to_pylist()]
-        every = pa.concat_tables([t.replace_schema_metadata(None) for t in asked])
-        key, count, word = (every.column(c).to_numpy() for c in ("key", "count", "word"))
-        total = np.zeros(len(key), np.int64)
-        types = tokens = 0
-        for kind in (True, False):
-            mine = np.flatnonzero(word == kind)
-            distinct, inverse = np.unique(key[mine], return_inverse=True)
-            sums = np.bincount(inverse, count[mine], minlength=len(distinct)).astype(np.int64)
-            total[mine] = sums[inverse]
-            if kind:
-                types, tokens = int((sums > 0).sum()), int(sums.sum())
-        cuts = np.cumsum([0, *(t.num_rows for t in asked)])
-        bodies = [pack(pa.table({"total": total[a:b]})) for a, b in zip(cuts[:-1], cuts[1:])]
-        starts = [int(t.schema.metadata[b"starts"]) for t in asked]
-        once = [1] + [0] * (len(asked) - 1)
-        return pa.table({"block_id": group.column("block_id"), "bucket": group.column("bucket"), "types": pa.array([types * x for x in once], pa.int64()), "tokens": pa.array([tokens * x for x in once], pa.int64()), "starts": pa.array(starts, pa.int64()), "body": pa.array(bodies, pa.binary())})
-
-    counts = written(keyed.mapInArrow(ask, request).groupBy("bucket").applyInArrow(add_up, answer), "model-counts")
-    types, train_tokens, starts = (int(x or 0) for x in counts.agg(F.sum("types"), F.sum("tokens"), F.sum("starts")).first())
+            for block_id, folder, path in zip(*(batch.column(c).to_pylist() for c in ("block_id", "folder", "path"))):
+                tokens = tokens_of(folder, path)
+                yield C.requests(block_id, [(tokens.words, tokens.word_count), (tokens.pairs, tokens.pair_count)], n)
+                del tokens
+                B.give_back()
+
+    def ask_again(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens = tokens_of(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
+        known = Known(tokens, n, right.column("bucket").to_pylist(), right.column("body").to_pylist())
+        some, asked = known.shared_words, known.asked
+        out = C.requests(left.column("block_id")[0].as_py(), [(tokens.words[some], known.behind[some]), (tokens.triples[asked], tokens.triple_count[asked])], n)
+        del tokens, known
+        B.give_back()
+        return pa.Table.from_batches([out])
+
+    once = written(keyed.mapInArrow(ask, C.REQUEST).groupBy("bucket").applyInArrow(C.summed(int(BEGIN)), C.ANSWER), "model-counts")
+    types, train_tokens = (int(x or 0) for x in once.agg(F.sum("types"), F.sum("tokens")).first())
     normal = train_tokens + types + 1
+    first = once.select("block_id", "bucket", "body")
+    twice = keyed.groupBy("block_id").cogroup(first.groupBy("block_id")).applyInArrow(ask_again, C.REQUEST)
+    second = twice.groupBy("bucket").applyInArrow(C.summed(), C.ANSWER).select("block_id", "bucket", "body")
+    every = first.withColumn("again", F.lit(False)).unionByName(second.withColumn("again", F.lit(True)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = BlockTokens(unpack(left.column("body")[0].as_py()), held_out_of)
-        (words, word_at, _), (pairs, pair_at, _) = tokens.words(), tokens.pairs()
-        word_total, pair_total = np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
-        by_word, by_pair = bucketed(words, n), bucketed(pairs, n)
-        for b, body in zip(right.column("bucket").to_pylist(), right.column("body").to_pylist()):
-            total = unpack(body).column("total").to_numpy()
-            w, p = by_word(b), by_pair(b)
-            word_total[w], pair_total[p] = total[: len(w)], total[len(w) :]
-        # The state before each token, by the number of its word; the beginning has a number of its own.
-        state = np.empty(len(tokens.hash), np.int64)
-        state[1:] = word_at[:-1]
-        state[tokens.first[:-1]] = len(words)
-        automaton = Automaton(word_total, np.append(word_total, starts), normal, mass)
-        weights = automaton.traverse(state, word_at, pair_total[pair_at])
-        base = np.log10((word_total[word_at] + 1) / normal)
-        known = (word_total[word_at] > 0).astype(np.int64)
+        tokens = tokens_of(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
+        answers: list[tuple[list[int], list[bytes]]] = [([], []), ([], [])]
+        for again, b, body in zip(*(right.column(c).to_pylist() for c in ("again", "bucket", "body"))):
+            answers[again][0].append(b)
+            answers[again][1].append(body)
+        known = Known(tokens, n, *answers[0])
+        behind, triple = known.behind.copy(), tokens.triple_count.copy()
+        some, asked = known.shared_words, known.asked
+        (behind_rest, *_), (triple_rest, *_) = C.answered([tokens.words[some], tokens.triples[asked]], n, *answers[1])
+        behind[some] += behind_rest
+        triple[asked] += triple_rest
+        automaton = Automaton(tokens, known.word_total, known.pair_total, triple, behind, normal)
+        weights = automaton.traverse(tokens.word, tokens.first)
+        total = known.word_total[tokens.word]
         at = tokens.first[:-1]
         add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]
-        return pa.table({"doc_id": pa.array(tokens.ids, pa.int64()), "held_out": pa.array(tokens.held_out), "n_tokens": pa.array(tokens.n), "n_known": pa.array(add(known)), "train_tokens": pa.array(np.full(len(at), train_tokens)), "base_score": pa.array(add(base)), "score": pa.array(add(weights))})
+        out = pa.table({"doc_id": pa.array(tokens.ids, pa.int64()), "held_out": pa.array(tokens.held_out), "n_tokens": pa.array(tokens.n), "n_known": pa.array(add((total > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(at), train_tokens)), "base_score": pa.array(add(np.log10((total + 1) / normal))), "score": pa.array(add(weights))})
+        del tokens, known, automaton
+        B.give_back()
+        return out
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return keyed.groupBy("block_id").cogroup(counts.select("block_id", "bucket", "body").groupBy("block_id")).applyInArrow(score, out)
-
-
-class Automaton:
-    """The part of the backoff automaton that a block of texts can reach.
-
-    total: count of each word; history: count of each state as a history, the beginning last.
-    """
-
-    def __init__(self, total: np.ndarray, history: np.ndarray, normal: int, mass: float):
-        self.history, self.mass = history, mass
-        self.plain = (total + 1) / normal
-        self.failure = np.log10(mass / (history + mass))
-
-    def traverse(self, state: np.ndarray, word: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """The weight of each step from ``state`` by ``word``; seen: count of the pair, 0 where the state has no arc."""
-        arc = np.log10((seen + self.mass * self.plain[word]) / (self.history[state] + self.mass))
-        return np.where(seen > 0, arc, self.failure[state] + np.log10(self.plain[word]))
-
-
-def bucketed(keys: np.ndarray, n: int):
-    """A function that gives the places in ``keys`` of each bucket's keys, in ascending order."""
-    bucket = (keys % np.uint64(n)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    return lambda b: order[cuts[b] : cuts[b + 1]]
+    return keyed.groupBy("block_id").cogroup(every.groupBy("block_id")).applyInArrow(score, out)

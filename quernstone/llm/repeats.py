@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import blocks, bucket_count, pack, unpack, with_key
+from quernstone.llm._store import blocks, bucket_count, pack, read_block, unpack, with_key
 
 GRAM = 32
 BLOCK_BYTES = 3 << 20
@@ -192,8 +192,8 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
     n = bucket_count(table, BUCKET_BYTES)
     request = "bucket long, block_id long, body binary"
 
-    def opened(body):
-        rows = unpack(body)
+    def opened(folder, path):
+        rows = read_block(folder, path)
         buf, offsets = B.column_bytes(rows.column("text"))
         return rows, buf, offsets
 
@@ -219,8 +219,8 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
 
     def ask_keys(batches):
         for batch in batches:
-            for block_id, body in zip(batch.column("block_id").to_pylist(), batch.column("body").to_pylist()):
-                _, buf, offsets = opened(body)
+            for block_id, *place in zip(*(batch.column(c).to_pylist() for c in ("block_id", "folder", "path"))):
+                _, buf, offsets = opened(*place)
                 keys, _, counts, _ = distinct_keys(buf, offsets)
                 yield as_batch(dealt((keys % np.uint64(n)).astype(np.int64), block_id, lambda part: pa.table({"key": keys[part], "count": counts[part]})))
             B.give_back()
@@ -239,7 +239,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
 
     def ask_text(left: pa.Table, right: pa.Table) -> pa.Table:
         block_id = left.column("block_id")[0].as_py()
-        rows, buf, offsets = opened(left.column("body")[0].as_py())
+        rows, buf, offsets = opened(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
         key, place, first, last = block_occurrences(buf, offsets, length)
         keys, inverse = np.unique(key, return_inverse=True)
         bucket_of = (keys % np.uint64(n)).astype(np.int64)
@@ -320,7 +320,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         return pa.Table.from_batches([as_batch(out)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, buf, offsets = opened(left.column("body")[0].as_py())
+        rows, buf, offsets = opened(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
         level = np.zeros(len(buf) + 1, np.int32)
         for body in right.column("body").to_pylist():
             t = unpack(body)
@@ -336,7 +336,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         B.give_back()
         return out
 
-    keyed = table.select("block_id", "body")
+    keyed = table.select("block_id", "folder", "path")
     flags = keyed.mapInArrow(ask_keys, request).groupBy("bucket").applyInArrow(answer_keys, request)
     texts = keyed.groupBy("block_id").cogroup(flags.groupBy("block_id")).applyInArrow(ask_text, request)
     found = texts.groupBy("bucket").applyInArrow(answer_text, request)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import new_folder, with_key, written
+from quernstone.llm._store import filesystem, new_folder, with_key, written
 from quernstone.llm.tokens import encoder, with_end
 
 MAGIC, VERSION, BLOCK = b"QPFR", 1, 128
@@ -108,11 +108,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, breaks:
     """Writes the ids of ``docs`` into files in ``folder``, a shared folder's URI; returns (part, file, ids, documents)."""
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
         coder = encoder(tokenizer, breaks)
         held: list[tuple] = []

@@ -8,6 +8,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 
@@ -220,27 +222,111 @@ def test_op7_goes_back_past_a_full_sequence(each):
     assert (used == counts).all() and sum(t for t, _ in plan) == 3 * each
 
 
-def test_op5_equals_direct_counts(spark, folder, texts, mass=20.0):
+class Grams:
+    """Counts of an order-3 model, and its probabilities by the recursive definition."""
+
+    def __init__(self, train):
+        self.c = [collections.Counter(g for w in train for g in zip(*([["\0begin", *w][k:] for k in range(m)]))) for m in (1, 2, 3)]
+        del self.c[0]["\0begin",]
+        self.history = {**self.c[0], ("\0begin",): len(train)}
+        self.types = collections.Counter(a for a, _ in self.c[1])
+        self.n = sum(self.c[0].values())
+        self.normal = self.n + len(self.c[0]) + 1
+
+    def p(self, history, w):
+        if not history:
+            return (self.c[0][w,] + 1) / self.normal
+        total = self.history.get(history, 0) if len(history) == 1 else self.c[1][history]
+        if not total:
+            return self.p(history[1:], w)
+        last = history[-1:]
+        t = self.types[last[0]] if len(history) == 1 else total ** (math.log(self.types[last[0]]) / math.log(max(self.history[last], 2)))
+        return (self.c[len(history)][(*history, w)] + t * self.p(history[1:], w)) / (total + t)
+
+
+@pytest.mark.parametrize("block_bytes, bucket_bytes", [(language_model.BLOCK_BYTES, language_model.BUCKET_BYTES), (20_000, 100_000)])
+def test_op5_equals_direct_counts(spark, folder, texts, block_bytes, bucket_bytes):
     tokens = {i: [*words(t), "\0end"] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    train = [w for i, w in tokens.items() if not held[i]]
-    c, pairs = collections.Counter(x for w in train for x in w), collections.Counter(p for w in train for p in zip(["\0begin", *w], w))
-    n, normal = sum(c.values()), sum(c.values()) + len(c) + 1
-    history = dict(c) | {"\0begin": len(train)}
-    for r in queries.op5_language_model(spark, folder).collect():
+    model = Grams([w for i, w in tokens.items() if not held[i]])
+    rows = language_model.scores(spark.read.parquet(f"{folder}/documents.parquet"), block_bytes=block_bytes, bucket_bytes=bucket_bytes).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
         w = tokens[r["doc_id"]]
-        base = sum(math.log10((c[x] + 1) / normal) for x in w)
-        score = sum(math.log10((pairs[p, x] + mass * (c[x] + 1) / normal) / (history.get(p, 0) + mass)) for p, x in zip(["\0begin", *w], w))
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(c[x] > 0 for x in w), n)
+        before = ["\0begin", *w]
+        base = sum(math.log10(model.p((), x)) for x in w)
+        score = sum(math.log10(model.p(tuple(before[max(0, k - 1) : k + 1]), x)) for k, x in enumerate(w))
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(model.c[0][x,] > 0 for x in w), model.n)
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
-def test_op5_weights_of_a_state_sum_to_one():
-    total, seen, mass, normal = np.array([5, 3, 1]), np.array([2, 1, 0]), 20.0, 9 + 3 + 1
-    a = language_model.Automaton(total, np.array([3]), normal, mass)
-    weights = 10 ** a.traverse(np.zeros(3, int), np.arange(3), seen)
-    unknown = 10 ** a.failure[0] / normal
-    assert weights.sum() + unknown == pytest.approx(1)
+@pytest.fixture(scope="module")
+def automaton():
+    """(tokens, counts, automaton) of a small corpus in one block; the last text is held out."""
+    rows = ["a b a b c", "b a b a", "c", "", "a b c a b d", "a x b a b q a b c " * 90]
+    tokens = language_model.BlockTokens(pa.table({"doc_id": [1, 2, 3, 4, 5, 9], "text": rows}), None)
+    train = np.repeat(np.arange(6) < 5, tokens.n)
+    count = lambda number, size, where: np.bincount(number[where], minlength=size)
+    word = count(tokens.word, len(tokens.words), train)
+    word[tokens.begin] = 5
+    pair = count(tokens.pair, len(tokens.pairs), train)
+    triple = count(tokens.triple, len(tokens.triples), train[tokens.at])
+    types = np.bincount(tokens.pair_from[pair > 0], minlength=len(word))
+    n = int(word.sum()) - 5
+    normal = n + int((word > 0).sum() - 1) + 1
+    return tokens, (word, pair, triple, types, normal), language_model.Automaton(tokens, word, pair, triple, types, normal)
+
+
+def test_op5_weights_of_each_state_sum_to_one(automaton):
+    tokens, (word, pair, *_), a = automaton
+    end = int(np.searchsorted(tokens.words, language_model.END))
+    vocabulary = np.flatnonzero((word > 0) & (np.arange(len(word)) != tokens.begin))
+    unknown = np.flatnonzero(word == 0)[:1]  # all unseen words share one place
+    w = np.append(vocabulary, unknown)
+    states = [0, *(1 + np.flatnonzero((word > 0) & (np.arange(len(word)) != end))), *(1 + len(word) + np.flatnonzero((pair > 0) & (tokens.pair_to != end)))]
+    assert len(states) > 8
+    for s in states:
+        assert (10 ** a.step(np.full(len(w), s), w)[0]).sum() == pytest.approx(1)
+
+
+def test_op5_failure_arcs_and_carried_state_count(automaton):
+    tokens, _, a = automaton
+    weights = a.traverse(tokens.word, tokens.first)
+    state, slow = None, []
+    for i, w in enumerate(tokens.word):  # one token after the other, one state carried
+        state = np.array([a.begin]) if i in set(tokens.first.tolist()) else state
+        weight, state = a.step(state, np.array([w]))
+        slow.append(weight[0])
+    assert weights == pytest.approx(np.array(slow))
+    kept, a.failure = a.failure, np.zeros(len(a.failure))
+    free = a.traverse(tokens.word, tokens.first)
+    a.failure = kept
+    last = tokens.first[-2]  # training texts meet no unseen n-gram
+    assert free[last:].sum() > weights[last:].sum() + 100 and free[:last] == pytest.approx(weights[:last])
+    # Without a carried state every token would be scored from the root.
+    assert not np.allclose(a.step(np.zeros(len(weights), int), tokens.word)[0], weights)
+
+
+def test_counts_messages():
+    from quernstone.llm import _counts as C
+
+    rng = np.random.default_rng(3)
+    keys = [np.unique(rng.integers(0, 1 << 64, 400, np.uint64)) for _ in range(2)]
+    keys.append(np.unique(np.concatenate([keys[0][:100], keys[1][:50]])))
+    counts = [rng.integers(0, 5, len(k)) for k in keys]
+    n, total, seen = 7, collections.Counter(), collections.Counter()
+    for k, c in zip(keys, counts):
+        total.update(dict(zip(k.tolist(), c.tolist())))
+    asked = pa.concat_tables([pa.Table.from_batches([C.requests(i, [(k, c), (k[:0], c[:0])], n)]) for i, (k, c) in enumerate(zip(keys, counts))])
+    answers = pa.concat_tables([C.summed()(asked.filter(pa.compute.equal(asked["bucket"], b))) for b in range(n)])
+    assert sum(answers["tokens"].to_pylist()) == sum(total.values()) and sum(answers["types"].to_pylist()) == sum(v > 0 for v in total.values())
+    for i, (k, c) in enumerate(zip(keys, counts)):
+        mine = answers.filter(pa.compute.equal(answers["block_id"], i))
+        (rest, shared, owner), _ = C.answered([k, k[:0]], n, mine["bucket"].to_pylist(), mine["body"].to_pylist())
+        assert (rest + c).tolist() == [total[x] for x in k.tolist()]
+        assert shared.tolist() == [sum(x in o for o in map(set, (y.tolist() for y in keys))) > 1 for x in k.tolist()]
+        seen.update(k[owner].tolist())
+    assert set(seen.values()) == {1} and set(seen) == {k for k, v in total.items() if v}
 
 
 def test_op8_equals_sql(spark, folder):
