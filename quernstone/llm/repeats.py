@@ -5,25 +5,24 @@ document with a smaller doc_id, or earlier in the same one. In terms of suffixes
 i begins such a string where the longest previous factor LPF[i] is at least ``length``.
 The array follows from suffix order: LPF[i] is the longer of the common prefixes with the
 nearest suffixes before and after it that start earlier in the text (previous and next
-smaller positions). With comparisons bounded at ``length`` bytes and ties ordered by
-position, the previous smaller position of every suffix but the first of a tie is the
-suffix just before it, so each tie keeps its first and gives LPF >= ``length`` to the rest.
-So no array is built: ties of bounded ranks, and hashes of whole occurrences, stand in for it.
+smaller positions). Comparisons are bounded at ``length`` bytes, ties are ordered by
+position.
 
 Suffixes are dealt out so that equal strings meet: the string at position i belongs to its
 minimizer, the 32-byte gram in it with the least hash, whose place depends on the string
-alone. Positions with one minimizer form an occurrence, a stretch of text sent as one.
+alone. Positions with one minimizer form an occurrence, a stretch of text sent as one. An
+array over the strings that met has LPF >= ``length`` just where the whole corpus's has.
 Three exchanges, keyed by hashes and answered by block:
 
 1. minimizers that occur once in the corpus drop out (their strings can't repeat);
-2. occurrences of the others meet: whole equal occurrences keep the first, and where
-   different occurrences share a minimizer the bounded suffix order decides;
+2. occurrences of the others meet: of whole equal occurrences, compared byte by byte, the
+   first goes on, and LPF arrays decide where different occurrences share a minimizer;
 3. removed ranges return to their blocks and the documents are cut.
 
 Before the second exchange each block drops its own equal occurrences, so a passage that
-a third of all documents share is sent once by each block. A minimizer that occurs very
-often amid different text has its strings dealt by their own hashes instead, so no group
-grows with the input.
+a third of all documents share is sent once by each block. Occurrences of a minimizer that
+occurs more than ``hot`` times first meet among GROUP blocks at most, which send on one of
+each, string by string, dealt by the strings' own hashes.
 
 Defined cases: null and empty texts have no bytes and no spans; rows without doc_id come
 before all others; rows that repeat doc_id and text are one document and get the same
@@ -41,16 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import blocks, bucket_count, pack, read_block, unpack, with_key
+from quernstone.llm._store import blocks, bucket_count, pack, read_block, unpack, with_key, written
 
 GRAM = 32
 BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 5 << 20
-#: A minimizer that occurs more often than this is dealt out string by string.
+#: Occurrences of a minimizer that occurs more often than this meet among GROUP blocks first and go on string by string.
 HOT = 1 << 14
+GROUP = 512
 #: Text that one suffix sort holds at most, but for a single minimizer's occurrences (HOT of them at most).
 SORT_BYTES = 1 << 20
-SECOND_RADIX = 0xC2B2AE3D27D4EB4F
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -97,37 +96,75 @@ def block_occurrences(buf: np.ndarray, offsets: np.ndarray, length: int) -> tupl
 
 
 def bounded_lpf(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Whether each string of ``length`` bytes also starts earlier.
+    """The longest previous factor of each string of ``length`` bytes, no more than ``length``.
 
     text: stretches one behind the other; the stretch that starts at starts[k] holds
     counts[k] strings, and strings with a smaller rank[k] + offset start earlier; ranks of
-    stretches that overlap in one document differ by their distance. Suffix order by prefix
-    doubling, bounded at ``length`` bytes.
+    stretches that overlap in one document differ by their distance. Strings are sorted by
+    prefix doubling; the common prefixes of neighbours in that order follow from the ranks
+    of each doubling; the previous and the next smaller position in that order give the
+    candidates for the longest earlier match.
     """
-    n = len(text)
+    n, many = len(text), int(counts.sum())
+    if not many:
+        return np.zeros(0, np.int64)
     lanes = np.zeros(n + 8, np.uint64)
     lanes[:n] = text
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | lanes[k : k + n]
-    ids, depth = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
-    begin = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    del lanes
+    ranks, depth = [(8, np.unique(word, return_inverse=True)[1].astype(np.uint32))], 8
+    begin = np.repeat(starts, counts) + np.arange(many) - np.repeat(np.cumsum(counts) - counts, counts)
     while depth < length:
-        step = min(depth, length - depth)
-        pair = ids << np.uint64(32)
-        pair[: n - step] |= ids[step:]
-        ids = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
+        step, last = min(depth, length - depth), ranks[-1][1]
+        pair = last.astype(np.uint64) << np.uint64(32)
+        pair[: n - step] |= last[step:]
         depth += step
-    order_key = np.repeat(rank, counts) + (begin - np.repeat(starts, counts))
-    suffix = ids[begin]
-    order = np.lexsort((order_key, suffix))
-    s, p = suffix[order], order_key[order]
-    later = np.zeros(len(order), bool)
-    # A tie's first position keeps; a repeated row has the same position and isn't earlier than itself.
-    first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-    head = p[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))] if len(s) else p
-    later[order] = p > head
-    return later
+        ranks.append((depth, np.unique(pair, return_inverse=True)[1].astype(np.uint32)))
+        del pair
+    place = np.repeat(rank, counts) + (begin - np.repeat(starts, counts))
+    order = np.lexsort((place, ranks[-1][1][begin]))
+    at, place = begin[order], place[order]
+    common = np.zeros(many, np.int64)
+    common[1:] = common_prefixes(at[:-1], at[1:], word, ranks, length)
+    before = nearest_smaller(place, common)
+    after = nearest_smaller(place[::-1], np.concatenate([[0], common[1:][::-1]]))[::-1]
+    out = np.zeros(many, np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, word: np.ndarray, ranks: list[tuple[int, np.ndarray]], length: int) -> np.ndarray:
+    """The length of the common prefix of the strings at ``a`` and ``b``, no more than ``length``. word: the eight bytes at each place, as a number."""
+    out = np.where(ranks[-1][1][a] == ranks[-1][1][b], length, 0)
+    rest = np.flatnonzero(out < length)
+    x, y, size = a[rest], b[rest], np.zeros(len(rest), np.int64)
+    for depth, ids in ranks[-2::-1]:
+        size += depth * (ids[np.minimum(x + size, len(ids) - 1)] == ids[np.minimum(y + size, len(ids) - 1)])
+    # The first byte that differs is one of the next eight.
+    differs = word[np.minimum(x + size, len(word) - 1)] ^ word[np.minimum(y + size, len(word) - 1)]
+    for k in range(1, 8):
+        size += differs < np.uint64(1 << (8 * k))
+    out[rest] = np.minimum(size, length)
+    return out
+
+
+def nearest_smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The common prefix of each string with the nearest before it that has a smaller place, 0 if there is none.
+
+    common[i]: the common prefix of strings i - 1 and i. All pointers start at the neighbour
+    and jump along each other's until they reach a smaller place or share no byte.
+    """
+    to, least = np.arange(len(place)) - 1, common.copy()
+    least[:1] = 0
+    todo = np.flatnonzero((least > 0) & (place[to] >= place))
+    while len(todo):
+        via = to[todo]
+        jump, share = to[via], np.minimum(least[todo], least[via])
+        to[todo], least[todo] = jump, share
+        todo = todo[(share > 0) & (place[jump] >= place[todo])]
+    return least
 
 
 def take(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -140,20 +177,35 @@ def take(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the stretches of buf at ``a`` and ``b`` hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for i in range(0, len(a), 4096):
+        size = sizes[i : i + 4096]
+        head = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(head, size)
+        differ = buf[inner + np.repeat(a[i : i + 4096], size)] != buf[inner + np.repeat(b[i : i + 4096], size)]
+        out[i : i + 4096] = ~np.logical_or.reduceat(differ, head)
+    return out
+
+
 def first_of_equals(key, lead, buf, starts, sizes, order_by) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keeps, later, first): which occurrences stand first among equal ones, which are equal to one that starts earlier, and each one's first."""
+    """(keeps, later, first): which occurrences stand first among equal ones, which are equal to one that starts earlier, and each one's first.
+
+    Hashes bring equal occurrences together; each is then compared with its first byte by byte.
+    """
     ends = starts + sizes
-    one = B.hashes_by_parts(buf, starts, ends)
-    two = B.mix(B.hashes_by_parts(buf, starts, ends, SECOND_RADIX) ^ lead.astype(np.uint64))
-    order = np.lexsort((*order_by[::-1], two, one, key))
-    same = np.zeros(len(order), bool)
-    for x in (key, one, two):
-        x = x[order]
-        same[1:] |= x[1:] != x[:-1]
-    first = same.copy()
-    if len(first):
-        first[0] = True
+    hashed = B.mix(B.hashes_by_parts(buf, starts, ends) ^ lead.astype(np.uint64))
+    order = np.lexsort((*order_by[::-1], hashed, key))
+    first = np.ones(len(order), bool)
+    first[1:] = (key[order][1:] != key[order][:-1]) | (hashed[order][1:] != hashed[order][:-1])
     head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+    same = np.flatnonzero(~first)
+    a, b = order[same], head[same]
+    alike = (sizes[a] == sizes[b]) & (lead[a] == lead[b])
+    alike[alike] = same_bytes(buf, starts[a[alike]], starts[b[alike]], sizes[a[alike]])
+    other = same[~alike]
+    first[other], head[other] = True, order[other]
     keeps, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
     keeps[order] = first
     differs = np.zeros(len(order), bool)
@@ -189,7 +241,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
     """``result`` of each block's rows, bytes, row places, and removed ranges with the n+1 places where rows' ranges begin."""
     length = max(length, GRAM)
     table = blocks(docs, "repeat-blocks", BLOCK_BYTES)
-    n = bucket_count(table, BUCKET_BYTES)
+    n, groups = bucket_count(table, BUCKET_BYTES), max(1, -(-table.count() // GROUP))
     request = "bucket long, block_id long, body binary"
 
     def opened(folder, path):
@@ -250,18 +302,14 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
             part = order[cuts[b] : cuts[b + 1]]
             half = np.frombuffer(body, np.uint8).reshape(2, -1)
             repeats[part], often[part] = (np.unpackbits(x, count=len(part)).astype(bool) for x in half)
-        on = np.flatnonzero(repeats[inverse] & ~often[inverse])
-        each = np.flatnonzero(often[inverse])
-        strings = last[each] - first[each] + 1
-        alone = np.repeat(first[each] - (np.cumsum(strings) - strings), strings) + np.arange(strings.sum())
-        by_start = np.argsort(np.concatenate([first[on], alone]), kind="stable")
-        key = np.concatenate([key[on], B.hashes_by_parts(buf, alone, alone + length)])[by_start]
-        place, first, last = (np.concatenate([x, alone])[by_start] for x in (place[on], first[on], last[on]))
+        on = np.flatnonzero(repeats[inverse])
+        hot_ = often[inverse][on]
+        key, place, first, last = (x[on] for x in (key, place, first, last))
         doc = np.searchsorted(offsets, first, "right") - 1
         ids, tags = names(rows, buf, offsets)
         # Of rows that repeat doc_id and text the first is asked for; the others get its ranges.
         own = first_rows(ids, tags)[doc] == doc
-        key, place, first, last, doc = (x[own] for x in (key, place, first, last, doc))
+        key, place, first, last, doc, hot_ = (x[own] for x in (key, place, first, last, doc, hot_))
         at, size = first - offsets[doc], last - first + length
         keeps, later, _ = first_of_equals(key, place - first, buf, first, size, (ids[doc], tags[doc], at))
         # What this block already knows goes to any bucket, to come back with the answers.
@@ -272,17 +320,47 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
             part = sent[part]
             return pa.table({"key": key[part], "lead": (place - first)[part].astype(np.uint16), "size": size[part].astype(np.uint32), "id": ids[doc[part]], "tag": tags[doc[part]], "at": at[part].astype(np.uint32), "doc": doc[part].astype(np.uint32), "text": pa.array([None] * len(part), pa.binary()) if not len(part) else text_column(take(buf, first[part], size[part]), size[part])})
 
-        out = list(dealt((key[sent] % np.uint64(n)).astype(np.int64), block_id, columns))
+        to = (key[sent] % np.uint64(n)).astype(np.int64)
+        mine = int(B.mix(np.array([block_id], np.uint64))[0] % np.uint64(groups))
+        out = list(dealt(np.where(hot_[sent], -1 - (to * groups + mine), to), block_id, columns))
         if len(known):
             out.append((block_id % n, block_id, b"known" + pack(pa.table({"doc": doc[known].astype(np.uint32), "start": at[known].astype(np.uint32), "end": (at + size)[known].astype(np.uint32)}))))
         B.give_back()
         return pa.Table.from_batches([as_batch(out)])
 
+    def send_on(asked) -> list[tuple[int, int, bytes]]:
+        """Answers for occurrences that are equal to an earlier one of these blocks, and the strings of the others, for the buckets of their hashes."""
+        every = pa.concat_tables([t for *_, t in asked])
+        c = {k: every.column(k).to_numpy() for k in ("key", "lead", "size", "id", "tag", "at", "doc")}
+        buf, offsets = B.column_bytes(every.column("text"))
+        size, at = c["size"].astype(np.int64), c["at"].astype(np.int64)
+        keeps, later, first_of = first_of_equals(c["key"], c["lead"].astype(np.int64), buf, offsets[:-1], size, (c["id"], c["tag"], at))
+        # Rows of other blocks that repeat a document stand where their first does and go on with it.
+        out, cuts = [], np.cumsum([0, *(t.num_rows for *_, t in asked)])
+        for (_, block_id, _), a, b in zip(asked, cuts[:-1], cuts[1:]):
+            known, on = a + np.flatnonzero(later[a:b]), a + np.flatnonzero(~later[a:b])
+            if len(known):
+                out.append((0, block_id, b"known" + pack(pa.table({"doc": c["doc"][known], "start": at[known].astype(np.uint32), "end": (at + size)[known].astype(np.uint32)}))))
+            strings = size[on] - length + 1
+            row, step = np.repeat(on, strings), np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+            start = offsets[row] + step
+            key = B.hashes_by_parts(buf, start, start + length)
+
+            def columns(part, row=row, step=step, start=start, key=key):
+                r = row[part]
+                sizes = np.full(len(part), length)
+                return pa.table({"key": key[part], "lead": np.zeros(len(part), np.uint16), "size": sizes.astype(np.uint32), "id": c["id"][r], "tag": c["tag"][r], "at": (at[r] + step[part]).astype(np.uint32), "doc": c["doc"][r], "text": text_column(take(buf, start[part], sizes), sizes)})
+
+            out += [(k, i, b"string" + body) for k, i, body in dealt((key % np.uint64(n)).astype(np.int64), block_id, columns)]
+        return out
+
     def answer_text(group: pa.Table) -> pa.Table:
         buckets, ids_, bodies = (group.column(c).to_pylist() for c in ("bucket", "block_id", "body"))
-        out = [(b, i, x[5:]) for b, i, x in zip(buckets, ids_, bodies) if x[:5] == b"known"]
-        asked = [(b, i, unpack(x)) for b, i, x in zip(buckets, ids_, bodies) if x[:5] != b"known"]
-        if asked:
+        out = [(b, i, x) for b, i, x in zip(buckets, ids_, bodies) if x[:5] == b"known"]
+        asked = [(b, i, unpack(x.removeprefix(b"string"))) for b, i, x in zip(buckets, ids_, bodies) if x[:5] != b"known"]
+        if asked and asked[0][0] < 0:
+            out += send_on(asked)
+        elif asked:
             every = pa.concat_tables([t for *_, t in asked])
             key, lead, size, doc_id, tag, at = (every.column(c).to_numpy().astype(t) for c, t in (("key", "u8"), ("lead", "i8"), ("size", "i8"), ("id", "i8"), ("tag", "i8"), ("at", "i8")))
             buf, offsets = B.column_bytes(every.column("text"))
@@ -315,7 +393,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
             for k, (b, i, _) in enumerate(asked):
                 mine = owner[row] == k
                 if mine.any():
-                    out.append((b, i, pack(pa.table({"doc": docs_[mine].astype(np.uint32), "start": (base + lo)[mine].astype(np.uint32), "end": (base + hi)[mine].astype(np.uint32)}))))
+                    out.append((b, i, b"known" + pack(pa.table({"doc": docs_[mine].astype(np.uint32), "start": (base + lo)[mine].astype(np.uint32), "end": (base + hi)[mine].astype(np.uint32)}))))
         B.give_back()
         return pa.Table.from_batches([as_batch(out)])
 
@@ -323,7 +401,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         rows, buf, offsets = opened(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
         level = np.zeros(len(buf) + 1, np.int32)
         for body in right.column("body").to_pylist():
-            t = unpack(body)
+            t = unpack(body.removeprefix(b"known"))
             base = offsets[t.column("doc").to_numpy()]
             np.add.at(level, base + t.column("start").to_numpy(), 1)
             np.add.at(level, base + t.column("end").to_numpy(), -1)
@@ -339,7 +417,9 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
     keyed = table.select("block_id", "folder", "path")
     flags = keyed.mapInArrow(ask_keys, request).groupBy("bucket").applyInArrow(answer_keys, request)
     texts = keyed.groupBy("block_id").cogroup(flags.groupBy("block_id")).applyInArrow(ask_text, request)
-    found = texts.groupBy("bucket").applyInArrow(answer_text, request)
+    found = written(texts.groupBy("bucket").applyInArrow(answer_text, request), "repeat-answers")
+    strings = F.substring("body", 1, 6) == F.lit(b"string")
+    found = found.where(~strings).unionByName(found.where(strings).groupBy("bucket").applyInArrow(answer_text, request))
     return keyed.groupBy("block_id").cogroup(found.groupBy("block_id")).applyInArrow(cut, schema)
 
 
@@ -376,7 +456,7 @@ def text_order(doc_id: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarra
 def string_runs(text: np.ndarray, size: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stretch, start, end) of runs of removed strings within stretches of text that stand one behind the other."""
     strings = size - length + 1
-    removed = bounded_lpf(text, np.cumsum(size) - size, strings, rank, length)
+    removed = bounded_lpf(text, np.cumsum(size) - size, strings, rank, length) >= length
     head = np.cumsum(strings) - strings
     border = np.zeros(len(removed) + 1, bool)
     border[head] = border[-1] = True

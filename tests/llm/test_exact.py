@@ -95,6 +95,47 @@ def test_op6_equals_every_string(spark, folder, texts, hot):
         assert got[i] == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_op6_longest_previous_factors():
+    rng = np.random.default_rng(11)
+    for letters, many, long_ in (("ab", 40, 60), ("a", 12, 40), ("abcdefgh", 25, 120), ("ab", 1, 400)):
+        for length in (12, 33, 100):
+            stretches = ["".join(rng.choice(list(letters), int(rng.integers(length, length + long_)))) for _ in range(many)]
+            stretches += stretches[: many // 3]
+            sizes = np.array([len(t) for t in stretches])
+            starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+            rank = rng.permutation(len(stretches)).astype(np.int64) << 20
+            text = "".join(stretches)
+            got = repeats.bounded_lpf(np.frombuffer(text.encode(), np.uint8), starts, counts, rank, length)
+            strings = sorted((int(r) + k, t[k : k + length], int(c) + k) for t, r, c in zip(stretches, rank, np.cumsum(counts) - counts) for k in range(len(t) - length + 1))
+            for n, (_, t, at) in enumerate(strings):
+                share = (next((k for k in range(length) if t[k] != o[k]), length) for _, o, _ in strings[:n])
+                assert got[at] == max(share, default=0)
+
+
+def test_op6_equal_hashes_are_compared(monkeypatch):
+    from quernstone.llm import _bytes as B
+
+    monkeypatch.setattr(B, "hashes_by_parts", lambda buf, starts, ends, *_: np.full(len(starts), 7, np.uint64))
+    buf = np.frombuffer(b"abcdabcdabceabcd" + b"abcde", np.uint8)
+    starts, sizes = np.array([0, 4, 8, 12, 16]), np.array([4, 4, 4, 4, 5])
+    zero = np.zeros(5, np.int64)
+    keeps, later, first = repeats.first_of_equals(zero.astype(np.uint64), zero, buf, starts, sizes, (np.arange(5), zero, zero))
+    assert keeps.tolist() == [True, False, True, False, True] and later.tolist() == [False, True, False, True, False] and first.tolist() == [0, 0, 2, 0, 4]
+
+
+def test_op6_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = text(260)
+    rows = [(i, text(int(rng.integers(0, 200))) + shared + text(30) + shared[:130] + str(i % 7)) for i in range(120)]
+    want = {i: (len(b), int(g.sum())) for i, (b, g) in cut(rows).items()}
+    for hot in (1, 40, repeats.HOT):
+        got = {r[0]: (r[1], r[2]) for r in repeats.digests(spark.createDataFrame(rows, "doc_id long, text string"), 100, hot).collect()}
+        assert got == want
+
+
 def test_op6_random_small_alphabet(spark):
     rng = np.random.default_rng(3)
     parts = ["".join(rng.choice(list("ab é\n"), 70)) for _ in range(6)]
