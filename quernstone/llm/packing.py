@@ -5,10 +5,10 @@ sequences, the first of which may be shorter. What is to be packed is then known
 number of pieces of each length, at most ``capacity`` numbers whatever the corpus, and the
 driver packs that histogram: around the largest piece left it takes a filling of the rest of
 the sequence, for as many sequences as its lengths last. The way of least waste and the
-best-fit one give the first incumbent. If it is above the lower bound ceil(ids / capacity),
+best-fit decreasing one give the first incumbent. If it is above the lower bound ceil(ids / capacity),
 the search goes over the undominated fillings at each node, those of equal waste too, for
 as many sequences as possible, half of them, and one, until it meets the bound or its budget
-of nodes or steps ends. Pieces then get their places by their rank among equal lengths,
+of nodes or steps ends (``exact`` lifts the budget). Pieces then get their places by their rank among equal lengths,
 counted in salted groups, so that no length's pieces meet in one task.
 
 Defined cases: null and empty texts have the end id alone; rows without doc_id and rows
@@ -122,7 +122,7 @@ def dominates(a: dict[int, int], b: dict[int, int]) -> bool:
     return place(0)
 
 
-def undominated(room: int, left: np.ndarray, waste: int, tries: int, most: int) -> tuple[list[dict[int, int]], int]:
+def undominated(room: int, left: np.ndarray, waste: int, tries: float, most: float) -> tuple[list[dict[int, int]], int]:
     """({length: count} of the fillings of ``room`` that none other dominates, by least waste; steps taken).
 
     Several may have one waste, zero too. Fillings that leave room for one more piece don't
@@ -164,8 +164,35 @@ def undominated(room: int, left: np.ndarray, waste: int, tries: int, most: int)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, {length: count}) of best-fit decreasing over a histogram, pattern by pattern."""
-    return first_way(counts, capacity, tries=1, most=1)
+    """(sequences, {length: count}) of best-fit decreasing over a histogram, many equal sequences at a time.
+
+    A piece goes where it leaves least room. Once it does, the next of its length goes to the
+    same sequence as long as it fits, since no other sequence has less room that fits.
+    """
+    open_: dict[int, list[tuple[int, dict[int, int]]]] = {}
+
+    def put(room: int, times: int, pattern: dict[int, int]) -> None:
+        if times:
+            open_.setdefault(room, []).append((times, pattern))
+
+    for size in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[size])
+        while left:
+            room = min((r for r, groups in open_.items() if r >= size and groups), default=None)
+            if room is None:
+                room = capacity
+                times, pattern = -(-left // (room // size)), {}
+            else:
+                times, pattern = open_[room].pop()
+            each = room // size
+            full = min(times, left // each)
+            put(room - each * size, full, pattern | {size: each})
+            left, times = left - full * each, times - full
+            if times and 0 < left < each:
+                put(room - left * size, 1, pattern | {size: left})
+                left, times = 0, times - 1
+            put(room, times, pattern)
+    return [group for groups in open_.values() for group in groups]
 
 
 def first_way(counts: np.ndarray, capacity: int, tries: int = 4000, most: int = 3) -> list[tuple[int, dict[int, int]]]:
@@ -184,14 +211,14 @@ def first_way(counts: np.ndarray, capacity: int, tries: int = 4000, most: int =
     return out
 
 
-def complete(counts: np.ndarray, capacity: int, tries: int = 2000, most: int = 12, nodes: int = 3000, steps: int = 400_000) -> list[tuple[int, dict[int, int]]]:
+def complete(counts: np.ndarray, capacity: int, tries: float = 2000, most: float = 12, nodes: float = 3000, steps: float = 400_000) -> list[tuple[int, dict[int, int]]]:
     """(sequences, {length: count}) for each pattern used: bin completion with branch and bound.
 
     The better of the first ways is the incumbent. The search then takes at each node every
     undominated filling, for as many sequences as its lengths last, for half of them and for
     one; ways that depart least from the first choices come first. It ends at the lower bound.
     tries: steps of one enumeration; most: fillings kept at a node; nodes: nodes visited;
-    steps: steps of all enumerations.
+    steps: steps of all enumerations. With all four infinite the search is exact.
     """
     total = int((np.arange(len(counts)) * counts).sum())
     bound = -(-total // capacity)
@@ -240,9 +267,9 @@ def sequences(patterns: list[tuple[int, dict[int, int]]]) -> int:
     return sum(times for times, _ in patterns)
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """The better of bin completion and best-fit decreasing."""
-    return complete(counts, capacity)
+def plan(counts: np.ndarray, capacity: int, exact: bool = False) -> list[tuple[int, dict[int, int]]]:
+    """complete() within its budget, or without one, which may take time that grows as a power of the number of sequences."""
+    return complete(counts, capacity, *[float("inf")] * 4) if exact else complete(counts, capacity)
 
 
 def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
@@ -262,20 +289,20 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def packed(found: DataFrame, capacity: int) -> DataFrame:
-    """``found``, a written table of pieces, with sequence_id and offset."""
-    salts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+def packed(found: DataFrame, capacity: int, exact: bool = False) -> DataFrame:
+    """``found``, a table of pieces, with sequence_id and offset."""
+    salts, columns = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*found.columns]
+    # The salt is written with the pieces, so it deals out equal rows too and stays as it is.
+    salted = written(found.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))), "pieces")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row for each length
         histogram[row["length"]] = row["n"]
-    places = slots(plan(histogram, capacity))
+    places = slots(plan(histogram, capacity, exact))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("nth", nth).join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("before"))
-    columns = [*found.columns]
 
     def run(batches):
         for batch in batches:
@@ -294,6 +321,9 @@ def packed(found: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*columns, "rank").mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, breaks: str = "spaced", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of each piece of ``docs``."""
-    return packed(written(pieces(docs, tokenizer, end_id, capacity, breaks, keep_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, breaks: str = "spaced", keep_ids: bool = False, exact: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of each piece of ``docs``.
+
+    exact: search without a budget, until no packing with fewer sequences is possible.
+    """
+    return packed(pieces(docs, tokenizer, end_id, capacity, breaks, keep_ids), capacity, exact)

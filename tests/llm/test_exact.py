@@ -236,6 +236,59 @@ def test_op7_packs(spark, folder, texts):
     check_packing(queries.op7_packing(spark, folder).collect(), {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in texts})
 
 
+def rooms_by_best_fit(pieces, capacity):
+    rooms = []
+    for size in sorted(pieces, reverse=True):
+        k = min((k for k, r in enumerate(rooms) if r >= size), key=lambda k: rooms[k], default=None)
+        if k is None:
+            rooms.append(capacity - size)
+        else:
+            rooms[k] -= size
+    return sorted(rooms)
+
+
+def test_op7_best_fit_equals_piece_by_piece():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        capacity = int(rng.integers(10, 60))
+        pieces = np.repeat(rng.integers(1, capacity + 1, 6), rng.integers(1, 9, 6))
+        got = packing.best_fit(np.bincount(pieces, minlength=capacity + 1), capacity)
+        assert sorted(capacity - sum(k * v for k, v in p.items()) for t, p in got for _ in range(t)) == rooms_by_best_fit(pieces.tolist(), capacity)
+
+
+def fewest(pieces, capacity):
+    """The fewest sequences, by trying every sequence for every piece."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for r in {r for r in rooms if r >= pieces[k]}:
+            rest = list(rooms)
+            rest[rest.index(r)] -= pieces[k]
+            place(k + 1, rest)
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_op7_exact_without_budget():
+    rng = np.random.default_rng(4)
+    worse = 0
+    for _ in range(120):
+        capacity = int(rng.integers(12, 40))
+        pieces = rng.integers(max(1, capacity // 8), 3 * capacity // 4, int(rng.integers(5, 11))).tolist()
+        counts, want = np.bincount(pieces, minlength=capacity + 1), fewest(pieces, capacity)
+        count = lambda p: sum(t for t, _ in p)
+        assert count(packing.plan(counts, capacity, exact=True)) == want <= count(packing.plan(counts, capacity))
+        worse += count(packing.best_fit(counts, capacity)) > want
+    assert worse  # some cases need the search
+
+
 def test_op7_never_worse_than_best_fit():
     rng = np.random.default_rng(0)
     for _ in range(6):
