@@ -128,47 +128,52 @@ class Known:
 class Automaton:
     """States: the root, one for each word (the beginning too), one for each pair that doesn't end a text.
 
-    words, pairs and triples with a count above zero in ``word``, ``pair`` and ``triple``
-    have states and arcs; all words have arcs of the root. types: t() of each word.
+    An arc has the number of its n-gram: arcs of the root come first, by word; then those of
+    words, by pair; then those of pairs, by triple. n-grams with a count above zero in
+    ``word``, ``pair`` and ``triple`` have states and arcs; all words have arcs of the root.
+    types: t() of each word.
     """
 
     def __init__(self, tokens: BlockTokens, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, types: np.ndarray, normal: int):
         n, end = len(word), np.searchsorted(tokens.words, END)
-        self.width, self.begin = n, 1 + tokens.begin
+        self.begin, self.pairs_from = 1 + tokens.begin, 1 + n
         plain = (word + 1) / normal
         count = np.concatenate([[1], word, pair]).astype(np.float64)
         t = np.concatenate([[1], types, pair_types(pair, word[tokens.pair_to], types[tokens.pair_to])]).astype(np.float64)
         share = t / np.maximum(count + t, 1)
         self.failure = np.log10(np.where(share > 0, share, 1))
         self.fail_to = np.concatenate([np.zeros(1 + n, np.int64), 1 + tokens.pair_to])
-        # The longest history that a state's arc leads to.
-        word_state = np.where(word > 0, 1 + np.arange(n), 0)
-        pair_state = np.where((pair > 0) & (tokens.pair_to != end), 1 + n + np.arange(len(pair)), 0)
-        seen, thrice = np.flatnonzero(pair > 0), np.flatnonzero(triple > 0)
-        h = 1 + tokens.pair_from.astype(np.int64)
+        h, g = 1 + tokens.pair_from, 1 + n + tokens.triple_from
         of_pair = (pair + t[h] * plain[tokens.pair_to]) / np.maximum(count[h] + t[h], 1)
-        g = 1 + n + tokens.triple_from.astype(np.int64)
         of_triple = (triple + t[g] * of_pair[tokens.triple_to]) / np.maximum(count[g] + t[g], 1)
-        key = np.concatenate([np.arange(n), h[seen] * n + tokens.pair_to[seen], g[thrice] * n + tokens.triple_word[thrice]])
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.weight = np.log10(np.concatenate([plain, of_pair[seen], of_triple[thrice]]))[order]
-        self.next = np.concatenate([word_state, pair_state[seen], pair_state[tokens.triple_to[thrice]]])[order]
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The weight of each step by ``word``, failure arcs included, and the states after it."""
+        self.has = np.concatenate([np.ones(n, bool), pair > 0, triple > 0])
+        weight = np.concatenate([plain, of_pair, of_triple])
+        self.weight = np.log10(np.where(self.has, weight, 1))
+        # An arc leads to the state of the longest history that there is.
+        word_state = np.where(word > 0, 1 + np.arange(n), 0)
+        pair_state = np.where((pair > 0) & (tokens.pair_to != end), 1 + n + np.arange(len(pair)), 0)
+        self.next = np.concatenate([word_state, pair_state, pair_state[tokens.triple_to]])
+
+    def arcs(self, tokens: BlockTokens) -> np.ndarray:
+        """The numbers of the arcs by each token: of the root, of a word and of a pair, if the text's own history leads there."""
+        out = np.zeros((3, len(tokens.word)), np.int64)
+        out[0], out[1] = tokens.word, len(tokens.words) + tokens.pair
+        out[2, tokens.at] = len(tokens.words) + len(tokens.pairs) + tokens.triple
+        return out
+
+    def step(self, state: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of each step by one of ``arcs``, failure arcs included, and the states after it."""
         total, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
         todo = np.arange(len(state))
         while len(todo):
-            want = state * self.width + word
-            arc = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            has = self.key[arc] == want
+            arc = arcs[(state > 0).astype(np.int8) + (state >= self.pairs_from), todo]
+            has = self.has[arc]
             total[todo] += np.where(has, self.weight[arc], self.failure[state])
             after[todo[has]] = self.next[arc[has]]
-            todo, state, word = todo[~has], self.fail_to[state[~has]], word[~has]
+            todo, state = todo[~has], self.fail_to[state[~has]]
         return total, after
 
-    def traverse(self, word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def traverse(self, arcs: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The weight of each token of texts that begin at ``first`` (their end is the last of it).
 
         Texts go in lanes, one token of each at a step. A lane that begins amid a text takes the
@@ -184,10 +189,10 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         at, size, lead = at[order], size[order], lead[order]
         state = np.where(lead > 0, 0, self.begin)
-        out = np.zeros(len(word))
+        out = np.zeros(arcs.shape[1])
         for t in range(int(size.max(initial=0))):
             m = int(np.searchsorted(-size, -t, "left"))
-            weight, state = self.step(state[:m], word[at[:m] + t])
+            weight, state = self.step(state[:m], arcs[:, at[:m] + t])
             counts = t >= lead[:m]
             out[at[:m][counts] + t] = weight[counts]
         return out
@@ -250,7 +255,7 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_
         behind[some] += behind_rest
         triple[asked] += triple_rest
         automaton = Automaton(tokens, known.word_total, known.pair_total, triple, behind, normal)
-        weights = automaton.traverse(tokens.word, tokens.first)
+        weights = automaton.traverse(automaton.arcs(tokens), tokens.first)
         total = known.word_total[tokens.word]
         at = tokens.first[:-1]
         add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]

@@ -373,32 +373,37 @@ def automaton():
 
 def test_op5_weights_of_each_state_sum_to_one(automaton):
     tokens, (word, pair, *_), a = automaton
-    end = int(np.searchsorted(tokens.words, language_model.END))
-    vocabulary = np.flatnonzero((word > 0) & (np.arange(len(word)) != tokens.begin))
+    n, end = len(word), int(np.searchsorted(tokens.words, language_model.END))
+    vocabulary = np.flatnonzero((word > 0) & (np.arange(n) != tokens.begin))
     unknown = np.flatnonzero(word == 0)[:1]  # all unseen words share one place
-    w = np.append(vocabulary, unknown)
-    states = [0, *(1 + np.flatnonzero((word > 0) & (np.arange(len(word)) != end))), *(1 + len(word) + np.flatnonzero((pair > 0) & (tokens.pair_to != end)))]
+    pairs = {(h, w): n + k for k, (h, w) in enumerate(zip(tokens.pair_from.tolist(), tokens.pair_to.tolist()))}
+    triples = {(h, w): n + len(pair) + k for k, (h, w) in enumerate(zip(tokens.triple_from.tolist(), tokens.triple_word.tolist()))}
+    none = int(np.flatnonzero(~a.has)[0])  # stands for n-grams that no text holds
+    states = [(0, None, None), *((1 + h, h, None) for h in np.flatnonzero((word > 0) & (np.arange(n) != end)).tolist())]
+    states += [(1 + n + k, int(tokens.pair_to[k]), k) for k in np.flatnonzero((pair > 0) & (tokens.pair_to != end)).tolist()]
     assert len(states) > 8
-    for s in states:
-        assert (10 ** a.step(np.full(len(w), s), w)[0]).sum() == pytest.approx(1)
+    for s, h, k in states:
+        arcs = np.array([[w, pairs.get((h, w), none), triples.get((k, w), none)] for w in [*vocabulary.tolist(), *unknown.tolist()]]).T
+        assert (10 ** a.step(np.full(arcs.shape[1], s), arcs)[0]).sum() == pytest.approx(1)
 
 
 def test_op5_failure_arcs_and_carried_state_count(automaton):
     tokens, _, a = automaton
-    weights = a.traverse(tokens.word, tokens.first)
+    arcs = a.arcs(tokens)
+    weights = a.traverse(arcs, tokens.first)
     state, slow = None, []
-    for i, w in enumerate(tokens.word):  # one token after the other, one state carried
+    for i in range(len(tokens.word)):  # one token after the other, one state carried
         state = np.array([a.begin]) if i in set(tokens.first.tolist()) else state
-        weight, state = a.step(state, np.array([w]))
+        weight, state = a.step(state, arcs[:, i : i + 1])
         slow.append(weight[0])
     assert weights == pytest.approx(np.array(slow))
     kept, a.failure = a.failure, np.zeros(len(a.failure))
-    free = a.traverse(tokens.word, tokens.first)
+    free = a.traverse(arcs, tokens.first)
     a.failure = kept
     last = tokens.first[-2]  # training texts meet no unseen n-gram
     assert free[last:].sum() > weights[last:].sum() + 100 and free[:last] == pytest.approx(weights[:last])
     # Without a carried state every token would be scored from the root.
-    assert not np.allclose(a.step(np.zeros(len(weights), int), tokens.word)[0], weights)
+    assert not np.allclose(a.step(np.zeros(len(weights), int), arcs)[0], weights)
 
 
 def test_counts_messages():
