@@ -1,17 +1,19 @@
 """Benchmark decontamination by a prefix-filtered set join, in DataFrame functions only.
 
 A window is ``width`` consecutive words of an item (all of them, if it has fewer); a
-document is hit where a window occurs in it word for word. As a join of sets with full
-containment, one token of a window is a sufficient prefix: its rarest word, by counts over
-all documents. Documents' words join these tokens; the token's place in its window gives
-the place where the window would begin, which must lie within the document (positional and
-length bounds); what is left is verified word for word over the item-sized window.
-
-A document's words stay one array next to the exploded word, so the check reads the words
+document is hit where a window occurs in it word for word. As a join of sets, a window is
+the set of its shingles (SHINGLE words each; a shorter window is one shingle), ordered by
+rarity: their counts over all documents. As all of them must be contained, the prefix that
+any match must share is one shingle, the rarest. Documents' shingles join these tokens;
+the token's place in its window gives the place where the window would begin, which must
+lie within the document (positional and length bounds); what is left is verified word for
+word over the item-sized window.
+
+A document's words stay one array next to the exploded place, so the check reads the words
 around a match in place: one pass over the documents, no shuffle of words or texts. The
 windows are broadcast in parts of at most ``part`` windows; a larger benchmark takes one
-pass for each part. Words are compared in full lower case to find candidates, and with A-Z
-alone lower-cased to verify them.
+pass for each part. Shingles are compared as hashes of words in full lower case, to find
+candidates; windows are verified on the words themselves, with A-Z alone lower-cased.
 
 Defined cases: null and empty texts have no words and no hits; items without words or
 item_id are left out; windows that several items share count for each; rows that repeat
@@ -24,12 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.llm._store import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PART = 1_000_000
-#: Stands for the end of a document; no word holds a space.
-END = " "
+#: Words of a shingle.
+SHINGLE = 5
+#: Stands for the place behind a document's last word.
+END = 0
 
 
 def word_array(text: Column) -> Column:
@@ -48,39 +54,61 @@ def windows(items: DataFrame, width: int) -> DataFrame:
     return cut.select("item_id", F.array_join("words", " ").alias("body"), F.size("words").alias("size"), "words").dropDuplicates(["item_id", "body"])
 
 
-def tokens(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``found`` windows with the rarest word of each (token) and its place in the window (ahead)."""
-    spread = found.select("item_id", "body", "size", F.posexplode("words").alias("ahead", "word")).withColumn("token", F.lower("word"))
+def shingle(words: Column, at: Column, size: Column) -> Column:
+    """A hash of the shingle of ``size`` words (SHINGLE at most) at place ``at``; it may be that of other words too."""
+    return F.xxhash64(size, *[F.when(size > i, F.get(words, at + i)) for i in range(SHINGLE)])
+
+
+def tokens(docs: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
+    """``found`` windows with their rarest shingle (token) and its place in the window (ahead). docs: (doc_id, low)."""
+    size = F.least(F.col("size"), F.lit(SHINGLE))
+    low = F.transform("words", F.lower)
+    spread = found.select("item_id", "body", "size", low.alias("low"), F.explode(F.sequence(F.lit(0), F.col("size") - size)).alias("ahead"))
+    spread = spread.select("item_id", "body", "size", "ahead", shingle(F.col("low"), F.col("ahead"), size).alias("token"))
     vocabulary = spread.select("token").distinct()
     small = vocabulary.count() <= PART
-    said = docs.select(F.explode(word_array(F.col("text"))).alias("word")).select(F.lower("word").alias("token"))
     near = F.broadcast if small else (lambda table: table)
-    counts = said.join(near(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counts = doc_tokens(docs, lengths).join(near(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
     ranked = spread.join(near(counts), "token", "left")
     order = Window.partitionBy("item_id", "body").orderBy(F.coalesce("n", F.lit(0)), "token", "ahead")
     return ranked.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("item_id", "body", "size", "token", "ahead")
 
 
+def doc_tokens(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``docs`` (with low, its words in lower case) with a row for each shingle of ``lengths`` words: pos and token, and one for the end."""
+    n = F.size("low")
+    placed = docs.select("*", n.alias("n_words"), F.explode(F.sequence(F.lit(0), n)).alias("pos"))
+    each = [F.when(F.col("pos") + k <= F.col("n_words"), shingle(F.col("low"), F.col("pos"), F.lit(k))) for k in lengths]
+    last = F.col("pos") == F.col("n_words")
+    if len(lengths) == 1:
+        return placed.withColumn("token", F.when(last, F.lit(END).cast("long")).otherwise(each[0]))
+    return placed.withColumn("token", F.explode(F.when(last, F.array(F.lit(END).cast("long"))).otherwise(F.array(*each))))
+
+
 def hits(docs: DataFrame, items: DataFrame, width: int = 10, part: int = PART) -> DataFrame:
     """(doc_id, tag, n_words, copies, found): a row for each distinct document; found: (item_id, at, size) of each occurrence."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = tokens(texts, windows(items, width))
-    parts = max(1, -(-windows(items, width).count() // part))
+    found = windows(items, width)
+    # Full lower case neither makes nor removes what stands between words.
+    low = word_array(F.lower("text")).alias("low")
+    # At most SHINGLE numbers.
+    lengths = sorted(r[0] for r in found.select(F.least(F.col("size"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
+    keyed = tokens(texts.select("doc_id", low), found, lengths)
+    parts = max(1, -(-found.count() // part))
     keyed = keyed.withColumn("part", F.pmod(F.xxhash64("body", "item_id"), F.lit(parts)))
-    worded = texts.select("doc_id", F.xxhash64("text").alias("tag"), word_array(F.col("text")).alias("words"))
-    spread = worded.select("doc_id", "tag", "words", F.size("words").alias("n_words"), F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("pos", "word"))
-    spread = spread.withColumn("token", F.lower("word"))
+    spread = doc_tokens(texts.select("doc_id", F.xxhash64("text").alias("tag"), word_array(F.col("text")).alias("words"), low), lengths)
     none = F.lit(None).cast("string")
-    end = docs.sparkSession.range(1).select(none.alias("item_id"), none.alias("body"), F.lit(0).alias("size"), F.lit(END).alias("token"), F.lit(0).alias("ahead"))
+    end = docs.sparkSession.range(1).select(none.alias("item_id"), none.alias("body"), F.lit(0).alias("size"), F.lit(END).cast("long").alias("token"), F.lit(0).alias("ahead"))
     out = None
     for k in range(parts):
         some = keyed.where(F.col("part") == k).drop("part")
         some = some.unionByName(end) if k == 0 else some
         at = F.col("pos") - F.col("ahead")
-        inside = (at >= 0) & (at + F.col("size") <= F.col("n_words"))
+        inside = (F.col("pos") < F.col("n_words")) & (at >= 0) & (at + F.col("size") <= F.col("n_words"))
         same = ascii_lower(F.array_join(F.slice("words", at + 1, F.col("size")), " ")) == F.col("body")
+        kept = F.when(F.col("body").isNull(), F.col("pos") == F.col("n_words")).otherwise(inside & same)
         # The right side has at most ``part`` windows.
-        joined = spread.join(F.broadcast(some), (spread["token"] == some["token"]) & (F.col("body").isNull() | (inside & same)))
+        joined = spread.join(F.broadcast(some), (spread["token"] == some["token"]) & kept)
         joined = joined.select("doc_id", "tag", "n_words", "item_id", at.alias("at"), "size")
         out = joined if out is None else out.unionByName(joined)
     found = F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("item_id", "at", "size")))
@@ -97,6 +125,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of ``items`` occurs."""
-    dirty = hits(docs, items, width).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
-    match = docs["doc_id"].cast("long").eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"].cast("string")) == dirty["_tag"])
-    return docs.join(dirty, match, "left_anti")
+    dirty = written(hits(docs, items, width).where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")), "dirty")
+    # Few enough are broadcast, so that texts aren't shuffled.
+    near = F.broadcast(dirty) if dirty.count() <= PART else dirty
+    match = docs["doc_id"].cast("long").eqNullSafe(near["_id"]) & (F.xxhash64(docs["text"].cast("string")) == near["_tag"])
+    return docs.join(near, match, "left_anti")

@@ -18,10 +18,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remaind
     """(doc_id, text, label) of ``rows`` labelled training documents at most, the least by a hash of doc_id.
 
     Documents whose crc32 leaves ``remainder`` never train. The join's small side has
-    ``rows`` rows at most, so it is broadcast whatever the tables' size.
+    ``rows`` rows at most, so it is broadcast whatever the tables' size. Of rows that repeat
+    a doc_id the one whose text has the least hash trains.
     """
     trains = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string")), F.lit(modulus)) != remainder
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(trains & F.col("label").isin(0, 1))
     order = F.xxhash64("doc_id", F.lit(7))
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marked), "doc_id")
+    text = F.col("text").cast("string").alias("text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(marked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")

@@ -1,26 +1,37 @@
 """Nearest neighbours by largest inner product, through a hierarchical k-means tree.
 
-The tree is fitted on the driver over a bounded sample (``sample`` rows) of vectors, each
-with one component more that evens out the norms, so that largest inner product is least
-distance. Every row is then indexed: it goes down to the leaf of the nearest centre. A
-query visits leaves best first: a priority queue holds the branches met so far by their
-centre's distance, and the nearest is opened next. How many leaves a query visits is
-calibrated: visits are widened until sampled queries find ``recall`` of their true
-neighbours among sampled rows. Within a leaf all rows are compared, in double precision.
-
-Leaves are cut into chunks of bounded size and so are the queries that visit them, so a
-leaf that holds a third of all rows is as many small tasks. A chunk returns the best
-``k`` of each query, and of a query's later visits only what beats its first visits.
+Vectors get one component more that evens out the norms, so that largest inner product is
+least distance. The tree's upper part is fitted on the driver over a bounded sample
+(``sample`` rows). Where there are more rows than its leaves should hold, each leaf's rows
+fit a part below it on an executor, again over a bounded sample, so the number of leaves
+grows with the rows (65,536 at most, which bounds what is sent to the executors). Every
+row is then indexed: it goes down to the leaf of the nearest centre.
+
+A query visits leaves best first through a priority queue, in two steps. The first visits
+``first_visits`` leaves by their centres' distance; its k-th best score is the query's floor. The
+second follows the bound q.c + |q| m r of each leaf, r the root mean square distance of its rows
+to its centre c, and of each branch, so that no leaf below has a greater one; it ends where the
+best bound is not above the floor. So queries whose neighbours lie spread over many leaves
+widen their visits by themselves. The margin m is calibrated on ``queries`` sampled queries and
+their true neighbours among all rows: the least at which their recall is ``recall`` on the whole and
+``least_recall`` for all but one in twenty of them. Scores are in double precision.
+
+Leaves that lie together are bins of bounded size; a query is sent once to each bin with
+the leaves it visits there. A leaf that holds a third of all rows is as many bins, and the
+queries of a bin are dealt out too. A bin returns the best ``k`` of each query that reach
+its floor.
 
 Defined cases: vectors that are null, zero, of another length than most or hold null or
 non-finite components take no part, as queries or as candidates, nor do rows without id;
-rows that repeat an id are one row, with the vector that is largest as an array; with fewer than ``k`` candidates all are returned; ties go to the smaller
-id; other columns are ignored; an empty table gives an empty result.
+rows that repeat an id are one row, with the vector that is largest as an array; with fewer
+than ``k`` candidates all are returned; ties go to the smaller id; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +84,63 @@ class Tree:
             if out:
                 return np.array(self.leaf)[node]
 
+    def graft(self, below: dict[int, Tree]) -> None:
+        """Puts a tree below each leaf that ``below`` names; leaves are numbered anew, those of one tree together."""
+        centres, at, order = [self.centres], {leaf: node for node, leaf in enumerate(self.leaf) if leaf >= 0}, []
+        for leaf in range(self.leaves):
+            tree, node = below.get(leaf), at[leaf]
+            if tree is None or tree.leaves < 2:
+                order.append(node)
+                continue
+            shift = len(self.children) - 1  # its root stands for the leaf
+            moved = lambda n: node if n == 0 else n + shift  # noqa: B023, E731
+            self.children[node] = [moved(n) for n in tree.children[0]]
+            self.children += [[moved(n) for n in kids] for kids in tree.children[1:]]
+            centres.append(tree.centres[1:])
+            order += [moved(n) for n in sorted((n for n, x in enumerate(tree.leaf) if x >= 0), key=lambda n: tree.leaf[n])]
+        self.centres, self.leaf, self.leaves = np.concatenate(centres), [-1] * len(self.children), len(order)
+        for k, node in enumerate(order):
+            self.leaf[node] = k
+
+    def leaf_centres(self) -> np.ndarray:
+        out = np.zeros((self.leaves, self.centres.shape[1]))
+        for node, leaf in enumerate(self.leaf):
+            if leaf >= 0:
+                out[leaf] = self.centres[node]
+        return out
+
+    def set_reach(self, radius: np.ndarray, margin: float) -> None:
+        """reach: how far beyond a node's centre a query's bound goes; radius: of each leaf."""
+        self.reach, centre = np.zeros(len(self.leaf)), self.leaf_centres()
+
+        def below(node: int) -> list[int]:
+            kids = self.children[node]
+            leaves = [x for k in kids for x in below(k)] if kids else [self.leaf[node]]
+            apart = np.sqrt(((centre[leaves] - self.centres[node]) ** 2).sum(1)) if kids else 0.0
+            self.reach[node] = (apart + margin * radius[leaves]).max() * (1 + 1e-9) if kids else margin * radius[leaves[0]]
+            return leaves
+
+        below(0)
+
+    def visit_above(self, q: np.ndarray, floor: float) -> list[int]:
+        """Leaves whose bound is above ``floor``, best first. q has the component that evens out norms."""
+        size, out = float(np.sqrt(q @ q)), []
+        queue = [(-np.inf, 0)]
+        while queue:
+            bound, node = heapq.heappop(queue)
+            if -bound <= floor:
+                break
+            kids = self.children[node]
+            if kids:
+                for value, k in zip((self.centres[kids] @ q + size * self.reach[kids]).tolist(), kids):
+                    if value > floor:
+                        heapq.heappush(queue, (-value, k))
+            else:
+                out.append(self.leaf[node])
+        return out
+
     def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-first order, ``most`` at most."""
+        """Leaves by their centres' distance, best first, ``most`` at most."""
         queue, out = [(0.0, 0)], []
         while queue and len(out) < most:
             _, node = heapq.heappop(queue)
@@ -116,9 +182,11 @@ def as_query(q: np.ndarray) -> np.ndarray:
     return np.hstack([q, np.zeros((len(q), 1))])
 
 
-def best_of(q_ids, q, ids, x, k, floor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query place, row place, score) of each query's best ``k`` rows by (score, -id) that reach its ``floor``."""
+def best_of(q_ids, q, ids, x, k, floor, among=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, row place, score) of each query's best ``k`` rows by (score, -id) that reach its ``floor``; among: the rows that count for each query."""
     rough = q @ x.T
+    if among is not None:
+        rough[~among] = -np.inf
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
     edge = 1e-9 * (1 + np.abs(np.where(np.isfinite(rough), rough, 0)).max(initial=0))
     least = floor if len(ids) <= k else np.maximum(floor, np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k])
@@ -134,84 +202,209 @@ def best_of(q_ids, q, ids, x, k, floor) -> tuple[np.ndarray, np.ndarray, np.ndar
     return i[keep], j[keep], score[keep]
 
 
-def calibrated_visits(tree: Tree, x: np.ndarray, ids: np.ndarray, norm: float, k: int, recall: float, queries: int = 256) -> int:
-    """The least number of visited leaves at which sampled queries find ``recall`` of their ``k`` best sampled rows."""
-    some = np.argsort(ids * 2654435761 % (1 << 32))[:queries]
-    leaf = tree.assign(raised(x, norm))
-    i, j, _ = best_of(ids[some], x[some], ids, x, k, np.full(len(some), -np.inf))
-    if not len(i):
-        return tree.leaves
-    order = np.empty((len(some), tree.leaves), np.int64)
-    for n, q in enumerate(as_query(x[some])):
-        order[n, tree.visit(q, tree.leaves)] = np.arange(tree.leaves)
-    need = np.sort(order[i, leaf[j]])
-    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
+def calibrated_margin(scored: dict[int, list[tuple[float, float]]], recall: float, least_recall: float) -> float:
+    """The least margin at which the sampled queries reach ``recall`` together and ``least_recall`` each, but for one in twenty.
+
+    scored: for each query the margins at which each of its true neighbours is visited.
+    """
+    every = np.sort(np.concatenate([np.array(m) for m in scored.values()])) if scored else np.zeros(0)
+    if not len(every):
+        return 0.0
+    together = every[min(len(every) - 1, int(np.ceil(recall * len(every))) - 1)]
+    each = np.sort([np.sort(m)[int(np.ceil(least_recall * len(m))) - 1] for m in scored.values()])
+    return float(max(together, each[int(np.ceil(0.95 * len(each))) - 1]) + 1e-9)
 
 
-def nearest(vectors: DataFrame, query_every: int, id_column: str, vector_column: str, k: int = 20, recall: float = 0.97, sample: int = 20_000, leaves: int = 256, first_visits: int = 4) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row whose id ``query_every`` divides."""
+def bins(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each leaf, chunks of each bin): leaves in order go together up to CHUNK rows; a larger one is alone, in chunks."""
+    bin_of, chunks, held = np.zeros(len(sizes), np.int64), [], CHUNK
+    for leaf, n in enumerate(sizes.tolist()):
+        if held + n > CHUNK:
+            chunks.append(max(1, -(-n // CHUNK)))
+            held = 0
+        held += n
+        bin_of[leaf] = len(chunks) - 1
+    return bin_of, np.array(chunks, np.int64)
+
+
+def nearest(
+    vectors: DataFrame, query_every: int, id_column: str, vector_column: str, k: int = 20, recall: float = 0.97, least_recall: float = 0.9,
+    sample: int = 20_000, leaf_rows: int = 64, leaves: int = 256, first_visits: int = 4, queries: int = 256,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row whose id ``query_every`` divides.
+
+    leaf_rows: rows that a leaf should hold; leaves: the most that one fitted part of the tree has.
+    """
+    return search(vectors, query_every, id_column, vector_column, k, recall, least_recall, sample, leaf_rows, leaves, first_visits, queries)[0]
+
+
+def search(vectors, query_every, id_column, vector_column, k=20, recall=0.97, least_recall=0.9, sample=20_000, leaf_rows=64, leaves=256, first_visits=4, queries=256) -> tuple[DataFrame, dict]:
+    """nearest() and figures: rows, leaves, margin, and (a DataFrame) how many leaves and rows each query's second step visits."""
+    spark = vectors.sparkSession
     base = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("id is not null and v is not null")
     fine = base.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     head = fine.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm2).alias("m")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if head is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), {}
     fine, norm = fine.where(F.size("v") == head["d"]), float(np.sqrt(head["m"]))
     fitted = fine.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    ids, x = fitted.column("id").to_numpy(), vectors_of(fitted.column("v"))
-    tree = Tree(raised(x, norm), max(1, min(leaves, len(x) // 16)))
-    visits = calibrated_visits(tree, x, ids, norm, k, recall)
+    x = raised(vectors_of(fitted.column("v")), norm)
+    tree = Tree(x, max(1, min(leaves, len(x) // 16, -(-head["n"] // leaf_rows))))
 
     def place(batches):
+        centre = tree.leaf_centres()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(raised(vectors_of(batch.column("v")), norm)).astype(np.int32)), batch.column("id"), batch.column("v")], ["leaf", "id", "v"])
+            if batch.num_rows:
+                v = raised(vectors_of(batch.column("v")), norm)
+                leaf = tree.assign(v)
+                apart = ((v - centre[leaf]) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(apart), batch.column("id"), batch.column("v")], ["leaf", "apart", "id", "v"])
+
+    placed = "leaf int, apart double, id long, v array<double>"
+    rows = written(fine.groupBy("id").agg(F.max("v").alias("v")).mapInArrow(place, placed), "leaves")
+    held = lambda: rows.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("apart").alias("s")).collect()  # noqa: E731  (a row for each leaf)
+    counts = {r["leaf"]: r["n"] for r in held()}
+    wide = {leaf: min(leaves, n // leaf_rows) for leaf, n in counts.items() if n >= 2 * leaf_rows}
+    if wide:
+        below: dict[int, Tree] = {}
+
+        def fit(group: pa.Table) -> pa.Table:
+            leaf = group.column("leaf")[0].as_py()
+            group = group.sort_by("id")
+            v = raised(vectors_of(group.column("v")), norm)
+            return pa.table({"leaf": pa.array([leaf], pa.int32()), "tree": pa.array([pickle.dumps(Tree(v, max(1, min(wide[leaf], len(v) // 8))))], pa.binary())})
+
+        share = spark.createDataFrame([(leaf, sample / counts[leaf]) for leaf in wide], "leaf int, share double")
+        drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        some = rows.join(F.broadcast(share), "leaf").where(drawn).select("leaf", "id", "v")
+        # At most ``leaves`` trees of at most ``leaves`` leaves come back.
+        for r in some.groupBy("leaf").applyInArrow(fit, "leaf int, tree binary").collect():
+            below[r["leaf"]] = pickle.loads(r["tree"])
+        tree.graft(below)
+        rows = written(rows.select("id", "v").mapInArrow(place, placed), "leaves")
+    size, radius = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves)
+    for r in held():
+        size[r["leaf"]], radius[r["leaf"]] = r["n"], np.sqrt(r["s"] / r["n"])
+    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).select("id", "v")
+
+    # Sampled queries against all rows: their true neighbours, and their floors after the first visits.
+    few = asked.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(queries).toArrow().sort_by("id")
+    few_ids, few_q = few.column("id").to_numpy(), vectors_of(few.column("v"))
+    if not len(few_ids):
+        return spark.createDataFrame([], schema), {}
+    near = [set(tree.visit(q, first_visits)) for q in as_query(few_q)]
+
+    def true_best(batches):
+        held: list = [None, None]
+        near_of = np.zeros((len(few_ids), tree.leaves), bool)
+        for n, s in enumerate(near):
+            near_of[n, list(s)] = True
+
+        def better(old, i, ids, leaf, score):
+            """The best ``k`` of each query among ``old`` and these."""
+            i, ids, leaf, score = (np.concatenate(p) for p in zip(old, (i, ids, leaf, score))) if old else (i, ids, leaf, score)
+            order = np.lexsort((ids, -score, i))
+            i, ids, leaf, score = i[order], ids[order], leaf[order], score[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(few_ids)))[i] < k if len(i) else np.zeros(0, bool)
+            return i[keep], ids[keep], leaf[keep], score[keep]
 
-    def route(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                seen = [tree.visit(q, visits) for q in as_query(vectors_of(part.column("v")))]
-                size = [len(s) for s in seen]
-                row = pa.array(np.repeat(np.arange(part.num_rows), size))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen).astype(np.int32)), pa.array(np.concatenate([np.arange(s) for s in size]).astype(np.int32)), part.column("id").take(row), part.column("v").take(row)], ["leaf", "visit", "id", "v"])
-
-    one = fine.groupBy("id").agg(F.max("v").alias("v"))
-    rows = written(one.mapInArrow(place, "leaf int, id long, v array<double>"), "leaves")
-    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).select("id", "v").mapInArrow(route, "leaf int, visit int, id long, v array<double>")
-    # At most one row for each leaf comes to the driver.
-    row_chunks = {r["leaf"]: -(-r["n"] // CHUNK) for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    chunk_map = vectors.sparkSession.createDataFrame(sorted(row_chunks.items()), "leaf int, chunks long")
-
-    def found(queries: DataFrame) -> DataFrame:
+            for a in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(a, CHUNK)
+                ids, leaf, v = part.column("id").to_numpy(), part.column("leaf").to_numpy(), vectors_of(part.column("v"))
+                for kind in (0, 1):
+                    i, j, score = best_of(few_ids, few_q, ids, v, k, np.full(len(few_ids), -np.inf), near_of[:, leaf] if kind else None)
+                    held[kind] = better(held[kind], i, ids[j], leaf[j], score)
+        for kind, found in enumerate(held):
+            if found:
+                i, ids, leaf, score = found
+                yield pa.RecordBatch.from_arrays([pa.array(few_ids[i]), pa.array(np.full(len(i), kind, np.int32)), pa.array(ids), pa.array(leaf), pa.array(score)], ["query_id", "kind", "vec_id", "leaf", "score"])
+
+    best = rows.mapInArrow(true_best, "query_id long, kind int, vec_id long, leaf int, score double")
+    nth = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "vec_id"))
+    true: dict[tuple[int, int], list] = {}
+    for r in best.withColumn("nth", nth).where(F.col("nth") <= k).collect():  # 2 k rows for each sampled query
+        true.setdefault((r["query_id"], r["kind"]), []).append((r["score"], r["leaf"]))
+    needed, centre = {}, tree.leaf_centres()
+    for n, (i, q) in enumerate(zip(few_ids.tolist(), as_query(few_q))):
+        first = sorted((s for s, _ in true.get((i, 1), [])), reverse=True)
+        floor = first[k - 1] if len(first) >= k else -np.inf
+        lacks = lambda leaf: (floor - q @ centre[leaf]) / (np.sqrt(q @ q) * max(radius[leaf], 1e-12))  # noqa: B023, E731
+        if (i, 0) in true:
+            needed[i] = [0.0 if leaf in near[n] or floor == -np.inf else max(0.0, float(lacks(leaf))) for _, leaf in true[i, 0]]
+    margin = calibrated_margin(needed, recall, least_recall)
+    tree.set_reach(radius, margin)
+    bin_of, chunks = bins(size)
+    spread = spark.createDataFrame([(b, int(c)) for b, c in enumerate(chunks.tolist())], "bin long, chunks long")
+
+    def route(seen_by):
+        """Queries with the bins and leaves that ``seen_by`` (vector, floor) gives them."""
+
+        def run(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    of, to, leaf_lists = [], [], []
+                    for n, (q, floor) in enumerate(zip(as_query(vectors_of(part.column("v"))), part.column("floor").to_pylist())):
+                        seen = np.sort(np.array(list(seen_by(q, floor)), np.int32))
+                        cuts = np.flatnonzero(np.diff(bin_of[seen])) + 1 if len(seen) else []
+                        for leaf_list in np.split(seen, cuts) if len(seen) else []:
+                            of.append(n)
+                            to.append(int(bin_of[leaf_list[0]]))
+                            leaf_lists.append(leaf_list.tolist())
+                    of = pa.array(of, pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(leaf_lists, pa.list_(pa.int32())), *(part.column(c).take(of) for c in ("id", "v", "floor"))], ["bin", "leaves", "id", "v", "floor"])
+
+        return lambda table: table.select("id", "v", "floor").mapInArrow(run, "bin long, leaves array<int>, id long, v array<double>, floor double")
+
+    def binned(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bin_of[batch.column("leaf").to_numpy()]), *(batch.column(c) for c in ("leaf", "id", "v"))], ["bin", "leaf", "id", "v"])
+
+    in_bins = rows.mapInArrow(binned, "bin long, leaf int, id long, v array<double>")
+
+    def found(sent: DataFrame) -> DataFrame:
         """Scores of the routed queries against their leaves' rows, chunk by chunk."""
-        query_chunks = queries.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("parts"))
-        dealt = F.broadcast(chunk_map.join(query_chunks, "leaf"))  # at most one row for each leaf
-        left = queries.join(dealt, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        right = rows.join(dealt, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        parts = sent.groupBy("bin").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("parts"))
+        dealt = F.broadcast(spread.join(parts, "bin"))  # at most one row for each leaf
+        left = sent.join(dealt, "bin").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        right = in_bins.join(dealt, "bin").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 
         def score(a: pa.Table, b: pa.Table) -> pa.Table:
-            empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            if not a.num_rows or not b.num_rows:
-                return empty
-            q_ids, row_ids, q, x = a.column("id").to_numpy(), b.column("id").to_numpy(), vectors_of(a.column("v")), vectors_of(b.column("v"))
-            floor, out = a.column("floor").to_numpy(), []
-            for s in range(0, len(q), 512):
-                i, j, value = best_of(q_ids[s : s + 512], q[s : s + 512], row_ids, x, k, floor[s : s + 512])
-                out.append((q_ids[s + i], row_ids[j], value))
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if a.num_rows and b.num_rows:
+                q_ids, row_ids, q, v = a.column("id").to_numpy(), b.column("id").to_numpy(), vectors_of(a.column("v")), vectors_of(b.column("v"))
+                floor, leaf = a.column("floor").to_numpy(), b.column("leaf").to_numpy()
+                lists = a.column("leaves").combine_chunks()
+                wanted, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+                for one in np.unique(leaf).tolist():
+                    mine, some = np.flatnonzero(leaf == one), of[wanted == one]
+                    for s in range(0, len(some), 512):
+                        n = some[s : s + 512]
+                        i, j, value = best_of(q_ids[n], q[n], row_ids[mine], v[mine], k, floor[n])
+                        out.append((q_ids[n[i]], row_ids[mine[j]], value))
             qs, vs, ss = (np.concatenate(y) for y in zip(*out))
-            return pa.table({"query_id": qs, "vec_id": vs, "score": ss})
+            # Of a query's leaves in this bin the best ``k`` go on.
+            order = np.lexsort((vs, -ss, qs))
+            qs, vs, ss = qs[order], vs[order], ss[order]
+            keep = np.arange(len(qs)) - np.searchsorted(qs, qs) < k
+            return pa.table({"query_id": qs[keep], "vec_id": vs[keep], "score": ss[keep]})
 
-        keys = ["leaf", "chunk", "part"]
-        return left.select(*keys, "id", "v", "floor").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
+        keys = ["bin", "chunk", "part"]
+        return left.select(*keys, "leaves", "id", "v", "floor").groupBy(*keys).cogroup(right.select(*keys, "leaf", "id", "v").groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
 
     def ranked(pairs: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return pairs.withColumn("rank", nth).where(F.col("rank") <= k)
 
-    asked = written(asked, "visits")
-    first = written(ranked(found(asked.where(F.col("visit") < first_visits).withColumn("floor", F.lit(float("-inf"))))), "first-visits")
+    none = F.lit(float("-inf"))
+    once = written(route(lambda q, floor: tree.visit(q, first_visits))(asked.withColumn("floor", none)), "first-visits")
+    first = written(ranked(found(once)), "first-found")
     floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    later = asked.where(F.col("visit") >= first_visits).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    every = first.select("query_id", "vec_id", "score").unionByName(found(later))
-    return ranked(every).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    lacking = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", none))
+    again = written(route(lambda q, floor: set(tree.visit_above(q, floor)) - set(tree.visit(q, first_visits)))(lacking), "later-visits")
+    every = first.select("query_id", "vec_id", "score").unionByName(found(again))
+    out = ranked(every).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out, {"rows": int(size.sum()), "leaves": tree.leaves, "margin": margin, "sizes": size, "later": again}

@@ -84,7 +84,7 @@ class Machine:
     def __init__(self, texts: pa.Array, label: np.ndarray, epochs: int = 12, rate: float = 0.02, decay: float = 1e-4, seed: int = 1):
         self.share = float(label.mean()) if len(label) else 0.5
         self.factors = None
-        if not 0 < label.sum() < len(label) or len(label) < 50:
+        if not 0 < label.sum() < len(label):
             return
         row, bucket, share, stats = inputs(*B.column_bytes(texts))
         self.middle, self.scale = stats.mean(0), np.maximum(stats.std(0), 1e-6)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import blocks, bucket_count, pack, read_block, unpack, with_key, written
+from quernstone.llm._store import blocks, bucket_count, dealt, pack, read_block, unpack, with_key, written
 
 GRAM = 32
 BLOCK_BYTES = 3 << 20
@@ -241,7 +241,8 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
     """``result`` of each block's rows, bytes, row places, and removed ranges with the n+1 places where rows' ranges begin."""
     length = max(length, GRAM)
     table = blocks(docs, "repeat-blocks", BLOCK_BYTES)
-    n, groups = bucket_count(table, BUCKET_BYTES), max(1, -(-table.count() // GROUP))
+    n, many = bucket_count(table, BUCKET_BYTES), table.count()
+    groups = max(1, -(-many // GROUP))
     request = "bucket long, block_id long, body binary"
 
     def opened(folder, path):
@@ -253,7 +254,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         """The doc_id and the hash of the text of each row."""
         return rows.column("doc_id").fill_null(LOWEST).to_numpy(), B.span_hashes(buf, offsets[:-1], offsets[1:]).view(np.int64)
 
-    def dealt(bucket_of, block_id, columns):
+    def messages(bucket_of, block_id, columns):
         """One request for each bucket that gets rows of ``columns``; text goes as sizes and bytes."""
         order = np.argsort(bucket_of, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket_of[order])) + 1, [len(order)]]) if len(order) else [0]
@@ -274,7 +275,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
             for block_id, *place in zip(*(batch.column(c).to_pylist() for c in ("block_id", "folder", "path"))):
                 _, buf, offsets = opened(*place)
                 keys, _, counts, _ = distinct_keys(buf, offsets)
-                yield as_batch(dealt((keys % np.uint64(n)).astype(np.int64), block_id, lambda part: pa.table({"key": keys[part], "count": counts[part]})))
+                yield as_batch(messages((keys % np.uint64(n)).astype(np.int64), block_id, lambda part: pa.table({"key": keys[part], "count": counts[part]})))
             B.give_back()
 
     def answer_keys(group: pa.Table) -> pa.Table:
@@ -322,7 +323,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
 
         to = (key[sent] % np.uint64(n)).astype(np.int64)
         mine = int(B.mix(np.array([block_id], np.uint64))[0] % np.uint64(groups))
-        out = list(dealt(np.where(hot_[sent], -1 - (to * groups + mine), to), block_id, columns))
+        out = list(messages(np.where(hot_[sent], -1 - (to * groups + mine), to), block_id, columns))
         if len(known):
             out.append((block_id % n, block_id, b"known" + pack(pa.table({"doc": doc[known].astype(np.uint32), "start": at[known].astype(np.uint32), "end": (at + size)[known].astype(np.uint32)}))))
         B.give_back()
@@ -351,7 +352,7 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
                 sizes = np.full(len(part), length)
                 return pa.table({"key": key[part], "lead": np.zeros(len(part), np.uint16), "size": sizes.astype(np.uint32), "id": c["id"][r], "tag": c["tag"][r], "at": (at[r] + step[part]).astype(np.uint32), "doc": c["doc"][r], "text": text_column(take(buf, start[part], sizes), sizes)})
 
-            out += [(k, i, b"string" + body) for k, i, body in dealt((key % np.uint64(n)).astype(np.int64), block_id, columns)]
+            out += [(k, i, b"string" + body) for k, i, body in messages((key % np.uint64(n)).astype(np.int64), block_id, columns)]
         return out
 
     def answer_text(group: pa.Table) -> pa.Table:
@@ -414,13 +415,15 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         B.give_back()
         return out
 
-    keyed = table.select("block_id", "folder", "path")
-    flags = keyed.mapInArrow(ask_keys, request).groupBy("bucket").applyInArrow(answer_keys, request)
-    texts = keyed.groupBy("block_id").cogroup(flags.groupBy("block_id")).applyInArrow(ask_text, request)
-    found = written(texts.groupBy("bucket").applyInArrow(answer_text, request), "repeat-answers")
+    keyed = dealt(table.select("block_id", "folder", "path"), "block_id", many)
+    of_block = lambda answers: keyed.groupBy("block_id").cogroup(dealt(answers, "block_id", many).groupBy("block_id"))
+    in_bucket = lambda asked: dealt(asked, "bucket", n).groupBy("bucket")
+    flags = in_bucket(keyed.mapInArrow(ask_keys, request)).applyInArrow(answer_keys, request)
+    texts = of_block(flags).applyInArrow(ask_text, request)
+    found = written(in_bucket(texts).applyInArrow(answer_text, request), "repeat-answers")
     strings = F.substring("body", 1, 6) == F.lit(b"string")
-    found = found.where(~strings).unionByName(found.where(strings).groupBy("bucket").applyInArrow(answer_text, request))
-    return keyed.groupBy("block_id").cogroup(found.groupBy("block_id")).applyInArrow(cut, schema)
+    found = found.where(~strings).unionByName(in_bucket(found.where(strings)).applyInArrow(answer_text, request))
+    return of_block(found).applyInArrow(cut, schema)
 
 
 def spans_of(rows, buf, offsets, starts, ends, first) -> pa.Table:

@@ -39,6 +39,8 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 NO_ID = 1 << 62
 #: A fingerprint of more than this part of all rows is matched by broadcast.
 OFTEN = 1024
+#: A table of ids of so many rows at most is broadcast: 16 MB.
+FEW = 1 << 20
 
 
 def fingerprint_rows(buf: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
@@ -210,8 +212,8 @@ def with_component(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame
     return rows.join(often, "fp").unionByName(rows.join(often, "fp", "left_anti").join(rest, "fp"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``: near copies share the component's least doc_id."""
+def classified(docs: DataFrame, width: int, budget: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, fp) of each row, (fp, n, component) of each fingerprint, and the number of rows; components from NO_ID on reach no doc_id."""
     prints = written(fingerprints(docs, width), "fingerprints")
     node = F.coalesce("doc_id", F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NO_ID)))
     classes = written(prints.groupBy("fp").agg(F.min(node).alias("rep"), F.count("*").alias("n")), "classes")
@@ -222,11 +224,54 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
     same_id = with_component(repeated, classes.withColumnRenamed("rep", "component"), total).select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
     parts = connected(links(classes.select("fp", "rep"), budget).unionByName(same_id))
     classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
-    out = with_component(prints, written(classes, "components"), total)
+    return prints, written(classes, "components"), total
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``docs``: near copies share the component's least doc_id."""
+    out = with_component(*classified(docs, width, budget))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
+def few(table: DataFrame) -> DataFrame:
+    """``table``, written, and broadcast if it has at most FEW rows."""
+    table = written(table, "few")
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its near-duplicate component; rows without doc_id stay."""
-    found = near_duplicates(docs, width, budget).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_copy"], "left_anti")
+    """One row of each near-duplicate component of ``docs``.
+
+    It is the row with the least doc_id; of rows that repeat it, and where no row has one, the
+    one with the least hash of its text.
+    """
+    prints, classes, total = classified(docs, width, budget)
+    found = written(with_component(prints, classes, total), "found")
+    names, key = docs.columns, F.col("doc_id").cast("long")
+    least = F.struct(F.xxhash64(F.col("text").cast("string")), F.col("text").cast("string"))
+
+    def one_row(rows: DataFrame, by: str) -> DataFrame:
+        return rows.groupBy(F.col(by).alias("_by")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), least).alias("_row")).select("_row.*")
+
+    copies = few(found.where("doc_id <> component").select(F.col("doc_id").alias("_copy")).distinct())
+    kept = docs.where("doc_id is not null").join(copies, key == copies["_copy"], "left_anti")
+    several = written(found.where("doc_id = component").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_several")), "several")
+    if not several.isEmpty():
+        near = few(several)
+        again = kept.join(near, key == near["_several"], "left_semi")
+        kept = kept.join(near, key == near["_several"], "left_anti").unionByName(one_row(again, "doc_id"))
+    if not found.where("doc_id is null and component >= %d" % NO_ID).isEmpty():
+        nameless = docs.where("doc_id is null")
+        inner = nameless.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+
+        def run(batches):
+            for batch in batches:
+                fp = fingerprint_rows(*B.column_bytes(batch.column("text")), width)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(fp.view(np.int64))], ["row", "fp"])
+            B.give_back()
+
+        own = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, fp long")
+        alone = with_component(own, classes.where(F.col("component") >= NO_ID), total)
+        alone = alone.groupBy("component").agg(F.min_by("row", F.struct(F.xxhash64(F.col("row.text").cast("string")), F.col("row.text").cast("string"))).alias("_row")).select("_row.*")
+        kept = kept.unionByName(alone)
+    return kept

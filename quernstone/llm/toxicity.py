@@ -7,7 +7,8 @@ stretched), and sizes. A training row's own features come from a lexicon learnt
 fold. Histogram-based trees fit the logistic loss by Newton steps on all folds but one; the
 last calibrates their sum by isotonic regression.
 
-The classifier is trained on the driver over a bounded sample of labelled rows (``rows``).
+The classifier is trained on the driver over a bounded sample of labelled rows (``rows``); the
+learnt lexicon is part of it and has 2000 words and 2000 word beginnings at most (``most``).
 Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: null and empty texts have all features zero and get the score of that;
@@ -31,13 +32,13 @@ from quernstone.llm.labelled import held_out, sample
 INSULTS = """
 idiot idiots idiotic moron morons moronic stupid loser losers scum trash garbage pathetic worthless disgusting clown clowns dumb dumbass fool
 jerk creep freak imbecile cretin bastard bitch asshole arsehole shit bullshit fuck fucking fucker cunt dickhead twat wanker prick slut whore retard
-retarded degenerate vermin filth filthy parasite parasites subhuman coward liar hate kill die
+retarded degenerate vermin filth filthy parasite parasites subhuman coward liar hate kill
 dumm dummkopf trottel arschloch scheisse scheiße hurensohn wichser depp vollidiot abschaum versager blödmann fotze schlampe
 connard connasse salaud salope merde putain abruti crétin débile enculé ordure raclure minable pourriture
 idiota imbécil estúpido estúpida gilipollas cabrón puta mierda pendejo basura escoria inútil asqueroso perdedor
 """.split()
-# Words of the second person in four languages.
-SECOND_PERSON = "you your yours yourself youre u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted ustedes tú ti contigo vosotros".split()
+# Words of the second person in four languages, but for those that are common words or syllables in another.
+SECOND_PERSON = "you your yours yourself youre ur du dich dir dein deine euch tu toi vous votre usted ustedes tú contigo vosotros".split()
 # Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
@@ -251,7 +252,7 @@ class Model:
         n = len(label)
         self.share = float(label.mean()) if n else 0.5
         self.lexicon, self.trees = NO_LEXICON, None
-        if not 0 < label.sum() < n or n < 50:
+        if not 0 < label.sum() < n:
             return
         fold = np.arange(n) % self.FOLDS
         buf, offsets = B.column_bytes(texts)
@@ -262,7 +263,10 @@ class Model:
             x[fold == f] = features(*B.column_bytes(texts.take(pa.array(np.flatnonzero(fold == f)))), lexicon)
         self.lexicon = tuple(m.learn(label, fold >= 0) for m in marks)
         last = fold == self.FOLDS - 1
-        self.trees = Trees().fit(x[~last], label[~last])
+        if not 0 < label[last].sum() < last.sum() or not 0 < label[~last].sum() < (~last).sum():
+            last = fold >= 0  # too few rows to set some aside
+        fitted = ~last if not last.all() else last
+        self.trees = Trees().fit(x[fitted], label[fitted])
         self.knots = isotonic(self.trees.predict(x[last]), label[last])
         B.give_back()
 

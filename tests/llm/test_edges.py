@@ -19,6 +19,12 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def both(spark):
+    """Labels of both kinds, so that the classifiers are trained."""
+    return spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(1, 9)] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+
+
 @pytest.fixture(scope="module")
 def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
@@ -50,6 +56,15 @@ def test_a_row_for_each_row(docs, labels, name):
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows) == sorted((i is not None, i or 0) for i, _ in TEXTS)
 
 
+@pytest.mark.parametrize("name", ["toxicity", "quality"])
+def test_trained_scorers(docs, empty, both, name):
+    rows = OPERATORS[name](docs, both).collect()
+    assert len(rows) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in rows)
+    assert OPERATORS[name](empty, both).count() == 0
+    model = (toxicity if name == "toxicity" else quality).train(docs, both)
+    assert (model.trees if name == "toxicity" else model.factors) is not None
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(empty, labels, name):
     assert OPERATORS[name](empty, labels).count() == 0
@@ -106,6 +121,15 @@ def test_rows_without_id_link_by_fingerprint_alone(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in found), key=str) == sorted([(None, 4), (None, 9), (4, 4), (9, 9), (None, None)], key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    first, second, third = "alpha beta gamma delta epsilon", "one two three four five six", "nobody else says any of this here"
+    rows = [(None, first, 1), (None, second, 2), (4, first, 3), (4, first, 4), (9, first, 5), (None, second, 6), (5, third, 7), (5, "other words of the same id", 8), (6, third, 9), (None, "alone and without id", 10)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _copy int"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert kept.columns == ["doc_id", "text", "_copy"] and len(got) == 4
+    assert {(i, t) for i, t in got} >= {(None, second), (4, first), (None, "alone and without id")} and [i for i, _ in got if i == 5] == [5]
+
+
 def test_common_fingerprints_meet_as_rare_ones(spark, monkeypatch):
     rows = [(i, f"text number {i // 7} of this many" if i % 3 else "the same for all") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
