@@ -48,8 +48,11 @@ def hits(rows: DataFrame, docs_base: str) -> DataFrame:
 
 def search_batch(index: LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = DEFAULT_LIMIT, docs_base: str = "https://docs.example.org") -> DataFrame:
     """Hits of each of ``queries`` (query_id, query) with ``query_vectors`` (query_id, embedding); blank queries have none."""
-    asked = queries.where(trim_ws(F.col("query")) != "")
-    pool = pool_size(limit)
-    lexical = bm25(index, asked, pool)
-    vector = knn(vectors, query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), pool)
+    lexical, vector = arms(index, vectors, queries, query_vectors, pool_size(limit))
     return hits(best_of_paths(fuse(lexical, vector), chunks, limit), docs_base)
+
+
+def arms(index: LexicalIndex, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
+    """The lexical and the vector arm of ``queries``: none for blank ones, the vector arm alone for those without terms."""
+    asked = queries.where(trim_ws(F.col("query")) != "")
+    return bm25(index, asked, pool), knn(vectors, query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), pool)

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.functions.tokenize import query_terms, tokens
+from quernstone.functions.tokenize import query_terms, stem, tokens
 from quernstone.operators import catalog, hybrid, lexical, markdown
 from quernstone.operators.vector import knn
 from quernstone.plans import index, render
+from quernstone.plans.stem_sql import stems
 
 BASE, RAW = "https://docs.example.org", "https://raw.example.org"
 QUERIES: dict = {}
@@ -162,11 +163,31 @@ def window_hard_split(spark, sf_dir):
     return each.select("doc_id", F.col("window").cast("long").alias("window"), F.md5("w").alias("text_md5"))
 
 
-@query()
+# One row of ``r`` is a step: it cuts a full window off, or takes the next paragraph p[i], and may give out a window w.
+_PARAGRAPHS = f"""
+with recursive d as (select doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) as t from documents),
+parts as (select doc_id, string_split_regex(t, '\\n{{2,}}') as p from d where length(t) > 1600),
+r as (
+  select doc_id, 1 as i, '' as cur, cast(null as varchar) as w, 0 as step from parts
+  union all
+  select doc_id, case when length(cur) > 1600 then i else i + 1 end,
+    case when length(cur) > 1600 then substring(cur, 1441) when i > len(p) then '' when cur = '' then p[i]
+      when length(cur) + length(p[i]) + 2 > 1600 then right(cur, 160) || chr(10) || chr(10) || p[i] else cur || chr(10) || chr(10) || p[i] end,
+    case when length(cur) > 1600 then left(cur, 1600) when i > len(p) then case when {TRIM('cur')} <> '' then cur end
+      when cur <> '' and length(cur) + length(p[i]) + 2 > 1600 then cur end,
+    step + 1
+  from r join parts using (doc_id) where length(cur) > 1600 or i <= len(p) + 1
+)
+"""
+
+
+@query(f"""{_PARAGRAPHS} select doc_id, row_number() over (partition by doc_id order by step) - 1 as window, md5(w) as text_md5 from r where w is not null
+union all select doc_id, 0, md5(t) from d where length(t) <= 1600""")
 def window_paragraphs(spark, sf_dir):
-    """Windows cut between paragraphs; tests compare with a plain model."""
+    """Windows cut between paragraphs, which are sentences here."""
     text = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.windows(text)).alias("window", "text"))
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(markdown.windows(text)).alias("window", "w"))
+    return each.select("doc_id", F.col("window").cast("long").alias("window"), F.md5("w").alias("text_md5"))
 
 
 _CHUNKS = f"""
@@ -255,9 +276,27 @@ def bm25_topk(spark, sf_dir):
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query()
+_WORDS = f"select unnest({_TOKENS}) as term from documents union all select unnest({_TERMS}) from benchmark"
+_STEMMED = f"""
+with {stems(_WORDS)}, p as materialized (select id, any_value(dl) as dl, stem as term, sum(tf) as tf from ({_POSTINGS}) join st using (term) group by id, stem),
+s as materialized (select count(*) as n, avg(len({_TOKENS})) as avgdl from documents), df as materialized (select term, count(*) as df from p group by term),
+q as materialized (select query_id, stem as term, count(*) as qtf from (select item_id as query_id, unnest({_TERMS}) as term from benchmark) join st using (term) group by query_id, stem),
+w as materialized (select query_id, term, qtf, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end as idf, avgdl from q join df using (term), s),
+sc as (select query_id, id, -sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from p join w using (term) group by query_id, id),
+lex as (select query_id, id, score, row_number() over (partition by query_id order by round(score, 9), id) - 1 as rank from sc qualify rank < 40)
+"""
+
+
+@query(f"with {stems(f'select unnest({_TOKENS}) as term from documents')} select term, stem from st")
+def porter_stems(spark, sf_dir):
+    """The stem of each distinct token."""
+    words = chunks_of(spark, sf_dir).select(F.explode(tokens(F.concat_ws(" ", "content", "title", "breadcrumb"))).alias("term")).distinct()
+    return words.select("term", stem("term").alias("stem"))
+
+
+@query(f"{_STEMMED} select query_id, id, rank, round(score, 6) as score from lex")
 def bm25_topk_stemmed(spark, sf_dir):
-    """With Porter stems; tests compare with SQLite's full-text search."""
+    """With Porter stems; a test compares with SQLite's full-text search too."""
     found = lexical.bm25(lexical.stored(lexical.build(chunks_of(spark, sf_dir))), asked(spark, sf_dir), 40)
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -325,6 +364,19 @@ def render_search(spark, sf_dir):
     return render.search_texts(_search(spark, sf_dir, 8))
 
 
+@query(f"""{_BM25}, {_KNN}, arms as (select query_id, id, 1.0 / (61 + rank) as s from lex where query_id % 4 = 0 union all select query_id, id, 1.0 / (61 + rank) from vec where query_id % 4 in (0, 3)),
+f as (select query_id, id, sum(s) as score from arms group by query_id, id) select query_id, count(*) as found, round(sum(score), 9) as score from f group by query_id""")
+def blank_and_termless_queries(spark, sf_dir):
+    """Blank queries have no hits; queries without a term have those of the vectors alone."""
+    q = asked(spark, sf_dir)
+    n = F.col("query_id") % 4
+    q = q.withColumn("query", F.when(n == 1, F.lit("")).when(n == 2, F.lit(" \t\n ")).when(n == 3, F.lit("? - é !")).otherwise(F.col("query")))
+    built = lexical.stored(lexical.build(chunks_of(spark, sf_dir), stemmed=False))
+    pool = hybrid.pool_size(8)
+    lex, vec = hybrid.arms(built, vectors_of(spark, sf_dir), q, asked_vectors(spark, sf_dir), pool)
+    return hybrid.fuse(lex, vec).groupBy("query_id").agg(F.count("*").alias("found"), F.round(F.sum("score"), 9).alias("score"))
+
+
 # --- releases and lookup ---
 
 
@@ -333,11 +385,22 @@ def non_release_filter(spark, sf_dir):
     return catalog.releases(refs_of(spark, sf_dir)).select("name", "committed_at")
 
 
-@query("select 'src5' as release")
+_LATEST = f"select coalesce((select name from ({REFS_SQL}) where is_default), (select name from ({RELEASES_SQL}) order by committed_at desc, name limit 1), 'main') as release"
+
+
+@query(_LATEST)
 def latest_version(spark, sf_dir):
     return catalog.latest_release(refs_of(spark, sf_dir))
 
 
+@query(f"select 'newest' as way, (select name from ({RELEASES_SQL}) order by committed_at desc, name limit 1) as release union all select 'fallback', 'main'")
+def latest_without_default(spark, sf_dir):
+    """Without a default branch: the newest release by date; without any release: the fallback."""
+    refs = refs_of(spark, sf_dir).withColumn("is_default", F.lit(False))
+    newest = catalog.latest_release(refs).select(F.lit("newest").alias("way"), "release")
+    return newest.unionByName(catalog.latest_release(refs.where(~catalog.is_release(F.col("name")))).select(F.lit("fallback").alias("way"), "release"))
+
+
 @query(f"select row_number() over (order by is_default desc, committed_at desc, name) as ord, name as release, is_default as is_latest from ({RELEASES_SQL})")
 def version_list(spark, sf_dir):
     return catalog.versions(refs_of(spark, sf_dir))

@@ -1,5 +1,6 @@
 """Functions and Markdown against plain models, and their edge cases."""
 
+import itertools
 import random
 import re
 import sqlite3
@@ -15,50 +16,61 @@ from quernstone.operators import embed, hybrid, lexical, markdown, vector
 WINDOWS = dict(most=40, overlap=10)
 
 
-def model_windows(text, most, overlap):
-    if len(text) <= most:
-        return [text]
-    out, cur = [], ""
-    for p in re.split(r"\n{2,}", text):
-        if cur and len(cur) + len(p) + 2 > most:
-            out.append(cur)
-            cur = cur[max(len(cur) - overlap, 0) :]
-        cur = f"{cur}\n\n{p}" if cur else p
-        while len(cur) > most:
-            out.append(cur[:most])
-            cur = cur[most - overlap :]
-    return out + [cur] * bool(cur.strip())
-
-
 def values(spark, rows, schema, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).coalesce(1).select(column).collect()]
 
 
-def test_windows_equal_the_model(spark):
+def check_windows(text, found, most, overlap):
+    """What defines the windows: what they cover, how they overlap, where they may end."""
+    if len(text) <= most:
+        assert found == [text]
+        return
+    assert all(len(w) <= most for w in found)
+    new = [found[0], *(w[min(overlap, len(v)) :] for v, w in zip(found, found[1:]))] if found else []
+    assert all(w[: min(overlap, len(v))] == v[-overlap:] for v, w in zip(found, found[1:]))
+    paragraphs = re.split(r"\n\n+", text)
+    paragraphs = paragraphs[next((k for k, p in enumerate(paragraphs) if p), len(paragraphs)) :]
+    whole = "\n\n".join(paragraphs)
+    covered = "".join(new)
+    # Nothing is lost but a blank end.
+    assert whole.startswith(covered) and not whole[len(covered) :].strip()
+    begins = list(itertools.accumulate((len(p) + 2 for p in paragraphs), initial=0))[:-1]
+    ends = {b + len(p): k for k, (b, p) in enumerate(zip(begins, paragraphs))}
+    for w, end in zip(found[:-1], itertools.accumulate(map(len, new))):
+        if end in ends and ends[end] + 1 < len(paragraphs):
+            assert len(w) == most or len(w) + 2 + len(paragraphs[ends[end] + 1]) > most
+        else:
+            # A cut amid a paragraph: the window is full, and the paragraph doesn't fit behind the overlap either.
+            k = max(k for k, b in enumerate(begins) if b <= end)
+            assert len(w) == most and (begins[k] + len(paragraphs[k]) - (end - len(w)) > most)
+
+
+def test_windows(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice(["a", "bc ", "d", "\n\n", "\n", "é", "😀"]) for _ in range(rng.randint(0, 150))) for _ in range(300)] + ["x" * 40, "x" * 41, "x" * 70, "x" * 100]
     got = values(spark, [(t,) for t in texts], "t string", markdown.windows(F.col("t"), **WINDOWS))
-    assert got == [model_windows(t, **WINDOWS) for t in texts]
+    for t, found in zip(texts, got):
+        check_windows(t, found, **WINDOWS)
+    # One paragraph: offsets in steps of what doesn't overlap.
+    for n in (40, 41, 70, 71, 100, 101):
+        one = "".join(chr(0x100 + i) for i in range(n))
+        starts = range(0, max(n - 40, 0) + 30, 30) if n > 40 else [0]
+        assert values(spark, [(one,)], "t string", markdown.windows(F.col("t"), **WINDOWS))[0] == [one[i : i + 40] for i in starts if i == 0 or i + 10 < n]
 
 
-def model_sections(body):
-    out, heading, buf = [], "", []
-    for line in [*body.split("\n"), None]:
-        m = line is not None and re.match(r"(#{1,3})\s+(.*)\Z", line)
-        if line is None or m:
-            text = "\n".join(buf).strip()
-            out += [(heading, text)] if text or heading else []
-            buf, heading = [], m.group(2).strip() if m else ""
-        else:
-            buf.append(line)
-    return out
+def sections_between_headings(body):
+    """(heading, text) of what stands between heading lines, by their places."""
+    lines = body.split("\n")
+    at = [i for i, line in enumerate(lines) if re.match(r"#{1,3}\s", line)]
+    found = [("" if a < 0 else lines[a].lstrip("#").strip(), "\n".join(lines[a + 1 : b]).strip()) for a, b in zip([-1, *at], [*at, len(lines)])]
+    return [s for s in found if any(s)]
 
 
-def test_sections_equal_the_model(spark):
+def test_sections_lie_between_headings(spark):
     rng = random.Random(2)
     bodies = ["".join(rng.choice(["# ", "## a", "### b c", "#### d", "\n", "\n", "x", " ", "\t#", "# \t y", "```"]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     got = values(spark, [(b,) for b in bodies], "t string", markdown.sections(F.col("t")))
-    assert [[tuple(s) for s in g] for g in got] == [model_sections(b) for b in bodies]
+    assert [[tuple(s) for s in g] for g in got] == [sections_between_headings(b) for b in bodies]
 
 
 FRONT = [
