@@ -98,9 +98,9 @@ def read_block(folder: str, path: str) -> pa.Table:
         return unpack(data.read())
 
 
-def dealt(table: DataFrame, key: str, n: int) -> DataFrame:
-    """``table`` hash-partitioned by ``key``, about four of its ``n`` values together: the number of tasks follows the input, whatever the rows' size."""
-    return table.repartition(max(1, -(-n // 4)), key)
+def dealt(table: DataFrame, key: str, n: int, each: int) -> DataFrame:
+    """``table`` hash-partitioned by ``key``, about ``each`` of its ``n`` values together: the number of tasks follows the input, whatever the rows' size."""
+    return table.repartition(max(1, -(-n // each)), key)
 
 
 def bucket_count(table: DataFrame, bucket_bytes: int) -> int:

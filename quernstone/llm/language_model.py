@@ -213,7 +213,7 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_
     table = blocks(with_key(docs), "model-blocks", block_bytes)
     n = bucket_count(table, bucket_bytes)
     many = table.count()
-    keyed = dealt(table.select("block_id", "folder", "path"), "block_id", many)
+    keyed = dealt(table.select("block_id", "folder", "path"), "block_id", many, 4)
 
     def tokens_of(folder, path):
         return BlockTokens(read_block(folder, path), held_out_of)
@@ -235,12 +235,12 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_
         B.give_back()
         return pa.Table.from_batches([out])
 
-    once = written(dealt(keyed.mapInArrow(ask, C.REQUEST), "bucket", n).groupBy("bucket").applyInArrow(C.summed(int(BEGIN)), C.ANSWER), "model-counts")
+    once = written(dealt(keyed.mapInArrow(ask, C.REQUEST), "bucket", n, 1).groupBy("bucket").applyInArrow(C.summed(int(BEGIN)), C.ANSWER), "model-counts")
     types, train_tokens = (int(x or 0) for x in once.agg(F.sum("types"), F.sum("tokens")).first())
     normal = train_tokens + types + 1
     first = once.select("block_id", "bucket", "body")
-    twice = keyed.groupBy("block_id").cogroup(dealt(first, "block_id", many).groupBy("block_id")).applyInArrow(ask_again, C.REQUEST)
-    second = dealt(twice, "bucket", n).groupBy("bucket").applyInArrow(C.summed(), C.ANSWER).select("block_id", "bucket", "body")
+    twice = keyed.groupBy("block_id").cogroup(dealt(first, "block_id", many, 4).groupBy("block_id")).applyInArrow(ask_again, C.REQUEST)
+    second = dealt(twice, "bucket", n, 1).groupBy("bucket").applyInArrow(C.summed(), C.ANSWER).select("block_id", "bucket", "body")
     every = first.withColumn("again", F.lit(False)).unionByName(second.withColumn("again", F.lit(True)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -266,4 +266,4 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_
         return out
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return keyed.groupBy("block_id").cogroup(dealt(every, "block_id", many).groupBy("block_id")).applyInArrow(score, out)
+    return keyed.groupBy("block_id").cogroup(dealt(every, "block_id", many, 4).groupBy("block_id")).applyInArrow(score, out)

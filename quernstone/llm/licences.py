@@ -37,17 +37,20 @@ from quernstone.llm._store import written
 
 # Notices by which works name their licence, by family.
 TEMPLATES = {
-    "Apache-2.0": ["licensed under the apache license version 2.0", "distributed under the apache license 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license-2.0", "spdx-license-identifier apache-2.0"],
-    "MIT": ["released under the mit license", "licensed under the mit license", "this project is mit licensed", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "spdx-license-identifier mit"],
-    "BSD": ["licensed under the bsd license", "released under the 3-clause bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "spdx-license-identifier bsd-3-clause"],
-    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2", "licensed under the gnu gpl v3", "spdx-license-identifier gpl-3.0"],
-    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "this library is free software under the terms of the gnu lesser general public license", "released under the lgpl"],
-    "AGPL": ["licensed under the gnu affero general public license version 3", "released under the agpl"],
-    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0"],
+    "Apache-2.0": ["licensed under the apache license version 2.0", "distributed under the apache license 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license-2.0", "spdx-license-identifier apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"],
+    "MIT": ["released under the mit license", "licensed under the mit license", "this project is mit licensed", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "spdx-license-identifier mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"],
+    "BSD": ["licensed under the bsd license", "released under the 3-clause bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "spdx-license-identifier bsd-3-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"],
+    "GPL": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "released under the gpl version 2", "licensed under the gnu gpl v3", "spdx-license-identifier gpl-3.0", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness", "you should have received a copy of the gnu general public license along with this program"],
+    "LGPL": ["licensed under the gnu lesser general public license version 2.1", "this library is free software under the terms of the gnu lesser general public license", "released under the lgpl", "you should have received a copy of the gnu lesser general public license along with this library"],
+    "AGPL": ["licensed under the gnu affero general public license version 3", "released under the agpl", "you should have received a copy of the gnu affero general public license along with this program"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0"],
     "CC-BY": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "CC-BY-SA": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "CC-BY-NC": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "CC0": ["to the extent possible under law the author has waived all copyright and related rights", "released into the public domain under cc0 1.0", "this work is dedicated to the public domain"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "spdx-license-identifier isc"],
+    "EPL-2.0": ["this program and the accompanying materials are made available under the terms of the eclipse public license", "licensed under the eclipse public license version 2.0"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "spdx-license-identifier unlicense"],
     "proprietary": ["all rights reserved", "copyright all rights reserved", "confidential and proprietary unauthorized copying is strictly prohibited"],
 }
 UNKNOWN = "unknown"

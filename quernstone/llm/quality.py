@@ -163,7 +163,9 @@ def quality(docs: DataFrame, model: Machine, modulus: int = 5, remainder: int =
 
 
 def good_documents(docs: DataFrame, model: Machine, cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` with a score of ``cut`` or more, all columns kept."""
+    """The rows of ``docs`` with a score of ``cut`` or more, all columns kept; all rows where no labels of both kinds trained the model."""
+    if model.factors is None:
+        return docs
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
 

@@ -415,9 +415,9 @@ def _removed(docs: DataFrame, length: int, hot: int, result, schema: str) -> Dat
         B.give_back()
         return out
 
-    keyed = dealt(table.select("block_id", "folder", "path"), "block_id", many)
-    of_block = lambda answers: keyed.groupBy("block_id").cogroup(dealt(answers, "block_id", many).groupBy("block_id"))
-    in_bucket = lambda asked: dealt(asked, "bucket", n).groupBy("bucket")
+    keyed = dealt(table.select("block_id", "folder", "path"), "block_id", many, 4)
+    of_block = lambda answers: keyed.groupBy("block_id").cogroup(dealt(answers, "block_id", many, 4).groupBy("block_id"))
+    in_bucket = lambda asked: dealt(asked, "bucket", n, 3).groupBy("bucket")
     flags = in_bucket(keyed.mapInArrow(ask_keys, request)).applyInArrow(answer_keys, request)
     texts = of_block(flags).applyInArrow(ask_text, request)
     found = written(in_bucket(texts).applyInArrow(answer_text, request), "repeat-answers")
