@@ -6,6 +6,11 @@ shared folder and reads it again, so a lost executor costs a stage's tasks, not
 
 A row of the result is a piece of a document in a sequence: doc_id, piece, start, length,
 ids_crc32, sequence_id, offset.
+
+Defined cases: null and empty texts are scored like others; as near-duplicates they are one
+group, so one of them stays. Rows without doc_id and rows that repeat one go through all
+stages; near-duplicates among them leave one row. Without labels of both kinds no document is
+rejected. Empty tables give an empty result.
 """
 
 from __future__ import annotations

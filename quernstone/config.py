@@ -32,6 +32,7 @@ class Config:
     embed_model: str = "hashing"
     live: bool = False
     max_files: int | None = None
+    tables: str = ""
 
     @classmethod
     def load(cls, **overrides) -> Config:
@@ -44,6 +45,7 @@ class Config:
             embed_model=_env("EMBED_MODEL", cls.embed_model),
             live=_env("FETCH_SOURCE", "").strip().lower() == "live",
             max_files=int(cap) if cap.strip().isdigit() else None,
+            tables=_env("INDEX_TABLES", ""),
         )
         return replace(found, **{k: v for k, v in overrides.items() if v is not None})
 
@@ -55,6 +57,11 @@ class Config:
     def index_dir(self) -> Path:
         return self.data_dir / "index"
 
+    @property
+    def index_uri(self) -> str:
+        """Where the index's tables are: a folder of any store that Spark reads (``tables``), which a cluster needs, or the data folder."""
+        return self.tables.rstrip("/") or self.index_dir.absolute().as_uri()
+
     @property
     def manifest_path(self) -> Path:
         return self.index_dir / "manifest.json"

@@ -55,6 +55,10 @@ def short_commit(commit: Column) -> Column:
     return F.substring(commit, 1, 8)
 
 
+# What is taken off a source, in this order, to leave a path.
+NOT_PATH = (r"^https?://[^/]+/docs/", r"^https?://[^/]+/", r"^/+", r"^r/", f"^{MARKDOWN_PREFIX}", r"\.html\z")
+
+
 def repo_path(source: Column, releases: Iterable[str] | Column, strip_fragment: bool = False) -> Column:
     """struct(repo_path, release_in_path) of a docs URL, reader path or repository path.
 
@@ -63,7 +67,7 @@ def repo_path(source: Column, releases: Iterable[str] | Column, strip_fragment:
     p = trim_ws(source)
     if strip_fragment:
         p = F.regexp_replace(p, r"[?#].*", "")
-    for pattern in (r"^https?://[^/]+/docs/", r"^https?://[^/]+/", r"^/+", r"^r/", f"^{MARKDOWN_PREFIX}", r"\.html\z"):
+    for pattern in NOT_PATH:
         p = F.regexp_replace(p, pattern, "")
     known = releases if isinstance(releases, Column) else F.array(*[F.lit(r) for r in releases]).cast("array<string>")
 

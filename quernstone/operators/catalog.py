@@ -58,10 +58,11 @@ def fetch_many(requests: DataFrame, refs: DataFrame, docs: DataFrame, docs_base:
     ``docs`` (release, path, content), partitioned by release, is joined once for all requests.
     """
     asked = resolve(requests, refs)
-    there = docs.where(trim_ws(F.col("content")) != "").select(F.col("release").alias("_release"), F.col("path").alias("_p"), F.col("content"))
+    there = docs.select(F.col("release").alias("_release"), F.col("path").alias("_p"), F.col("content"))
     clean = F.regexp_replace("repo_path", "^markdown/", "")
     rows = asked.join(there, (F.col("release") == F.col("_release")) & (clean == F.col("_p")) & (F.col("repo_path") != ""), "left")
-    rows = parse_docs(rows.withColumn("_found", F.col("content").isNotNull()).withColumn("content", F.coalesce("content", F.lit(""))))
+    # Blank documents count as missing; only those asked for are looked at.
+    rows = parse_docs(rows.withColumn("_found", F.coalesce(trim_ws(F.col("content")) != "", F.lit(False))).withColumn("content", F.coalesce("content", F.lit(""))))
     body = trim_ws(F.col("body"))
     markdown = F.when((F.col("meta.title") != "") & ~body.startswith("#"), F.concat(F.lit("# "), F.col("meta.title"), F.lit("\n\n"), body)).otherwise(body)
     url = F.when(F.col("meta.canonical_url") == "", docs_url(F.col("repo_path"), docs_base)).otherwise(F.col("meta.canonical_url"))

@@ -26,10 +26,14 @@ class LexicalIndex:
 
 
 def build(chunks: DataFrame, stemmed: bool = True) -> LexicalIndex:
-    """Of (id, content, title, breadcrumb); headings aren't searched. One shuffle by (id, term), one by term."""
+    """Of (id, content, title, breadcrumb); headings aren't searched.
+
+    Chunks are shuffled by id, smaller than their postings, which then need no shuffle to be
+    counted; statistics take one by term.
+    """
     text = F.concat_ws(" ", "content", "title", "breadcrumb")
     worded = chunks.select("id", tokens(text).alias("t")).withColumn("dl", F.size("t"))
-    said = worded.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    said = worded.repartition("id").select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     if stemmed:
         said = said.withColumn("term", stem("term")).groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
     stats = worded.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))

@@ -149,18 +149,20 @@ def embed_text() -> Column:
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with id 1..N in the order of (path, section, window).
+    """``chunks`` with id 1..N in the order of (release, path, section, window).
 
-    Rows are range-partitioned and sorted, ranked within partitions, and moved by the sizes
-    of the partitions before; no task sees more than its range. The ranked rows are written
-    once, since ranges drawn anew could differ.
+    Chunks are written once. Their keys alone, not their texts, are range-partitioned and
+    ranked, within partitions and then by the sizes of the partitions before, so no task
+    sees more than its range; the ranks join the chunks. Ranked keys are written, since ranges
+    drawn anew could differ. Rows that share all four keys get one id each, in any order.
     """
     keys = ["release", "path", "section", "window"]
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Drawing ranges reads the rows twice, so what made them is computed and written first.
-    ranged = written(chunks, "chunks").repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    ranked = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+    chunks = written(chunks.withColumn("_row", F.monotonically_increasing_id()), "chunks")
+    ranged = chunks.select(*keys, "_row").repartitionByRange(n, *keys).sortWithinPartitions(*keys, "_row").withColumn("_part", F.spark_partition_id())
+    ranked = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*keys, "_row"))).select("_row", "_part", "_nth")
     ranked = written(ranked, "ranked-chunks")
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("id", F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+    ids = ranked.join(F.broadcast(before.select("_part", "_before")), "_part").select("_row", (F.col("_nth") + F.col("_before")).alias("id"))
+    return chunks.join(ids, "_row").drop("_row")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from quernstone.config import DEFAULT_LIMIT, Config
-from quernstone.plans import index, lifecycle, render
+from quernstone.plans import index, lifecycle, render, server
 from quernstone.plans.service import Service
 from quernstone.sources import git
 
@@ -34,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-f", "--force", action="store_true")
     c = sub.add_parser("update")
     c.add_argument("--no-index", dest="skip_index", action="store_true")
+    c = sub.add_parser("serve")
+    c.add_argument("--http", metavar="HOST:PORT")
+    c.add_argument("--token", default=None)
     sub.add_parser("doctor")
     for name, c in sub.choices.items():
         if name in ("search", "fetch", "fetch-url", "list-versions"):
@@ -71,6 +75,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.command == "update":
             service.ready(no_index=args.no_index or args.skip_index, force=True, sync=True, need_index=False)
             print("Up to date.")
+        elif args.command == "serve":
+            token = args.token if args.token is not None else os.environ.get("QUERNSTONE_TOKEN", "")
+            if args.http and not token:
+                raise ValueError("serving over HTTP needs --token or QUERNSTONE_TOKEN")
+            service.ready(no_index=False, sync=True, need_index=True)
+            # A server reads pages over HTTP unless the setting says otherwise.
+            made = server.Server(service, live="QUERNSTONE_FETCH_SOURCE" not in os.environ or config.live)
+            if args.http:
+                host, _, port = args.http.rpartition(":")
+                with made.http(host or "127.0.0.1", int(port), token) as listening:
+                    listening.serve_forever()
+            else:
+                made.stdio()
         else:
             fine, report = service.doctor()
             print(render.as_json(report))

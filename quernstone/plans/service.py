@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hmac
+import importlib.util
 import shutil
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quernstone.config import DEFAULT_LIMIT, Config
+from quernstone.functions.tokenize import stem
+from quernstone.functions.vectors import l2_distance
 from quernstone.operators import catalog, embed, hybrid, lexical
 from quernstone.operators.markdown import parse_docs
 from quernstone.operators.vector import nearest
@@ -46,7 +50,7 @@ class Service:
         where = catalog.resolve(asked, self.refs()).first()
         path, release = where["repo_path"], where["release"]
         if not path:
-            raise LookupError(f"Could not derive a document path from '{source}'.")
+            raise LookupError(f"{source!r} names no document.")
         over_http = lambda: files.fetch_raw(path, release, self.config.raw_base, get)
         if live or self.config.live:
             text = over_http()
@@ -67,9 +71,26 @@ class Service:
         made = index.read_manifest(self.config)
         report = {
             "spark": self.spark.version, "git": shutil.which("git") or "", "data_dir": str(self.config.data_dir), "cloned": git.is_cloned(self.config.clone_dir),
-            "index": index.exists(self.config), "branch": made.branch if made else "", "commit": made.commit[:8] if made else "", "embedder": embed.describe(self.config.embed_model),
+            "index": index.exists(self.config), **self.capabilities(), "branch": made.branch if made else "", "commit": made.commit[:8] if made else "", "embedder": embed.describe(self.config.embed_model),
         }
-        return bool(report["git"]), report
+        return bool(report["git"] and report["words"] and report["vectors"]), report
+
+    def capabilities(self) -> dict[str, bool]:
+        """Whether what search needs works here: stemmed terms through a Python worker, vector distances, YAML."""
+
+        def works(probe) -> bool:
+            try:
+                return bool(probe())
+            except Exception:  # whatever is missing shows as an error of its own kind
+                return False
+
+        one = self.spark.range(1)
+        pair = F.array(F.lit(0.0), F.lit(3.0)), F.array(F.lit(4.0), F.lit(0.0))
+        return {
+            "words": works(lambda: one.select(stem(F.lit("flows"))).first()[0] == "flow"),
+            "vectors": works(lambda: one.select(l2_distance(*pair)).first()[0] == 5.0),
+            "yaml": works(lambda: importlib.util.find_spec("yaml")),
+        }
 
 
 def same_token(given: str, expected: str) -> bool:

@@ -7,12 +7,17 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once into the session's ``spark.checkpoint.dir``; a local folder stands in where that is unset, on a local master alone."""
+def store(df: DataFrame, name: str) -> str:
+    """The folder into which ``df`` was written once, below the session's ``spark.checkpoint.dir``; a local folder stands in where that is unset, on a local master alone."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = f"{(shared or 'file:///tmp/checkpoints').rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into the shared folder and read from there."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))

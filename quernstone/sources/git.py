@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from quernstone.config import MARKDOWN_PREFIX
 
 DOCS_SCHEMA = "release string, path string, content string, commit string"
 REFS_SCHEMA = "name string, committed_at bigint, commit string, is_default boolean"
-#: Objects that a clone lacks though it names them show as one of these.
+#: In English, as git is run in the C locale: objects that a clone lacks though it names them show as one of these.
 _BROKEN = ("bad object", "missing blob", "missing tree", "could not read", "unable to read", "object file", "corrupt", "does not exist in", "invalid object", "not found in pack")
 
 
@@ -28,7 +29,7 @@ class GitError(RuntimeError):
 
 def git(folder: str | Path, *args: str, data: bytes | None = None, timeout: float = 600) -> bytes:
     try:
-        done = subprocess.run(["git", "-C", str(folder), *args], input=data, capture_output=True, timeout=timeout, env=None)
+        done = subprocess.run(["git", "-C", str(folder), *args], input=data, capture_output=True, timeout=timeout, env=os.environ | {"LC_ALL": "C"})
     except subprocess.TimeoutExpired as e:
         raise GitError(f"git {args[0]} took longer than {timeout:g} s") from e
     if done.returncode:

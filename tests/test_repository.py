@@ -56,7 +56,13 @@ def test_end_to_end(spark, origin, service, capsys):
     assert cli.main(["--data-dir", str(service.config.data_dir), "list-versions", "--json"], spark) == 0
     service.ready(force=True)
     assert index.read_manifest(service.config).file_count == 3 and service.search("zebras")[0]["path"] == "c.md"
-    assert service.doctor()[0]
+    fine, report = service.doctor()
+    assert fine and report["words"] and report["vectors"] and report["index"]
+    # The version before stays for its readers, the one before that goes.
+    now = index.read_manifest(service.config)
+    assert now.previous == made.version and (service.config.index_dir / made.version / "chunks").is_dir()
+    lifecycle.build_branch(spark, service.config)
+    assert not (service.config.index_dir / made.version).exists() and (service.config.index_dir / now.version).is_dir()
     assert "v2" in capsys.readouterr().out
 
 
@@ -107,7 +113,7 @@ def test_corrupt_clone_is_cloned_anew_once(service, monkeypatch):
 
 def test_empty_branch_is_an_error(spark, tmp_path):
     docs = spark.createDataFrame([], git.DOCS_SCHEMA)
-    with pytest.raises(ValueError, match="No markdown files"):
+    with pytest.raises(ValueError, match="no Markdown files"):
         index.build(spark, docs, "v1", "c", Config(data_dir=tmp_path))
 
 

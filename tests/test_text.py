@@ -5,6 +5,7 @@ import random
 import re
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,5 +152,36 @@ def test_knn_batch_equals_single(spark):
         assert [r["id"] for r in sorted((r for r in batch if r["query_id"] == q), key=lambda r: r["rank"])] == single
 
 
+def test_knn_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 17), float(i % 5), 1.0]) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = spark.createDataFrame(rows[::3], "query_id long, embedding array<float>")
+    whole = sorted(tuple(r) for r in vector.knn(vectors, asked, 4).collect())
+    # Ties at the edge go to the smaller id, whatever the blocks.
+    plain = {q: sorted((sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, i) for i, w in rows)[:4] for q, v in rows[::3]}
+    assert {(q, i): d for q, i, d, _ in whole} == {(q, i): pytest.approx(d) for q, found in plain.items() for d, i in found}
+    for name, size in (("QUERIES", 7), ("VECTORS", 5)):
+        monkeypatch.setattr(vector, name, size)
+    assert sorted(tuple(r) for r in vector.knn(vectors, asked, 4).collect()) == whole
+    assert vector.knn(vectors, asked.where("false"), 4).count() == vector.knn(vectors.where("false"), asked, 4).count() == 0
+    with pytest.raises(Exception, match="components"):
+        vector.knn(vectors, spark.createDataFrame([(0, [1.0])], "query_id long, embedding array<float>"), 4).collect()
+
+
+def test_table_embedder(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"[UNK]": 0, "red": 1, "blue": 2, "sky": 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "tokenizer.json"))
+    np.save(tmp_path / "vectors.npy", np.array([[0, 0, 1], [3, 0, 0], [0, 4, 0], [1, 1, 0]], np.float32))
+    made = embed.load(str(tmp_path))
+    assert made.dim == 3
+    # The mean of the tokens' vectors, of unit length; no tokens, no direction.
+    assert made.embed(["red blue", "sky", "", "green"]) == pytest.approx(np.array([[0.6, 0.8, 0], [0.5**0.5, 0.5**0.5, 0], [0, 0, 0], [0, 0, 1]]), abs=1e-6)
+    got = values(spark, [("red red",), (None,)], "t string", embed.passages(F.col("t"), str(tmp_path)))
+    assert got == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]] and embed.query("blue", str(tmp_path)) == [0.0, 1.0, 0.0]
+
+
 def test_blob_round_trip():
     assert from_blob(to_blob([1.0, -0.5])) == [1.0, -0.5]
