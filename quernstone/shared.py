@@ -4,16 +4,33 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def store(df: DataFrame, name: str) -> str:
-    """The folder into which ``df`` was written once, below the session's ``spark.checkpoint.dir``; a local folder stands in where that is unset, on a local master alone."""
-    spark = df.sparkSession
+_made: set[str] = set()
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This application's folder below the session's ``spark.checkpoint.dir``, which goes when the driver ends.
+
+    A local folder stands in where that setting is unset, as in tests, on a local master alone.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"{(shared or 'file:///tmp/checkpoints').rstrip('/')}/quernstone/{name}-{uuid.uuid4().hex}"
+    folder = f"{(shared or 'file:///tmp/checkpoints').rstrip('/')}/quernstone/{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
+def store(df: DataFrame, name: str) -> str:
+    """The folder into which ``df`` was written once, below session_folder()."""
+    folder = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return folder
 
