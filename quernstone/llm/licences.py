@@ -57,6 +57,8 @@ UNKNOWN = "unknown"
 FAMILIES = [*TEMPLATES, UNKNOWN]
 WORD = r"[^a-z0-9.\-]+"
 WORD_BREAK = r"[^A-Za-z0-9.\-]+"
+#: What stands between runs of letters and digits.
+PART = r"[^a-z0-9]+"
 #: Words that may stand between the first and the last line of a notice: twice the longest template.
 REACH = 2 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts)
 # Words of templates that most texts hold; they serve as cues only if no other word is left.
@@ -70,18 +72,33 @@ def grams_of(text: str) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+def parts_of(gram: str) -> set[str]:
+    """The runs of letters and digits of an n-gram."""
+    return {p for p in re.split(PART, gram) if p}
+
+
+@functools.cache
 def cues(share: float) -> list[str]:
-    """Words of which one stands in every paragraph with ``share`` (above 0) of the n-grams of any template."""
+    """Runs of letters and digits of which one stands in every paragraph with ``share`` (above 0) of the n-grams of any template.
+
+    A template's n-grams without a cue must be too few for that share. What serves most
+    templates comes next; short and everyday words only where no other is left.
+    """
+    left = [([parts_of(g) for g in grams], len(grams) - next(n for n in range(len(grams) + 1) if n / len(grams) >= share) + 1) for ts in TEMPLATES.values() for grams in map(grams_of, ts)]
+    words = sorted({w for grams, _ in left for g in grams for w in g}, key=lambda w: (-len(w), w))
     chosen: list[str] = []
-    for t in sorted((t for ts in TEMPLATES.values() for t in ts), key=lambda t: (len(t), t)):
-        grams = grams_of(t)
-        spare = len(grams) - next(n for n in range(len(grams) + 1) if n / len(grams) >= share)
-        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in EVERYDAY, len(w), w))
-        while words and sum(any(c in g for c in chosen) for g in grams) <= spare:
-            word = words.pop()
-            if not any(c in word for c in chosen):
-                chosen.append(word)
-    return [c for c in chosen if not any(d != c and d in c for d in chosen)]
+    while left:
+        gain = {w: sum(min(need, sum(w in g for g in grams)) for grams, need in left) for w in words}
+        word = max((w for w in words if gain[w]), key=lambda w: (w not in EVERYDAY and len(w) > 4, w not in EVERYDAY and len(w) > 2, gain[w]))
+        chosen.append(word)
+        rest = [([g for g in grams if word not in g], need - sum(word in g for g in grams)) for grams, need in left]
+        left = [(grams, need) for grams, need in rest if need > 0]
+    return chosen
+
+
+def has_cue(low: Column, share: float) -> Column:
+    """Whether a lower-cased text holds a cue; one look-up for each of its words, however many cues there are."""
+    return F.arrays_overlap(F.split(low, PART), F.array(*map(F.lit, cues(share))))
 
 
 class Classifier:
@@ -146,9 +163,8 @@ def cued_runs(docs: DataFrame, share: float) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     low = F.lower(text)
-    has_cue = lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(c)) for c in cues(share)))
     lines = F.array_remove(F.split(text, r"[\r\n]+"), "")
-    noted = F.transform(F.filter(lines, lambda x: x.rlike("[A-Za-z0-9]")), lambda x: F.struct(x.alias("line"), F.size(F.split(F.trim(x), WORD_BREAK)).alias("n"), has_cue(F.lower(x)).alias("cue")))
+    noted = F.transform(F.filter(lines, lambda x: x.rlike("[A-Za-z0-9]")), lambda x: F.struct(x.alias("line"), F.size(F.split(F.trim(x), WORD_BREAK)).alias("n"), has_cue(F.lower(x), share).alias("cue")))
     none = F.array().cast("array<struct<paragraph: int, last: int, line: string>>")
 
     def from_line(some, i):
@@ -166,7 +182,7 @@ def cued_runs(docs: DataFrame, share: float) -> DataFrame:
     # An array of one binds the lines to a variable, so that they are made once.
     runs = F.transform(F.array(noted), lambda all_: F.flatten(F.transform(all_, lambda _, i: from_line(F.slice(all_, i + 1, REACH + 2), i))))[0]
     end = F.array(F.struct(F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("line")))
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.size(lines).cast("long").alias("n_paragraphs"), F.explode(F.concat(F.when(has_cue(low), runs).otherwise(none), end)).alias("run"))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.size(lines).cast("long").alias("n_paragraphs"), F.explode(F.concat(F.when(has_cue(low, share), runs).otherwise(none), end)).alias("run"))
     return each.select("doc_id", "tag", "n_paragraphs", "run.*")
 
 

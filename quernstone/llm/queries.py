@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.llm.simhash_sql import OP10_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,4 +100,20 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join places using (doc_id) left join found using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
+# Every string of 100 bytes (200 hexadecimal digits) against every other.
+OP6_SQL = """
+with d as (select doc_id, row_number() over (order by doc_id) as nth, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+s as (select doc_id, nth * 4294967296 + i as place, i, substring(h, 2 * i + 1, 200) as string from (select *, unnest(range(0, n - 99)) as i from d where n >= 100)),
+later as (select doc_id, i from (select *, min(place) over (partition by string) as first from s) where place > first),
+edges as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as fresh from later),
+runs as (select doc_id, min(i) as a, max(i) + 100 as b from (select *, sum(fresh) over (partition by doc_id order by i) as run from edges) group by doc_id, run),
+kept as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from runs
+  union all select d.doc_id, coalesce(max(runs.b), 0), any_value(n) from d left join runs using (doc_id) group by d.doc_id
+),
+texts as (select doc_id, sha256(unhex(string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' order by a, b))) as kept_sha256 from kept join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256
+from d join texts using (doc_id) left join (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by doc_id) using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_simhash": OP10_SQL}

@@ -15,13 +15,14 @@ Components of the links come from alternating large-star and small-star steps.
 Defined cases: null and empty texts and texts of spaces have the fingerprint zero, which is
 linked like any other; a text of fewer than ``width`` words is one shingle; rows that repeat
 a doc_id are one node; rows without doc_id link by their fingerprints and return null for
-doc_id, and null for component_id where no row with a doc_id is reached (doc_ids are below
-2**62; budgets under two take such rows for linked if only their lowest two bits differ);
+doc_id, and null for component_id where no row with a doc_id is reached (a doc_id
+of 2**62 or more is an error; budgets under two take such rows for linked if only their lowest two bits differ);
 other columns of the input are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +38,8 @@ from quernstone.llm._store import with_key, written
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Nodes from here on stand for fingerprints that only rows without doc_id have.
 NO_ID = 1 << 62
+#: Pairs of trie nodes that are open at a time.
+PAIRS = 1 << 21
 #: A fingerprint of more than this part of all rows is matched by broadcast.
 OFTEN = 1024
 #: A table of ids of so many rows at most is broadcast: 16 MB.
@@ -101,19 +104,27 @@ def masks(budget: int) -> list[int]:
     return [sum(x) for x in combinations(fields, len(BLOCKS) - budget)]
 
 
-def trie_pairs(fps: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_pairs(fps: np.ndarray, groups: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of pairs that differ in at most ``budget`` bits, within groups.
 
     fps: unsigned, sorted within groups; groups: the n+1 places where groups begin. A node
     of a group's trie is a range of places whose upper bits agree; all groups go down
-    together, one bit a step.
+    together, one bit a step. Pairs come in parts: where more than PAIRS pairs of nodes are
+    open, one half waits until the other has reached the leaves.
     """
     big = np.flatnonzero(np.diff(groups) > 1)
-    a0, a1 = groups[big], groups[big + 1]
-    b0, b1, off = a0, a1, np.zeros(len(big), np.int8)
-    for bit in range(63, -1, -1):
+    waiting = [(63, (groups[big], groups[big + 1], groups[big], groups[big + 1], np.zeros(len(big), np.int8)))]
+    while waiting:
+        bit, (a0, a1, b0, b1, off) = waiting.pop()
+        if bit < 0:
+            yield a0, b0
+            continue
         if not len(a0):
-            break
+            continue
+        if len(a0) > PAIRS:
+            half = len(a0) // 2
+            waiting += [(bit, tuple(x[half:] for x in (a0, a1, b0, b1, off))), (bit, tuple(x[:half] for x in (a0, a1, b0, b1, off)))]
+            continue
         ones = np.concatenate([[0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         same, far = a0 == b0, np.int8(1)
@@ -126,8 +137,7 @@ def trie_pairs(fps: np.ndarray, groups: np.ndarray, budget: int) -> tuple[np.nda
         ]
         a0, a1, b0, b1, off = (np.concatenate(x) for x in zip(*parts))
         keep = (off <= budget) & (a1 > a0) & (b1 > b0) & ~((a0 == b0) & (a1 - a0 < 2))
-        a0, a1, b0, b1, off = a0[keep], a1[keep], b0[keep], b1[keep], off[keep]
-    return a0, b0
+        waiting.append((bit - 1, (a0[keep], a1[keep], b0[keep], b1[keep], off[keep])))
 
 
 def links(classes: DataFrame, budget: int = 2) -> DataFrame:
@@ -164,9 +174,11 @@ def links(classes: DataFrame, budget: int = 2) -> DataFrame:
             order = np.lexsort((fp, group))
             group, fp, rep = group[order], fp[order], rep[order]
             starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-            i, j = trie_pairs(fp, starts, budget)
             nodes, place = np.unique(rep, return_inverse=True)
-            label = B.components(len(nodes), place[i], place[j])
+            label = np.arange(len(nodes))
+            for i, j in trie_pairs(fp, starts, budget):
+                # Pairs join the forest at once, so that never more than a part of them is held.
+                label = B.components(len(nodes), np.concatenate([np.arange(len(nodes)), label[place[i]]]), np.concatenate([label, label[place[j]]]))
             moved = np.flatnonzero(label != np.arange(len(nodes)))
             if len(moved):
                 yield pa.RecordBatch.from_pydict({"u": pa.array(nodes[moved]), "v": pa.array(nodes[label[moved]])})
@@ -215,7 +227,8 @@ def with_component(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame
 def classified(docs: DataFrame, width: int, budget: int) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, fp) of each row, (fp, n, component) of each fingerprint, and the number of rows; components from NO_ID on reach no doc_id."""
     prints = written(fingerprints(docs, width), "fingerprints")
-    node = F.coalesce("doc_id", F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NO_ID)))
+    known = F.when(F.col("doc_id") >= NO_ID, F.raise_error(F.lit("doc_id must be below 2**62"))).otherwise(F.col("doc_id"))
+    node = F.coalesce(known, F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NO_ID)))
     classes = written(prints.groupBy("fp").agg(F.min(node).alias("rep"), F.count("*").alias("n")), "classes")
     total = prints.count()
     # Rows that repeat a doc_id hold together, whatever their fingerprints.

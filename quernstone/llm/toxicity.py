@@ -121,6 +121,8 @@ def _features(buf: np.ndarray, at: np.ndarray, lexicon: Lexicon, near: int) -> n
     same = np.zeros(len(buf), bool)
     if len(buf) > 2:
         same[2:] = (text[2:] == text[1:-1]) & (text[2:] == text[:-2]) & LETTER[text[2:]]
+        for k in (0, 1):  # a run of letters doesn't go on from the text before
+            same[np.minimum(at[:-1] + k, len(buf) - 1)] = False
     by_word = lambda x: sums(x, first)
     by_byte = lambda x: sums(x, at)
     return np.stack(

@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, ties, empty tables, extra columns with clashing names."""
 
+import numpy as np
 import pytest
 
 from quernstone.llm import decontaminate, language_model, licences, neighbours, packing, quality, repeats, simhash, token_files, toxicity
@@ -138,3 +139,32 @@ def test_common_fingerprints_meet_as_rare_ones(spark, monkeypatch):
         monkeypatch.setattr(simhash, "OFTEN", often)
         found.append(sorted(simhash.near_duplicates(docs).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) == 200
+
+
+def test_trie_in_parts_finds_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(1)
+    groups = [np.unique(rng.integers(0, 1 << 10, 300).astype(np.uint64) << np.uint64(k)) for k in (0, 20, 54)]
+    fps, cuts = np.concatenate(groups), np.cumsum([0, *map(len, groups)])
+    want = {(a, b) for s, e in zip(cuts[:-1], cuts[1:]) for a in range(s, e) for b in range(a + 1, e) if bin(int(fps[a]) ^ int(fps[b])).count("1") <= 2}
+    for most in (1, 7, 1 << 21):
+        monkeypatch.setattr(simhash, "PAIRS", most)
+        parts = list(simhash.trie_pairs(fps, cuts, 2))
+        assert {(min(i, j), max(i, j)) for a, b in parts for i, j in zip(a.tolist(), b.tolist())} == want and (len(parts) > 50) == (most < 10)
+
+
+def test_doc_ids_beyond_the_range_are_an_error(spark):
+    with pytest.raises(Exception, match="below 2"):
+        simhash.near_duplicates(spark.createDataFrame([(1 << 62, "a b c"), (1, "a b c")], "doc_id long, text string")).collect()
+
+
+def test_unset_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
+    from quernstone import shared
+
+    class Cluster:
+        conf = {}
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.session_folder(Cluster())

@@ -428,13 +428,26 @@ def test_counts_messages():
     assert set(seen.values()) == {1} and set(seen) == {k for k, v in total.items() if v}
 
 
-def test_op8_equals_sql(spark, folder):
+@pytest.mark.parametrize(("name", "found"), [("op6_suffix_dedup", "n_removed"), ("op8_decontamination", "contaminated"), ("op10_simhash", "component_id")])
+def test_equals_sql(spark, folder, name, found):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
         c.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
-    got = queries.op8_decontamination(spark, folder)
-    want = c.sql(f"select {', '.join(got.columns)} from ({queries.OP8_SQL})").fetchall()
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and any(r[-1] for r in want)
+    got = queries.QUERIES[name](spark, folder)
+    want = c.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and any(r[got.columns.index(found)] for r in want)
+
+
+def test_xxh64_in_sql():
+    import random
+
+    from quernstone.llm.simhash_sql import xxh64
+
+    rng, c = random.Random(1), duckdb.connect()
+    texts = ["", *("".join(rng.choice("abc é😀xyz\n") for _ in range(rng.randint(1, 120))) for _ in range(500))]
+    c.execute("create table t (s varchar)")
+    c.executemany("insert into t values (?)", [[t] for t in texts])
+    assert dict(c.sql(xxh64("select s from t")).fetchall()) == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
 
 
 def test_op8_small_parts_change_nothing(spark, folder):
@@ -582,8 +595,10 @@ def test_op9_cues_lose_no_paragraph(spark, folder, monkeypatch):
             rows.append((len(rows), " ".join(w for w in t.split() if rng.random() >= left_out)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
     found = []
-    for cues in (licences.cues, lambda share: [""]):
-        monkeypatch.setattr(licences, "cues", cues)
+    from pyspark.sql import functions as F
+
+    for has_cue in (licences.has_cue, lambda low, share: F.lit(True)):
+        monkeypatch.setattr(licences, "has_cue", has_cue)
         found.append(sorted((r["doc_id"], r["n_licences"], r["families"]) for r in licences.licences(docs).collect()))
     assert found[0] == found[1] and sum(n > 0 for _, n, _ in found[0]) > 40
 
@@ -599,6 +614,64 @@ def test_op1_and_op4_on_held_out_rows(spark, query, label, remainder):
     assert np.mean([a for a, b in held if b == 1]) > 0.9
 
 
+def plain_features(text, marked, stems, near=3):
+    """The features of one text, word by word and byte by byte."""
+    b = (text or "").encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    spans = lambda data, extra: [m.span() for m in re.finditer(rb"[A-Za-z\x80-\xff" + extra + rb"]+", data)]
+    words = [(s, e, low[s:e]) for s, e in spans(b, b"")]
+    n, size = max(len(words), 1), max(len(b), 1)
+    insults, seconds = {w.encode() for w in toxicity.INSULTS}, {w.encode() for w in toxicity.SECOND_PERSON}
+    is_insult, is_mark = [w in insults for *_, w in words], [w in marked for *_, w in words]
+    you = [k for k, (*_, w) in enumerate(words) if w in seconds]
+    close = sum((i or m) and any(abs(k - y) <= near for y in you) for k, (i, m) in enumerate(zip(is_insult, is_mark)))
+    capital, letter = lambda c: 65 <= c <= 90, lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    mixed = [b[s:e] for s, e in spans(b, rb"0-9@$!*") if any(map(letter, b[s:e])) and not all(map(letter, b[s:e])) and letter(b[s]) and letter(b[e - 1])]
+    leet = {ord(k): ord(v) for k, v in toxicity.LEET.items()} | {c: c + 32 for c in range(65, 91)}
+    hidden = sum(bytes(leet.get(c, c) for c in w) in insults for w in mixed)
+    stretched = sum(letter(low[k]) and low[k] == low[k - 1] == low[k - 2] for k in range(2, len(low)))
+    stem = sum(w[: toxicity.STEM] in stems for *_, w in words)
+    return [
+        math.log1p(len(words)), math.log1p(len(b)), sum(is_insult) / n, math.log1p(sum(is_insult)), sum(is_mark) / n, math.log1p(sum(is_mark)), stem / n, math.log1p(stem), len(you) / n,
+        math.log1p(close), sum(map(capital, b)) / size, sum(e - s > 1 and all(map(capital, b[s:e])) for s, e, _ in words) / n,
+        sum(33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127 for c in b) / size, b.count(b"!") / size, sum(48 <= c < 58 for c in b) / size, len(mixed) / n, math.log1p(hidden), stretched / size,
+    ]
+
+
+def plain_trees(trees, row):
+    """The sum of the trees' leaves, node by node."""
+    total = trees.base
+    for feature, cut, value in trees.nodes:
+        node = 0
+        for _ in range(trees.depth):
+            f = feature[node]
+            if f < 0:
+                break
+            node = 2 * node + 1 + (sum(e < row[f] for e in trees.edges[f]) > cut[node])
+        total += trees.rate * value[node]
+    return total
+
+
+def test_op1_scores_equal_plain_scores(texts):
+    from quernstone.llm import _bytes as B
+
+    odd = [None, "", "aa", "aaa sooo you 1d1ot", "YOU ID10T!!! you are STUPID, sh1t", "ab1 1ab a1b x@y", "é" * 9, "i" * 5000 + " trash you"]
+    every = odd + [t for _, t in texts[:60]]
+    marked = [w for t in every[8:20] for w in re.findall("[a-z]+", t)][::7]
+    stems = [w[: toxicity.STEM] for w in marked[::3]]
+    lexicon = toxicity.hashes_of(marked), toxicity.hashes_of(stems)
+    got = toxicity.features(*B.column_bytes(pa.array(every, pa.string())), lexicon)
+    want = np.array([plain_features(t, {w.encode() for w in marked}, {w.encode() for w in stems}) for t in every])
+    assert got == pytest.approx(want)
+    label = (got[:, 2] + got[:, 10] > np.median(got[:, 2] + got[:, 10])).astype(float)
+    trees = toxicity.Trees(trees=12, least=1.0).fit(got, label)
+    sums = trees.predict(got)
+    assert sums == pytest.approx(np.array([plain_trees(trees, r) for r in got])) and len(set(np.round(sums, 6))) > 2
+    x, y = toxicity.isotonic(sums, label)
+    between = lambda v: y[0] if v <= x[0] else y[-1] if v >= x[-1] else next(y[k] + (v - x[k]) / (x[k + 1] - x[k]) * (y[k + 1] - y[k]) for k in range(len(x) - 1) if x[k] <= v <= x[k + 1])
+    assert np.interp(sums, x, y) == pytest.approx(np.array([between(v) for v in sums]))
+
+
 def test_op1_isotonic_and_trees():
     x, y = toxicity.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), weight=0)
     assert y.tolist() == [0, 0.5, 1]
