@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, breaks:
                 if keep_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
+        B.give_back()
 
     return with_key(docs).mapInArrow(run, PIECE + ", ids array<int>" * keep_ids)
 

@@ -158,6 +158,7 @@ def quality(docs: DataFrame, model: Machine, modulus: int = 5, remainder: int =
         for batch in batches:
             score, ids = model.scores(*B.column_bytes(batch.column("text"))), batch.column("doc_id")
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "held_out": pa.array(held_out(ids.to_pylist(), modulus, remainder)), "score": pa.array(score), "predicted": pa.array((score >= cut).astype(np.int32))})
+        B.give_back()
 
     return with_key(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -173,6 +174,7 @@ def good_documents(docs: DataFrame, model: Machine, cut: float = 0.3) -> DataFra
         for batch in batches:
             keep = model.scores(*B.column_bytes(batch.column("text"))) >= cut
             yield batch.select(["row"]).filter(pa.array(keep))
+        B.give_back()
 
     kept = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}")
     return kept.select("row.*")

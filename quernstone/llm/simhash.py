@@ -233,7 +233,7 @@ def classified(docs: DataFrame, width: int, budget: int) -> tuple[DataFrame, Dat
     total = prints.count()
     # Rows that repeat a doc_id hold together, whatever their fingerprints.
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
-    repeated = prints.join(several, "doc_id", "left_semi").distinct()
+    repeated = prints.join(few(several), "doc_id", "left_semi").distinct()
     same_id = with_component(repeated, classes.withColumnRenamed("rep", "component"), total).select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
     parts = connected(links(classes.select("fp", "rep"), budget).unionByName(same_id))
     classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))

@@ -139,6 +139,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, breaks:
                     yield flush()
         if held:
             yield flush()
+        B.give_back()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The order is total but for equal rows, so a task that runs again cuts the same files; rows of one doc_id may span ranges.

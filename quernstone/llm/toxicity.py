@@ -295,5 +295,6 @@ def toxicity(docs: DataFrame, model: Model, modulus: int = 4, remainder: int = 2
             score = model.scores(*B.column_bytes(batch.column("text")))
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "held_out": pa.array(held_out(ids.to_pylist(), modulus, remainder)), "score": pa.array(score), "predicted": pa.array((score >= cut).astype(np.int32))})
+        B.give_back()
 
     return with_key(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
