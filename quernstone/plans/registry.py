@@ -7,6 +7,8 @@ sources for releases.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from quernstone.operators import catalog, hybrid, lexical, markdown
 from quernstone.operators.vector import knn
 from quernstone.plans import index, render
 from quernstone.plans.stem_sql import stems
+from quernstone.shared import session_folder
 
 BASE, RAW = "https://docs.example.org", "https://raw.example.org"
 QUERIES: dict = {}
@@ -143,6 +146,32 @@ def frontmatter_fields(spark, sf_dir):
     return markdown.parse_docs(markdown_of(spark, sf_dir, False)).select("doc_id", "meta.*", F.length("body").cast("long").alias("body_chars"))
 
 
+_TITLES = ("cast(doc_id as varchar)", "'True'", "''", "'1.5'", "''")
+
+
+@query(f"select doc_id, case doc_id % 5 {' '.join(f'when {k} then {t}' for k, t in enumerate(_TITLES))} end as title, doc_id || ' > True > False >  > 1.50 > ' || lang as breadcrumb, '' as canonical_url, 'no' as last_updated from documents")
+def frontmatter_scalars(spark, sf_dir):
+    """Numbers, booleans, nulls, maps, quoted text and lists of them as fields."""
+    n, text = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    title = F.when(n == 0, text).when(n == 1, "true").when(n == 2, "~").when(n == 3, "1.50").otherwise("{a: 1}")
+    head = F.concat(F.lit("---\ntitle: "), title, F.lit("\nbreadcrumb: ["), text, F.lit(", true, False, ~, '1.50', "), F.col("lang"), F.lit("]\ncanonical_url:\nlast_updated: no\n---\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("content"))
+    return markdown.parse_docs(docs).select("doc_id", "meta.*")
+
+
+_HEADS = ("' ---' || chr(10) || 'title: A' || chr(10) || '---' || chr(10)", "'---' || chr(10) || 'title: A' || chr(10)", "'---' || chr(10) || 'title: A' || chr(10) || 'title: B' || chr(10) || '---' || chr(10)", "'---' || chr(10) || 'title: [' || chr(10) || '---' || chr(10)")
+
+
+@query(f"select doc_id, '' as title, md5((case doc_id % 4 {' '.join(f'when {k} then {h}' for k, h in enumerate(_HEADS))} end) || replace(text, '---', '')) as body_md5 from documents")
+def frontmatter_malformed(spark, sf_dir):
+    """Fences that don't open, don't close, hold a key twice or no YAML: the whole text is the body."""
+    heads = [F.lit(h) for h in (" ---\ntitle: A\n---\n", "---\ntitle: A\n", "---\ntitle: A\ntitle: B\n---\n", "---\ntitle: [\n---\n")]
+    n = F.col("doc_id") % 4
+    head = F.when(n == 0, heads[0]).when(n == 1, heads[1]).when(n == 2, heads[2]).otherwise(heads[3])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.replace("text", F.lit("---"), F.lit(""))).alias("content"))
+    return markdown.parse_docs(docs).select("doc_id", "meta.title", F.md5("body").alias("body_md5"))
+
+
 _SECTIONS = f"select doc_id, source, lang, n - 1 as section, case when n = 1 then '' else 'Part: A b!' end as heading, {TRIM('t')} as text from (select doc_id, source, lang, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n from documents)"
 _KEPT = f"select *, row_number() over (partition by doc_id order by section) - 1 as nth from ({_SECTIONS}) where text <> '' or heading <> ''"
 
@@ -222,6 +251,7 @@ def embed_text(spark, sf_dir):
 
 _TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2))"
 _TOKENS = "regexp_extract_all(strip_accents(lower(text || ' ' || source || ' ' || lang)), '[\\p{L}\\p{N}]+')"
+_WORDS_OF, _RUNS = "content || ' ' || title || ' ' || breadcrumb", r"'[\p{L}\p{N}]+'"
 _POSTINGS = f"select id, any_value(dl) as dl, term, count(*) as tf from (select id, len(t) as dl, unnest(t) as term from (select doc_id as id, {_TOKENS} as t from documents)) group by id, term"
 _BM25 = f"""
 with p as materialized ({_POSTINGS}), s as materialized (select count(*) as n, avg(len({_TOKENS})) as avgdl from documents), df as materialized (select term, count(*) as df from p group by term),
@@ -254,6 +284,13 @@ def query_term_sets(spark, sf_dir):
     return asked(spark, sf_dir).select("query_id", F.array_join(F.array_sort(query_terms(F.col("query"))), " ").alias("terms"))
 
 
+@query(f"""select item_id as query_id, string_agg(term, ' ' order by first) as terms from (
+  select item_id, term, min(i) as first from (select item_id, unnest(t) as term, unnest(range(len(t))) as i from (select item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2) as t from benchmark)) group by item_id, term) group by item_id""")
+def query_term_order(spark, sf_dir):
+    """Terms in the order in which they first stand."""
+    return asked(spark, sf_dir).select("query_id", F.array_join(query_terms(F.col("query")), " ").alias("terms")).where("terms <> ''")
+
+
 @query(f"select id, term, cast(tf as bigint) as tf, cast(dl as bigint) as dl from ({_POSTINGS})")
 def token_postings(spark, sf_dir):
     found = lexical.build(chunks_of(spark, sf_dir), stemmed=False).postings
@@ -458,9 +495,34 @@ def render_fetch(spark, sf_dir):
     return found.select("request_id", F.md5(render.fetch_column()).alias("body_md5"))
 
 
+@query(f"select doc_id, cast(to_json(struct_pack(path := source || '/' || doc_id || '.md', title := source, snippet := {_SNIPPET}, rank := doc_id)) as varchar) as line from documents")
+def result_json(spark, sf_dir):
+    """Results as lines of JSON."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("source").alias("title"), T.snippet(F.col("text")).alias("snippet"), F.col("doc_id").alias("rank"))
+    return docs.select("doc_id", render.json_column("path", "title", "snippet", "rank").alias("line"))
+
+
 # --- index and lifecycle ---
 
 
+@query(f"select id, path, anchor, heading, md5(content) as content_md5, 64 as dim, (select count(*) from ({_CHUNKS})) as n_docs from ({_CHUNKS})")
+def built_index(spark, sf_dir):
+    """An index's tables, written and opened again: chunks with their embeddings, and the corpus' size."""
+    at = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write_tables(markdown_of(spark, sf_dir, False), at, "hashing-64")
+    chunks, found = index.open_tables(spark, at)
+    rows = chunks.select("id", "path", "anchor", "heading", F.md5("content").alias("content_md5"), F.size("embedding").alias("dim"))
+    return rows.crossJoin(F.broadcast(found.corpus_stats.select("n_docs")))  # one row of statistics
+
+
+@query(f"with {stems(f'select unnest(regexp_extract_all(strip_accents(lower({_WORDS_OF})), {_RUNS})) as term from ({_CHUNKS})')}, w as (select id, unnest(regexp_extract_all(strip_accents(lower({_WORDS_OF})), {_RUNS})) as term from ({_CHUNKS})) select stem as term, count(distinct id) as df from w join st using (term) group by stem")
+def built_term_stats(spark, sf_dir):
+    """Document frequencies of stems in an index that was written and opened again."""
+    at = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write_tables(markdown_of(spark, sf_dir, False), at, "hashing-64")
+    return index.open_tables(spark, at)[1].term_stats
+
+
 @query("select source || '/' || doc_id || '.md' as path from documents order by 1 limit 100")
 def file_cap(spark, sf_dir):
     return index.capped(markdown_of(spark, sf_dir, False), 100).select("path")

@@ -38,6 +38,11 @@ def as_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2)
 
 
+def json_column(*names: str) -> Column:
+    """A row's fields as one line of JSON, in this order."""
+    return F.to_json(F.struct(*names))
+
+
 def hit_text() -> Column:
     """The lines of one hit (rank, title, breadcrumb, release, snippet, url, path)."""
     where = F.when(F.col("breadcrumb") == "", "").otherwise(F.concat(F.lit(" — "), F.col("breadcrumb")))
