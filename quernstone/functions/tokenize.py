@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quernstone.functions.text import let
+
 
 def query_terms(query: Column) -> Column:
     """Distinct runs of a-z and 0-9 of two characters and more, in the order they first stand."""
@@ -30,8 +32,14 @@ def _folds() -> tuple[str, str]:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and private-use characters, without diacritics."""
-    marks = F.regexp_replace(F.translate(F.lower(text), *_folds()), r"\p{Mn}+", "")
-    return F.regexp_extract_all(marks, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+
+    def of(low: Column) -> Column:
+        marks = F.regexp_replace(F.translate(low, *_folds()), r"\p{Mn}+", "")
+        runs = F.regexp_extract_all(marks, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+        # ASCII text has nothing to fold, which most of the time goes into.
+        return F.when(low.rlike(r"[^\x00-\x7F]"), runs).otherwise(F.array_remove(F.split(low, "[^a-z0-9]+"), ""))
+
+    return let(F.lower(text), of)
 
 
 def _consonant(w: str, i: int) -> bool:

@@ -17,12 +17,13 @@ BROADCAST_TERMS = 200_000
 
 @dataclass
 class LexicalIndex:
-    """postings (term, id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avgdl); stemmed: whether terms are stems."""
+    """postings (term, id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avgdl); stemmed: whether terms are stems; counted: the number of chunks, of an index that was just built."""
 
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
     stemmed: bool
+    counted: DataFrame | None = None
 
 
 def build(chunks: DataFrame, stemmed: bool = True) -> LexicalIndex:
@@ -32,19 +33,25 @@ def build(chunks: DataFrame, stemmed: bool = True) -> LexicalIndex:
     counted; statistics take one by term.
     """
     text = F.concat_ws(" ", "content", "title", "breadcrumb")
-    worded = chunks.select("id", tokens(text).alias("t")).withColumn("dl", F.size("t"))
-    said = worded.repartition("id").select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    worded = chunks.select("id", text.alias("t")).repartition("id").select("id", tokens(F.col("t")).alias("t")).withColumn("dl", F.size("t"))
+    said = worded.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     if stemmed:
         said = said.withColumn("term", stem("term")).groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
-    stats = worded.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(said, said.groupBy("term").agg(F.count("*").alias("df")), stats, stemmed)
+    counted = chunks.agg(F.count("*").alias("n_docs"))
+    return LexicalIndex(said, said.groupBy("term").agg(F.count("*").alias("df")), corpus(said, counted), stemmed, counted)
+
+
+def corpus(postings: DataFrame, counted: DataFrame) -> DataFrame:
+    """One row (n_docs, avgdl): the terms' counts sum up to the chunks' lengths; chunks without a term count too."""
+    return counted.crossJoin(F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))).select("n_docs", (F.col("total") / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
 
 
 def stored(index: LexicalIndex) -> LexicalIndex:
-    """``index`` written to the shared folder: postings are read again for the statistics and each search."""
+    """``index`` written to the shared folder: postings are read again for the statistics and each search, texts aren't."""
     postings = written(index.postings, "postings")
     stats = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, written(stats, "terms"), written(index.corpus_stats, "corpus"), index.stemmed)
+    total = corpus(postings, index.counted) if index.counted is not None else index.corpus_stats
+    return LexicalIndex(postings, written(stats, "terms"), written(total, "corpus"), index.stemmed)
 
 
 def terms_of(queries: DataFrame, stemmed: bool) -> DataFrame:

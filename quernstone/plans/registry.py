@@ -18,7 +18,7 @@ from quernstone.operators import catalog, hybrid, lexical, markdown
 from quernstone.operators.vector import knn
 from quernstone.plans import index, render
 from quernstone.plans.stem_sql import stems
-from quernstone.shared import session_folder
+from quernstone.shared import session_folder, spread
 
 BASE, RAW = "https://docs.example.org", "https://raw.example.org"
 QUERIES: dict = {}
@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:

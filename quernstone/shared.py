@@ -38,3 +38,9 @@ def store(df: DataFrame, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once into the shared folder and read from there."""
     return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table in no fewer partitions than there are cores; only tables of a few small files are shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table._jdf.queryExecution().toRdd().getNumPartitions() >= cores else table.repartition(cores)
