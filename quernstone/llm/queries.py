@@ -77,7 +77,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, budget=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op8_decontamination, op9_licences, op10_simhash)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op8_decontamination, op9_licences, op10_simhash, op11_divergence)}
 # Item windows against every place of every document, word for word.
 OP8_SQL = r"""
 with w as (
@@ -116,4 +122,28 @@ select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed
 from d join texts using (doc_id) left join (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from runs group by doc_id) using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_simhash": OP10_SQL}
+# A dense grid of groups and kept terms, in 128-bit integers.
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as nth, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+  from documents
+), w as (select nth, lang, source, unnest(w) as term from d),
+v as materialized (select lang, term from w group by lang, term having count(distinct nth) >= 10),
+c as materialized (select lang, source, term, count(*) as n from w join v using (lang, term) group by lang, source, term),
+g as materialized (select distinct lang, source from d),
+kept as (select lang, count(*) as v from v group by lang),
+grid as (select g.lang, g.source, v.term, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total, kept.v
+  from g join v using (lang) join kept using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = v.term),
+p as materialized (select lang, source, term, n, 1 + (cast(1000000000 as hugeint) * (n + 2)) // (cast(total as hugeint) + 2 * v) as p from grid),
+whole as (select lang, term, sum(n) as n, sum(sum(n)) over (partition by lang) as total from p group by lang, term),
+q as (select lang, term, 1 + (cast(1000000000 as hugeint) * (cast(n as hugeint) + 2)) // (cast(total as hugeint) + 2 * v) as q from whole join kept using (lang)),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // (p + q) as bigint) as value from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_simhash": OP10_SQL, "op11_divergence": OP11_SQL}
