@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernstone.llm.personal_sql import OP12_SQL
 from quernstone.llm.simhash_sql import OP10_SQL
 
 
@@ -83,7 +84,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"), least=10, top=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op8_decontamination, op9_licences, op10_simhash, op11_divergence)}
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quernstone.llm.personal import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_files, op3_neighbours, op4_quality, op5_language_model, op6_suffix_dedup, op7_packing, op8_decontamination, op9_licences, op10_simhash, op11_divergence, op12_personal_data)}
 # Item windows against every place of every document, word for word.
 OP8_SQL = r"""
 with w as (
@@ -146,4 +153,4 @@ r as (select *, row_number() over (partition by lang, source, part order by valu
 select lang, source, part, item, value, cast(rank as integer) as rank from r where part = 'pair' or rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_simhash": OP10_SQL, "op11_divergence": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_simhash": OP10_SQL, "op11_divergence": OP11_SQL, "op12_personal_data": OP12_SQL}
