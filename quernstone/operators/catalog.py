@@ -10,6 +10,10 @@ from quernstone.functions.text import docs_url, repo_path, trim_ws
 from quernstone.operators.markdown import parse_docs
 
 
+#: Up to so many requests are broadcast; up to PATHS of them prune by path.
+REQUESTS, PATHS = 200_000, 1000
+
+
 def is_release(name: Column) -> Column:
     return ~name.isin(*NON_RELEASE) & ~name.contains(FEATURE_MARK)
 
@@ -52,19 +56,35 @@ def resolve(requests: DataFrame, refs: DataFrame) -> DataFrame:
     return rows.withColumn("repo_path", F.col("_path.repo_path")).withColumn("release", release).drop("_known", "_latest", "_path")
 
 
+def write_library(docs: DataFrame, at: str) -> None:
+    """``docs`` (release, path, content) as a table that lookups prune: a folder for each release, bloom filters on path."""
+    docs.repartition("release", F.pmod(F.xxhash64("path"), F.lit(docs.sparkSession.sparkContext.defaultParallelism))).sortWithinPartitions("release", "path").write.mode("overwrite").option("parquet.bloom.filter.enabled#path", "true").partitionBy("release").parquet(at)
+
+
 def fetch_many(requests: DataFrame, refs: DataFrame, docs: DataFrame, docs_base: str) -> DataFrame:
     """``requests`` (request_id, source, version) with found, markdown, source_url, path, release; a miss has found false.
 
-    ``docs`` (release, path, content), partitioned by release, is joined once for all requests.
+    ``docs`` (release, path, content), best partitioned by release, meets the requests where
+    it is read: up to REQUESTS of them are broadcast, and up to PATHS prune files and row groups by
+    their paths, so contents aren't shuffled. Misses come from the requests' side alone.
     """
     asked = resolve(requests, refs)
-    there = docs.select(F.col("release").alias("_release"), F.col("path").alias("_p"), F.col("content"))
-    clean = F.regexp_replace("repo_path", "^markdown/", "")
-    rows = asked.join(there, (F.col("release") == F.col("_release")) & (clean == F.col("_p")) & (F.col("repo_path") != ""), "left")
-    # Blank documents count as missing; only those asked for are looked at.
-    rows = parse_docs(rows.withColumn("_found", F.coalesce(trim_ws(F.col("content")) != "", F.lit(False))).withColumn("content", F.coalesce("content", F.lit(""))))
+    asked = asked.select("request_id", "repo_path", "release", F.when(F.col("repo_path") != "", F.regexp_replace("repo_path", "^markdown/", "")).alias("_clean"))
+    # Blank documents count as missing.
+    there = docs.select(F.col("release").alias("_release"), F.col("path").alias("_p"), "content").where(trim_ws(F.col("content")) != "")
+    few = requests.limit(REQUESTS + 1).count()
+    if few <= PATHS:
+        rows = asked.collect()
+        asked = requests.sparkSession.createDataFrame(rows, asked.schema)
+        there = there.where(F.col("_p").isin([r["_clean"] for r in rows if r["_clean"]]) & F.col("_release").isin(sorted({r["release"] for r in rows})))
+    near = F.broadcast if few <= REQUESTS else (lambda table: table)
+    same = (F.col("release") == F.col("_release")) & (F.col("_clean") == F.col("_p"))
+    found = parse_docs(there.join(near(asked), same))
     body = trim_ws(F.col("body"))
     markdown = F.when((F.col("meta.title") != "") & ~body.startswith("#"), F.concat(F.lit("# "), F.col("meta.title"), F.lit("\n\n"), body)).otherwise(body)
     url = F.when(F.col("meta.canonical_url") == "", docs_url(F.col("repo_path"), docs_base)).otherwise(F.col("meta.canonical_url"))
-    keep = lambda c: F.when(F.col("_found"), c)
-    return rows.select("request_id", F.col("_found").alias("found"), keep(markdown).alias("markdown"), keep(url).alias("source_url"), F.col("repo_path").alias("path"), "release")
+    hits = found.select("request_id", F.lit(True).alias("found"), markdown.alias("markdown"), url.alias("source_url"), F.col("repo_path").alias("path"), "release")
+    known = there.join(near(asked), same).select("request_id").distinct()
+    none = F.lit(None).cast("string")
+    misses = asked.join(known, "request_id", "left_anti").select("request_id", F.lit(False).alias("found"), none.alias("markdown"), none.alias("source_url"), F.col("repo_path").alias("path"), "release")
+    return hits.unionByName(misses)

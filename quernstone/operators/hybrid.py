@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from quernstone.config import DEFAULT_LIMIT, POOL_FACTOR, POOL_LEAST, RRF_K
 from quernstone.functions.text import first_filled, hit_url, snippet, trim_ws
-from quernstone.operators.lexical import LexicalIndex, bm25
+from quernstone.operators.lexical import LITERAL_TERMS, LexicalIndex, bm25
 from quernstone.operators.vector import knn
 
 HIT = ("path", "title", "breadcrumb", "anchor", "release", "url", "snippet", "score")
 
 
+#: Up to so many rows of ids and scores are broadcast.
+FEW = 200_000
+
+
 def pool_size(limit: int) -> int:
     return max(POOL_FACTOR * max(limit, 0), POOL_LEAST)
 
@@ -31,14 +35,31 @@ def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     return one.select("query_id", "id", "score", F.coalesce("lex", counted + F.col("vec")).alias("position"))
 
 
-def best_of_paths(fused: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """``fused`` joined to ``chunks``: each path's best chunk, the first max(limit, 1) of each query by rank (from 1)."""
+def winners(fused: DataFrame, chunks: DataFrame, limit: int, few: bool = False) -> DataFrame:
+    """(query_id, id, path, score, position, rank): each path's best chunk, the first max(limit, 1) of each query; ids meet paths alone."""
     order = (F.desc("score"), F.asc("position"))
-    rows = fused.join(chunks, "id")
+    rows = chunks.select("id", "path").join(F.broadcast(fused) if few else fused, "id")
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(*order))).where("_nth = 1").drop("_nth")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= max(limit, 1))
 
 
+def best_of_paths(fused: DataFrame, chunks: DataFrame, limit: int, queries: int | None = None) -> DataFrame:
+    """``fused`` joined to ``chunks``: each path's best chunk, the first max(limit, 1) of each query by rank (from 1).
+
+    queries: how many queries there are at most. It bounds both joins: up to FEW rows of
+    ``fused`` meet (id, path) by broadcast, and what is left of them meets titles and contents so;
+    up to LITERAL_TERMS winners are looked up by their ids, which prunes row groups.
+    """
+    pooled = None if queries is None else queries * 2 * pool_size(limit)
+    won = winners(fused, chunks, limit, pooled is not None and pooled <= FEW)
+    if queries is not None and queries * max(limit, 1) <= LITERAL_TERMS:
+        rows = won.collect()
+        won = chunks.sparkSession.createDataFrame(rows, won.schema)
+        chunks = chunks.where(F.col("id").isin([r["id"] for r in rows]))
+    small = queries is not None and queries * max(limit, 1) <= FEW
+    return chunks.join((F.broadcast(won) if small else won).drop("path"), "id")
+
+
 def hits(rows: DataFrame, docs_base: str) -> DataFrame:
     """``rows`` of best_of_paths() as query_id, rank and HIT columns."""
     url = hit_url(F.col("path"), F.col("anchor"), F.col("canonical_url"), docs_base)
@@ -49,7 +70,8 @@ def hits(rows: DataFrame, docs_base: str) -> DataFrame:
 def search_batch(index: LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = DEFAULT_LIMIT, docs_base: str = "https://docs.example.org") -> DataFrame:
     """Hits of each of ``queries`` (query_id, query) with ``query_vectors`` (query_id, embedding); blank queries have none."""
     lexical, vector = arms(index, vectors, queries, query_vectors, pool_size(limit))
-    return hits(best_of_paths(fuse(lexical, vector), chunks, limit), docs_base)
+    counted = queries.limit(FEW + 1).count()
+    return hits(best_of_paths(fuse(lexical, vector), chunks, limit, counted if counted <= FEW else None), docs_base)
 
 
 def arms(index: LexicalIndex, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:

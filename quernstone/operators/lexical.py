@@ -1,44 +1,94 @@
-"""Inverted index and BM25."""
+"""Inverted index and BM25.
+
+Words are counted where the text is, so building shuffles postings, never texts. A stored index
+has its postings in hash buckets of terms, sorted by term and id: a search opens only the
+buckets of its terms and, by the files' statistics, their row groups. Each term's ids fall into
+blocks of BLOCK ids with their greatest count and least length, which bound what a block's ids
+can score whatever the corpus' size; ``bm25_by_blocks`` leaves blocks below the pool's last score unread.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernstone.config import BM25_B, BM25_K1, IDF_FLOOR
+from quernstone.functions.text import let
 from quernstone.functions.tokenize import query_terms, stem, tokens
-from quernstone.shared import written
+from quernstone.shared import session_folder, written
 
-#: Queries of up to so many distinct terms are broadcast to the postings.
+#: Queries of up to so many distinct terms, and dictionaries of up to so many, are broadcast.
 BROADCAST_TERMS = 200_000
+#: Queries of up to so many terms in all prune buckets and row groups by the terms themselves.
+LITERAL_TERMS = 1000
+#: Ids of a block.
+BLOCK = 16
+#: Postings of a bucket and of a file, about; no more buckets than MOST_BUCKETS, in which row groups tell the terms apart.
+BUCKET_ROWS, FILE_ROWS, MOST_BUCKETS = 250_000, 4_000_000, 4096
+
+
+POSTINGS = "term string, id long, tf long, dl int, bucket int"
+BLOCKS = "term string, block long, n long, max_tf long, min_dl int, bucket int"
 
 
 @dataclass
 class LexicalIndex:
-    """postings (term, id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avgdl); stemmed: whether terms are stems; counted: the number of chunks, of an index that was just built."""
+    """postings (term, id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avgdl); stemmed: whether terms are stems.
+
+    buckets: how many hash buckets of terms the tables are stored in (a column ``bucket``), 0 if in none; blocks
+    (term, block, n, max_tf, min_dl) of a stored index; counted: the number of chunks, of an index that was just built.
+    """
 
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
     stemmed: bool
     counted: DataFrame | None = None
+    buckets: int = 0
+    blocks: DataFrame | None = None
 
 
-def build(chunks: DataFrame, stemmed: bool = True) -> LexicalIndex:
-    """Of (id, content, title, breadcrumb); headings aren't searched.
+def counts(words: Column) -> Column:
+    """array of struct(term, tf) of an array of words: run lengths of the sorted words, in one row."""
 
-    Chunks are shuffled by id, smaller than their postings, which then need no shuffle to be
-    counted; statistics take one by term.
-    """
-    text = F.concat_ws(" ", "content", "title", "breadcrumb")
-    worded = chunks.select("id", text.alias("t")).repartition("id").select("id", tokens(F.col("t")).alias("t")).withColumn("dl", F.size("t"))
-    said = worded.select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(begins, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, k + 1), n) - at).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs)).otherwise(none)
+
+
+def said(chunks: DataFrame) -> DataFrame:
+    """(id, dl, term, tf) of (id, content, title, breadcrumb), unstemmed; headings aren't searched. No shuffle."""
+    words = tokens(F.concat_ws(" ", "content", "title", "breadcrumb"))
+    counted = chunks.select("id", let(words, lambda t: F.struct(F.size(t).alias("dl"), counts(t).alias("terms"))).alias("w"))
+    return counted.select("id", "w.dl", F.explode("w.terms").alias("t")).select("id", "dl", "t.term", "t.tf")
+
+
+def stem_dictionary(words: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms of ``words``, written once: the stemmer sees a term once, not its postings."""
+    return written(words.select("term").distinct().withColumn("stem", stem("term")), "stems")
+
+
+def stemmed_counts(words: DataFrame) -> DataFrame:
+    """``words`` (id, dl, term, tf) by stem. words: a table that may be read twice."""
+    known = stem_dictionary(words)
+    near = F.broadcast if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda table: table)
+    return words.join(near(known), "term").groupBy("id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf")).select("id", "dl", "term", "tf")
+
+
+def build(chunks: DataFrame, stemmed: bool = True) -> LexicalIndex:
+    """Of (id, content, title, breadcrumb)."""
+    words = said(chunks)
     if stemmed:
-        said = said.withColumn("term", stem("term")).groupBy("id", "dl", "term").agg(F.sum("tf").alias("tf"))
+        words = stemmed_counts(written(words, "words"))
     counted = chunks.agg(F.count("*").alias("n_docs"))
-    return LexicalIndex(said, said.groupBy("term").agg(F.count("*").alias("df")), corpus(said, counted), stemmed, counted)
+    return LexicalIndex(words, words.groupBy("term").agg(F.count("*").alias("df")), corpus(words, counted), stemmed, counted)
 
 
 def corpus(postings: DataFrame, counted: DataFrame) -> DataFrame:
@@ -46,12 +96,54 @@ def corpus(postings: DataFrame, counted: DataFrame) -> DataFrame:
     return counted.crossJoin(F.broadcast(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))).select("n_docs", (F.col("total") / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(postings: DataFrame, at: str, buckets: int = 0, block: int = BLOCK, below: str = "") -> int:
+    """postings, term_stats and blocks below the folder ``at``, by buckets of terms; the number of buckets.
+
+    below: a folder of a segment inside each table's folder.
+
+    Rows are dealt by ranges of (bucket, term, id), so a term that all chunks hold is in as many files as it fills.
+    """
+    spark = postings.sparkSession
+    raw = written(postings, "postings")
+    rows = raw.count()
+    buckets = buckets or min(MOST_BUCKETS, max(16, -(-rows // BUCKET_ROWS)))
+    order = ["bucket", "term", "id"]
+    keyed = raw.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    n = max(-(-rows // FILE_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS)), 1)
+    keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("term", "id", "tf", "dl", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings{below}")
+    stored = spark.read.schema(POSTINGS).parquet(f"{at}/postings{below}")
+    one = stored.groupBy("bucket", "term", F.floor(F.col("id") / block).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    one.repartitionByRange(n, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/blocks{below}")
+    stats = spark.read.schema(BLOCKS).parquet(f"{at}/blocks{below}").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    stats.repartitionByRange(n, "bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/term_stats{below}")
+    return buckets
+
+
+def write_index(index: LexicalIndex, at: str, block: int = BLOCK) -> None:
+    buckets = write_postings(index.postings, at, block=block)
+    stored = index.postings.sparkSession.read.schema(POSTINGS).parquet(f"{at}/postings")
+    total = corpus(stored, index.counted) if index.counted is not None else index.corpus_stats
+    total.select("n_docs", "avgdl", F.lit(buckets).alias("buckets"), F.lit(block).alias("block"), F.lit(index.stemmed).alias("stemmed")).coalesce(1).write.mode("overwrite").parquet(f"{at}/corpus_stats")
+
+
+def open_index(spark: SparkSession, at: str) -> LexicalIndex:
+    stats = spark.read.parquet(f"{at}/corpus_stats")
+    known = stats.first()
+    table = lambda name, schema: spark.read.schema(schema).parquet(f"{at}/{name}")
+    blocks = table("blocks", BLOCKS)
+    return LexicalIndex(table("postings", POSTINGS), table("term_stats", "term string, df long, bucket int"), stats.select("n_docs", "avgdl"), known["stemmed"], None, known["buckets"], blocks.withColumn("size", F.lit(known["block"])))
+
+
 def stored(index: LexicalIndex) -> LexicalIndex:
-    """``index`` written to the shared folder: postings are read again for the statistics and each search, texts aren't."""
-    postings = written(index.postings, "postings")
-    stats = postings.groupBy("term").agg(F.count("*").alias("df"))
-    total = corpus(postings, index.counted) if index.counted is not None else index.corpus_stats
-    return LexicalIndex(postings, written(stats, "terms"), written(total, "corpus"), index.stemmed)
+    """``index`` written to the shared folder by buckets of terms: each search reads its terms' files, texts no more."""
+    spark = index.postings.sparkSession
+    at = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
+    write_index(index, at)
+    return open_index(spark, at)
 
 
 def terms_of(queries: DataFrame, stemmed: bool) -> DataFrame:
@@ -60,26 +152,106 @@ def terms_of(queries: DataFrame, stemmed: bool) -> DataFrame:
     return each.withColumn("term", stem("term") if stemmed else F.col("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame:
-    """(query_id, id, score, rank): each query's ``pool`` best chunks, lower scores better, ranks from 0, ties by id.
+@dataclass
+class Weights:
+    """(query_id, term, qtf, idf, avgdl) of queries: ``few`` with the terms themselves, else a table, ``small`` if it may be broadcast."""
 
-    Scores rank by nine decimals, so that the order in which a sum was taken decides nothing.
+    table: DataFrame
+    terms: list[str] | None
+    small: bool
+
+    def of(self, index: LexicalIndex, table: DataFrame) -> DataFrame:
+        """The rows of one of the index's tables for the queries' terms, with their weights."""
+        if self.terms is not None:
+            table = among(table, self.terms, index.buckets)
+        return table.drop("bucket").join(F.broadcast(self.table) if self.small else self.table, "term")
+
+
+def among(table: DataFrame, terms: list[str], buckets: int) -> DataFrame:
+    """``table`` where the term is one of ``terms``: of a stored index only the terms' buckets are opened."""
+    if buckets:
+        rows = table.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()
+        table = table.where(F.col("bucket").isin([r["b"] for r in rows]))
+    return table.where(F.col("term").isin(terms))
 
-    Terms get their idf first; the weighted terms, few beside the postings, are broadcast
-    up to BROADCAST_TERMS of them and shuffled by term beyond.
+
+def weights(index: LexicalIndex, queries: DataFrame) -> Weights:
+    """Terms get their idf first; queries of up to LITERAL_TERMS terms in all prune by the terms themselves.
+
+    More are broadcast up to BROADCAST_TERMS and shuffled by term beyond.
     """
     wanted = terms_of(queries, index.stemmed)
+    few = wanted.limit(LITERAL_TERMS + 1).collect()
+    terms = sorted({r["term"] for r in few}) if len(few) <= LITERAL_TERMS else None
+    stats = index.term_stats
+    if terms is not None:
+        wanted = queries.sparkSession.createDataFrame(few, wanted.schema)
+        stats = among(stats, terms, index.buckets)
     n, df = F.col("n_docs"), F.col("df")
     idf = F.log((n - df + 0.5) / (df + 0.5))
-    weighted = wanted.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row of statistics
+    weighted = wanted.join(stats, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row of statistics
     weighted = weighted.withColumn("idf", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)).select("query_id", "term", "qtf", "idf", "avgdl")
-    small = weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    tf = F.col("tf")
-    part = F.col("qtf") * F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = index.postings.join(F.broadcast(weighted) if small else weighted, "term").groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
+    if terms is not None:
+        rows = weighted.collect()
+        return Weights(queries.sparkSession.createDataFrame(rows, weighted.schema), sorted({r["term"] for r in rows}), True)
+    return Weights(weighted, None, weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS)
+
+
+def part_of_score(tf: Column, dl: Column) -> Column:
+    """A term's part of a score; it grows with tf and falls with dl."""
+    return F.col("qtf") * F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.col("avgdl")))
+
+
+def bm25(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame:
+    """(query_id, id, score, rank): each query's ``pool`` best chunks, lower scores better, ranks from 0, ties by id.
+
+    Scores rank by nine decimals, so that the order in which a sum was taken decides nothing.
+    """
+    weighted = weights(index, queries)
+    scored = weighted.of(index, index.postings).groupBy("query_id", "id").agg((-F.sum(part_of_score(F.col("tf"), F.col("dl")))).alias("score"))
     return top(scored, pool, F.round("score", 9))
 
 
+@dataclass
+class BlockSearch:
+    """hits: as bm25() gives them; blocks: (query_id, block, bound, first, read) of all blocks with a query's terms."""
+
+    hits: DataFrame
+    blocks: DataFrame
+
+
+def bm25_by_blocks(index: LexicalIndex, queries: DataFrame, pool: int) -> BlockSearch:
+    """bm25() of a stored index, without scoring blocks that can't reach the pool.
+
+    A block's bound is the sum of its terms' bounds. The ``pool`` blocks of the greatest bounds
+    are scored first: as each holds an id, their ``pool``-th best score is a floor under the
+    result's last. Then come the other blocks whose bound reaches that floor; no id elsewhere can.
+    """
+    if index.blocks is None:
+        raise ValueError("only a stored index has blocks")
+    weighted = weights(index, queries)
+    # Bounds are a hair too great, so that rounding leaves no id out.
+    bound = F.sum(part_of_score(F.col("max_tf"), F.col("min_dl"))) * (1 + 1e-9) + 2e-9
+    bounds = weighted.of(index, index.blocks).groupBy("query_id", "block").agg(bound.alias("bound"), F.max("size").alias("size"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+    bounds = written(bounds.withColumn("first", nth <= pool), "block-bounds")
+    size = bounds.agg(F.max("size")).first()[0] or 1
+    postings = weighted.of(index, index.postings).withColumn("block", F.floor(F.col("id") / size))
+
+    def score(blocks: DataFrame) -> DataFrame:
+        near = F.broadcast if blocks.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda table: table)
+        some = postings.join(near(blocks.select("query_id", "block")), ["query_id", "block"], "left_semi")
+        return some.groupBy("query_id", "id").agg((-F.sum(part_of_score(F.col("tf"), F.col("dl")))).alias("score"))
+
+    first = written(top(score(bounds.where("first")), pool, F.round("score", 9)), "first-blocks")
+    # Fewer than ``pool`` ids in the first blocks leave no floor. One row for each query.
+    floor = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("last")).select("query_id", F.when(F.col("n") >= pool, -F.col("last")).alias("floor"))
+    blocks = bounds.join(floor, "query_id", "left").withColumn("read", F.col("first") | F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+    rest = score(blocks.where("read and not first"))
+    hits = top(first.select("query_id", "id", "score").unionByName(rest.select("query_id", "id", "score")), pool, F.round("score", 9))
+    return BlockSearch(hits, blocks.select("query_id", "block", "bound", "first", "read"))
+
+
 def top(scored: DataFrame, pool: int, order) -> DataFrame:
     """The first ``pool`` rows of each query by ``order`` and id, with rank from 0; planned as a group limit before the shuffle."""
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))

@@ -15,6 +15,8 @@ from quernstone.shared import written
 
 META = ("title", "breadcrumb", "canonical_url", "last_updated")
 CHUNK = ("path", "anchor", "title", "breadcrumb", "heading", "release", "content", "canonical_url", "last_updated")
+#: First ids of up to so many documents are broadcast (16 MB); documents of a range.
+DOCUMENTS, RANGE = 1 << 20, 250_000
 # Plain scalars of YAML 1.2's core schema.
 _NULL = re.compile(r"(~|null|Null|NULL)?\Z")
 _BOOL = re.compile(r"(true|True|TRUE|false|False|FALSE)\Z")
@@ -125,7 +127,7 @@ def windows(text: Column, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -
 
 
 def chunk_docs(docs: DataFrame) -> DataFrame:
-    """Chunks (CHUNK columns and section, window) of ``docs`` (release, path, content); no shuffle."""
+    """Chunks (CHUNK columns, section, window, and nth in the document from 0) of ``docs`` (release, path, content); no shuffle."""
     parsed = parse_docs(docs).withColumn("sections", sections(F.col("body")))
     cut = F.flatten(
         F.transform(
@@ -137,9 +139,9 @@ def chunk_docs(docs: DataFrame) -> DataFrame:
     alone = F.array(F.struct(F.lit(0).alias("section"), F.lit(0).alias("window"), F.col("meta.title").alias("heading"), F.col("meta.breadcrumb").alias("content"), F.lit(True).alias("titled")))
     # Computed once: a document without chunks but with a title gives one chunk of that.
     chunks = let(cut, lambda c: F.when((F.size(c) == 0) & (F.col("meta.title") != ""), alone).otherwise(c))
-    each = parsed.select("release", "path", "meta", F.explode(chunks).alias("c"))
+    each = parsed.select("release", "path", "meta", F.posexplode(chunks).alias("nth", "c"))
     anchor = F.when(F.col("c.titled") | (F.col("c.heading") == ""), "").otherwise(slug(F.col("c.heading")))
-    return each.select("path", anchor.alias("anchor"), "meta.title", "meta.breadcrumb", "c.heading", "release", "c.content", "meta.canonical_url", "meta.last_updated", "c.section", "c.window")
+    return each.select("path", anchor.alias("anchor"), "meta.title", "meta.breadcrumb", "c.heading", "release", "c.content", "meta.canonical_url", "meta.last_updated", "c.section", "c.window", "nth")
 
 
 def embed_text() -> Column:
@@ -148,21 +150,27 @@ def embed_text() -> Column:
     return F.when(F.size(parts) == 0, F.col("content")).otherwise(F.concat(F.array_join(parts, " — "), F.lit("\n\n"), F.col("content")))
 
 
-def with_ids(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with id 1..N in the order of (release, path, section, window).
+def first_ids(sizes: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """``sizes`` (keys, _n) with _first, the sum of _n of all rows before in the order of ``keys``, which tell rows apart; and the number of rows."""
+    sizes = written(sizes, "sizes")
+    many = sizes.count()
+    # Written, since ranges drawn anew could differ.
+    ranged = written(sizes.repartitionByRange(max(1, -(-many // RANGE)), *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))  # one row for each range
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("_first", F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before"), many
 
-    Chunks are written once. Their keys alone, not their texts, are range-partitioned and
-    ranked, within partitions and then by the sizes of the partitions before, so no task
-    sees more than its range; the ranks join the chunks. Ranked keys are written, since ranges
-    drawn anew could differ. Rows that share all four keys get one id each, in any order.
+
+def with_ids(chunks: DataFrame, first: int = 1) -> DataFrame:
+    """``chunks`` of chunk_docs() with id from ``first`` on in the order of (release, path, section, window).
+
+    Chunks are written once and don't move: documents' keys and sizes alone are range-partitioned
+    and added up, within partitions and then by the partitions' sums before, and each
+    document's first id, of up to DOCUMENTS broadcast, meets its chunks. A document is told by
+    the row of its first chunk, so documents that share release and path follow one another.
     """
-    keys = ["release", "path", "section", "window"]
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = written(chunks.withColumn("_row", F.monotonically_increasing_id()), "chunks")
-    ranged = chunks.select(*keys, "_row").repartitionByRange(n, *keys).sortWithinPartitions(*keys, "_row").withColumn("_part", F.spark_partition_id())
-    ranked = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*keys, "_row"))).select("_row", "_part", "_nth")
-    ranked = written(ranked, "ranked-chunks")
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ids = ranked.join(F.broadcast(before.select("_part", "_before")), "_part").select("_row", (F.col("_nth") + F.col("_before")).alias("id"))
-    return chunks.join(ids, "_row").drop("_row")
+    chunks = written(chunks.withColumn("_row", F.monotonically_increasing_id() - F.col("nth")), "chunks")
+    starts, many = first_ids(chunks.groupBy("release", "path", "_row").agg(F.count("*").alias("_n")), ["release", "path", "_row"])
+    near = F.broadcast if many <= DOCUMENTS else (lambda table: table)
+    return chunks.join(near(starts.select("_row", "_first")), "_row").withColumn("id", F.col("_first") + F.col("nth") + first).drop("_row", "_first", "nth")

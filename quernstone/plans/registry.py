@@ -16,7 +16,7 @@ from quernstone.functions import text as T
 from quernstone.functions.tokenize import query_terms, stem, tokens
 from quernstone.operators import catalog, hybrid, lexical, markdown
 from quernstone.operators.vector import knn
-from quernstone.plans import index, render
+from quernstone.plans import index, render, segments
 from quernstone.plans.stem_sql import stems
 from quernstone.shared import session_folder, spread
 
@@ -520,7 +520,7 @@ def built_term_stats(spark, sf_dir):
     """Document frequencies of stems in an index that was written and opened again."""
     at = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
     index.write_tables(markdown_of(spark, sf_dir, False), at, "hashing-64")
-    return index.open_tables(spark, at)[1].term_stats
+    return index.open_tables(spark, at)[1].term_stats.select("term", "df")
 
 
 @query("select source || '/' || doc_id || '.md' as path from documents order by 1 limit 100")
@@ -548,3 +548,61 @@ def change_detection(spark, sf_dir):
     refs = refs_of(spark, sf_dir)
     built = refs.where("is_default").select(F.col("commit").alias("built"))
     return refs.crossJoin(F.broadcast(built.limit(1))).select("name", (F.col("commit") != F.col("built")).alias("stale"))
+
+
+# --- index in segments, search by blocks ---
+
+
+@query(f"{_BM25} select query_id, id, rank, round(score, 6) as score from lex")
+def bm25_topk_blocks(spark, sf_dir):
+    """The same rows as bm25_topk, without scoring blocks of ids that can't reach the pool."""
+    built = lexical.stored(lexical.build(chunks_of(spark, sf_dir), stemmed=False))
+    found = lexical.bm25_by_blocks(built, asked(spark, sf_dir), 40).hits
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of an index in three segments: older texts of odd documents and none of every fifth; those; every seventh goes."""
+    docs, n = markdown_of(spark, sf_dir, False), F.col("doc_id")
+    at = f"{session_folder(spark)}/segments-{uuid.uuid4().hex}"
+    segments.create(spark, at, buckets=8, parts=4)
+    old = F.when(n % 2 == 1, F.concat("content", F.lit(" older"))).otherwise(F.col("content"))
+    segments.add(spark, at, 0, docs.where(n % 5 > 0).withColumn("content", old))
+    segments.add(spark, at, 1, docs.where((n % 5 == 0) | (n % 2 == 1)))
+    segments.add(spark, at, 2, docs.where(n % 7 == 3).withColumn("content", F.lit(None).cast("string")))
+    return at
+
+
+_LIVE = _CHUNKS.replace(_KEPT, f"select * from ({_KEPT}) where doc_id % 7 <> 3").replace("nth as section, w", "nth as section, w, doc_id")
+_LIVE_STEMS = f"""with {stems(f'select unnest(regexp_extract_all(strip_accents(lower({_WORDS_OF})), {_RUNS})) as term from ({_LIVE}) union all select unnest({_TERMS}) from benchmark')},
+live as materialized (select id, path, section, w, case when doc_id % 5 = 0 or doc_id % 2 = 1 then 1 else 0 end as segment, regexp_extract_all(strip_accents(lower({_WORDS_OF})), {_RUNS}) as words from ({_LIVE})),
+p as materialized (select id, stem as term, count(*) as tf, any_value(dl) as dl from (select id, len(words) as dl, unnest(words) as term from live) join st using (term) group by id, stem)"""
+
+
+@query(f"select id - 1 as id, path, anchor, heading, md5(content) as content_md5, (select count(*) from ({_LIVE})) as n_docs from ({_LIVE})")
+def segmented_index(spark, sf_dir):
+    """Chunks of an index after three batches of changes, compacted: as if it had been built from the last state."""
+    at = _segmented(spark, sf_dir)
+    segments.compact(spark, at, f"{at}-compact")
+    index = segments.SegmentedIndex(spark, f"{at}-compact")
+    rows = index.chunks.select((F.col("id") - index.segments[-1] * segments.SPAN).alias("id"), "path", "anchor", "heading", F.md5("content").alias("content_md5"))
+    return rows.crossJoin(F.broadcast(index.lexical.corpus_stats.select("n_docs")))  # one row of statistics
+
+
+@query(f"{_LIVE_STEMS} select term, count(*) as df from p group by term")
+def segmented_term_stats(spark, sf_dir):
+    """Document frequencies of what is live in an index of three segments."""
+    return segments.SegmentedIndex(spark, _segmented(spark, sf_dir)).lexical.term_stats.select("term", "df")
+
+
+@query(f"""{_LIVE_STEMS}, s as materialized (select count(*) as n, avg(len(words)) as avgdl from live), df as materialized (select term, count(*) as df from p group by term),
+q as materialized (select query_id, stem as term, count(*) as qtf from (select item_id as query_id, unnest({_TERMS}) as term from benchmark) join st using (term) group by query_id, stem),
+ws as materialized (select query_id, term, qtf, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end as idf, avgdl from q join df using (term), s),
+sc as (select query_id, id, -sum(qtf * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from p join ws using (term) group by query_id, id)
+select query_id, path, row_number() over (partition by query_id order by round(score, 9), segment, id) - 1 as rank, round(score, 6) as score from sc join live using (id)
+qualify rank < 20""")
+def segmented_search(spark, sf_dir):
+    """The 20 best chunks of each query in an index of three segments, by blocks."""
+    index = segments.SegmentedIndex(spark, _segmented(spark, sf_dir))
+    found = lexical.bm25_by_blocks(index.lexical, asked(spark, sf_dir), 20).hits
+    return index.chunks.select("id", "path").join(found, "id").select("query_id", "path", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

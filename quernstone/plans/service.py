@@ -34,7 +34,7 @@ class Service:
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         near = nearest(opened.vectors, vector, pool).selectExpr("0L as query_id", "id", "distance")
         arms = lexical.bm25(opened.lexical, asked, pool), lexical.top(near, pool, near["distance"])
-        rows = hybrid.hits(hybrid.best_of_paths(hybrid.fuse(*arms), opened.chunks, limit), self.config.docs_base)
+        rows = hybrid.hits(hybrid.best_of_paths(hybrid.fuse(*arms), opened.chunks, limit, queries=1), self.config.docs_base)
         return [{k: r[k] for k in hybrid.HIT} for r in rows.orderBy("rank").collect()]
 
     def refs(self):
