@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 _made: set[str] = set()
 
 
-def session_folder(spark: SparkSession) -> str:
-    """This application's folder below the session's ``spark.checkpoint.dir``, which goes when the driver ends.
-
-    A local folder stands in where that setting is unset, as in tests, on a local master alone.
-    """
+def shared_root(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a local folder on a local master alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"{(shared or 'file:///tmp/checkpoints').rstrip('/')}/quernstone/{spark.sparkContext.applicationId}"
+    return (shared or "file:///tmp/checkpoints").rstrip("/")
+
+
+def session_folder(spark: SparkSession) -> str:
+    """This application's folder below shared_root(), which goes when the driver ends."""
+    folder = f"{shared_root(spark)}/quernstone/{spark.sparkContext.applicationId}"
     if folder not in _made:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())

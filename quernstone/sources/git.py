@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quernstone.config import MARKDOWN_PREFIX
 
@@ -114,6 +114,22 @@ class _Range(InputPartition):
         self.commit, self.entries = commit, entries
 
 
+def blobs(folder: str | Path, branch: str, commit: str, entries: list[tuple[str, str]]) -> Iterator[tuple]:
+    """Rows of DOCS_SCHEMA of (path, blob)."""
+    if not entries:
+        return
+    out = git(folder, "cat-file", "--batch", data="".join(f"{sha}\n" for _, sha in entries).encode())
+    at = 0
+    for path, _ in entries:
+        end = out.index(b"\n", at)
+        head = out[at:end].split()
+        if len(head) != 3:
+            raise GitError(f"missing blob {out[at:end].decode('utf-8', 'replace')}")
+        size = int(head[2])
+        yield branch, path, out[end + 1 : end + 1 + size].decode("utf-8", "replace"), commit
+        at = end + 2 + size
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder, self.branch, self.size = options["path"], options["branch"], int(options.get("files_a_partition", 500))
@@ -135,18 +151,7 @@ class _Reader(DataSourceReader):
         return [_Range(commit, entries[i : i + self.size]) for i in range(0, len(entries), self.size)] or [_Range(commit, [])]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        if not partition.entries:
-            return
-        out = git(self.folder, "cat-file", "--batch", data="".join(f"{sha}\n" for _, sha in partition.entries).encode())
-        at = 0
-        for path, _ in partition.entries:
-            end = out.index(b"\n", at)
-            head = out[at:end].split()
-            if len(head) != 3:
-                raise GitError(f"missing blob {out[at:end].decode('utf-8', 'replace')}")
-            size = int(head[2])
-            yield self.branch, path, out[end + 1 : end + 1 + size].decode("utf-8", "replace"), partition.commit
-            at = end + 2 + size
+        yield from blobs(self.folder, self.branch, partition.commit, partition.entries)
 
 
 class GitDocuments(DataSource):
@@ -169,3 +174,69 @@ class GitDocuments(DataSource):
 def documents(spark: SparkSession, folder: str | Path, branch: str) -> DataFrame:
     spark.dataSource.register(GitDocuments)
     return spark.read.format("git_markdown").option("branch", branch).load(str(folder))
+
+
+# Fixed value: git's name of the tree without entries.
+EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
+
+
+def changed(folder: str | Path, start: str, end: str) -> list[tuple[str, str]]:
+    """(path, blob) of the Markdown files that differ between two commits, by path; no blob where one is gone. start "": none was there."""
+    listed = git(folder, "diff-tree", "-r", "-z", "--no-renames", start or EMPTY_TREE, end, "--", MARKDOWN_PREFIX).split(b"\0")
+    rows = []
+    for head, name in zip(listed[0::2], listed[1::2]):
+        mode, blob = head.split()[1].decode(), head.split()[3].decode()
+        path = name.decode("utf-8", "replace").removeprefix(MARKDOWN_PREFIX)
+        if path.endswith(".md"):
+            # Other modes name no file of this repository: a folder of another one, or nothing.
+            rows.append((path, blob if mode.startswith(("100", "120")) else ""))
+    return sorted(rows, key=lambda r: r[0].encode())
+
+
+class _ChangeReader(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        self.folder, self.branch, self.size = options["path"], options["branch"], int(options.get("files_a_partition", 500))
+
+    def initialOffset(self) -> dict:
+        return {"commit": ""}
+
+    def latestOffset(self) -> dict:
+        return {"commit": tip_commit(self.folder, self.branch)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if start["commit"] == end["commit"]:
+            return []
+        rows = changed(self.folder, start["commit"], end["commit"])
+        return [_Range(end["commit"], rows[i : i + self.size]) for i in range(0, len(rows), self.size)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
+        there = [(path, blob) for path, blob in partition.entries if blob]
+        yield from blobs(self.folder, self.branch, partition.commit, there)
+        for path, blob in partition.entries:
+            if not blob:
+                yield self.branch, path, None, partition.commit
+
+
+class GitChanges(DataSource):
+    """``spark.readStream.format("git_changes").option("branch", b).load(folder)``: what changes in a branch, in DOCS_SCHEMA.
+
+    An offset is a commit; a batch has the paths that differ between two commits' trees, with
+    null content for those that are gone, also where the branch was rewound or its history
+    rewritten. A commit that the clone no longer holds is an error: start anew with another checkpoint.
+    The folder must be one that all executors see.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_changes"
+
+    def schema(self) -> str:
+        return DOCS_SCHEMA
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _ChangeReader(dict(self.options))
+
+
+def changes(spark: SparkSession, folder: str | Path, branch: str) -> DataFrame:
+    spark.dataSource.register(GitChanges)
+    return spark.readStream.format("git_changes").option("branch", branch).load(str(folder))
