@@ -62,10 +62,6 @@ class Config:
         """Where the index's tables are: a folder of any store that Spark reads (``tables``), which a cluster needs, or the data folder."""
         return self.tables.rstrip("/") or self.index_dir.absolute().as_uri()
 
-    @property
-    def manifest_path(self) -> Path:
-        return self.index_dir / "manifest.json"
-
     @property
     def state_path(self) -> Path:
         return self.data_dir / "state.json"

@@ -116,10 +116,11 @@ def write_postings(postings: DataFrame, at: str, buckets: int = 0, block: int =
     n = max(-(-rows // FILE_ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS)), 1)
     keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("term", "id", "tf", "dl", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings{below}")
     stored = spark.read.schema(POSTINGS).parquet(f"{at}/postings{below}")
-    one = stored.groupBy("bucket", "term", F.floor(F.col("id") / block).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    one.repartitionByRange(n, "bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/blocks{below}")
-    stats = spark.read.schema(BLOCKS).parquet(f"{at}/blocks{below}").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
-    stats.repartitionByRange(n, "bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/term_stats{below}")
+    # Dealt by ranges of the key, rows need no other exchange to be counted.
+    blocked = stored.withColumn("block", F.floor(F.col("id") / block)).repartitionByRange(n, "bucket", "term", "block").groupBy("bucket", "term", "block")
+    blocked.agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/blocks{below}")
+    stats = spark.read.schema(BLOCKS).parquet(f"{at}/blocks{below}").select("bucket", "term", "n").repartitionByRange(n, "bucket", "term").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    stats.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/term_stats{below}")
     return buckets
 
 
@@ -159,20 +160,18 @@ class Weights:
     table: DataFrame
     terms: list[str] | None
     small: bool
+    buckets: list[int]
 
     def of(self, index: LexicalIndex, table: DataFrame) -> DataFrame:
         """The rows of one of the index's tables for the queries' terms, with their weights."""
         if self.terms is not None:
-            table = among(table, self.terms, index.buckets)
+            table = among(table, self.terms, self.buckets)
         return table.drop("bucket").join(F.broadcast(self.table) if self.small else self.table, "term")
 
 
-def among(table: DataFrame, terms: list[str], buckets: int) -> DataFrame:
-    """``table`` where the term is one of ``terms``: of a stored index only the terms' buckets are opened."""
-    if buckets:
-        rows = table.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), buckets).alias("b")).distinct().collect()
-        table = table.where(F.col("bucket").isin([r["b"] for r in rows]))
-    return table.where(F.col("term").isin(terms))
+def among(table: DataFrame, terms: list[str], buckets: list[int]) -> DataFrame:
+    """``table`` where the term is one of ``terms``, which lie in ``buckets``: of a stored index only those are opened."""
+    return (table.where(F.col("bucket").isin(buckets)) if buckets else table).where(F.col("term").isin(terms))
 
 
 def weights(index: LexicalIndex, queries: DataFrame) -> Weights:
@@ -181,20 +180,22 @@ def weights(index: LexicalIndex, queries: DataFrame) -> Weights:
     More are broadcast up to BROADCAST_TERMS and shuffled by term beyond.
     """
     wanted = terms_of(queries, index.stemmed)
-    few = wanted.limit(LITERAL_TERMS + 1).collect()
-    terms = sorted({r["term"] for r in few}) if len(few) <= LITERAL_TERMS else None
+    few = wanted.withColumn("bucket", bucket_of(F.col("term"), max(index.buckets, 1))).limit(LITERAL_TERMS + 1).collect()
+    terms, buckets = None, []
     stats = index.term_stats
-    if terms is not None:
-        wanted = queries.sparkSession.createDataFrame(few, wanted.schema)
-        stats = among(stats, terms, index.buckets)
+    if len(few) <= LITERAL_TERMS:
+        terms, buckets = sorted({r["term"] for r in few}), sorted({r["bucket"] for r in few}) if index.buckets else []
+        wanted = queries.sparkSession.createDataFrame([r[:3] for r in few], wanted.schema)
+        stats = among(stats, terms, buckets)
+        wanted = F.broadcast(wanted)
     n, df = F.col("n_docs"), F.col("df")
     idf = F.log((n - df + 0.5) / (df + 0.5))
-    weighted = wanted.join(stats, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row of statistics
+    weighted = stats.join(wanted, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row of statistics
     weighted = weighted.withColumn("idf", F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)).select("query_id", "term", "qtf", "idf", "avgdl")
     if terms is not None:
         rows = weighted.collect()
-        return Weights(queries.sparkSession.createDataFrame(rows, weighted.schema), sorted({r["term"] for r in rows}), True)
-    return Weights(weighted, None, weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS)
+        return Weights(queries.sparkSession.createDataFrame(rows, weighted.schema), sorted({r["term"] for r in rows}), True, buckets)
+    return Weights(weighted, None, weighted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS, [])
 
 
 def part_of_score(tf: Column, dl: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.functions.tokenize import query_terms, stem, tokens
-from quernstone.operators import catalog, hybrid, lexical, markdown
+from quernstone.operators import catalog, embed, hybrid, lexical, markdown
 from quernstone.operators.vector import knn
 from quernstone.plans import index, render, segments
 from quernstone.plans.stem_sql import stems
@@ -510,8 +510,8 @@ def built_index(spark, sf_dir):
     """An index's tables, written and opened again: chunks with their embeddings, and the corpus' size."""
     at = f"{session_folder(spark)}/index-{uuid.uuid4().hex}"
     index.write_tables(markdown_of(spark, sf_dir, False), at, "hashing-64")
-    chunks, found = index.open_tables(spark, at)
-    rows = chunks.select("id", "path", "anchor", "heading", F.md5("content").alias("content_md5"), F.size("embedding").alias("dim"))
+    chunks, found, vectors = index.open_tables(spark, at)
+    rows = chunks.join(vectors, "id").select("id", "path", "anchor", "heading", F.md5("content").alias("content_md5"), F.size("embedding").alias("dim"))
     return rows.crossJoin(F.broadcast(found.corpus_stats.select("n_docs")))  # one row of statistics
 
 
@@ -550,6 +550,28 @@ def change_detection(spark, sf_dir):
     return refs.crossJoin(F.broadcast(built.limit(1))).select("name", (F.col("commit") != F.col("built")).alias("stale"))
 
 
+# --- vectors of texts ---
+
+# Terms stand for tokens; their MD5 picks the token vector.
+_TOKEN_VECTORS = f"""
+with t as (select doc_id, unnest({_TOKENS}) as term from documents),
+ids as (select doc_id, cast('0x' || substring(md5(term), 1, 6) as bigint) % (select count(*) from embeddings) as vec_id from t),
+sums as (select doc_id, i, sum(embedding[i]) as x from (select doc_id, embedding::double[] as embedding, unnest(range(1, 65)) as i from ids join embeddings using (vec_id)) group by doc_id, i)
+select doc_id, i - 1 as place, round(x / sqrt(sum(x * x) over (partition by doc_id)), 6) + 0.0 as value from sums
+"""
+
+
+@query(_TOKEN_VECTORS)
+def pooled_vectors(spark, sf_dir):
+    """Documents' vectors as means of token vectors, of unit length: joined, added up and divided natively."""
+    vectors = vectors_of(spark, sf_dir).withColumnRenamed("id", "token")
+    many = vectors.count()
+    token = (F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("long") % many).alias("token")
+    tokens_ = lexical.said(chunks_of(spark, sf_dir)).select("id", token, "tf")
+    made = embed.pool(tokens_, vectors, 64).select(F.col("id").alias("doc_id"), F.posexplode("embedding").alias("place", "value"))
+    return made.select("doc_id", F.col("place").cast("long").alias("place"), (F.round("value", 6) + 0.0).alias("value"))
+
+
 # --- index in segments, search by blocks ---
 
 

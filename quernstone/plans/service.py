@@ -28,7 +28,7 @@ class Service:
         query = query.strip()
         if not query:
             return []
-        vector = embed.query(query, self.config.embed_model)
+        vector = embed.query(query, self.config.embed_model, self.spark)
         opened = index.open_index(self.spark, self.config)
         pool = hybrid.pool_size(limit)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
@@ -71,7 +71,7 @@ class Service:
         made = index.read_manifest(self.config)
         report = {
             "spark": self.spark.version, "git": shutil.which("git") or "", "data_dir": str(self.config.data_dir), "cloned": git.is_cloned(self.config.clone_dir),
-            "index": index.exists(self.config), **self.capabilities(), "branch": made.branch if made else "", "commit": made.commit[:8] if made else "", "embedder": embed.describe(self.config.embed_model),
+            "index": index.exists(self.config), **self.capabilities(), "branch": made.branch if made else "", "commit": made.commit[:8] if made else "", "embedder": embed.describe(self.config.embed_model, self.spark),
         }
         return bool(report["git"] and report["words"] and report["vectors"]), report
 

@@ -90,8 +90,7 @@ def test_state_and_manifest_survive_damage(tmp_path):
     assert lifecycle.read_state(config) == {"last_fetch": 5.0}
     assert not lifecycle.due({"last_fetch": 0.0}, "last_fetch", 10.0, 10.0) and lifecycle.due({}, "last_fetch", 10.1, 10.0)
     config.state_path.write_text("{")
-    index.write_json(config.manifest_path, {"branch": 1})
-    assert lifecycle.read_state(config) == {} and index.read_manifest(config) is None
+    assert lifecycle.read_state(config) == {}
 
 
 def test_corrupt_clone_is_cloned_anew_once(service, monkeypatch):
@@ -135,3 +134,18 @@ def test_stream_and_folder(spark, tmp_path):
     (tmp_path / "md/s/b.md").write_bytes(b"a\xffb")
     got = files.markdown_folder(spark, str(tmp_path / "md"), "r").first()
     assert (got["path"], got["content"]) == ("s/b.md", "a�b")
+
+
+def test_two_drivers_see_what_is_published(spark, tmp_path, monkeypatch):
+    """The manifest lies beside the tables: another driver, with other data, sees it; a build that breaks off changes nothing."""
+    one, two = (Config(data_dir=tmp_path / d, tables=f"file://{tmp_path}/store", embed_model="hashing-8") for d in ("one", "two"))
+    docs = spark.createDataFrame([("v1", "a.md", "one", "c")], git.DOCS_SCHEMA)
+    made = index.build(spark, docs, "v1", "c1", one)
+    assert index.read_manifest(two) == made and index.open_index(spark, two).chunks.count() == 1
+    monkeypatch.setattr(index, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        index.build(spark, docs.unionByName(docs.withColumn("path", docs["commit"])), "v1", "c2", two)
+    monkeypatch.undo()
+    assert index.read_manifest(one) == made and index.open_index(spark, one).chunks.count() == 1
+    newer = index.build(spark, docs.unionByName(docs.withColumn("path", docs["commit"])), "v1", "c2", two)
+    assert index.read_manifest(one) == newer and newer.previous == made.version and index.open_index(spark, one).chunks.count() == 2

@@ -34,7 +34,7 @@ def test_a_search_opens_its_terms_buckets(spark, built):
     queries = spark.createDataFrame([(1, f"{term} zzzzzz")], "query_id long, query string")
     weighted = lexical.weights(built, queries)
     assert weighted.terms == [term]
-    some = lexical.among(built.postings, weighted.terms, built.buckets)
+    some = lexical.among(built.postings, weighted.terms, weighted.buckets)
     opened, all_ = files_read(some), len(built.postings.inputFiles())
     assert 1 <= opened <= max(1, all_ // 4) and some.count() == built.postings.where(F.col("term") == term).count()
 

@@ -181,6 +181,15 @@ def test_table_embedder(spark, tmp_path):
     assert made.embed(["red blue", "sky", "", "green"]) == pytest.approx(np.array([[0.6, 0.8, 0], [0.5**0.5, 0.5**0.5, 0], [0, 0, 0], [0, 0, 1]]), abs=1e-6)
     got = values(spark, [("red red",), (None,)], "t string", embed.passages(F.col("t"), str(tmp_path)))
     assert got == [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]] and embed.query("blue", str(tmp_path)) == [0.0, 1.0, 0.0]
+    # The same vectors as a table are joined and pooled natively.
+    assert embed.info(spark, str(tmp_path)) == (tmp_path.name, 3)
+    table = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(made.table)], "token int, embedding array<float>")
+    table.write.parquet(str(tmp_path / "vectors.parquet"))
+    texts = ["red blue", "sky", "", "green", None, "sky red sky"]
+    pooled = embed.embedded(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), str(tmp_path))
+    got = {r["id"]: r["embedding"] for r in pooled.collect()}
+    assert [got[i] for i in range(6)] == [pytest.approx(x, abs=1e-6) for x in made.embed([t or "" for t in texts])]
+    assert embed.query("blue", str(tmp_path), spark) == [0.0, 1.0, 0.0] and embed.info(spark, str(tmp_path))[1] == 3
 
 
 def test_blob_round_trip():
