@@ -10,15 +10,15 @@ after Witten and Bell, these are its weights, as log10:
     arc of state h by w, c(hw) > 0  (c(hw) + t(h) p(w | h')) / (c(h) + t(h))
     failure arc of h to h'          t(h) / (c(h) + t(h))
 
-h' is h without its first word. t() is counted for words; for a pair uv it follows by Heaps'
-law from its last word: c(uv) to the power log t(v) / log c(v). Weights that leave a state
-sum to one. A text is scored in one traversal from left to right, which carries the state:
+h' is h without its first word. Weights that leave a state sum to one. A text is scored in one traversal from left to right, which carries the state:
 at each token it follows failure arcs until the state has an arc, and takes it to the state
 of the longest history that there is.
 
-Counts come from all training documents by exchanges of hashed n-grams (``_counts``): first
-words and pairs; then numbers of different pairs by word, and triples. A block doesn't ask
+Counts come from all training documents by three exchanges of hashed n-grams (``_counts``): words
+and pairs; then numbers of different pairs by word, and triples; then numbers of different
+triples by pair, which the blocks that are the first to hold a triple count. A block doesn't ask
 for a triple one of whose pairs occurs in its own texts alone: all its occurrences are there.
+Nor for t() of a pair that occurs once, which is one, or of one in its own texts alone.
 A block then holds the part of the automaton that its texts can reach. Nothing that grows
 with the corpus is broadcast or collected.
 
@@ -123,6 +123,20 @@ class Known:
         self.shared_words, self.asked = np.flatnonzero(shared_words), tokens.asked_triples(shared_pairs)
         # Different training pairs behind each word that this block is the first to hold.
         self.behind = np.bincount(tokens.pair_from[owner], minlength=len(tokens.words))
+        # Pairs whose t() other blocks may add to; no state ends a text.
+        some = shared_pairs & (self.pair_total > 1)
+        if len(tokens.words):
+            some &= tokens.words[tokens.pair_to] != END
+        self.open_pairs = np.flatnonzero(some)
+
+    def triples(self, tokens: BlockTokens, n: int, buckets: list[int], bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the second exchange answered: different pairs behind each word, each triple's count, and the different triples behind each pair that this block is the first to hold."""
+        (behind, *_), (rest, _, owner) = C.answered([tokens.words[self.shared_words], tokens.triples[self.asked]], n, buckets, bodies)
+        types, total, own = self.behind.copy(), tokens.triple_count.copy(), tokens.triple_count > 0
+        types[self.shared_words] += behind
+        total[self.asked] += rest
+        own[self.asked] = owner
+        return types, total, np.bincount(tokens.triple_from[own], minlength=len(tokens.pairs))
 
 
 class Automaton:
@@ -131,15 +145,15 @@ class Automaton:
     An arc has the number of its n-gram: arcs of the root come first, by word; then those of
     words, by pair; then those of pairs, by triple. n-grams with a count above zero in
     ``word``, ``pair`` and ``triple`` have states and arcs; all words have arcs of the root.
-    types: t() of each word.
+    types, pair_types: t() of each word and of each pair.
     """
 
-    def __init__(self, tokens: BlockTokens, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, types: np.ndarray, normal: int):
+    def __init__(self, tokens: BlockTokens, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, types: np.ndarray, pair_types: np.ndarray, normal: int):
         n, end = len(word), np.searchsorted(tokens.words, END)
         self.begin, self.pairs_from = 1 + tokens.begin, 1 + n
         plain = (word + 1) / normal
         count = np.concatenate([[1], word, pair]).astype(np.float64)
-        t = np.concatenate([[1], types, pair_types(pair, word[tokens.pair_to], types[tokens.pair_to])]).astype(np.float64)
+        t = np.concatenate([[1], types, pair_types]).astype(np.float64)
         share = t / np.maximum(count + t, 1)
         self.failure = np.log10(np.where(share > 0, share, 1))
         self.fail_to = np.concatenate([np.zeros(1 + n, np.int64), 1 + tokens.pair_to])
@@ -198,12 +212,6 @@ class Automaton:
         return out
 
 
-def pair_types(pair: np.ndarray, word: np.ndarray, types: np.ndarray) -> np.ndarray:
-    """t() of pairs with count ``pair`` whose last words have these counts and numbers of types."""
-    power = np.log(np.maximum(types, 1)) / np.log(np.maximum(word, 2))
-    return np.where(pair > 0, np.maximum(pair, 1) ** power, 0)
-
-
 def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -240,22 +248,47 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_
     normal = train_tokens + types + 1
     first = once.select("block_id", "bucket", "body")
     twice = keyed.groupBy("block_id").cogroup(dealt(first, "block_id", many, 4).groupBy("block_id")).applyInArrow(ask_again, C.REQUEST)
-    second = dealt(twice, "bucket", n, 1).groupBy("bucket").applyInArrow(C.summed(), C.ANSWER).select("block_id", "bucket", "body")
-    every = first.withColumn("again", F.lit(False)).unionByName(second.withColumn("again", F.lit(True)))
+    second = written(dealt(twice, "bucket", n, 1).groupBy("bucket").applyInArrow(C.summed(), C.ANSWER).select("block_id", "bucket", "body"), "model-triples")
+
+    def turns(*tables: DataFrame) -> DataFrame:
+        """The answers of several exchanges, by block."""
+        every = None
+        for turn, table in enumerate(tables):
+            table = table.withColumn("turn", F.lit(turn))
+            every = table if every is None else every.unionByName(table)
+        return dealt(every, "block_id", many, 4).groupBy("block_id")
+
+    def answers_of(right: pa.Table, number: int) -> list[tuple[list[int], list[bytes]]]:
+        answers: list[tuple[list[int], list[bytes]]] = [([], []) for _ in range(number)]
+        for turn, b, body in zip(*(right.column(c).to_pylist() for c in ("turn", "bucket", "body"))):
+            answers[turn][0].append(b)
+            answers[turn][1].append(body)
+        return answers
+
+    def ask_types(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens = tokens_of(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
+        answers = answers_of(right, 2)
+        known = Known(tokens, n, *answers[0])
+        own = known.triples(tokens, n, *answers[1])[2]
+        out = C.requests(left.column("block_id")[0].as_py(), [(tokens.pairs[known.open_pairs], own[known.open_pairs])], n)
+        del tokens, known
+        B.give_back()
+        return pa.Table.from_batches([out])
+
+    thrice = keyed.groupBy("block_id").cogroup(turns(first, second)).applyInArrow(ask_types, C.REQUEST)
+    third = dealt(thrice, "bucket", n, 1).groupBy("bucket").applyInArrow(C.summed(), C.ANSWER).select("block_id", "bucket", "body")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens = tokens_of(left.column("folder")[0].as_py(), left.column("path")[0].as_py())
-        answers: list[tuple[list[int], list[bytes]]] = [([], []), ([], [])]
-        for again, b, body in zip(*(right.column(c).to_pylist() for c in ("again", "bucket", "body"))):
-            answers[again][0].append(b)
-            answers[again][1].append(body)
+        answers = answers_of(right, 3)
         known = Known(tokens, n, *answers[0])
-        behind, triple = known.behind.copy(), tokens.triple_count.copy()
-        some, asked = known.shared_words, known.asked
-        (behind_rest, *_), (triple_rest, *_) = C.answered([tokens.words[some], tokens.triples[asked]], n, *answers[1])
-        behind[some] += behind_rest
-        triple[asked] += triple_rest
-        automaton = Automaton(tokens, known.word_total, known.pair_total, triple, behind, normal)
+        behind, triple, pair_types = known.triples(tokens, n, *answers[1])
+        some = known.open_pairs
+        pair_types[some] += C.answered([tokens.pairs[some]], n, *answers[2])[0][0]
+        # A pair that training documents hold once is followed by one token, wherever that is.
+        once_ = (known.pair_total == 1) & (tokens.words[tokens.pair_to] != END if len(tokens.words) else False)
+        pair_types[once_] = 1
+        automaton = Automaton(tokens, known.word_total, known.pair_total, triple, behind, pair_types, normal)
         weights = automaton.traverse(automaton.arcs(tokens), tokens.first)
         total = known.word_total[tokens.word]
         at = tokens.first[:-1]
@@ -266,4 +299,4 @@ def scores(docs: DataFrame, held_out_of: tuple[int, int] | None = (7, 2), block_
         return out
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return keyed.groupBy("block_id").cogroup(dealt(every, "block_id", many, 4).groupBy("block_id")).applyInArrow(score, out)
+    return keyed.groupBy("block_id").cogroup(turns(first, second, third)).applyInArrow(score, out)

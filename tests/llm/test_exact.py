@@ -323,7 +323,7 @@ class Grams:
         self.c = [collections.Counter(g for w in train for g in zip(*([["\0begin", *w][k:] for k in range(m)]))) for m in (1, 2, 3)]
         del self.c[0]["\0begin",]
         self.history = {**self.c[0], ("\0begin",): len(train)}
-        self.types = collections.Counter(a for a, _ in self.c[1])
+        self.types = collections.Counter(g[:-1] for c in self.c[1:] for g in c)
         self.n = sum(self.c[0].values())
         self.normal = self.n + len(self.c[0]) + 1
 
@@ -333,8 +333,7 @@ class Grams:
         total = self.history.get(history, 0) if len(history) == 1 else self.c[1][history]
         if not total:
             return self.p(history[1:], w)
-        last = history[-1:]
-        t = self.types[last[0]] if len(history) == 1 else total ** (math.log(self.types[last[0]]) / math.log(max(self.history[last], 2)))
+        t = self.types[history]
         return (self.c[len(history)][(*history, w)] + t * self.p(history[1:], w)) / (total + t)
 
 
@@ -366,9 +365,10 @@ def automaton():
     pair = count(tokens.pair, len(tokens.pairs), train)
     triple = count(tokens.triple, len(tokens.triples), train[tokens.at])
     types = np.bincount(tokens.pair_from[pair > 0], minlength=len(word))
+    pair_types = np.bincount(tokens.triple_from[triple > 0], minlength=len(pair))
     n = int(word.sum()) - 5
     normal = n + int((word > 0).sum() - 1) + 1
-    return tokens, (word, pair, triple, types, normal), language_model.Automaton(tokens, word, pair, triple, types, normal)
+    return tokens, (word, pair, triple), language_model.Automaton(tokens, word, pair, triple, types, pair_types, normal)
 
 
 def test_op5_weights_of_each_state_sum_to_one(automaton):
