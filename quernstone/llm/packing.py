@@ -6,6 +6,9 @@ number of pieces of each length, at most ``capacity`` numbers whatever the corpu
 driver packs that histogram: around the largest piece left it takes a filling of the rest of
 the sequence, for as many sequences as its lengths last. The way of least waste and the
 best-fit decreasing one give the first incumbent. If it is above the lower bound ceil(ids / capacity),
+the bound of the relaxed problem (patterns as often as any fraction) takes its place where there
+are RELAXED lengths at most, and its patterns
+rounded down, with the rest filled as before, may be the incumbent. If that is above the bound still,
 the search goes over the undominated fillings at each node, those of equal waste too, for
 as many sequences as possible, half of them, and one, until it meets the bound or its budget
 of nodes or steps ends (``exact`` lifts the budget). Pieces then get their places by their rank among equal lengths,
@@ -32,6 +35,10 @@ from quernstone.llm.tokens import encoder, with_end
 
 #: Fillings of more pieces than this are not compared for dominance, and all kept.
 MANY = 8
+#: Different lengths up to which the relaxed problem is solved; with more, ceil(ids / capacity) is hardly below it.
+RELAXED = 256
+#: Pieces of a salt, about.
+SALTED = 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -212,6 +219,65 @@ def first_way(counts: np.ndarray, capacity: int, tries: int = 4000, most: int =
     return out
 
 
+def fullest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The pattern of greatest worth (how many of each size) and its worth."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+    for c in range(1, capacity + 1):
+        best[c] = best[c - 1]
+        if n := fits[c]:
+            value = best[c - sizes[:n]] + worth[:n]
+            k = int(value.argmax())
+            if value[k] > best[c]:
+                best[c], choice[c] = value[k], k
+    pattern, c = np.zeros(len(sizes)), capacity
+    while c > 0:
+        if choice[c] < 0:
+            c -= 1
+        else:
+            pattern[choice[c]] += 1
+            c -= sizes[choice[c]]
+    return pattern, float(best[capacity])
+
+
+def relaxed(counts: np.ndarray, capacity: int, rounds: int = 300) -> tuple[int, list[tuple[int, dict[int, int]]]]:
+    """A lower bound of the number of sequences, and (sequences, {length: count}) of the relaxed problem's patterns, rounded down.
+
+    Columns of the linear program of patterns are made as they are needed, ``rounds`` at most. Any
+    worths of the lengths bound the number: all pieces' worth by the worth of the fullest pattern.
+    """
+    sizes = np.flatnonzero(counts)
+    demand = counts[sizes].astype(np.float64)
+    each = (capacity // sizes).astype(np.float64)
+    patterns, inverse, times, bound = np.diag(each), np.diag(1 / each), demand / each, 0.0
+    for _ in range(rounds):
+        worth = np.maximum(inverse.sum(0), 0)
+        pattern, value = fullest(sizes, worth, capacity)
+        bound = max(bound, float(demand @ worth) / value)
+        if value <= 1 + 1e-9:
+            break
+        step = inverse @ pattern
+        some = np.flatnonzero(step > 1e-9)
+        out = some[(times[some] / step[some]).argmin()]
+        often = times[out] / step[out]
+        times = np.maximum(times - often * step, 0)
+        times[out], patterns[:, out] = often, pattern
+        inverse[out] /= step[out]
+        rest = np.arange(len(sizes)) != out
+        inverse[rest] -= np.outer(step[rest], inverse[out])
+    rounded, left = [], counts.copy()
+    for n, pattern in zip(np.floor(times + 1e-7).astype(int).tolist(), patterns.T.astype(int)):
+        n = min([n, *(int(left[s]) // k for s, k in zip(sizes.tolist(), pattern.tolist()) if k)])
+        if n > 0:
+            left[sizes] -= n * pattern
+            rounded.append((n, {s: k for s, k in zip(sizes.tolist(), pattern.tolist()) if k}))
+    return int(np.ceil(bound - 1e-6)), rounded
+
+
+def least_of(ways: list[list[tuple[int, dict[int, int]]]]) -> list[tuple[int, dict[int, int]]]:
+    return min(ways, key=sequences)
+
+
 def complete(counts: np.ndarray, capacity: int, tries: float = 2000, most: float = 12, nodes: float = 3000, steps: float = 400_000) -> list[tuple[int, dict[int, int]]]:
     """(sequences, {length: count}) for each pattern used: bin completion with branch and bound.
 
@@ -223,8 +289,16 @@ def complete(counts: np.ndarray, capacity: int, tries: float = 2000, most: float
     """
     total = int((np.arange(len(counts)) * counts).sum())
     bound = -(-total // capacity)
-    best = min((first_way(counts, capacity), best_fit(counts, capacity)), key=sequences)
+    best = least_of([first_way(counts, capacity), best_fit(counts, capacity)])
     best_count = sequences(best)
+    if bound < best_count and np.count_nonzero(counts) <= RELAXED:
+        least, rounded = relaxed(counts, capacity)
+        bound, left = max(bound, least), counts.copy()
+        for times, pattern in rounded:
+            for k, v in pattern.items():
+                left[k] -= times * v
+        best = least_of([best, rounded + least_of([first_way(left, capacity), best_fit(left, capacity)])])
+        best_count = sequences(best)
     heap: list[tuple] = [(0, 0, np.array(counts, np.int64), 0, total, None, None)] if best_count > bound else []
     tick = visited = 0
     while heap and best_count > bound and visited < nodes and steps > 0:
@@ -292,9 +366,11 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 def packed(found: DataFrame, capacity: int, exact: bool = False) -> DataFrame:
     """``found``, a table of pieces, with sequence_id and offset."""
-    salts, columns = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*found.columns]
-    # The salt is written with the pieces, so it deals out equal rows too and stays as it is.
-    salted = written(found.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts))), "pieces")
+    columns = [*found.columns]
+    # A number is written with the pieces, so the salt deals out equal rows too and stays as it is.
+    numbered = written(found.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    salts = max(1, -(-numbered.count() // SALTED))
+    salted = numbered.withColumn("salt", F.pmod(F.xxhash64("number"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row for each length

@@ -316,6 +316,24 @@ def test_op7_goes_back_past_a_full_sequence(each):
     assert (used == counts).all() and sum(t for t, _ in plan) == 3 * each
 
 
+def test_op7_relaxed_bound():
+    """The bound never exceeds the least number of sequences, and few hot lengths end at it."""
+    rng = np.random.default_rng(5)
+    for _ in range(25):
+        counts = np.bincount(rng.choice([3, 4, 5, 6, 7, 9, 11], rng.integers(1, 9)), minlength=14)
+        least, rounded = packing.relaxed(counts, 13)
+        used = sum((t * np.bincount(list(p), list(p.values()), 14) for t, p in rounded), np.zeros(14))
+        assert (used <= counts).all() and all(sum(k * v for k, v in p.items()) <= 13 for _, p in rounded)
+        assert least <= packing.sequences(packing.plan(counts, 13, exact=True))
+    for _ in range(10):
+        counts = np.zeros(1025, np.int64)
+        counts[rng.choice(np.arange(30, 900), 12, replace=False)] = rng.integers(100, 4000, 12)
+        plan, least = packing.plan(counts, 1024), packing.relaxed(counts, 1024)[0]
+        assert packing.sequences(plan) <= least * 1.002
+        used = sum(t * np.bincount(list(p), list(p.values()), 1025) for t, p in plan)
+        assert (used == counts).all()
+
+
 class Grams:
     """Counts of an order-3 model, and its probabilities by the recursive definition."""
 
