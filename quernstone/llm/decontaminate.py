@@ -47,7 +47,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, body, size, words): the distinct windows of each item, as space-joined text and as words."""
+    """(item_id, body, size, words): the distinct windows of each item, as space-joined text and as words; several items may share one."""
     worded = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), word_array(ascii_lower(F.col("text").cast("string"))).alias("w")).where(F.size("w") > 0)
     first = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     cut = worded.select("item_id", "w", F.explode(first).alias("at")).select("item_id", F.slice("w", F.col("at"), width).alias("words"))
@@ -60,18 +60,18 @@ def shingle(words: Column, at: Column, size: Column) -> Column:
 
 
 def tokens(docs: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
-    """``found`` windows with their rarest shingle (token) and its place in the window (ahead). docs: (doc_id, low)."""
+    """``found``, distinct windows (body, size, words), with their rarest shingle (token) and its place in the window (ahead). docs: (doc_id, low)."""
     size = F.least(F.col("size"), F.lit(SHINGLE))
     low = F.transform("words", F.lower)
-    spread = found.select("item_id", "body", "size", low.alias("low"), F.explode(F.sequence(F.lit(0), F.col("size") - size)).alias("ahead"))
-    spread = spread.select("item_id", "body", "size", "ahead", shingle(F.col("low"), F.col("ahead"), size).alias("token"))
+    spread = found.select("body", "size", low.alias("low"), F.explode(F.sequence(F.lit(0), F.col("size") - size)).alias("ahead"))
+    spread = spread.select("body", "size", "ahead", shingle(F.col("low"), F.col("ahead"), size).alias("token"))
     vocabulary = spread.select("token").distinct()
     small = vocabulary.count() <= PART
     near = F.broadcast if small else (lambda table: table)
     counts = doc_tokens(docs, lengths).join(near(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
     ranked = spread.join(near(counts), "token", "left")
-    order = Window.partitionBy("item_id", "body").orderBy(F.coalesce("n", F.lit(0)), "token", "ahead")
-    return ranked.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("item_id", "body", "size", "token", "ahead")
+    order = Window.partitionBy("body").orderBy(F.coalesce("n", F.lit(0)), "token", "ahead")
+    return ranked.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("body", "size", "token", "ahead")
 
 
 def doc_tokens(docs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -86,19 +86,24 @@ def doc_tokens(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = 10, part: int = PART) -> DataFrame:
-    """(doc_id, tag, n_words, copies, found): a row for each distinct document; found: (item_id, at, size) of each occurrence."""
+    """(doc_id, tag, n_words, copies, found, items): a row for each distinct document; found: (at, size) of each place of a window, items: whose windows those are.
+
+    Windows meet documents once, whatever number of items shares them; a document's distinct
+    windows then meet their items.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = windows(items, width)
+    of_items = written(windows(items, width), "windows")
+    found = written(of_items.select("body", "size", "words").distinct(), "distinct-windows")
     # Full lower case neither makes nor removes what stands between words.
     low = word_array(F.lower("text")).alias("low")
     # At most SHINGLE numbers.
     lengths = sorted(r[0] for r in found.select(F.least(F.col("size"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     keyed = tokens(texts.select("doc_id", low), found, lengths)
     parts = max(1, -(-found.count() // part))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("body", "item_id"), F.lit(parts)))
+    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("body"), F.lit(parts)))
     spread = doc_tokens(texts.select("doc_id", F.xxhash64("text").alias("tag"), word_array(F.col("text")).alias("words"), low), lengths)
     none = F.lit(None).cast("string")
-    end = docs.sparkSession.range(1).select(none.alias("item_id"), none.alias("body"), F.lit(0).alias("size"), F.lit(END).cast("long").alias("token"), F.lit(0).alias("ahead"))
+    end = docs.sparkSession.range(1).select(none.alias("body"), F.lit(0).alias("size"), F.lit(END).cast("long").alias("token"), F.lit(0).alias("ahead"))
     out = None
     for k in range(parts):
         some = keyed.where(F.col("part") == k).drop("part")
@@ -109,18 +114,22 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10, part: int = PART) -
         kept = F.when(F.col("body").isNull(), F.col("pos") == F.col("n_words")).otherwise(inside & same)
         # The right side has at most ``part`` windows.
         joined = spread.join(F.broadcast(some), (spread["token"] == some["token"]) & kept)
-        joined = joined.select("doc_id", "tag", "n_words", "item_id", at.alias("at"), "size")
+        joined = joined.select("doc_id", "tag", "n_words", "body", at.alias("at"), "size")
         out = joined if out is None else out.unionByName(joined)
-    found = F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("item_id", "at", "size")))
-    return out.groupBy("doc_id", "tag", "n_words").agg(F.count_if(F.col("item_id").isNull()).alias("copies"), found.alias("found"))
+    # The ends of documents have no window; they meet none of the items and keep their documents.
+    each = out.groupBy("doc_id", "tag", "n_words", "body").agg(F.count_if(F.col("body").isNull()).alias("copies"), F.collect_set(F.when(F.col("body").isNotNull(), F.struct("at", "size"))).alias("places"))
+    named = of_items.groupBy("body").agg(F.collect_list("item_id").alias("ids"))
+    near = F.broadcast if of_items.count() <= part else (lambda table: table)
+    each = each.join(near(named), "body", "left")
+    flat = lambda c: F.flatten(F.collect_list(F.coalesce(c, F.array().cast(each.schema[c].dataType))))
+    return each.groupBy("doc_id", "tag", "n_words").agg(F.sum("copies").alias("copies"), flat("places").alias("found"), F.array_sort(F.array_distinct(flat("ids"))).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``."""
     each = hits(docs, items, width).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     places = F.flatten(F.transform("found", lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1)))
-    ids = F.array_sort(F.array_distinct(F.transform("found", lambda h: h["item_id"])))
-    return each.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("found") > 0).alias("contaminated"))
+    return each.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("found") > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
