@@ -15,8 +15,9 @@ Components of the links come from alternating large-star and small-star steps.
 Defined cases: null and empty texts and texts of spaces have the fingerprint zero, which is
 linked like any other; a text of fewer than ``width`` words is one shingle; rows that repeat
 a doc_id are one node; rows without doc_id link by their fingerprints and return null for
-doc_id, and null for component_id where no row with a doc_id is reached (a doc_id
-of 2**62 or more is an error; budgets under two take such rows for linked if only their lowest two bits differ);
+doc_id, and null for component_id where no row with a doc_id is reached (a budget of zero
+takes such rows for linked if only their lowest bit differs); doc_ids that span 2**63 or more
+are an error;
 other columns of the input are ignored; an empty table gives an empty result.
 """
 
@@ -36,8 +37,8 @@ from quernstone.llm._store import with_key, written
 
 #: Widths of the blocks into which a fingerprint is cut, lowest bits first.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Nodes from here on stand for fingerprints that only rows without doc_id have.
-NO_ID = 1 << 62
+#: doc_ids are counted from the least one and moved by this much, below zero; nodes from zero on stand for fingerprints that only rows without doc_id have.
+MOVED = -(1 << 63)
 #: Pairs of trie nodes that are open at a time.
 PAIRS = 1 << 21
 #: A fingerprint of more than this part of all rows is matched by broadcast.
@@ -213,37 +214,42 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def with_component(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    """``rows`` with the component of their fingerprint from ``classes`` (fp, n, component).
+    """``rows`` with what ``classes`` (fp, n and other columns) have of their fingerprint.
 
     Rows of a fingerprint that more than ``total`` / OFTEN rows share stay where they are:
     there are fewer than OFTEN such fingerprints, so they are broadcast. All others meet by
     fingerprint, none with more than that share of the rows.
     """
-    often = F.broadcast(classes.where(F.col("n") * OFTEN > total).select("fp", "component"))
-    rest = classes.where(F.col("n") * OFTEN <= total).select("fp", "component")
+    often = F.broadcast(classes.where(F.col("n") * OFTEN > total).drop("n"))
+    rest = classes.where(F.col("n") * OFTEN <= total).drop("n")
     return rows.join(often, "fp").unionByName(rows.join(often, "fp", "left_anti").join(rest, "fp"))
 
 
 def classified(docs: DataFrame, width: int, budget: int) -> tuple[DataFrame, DataFrame, int]:
-    """(doc_id, fp) of each row, (fp, n, component) of each fingerprint, and the number of rows; components from NO_ID on reach no doc_id."""
+    """(doc_id, fp) of each row, (fp, n, component, loose) of each fingerprint, and the number of rows; component is null where no doc_id is reached, and loose tells such components apart."""
     prints = written(fingerprints(docs, width), "fingerprints")
-    known = F.when(F.col("doc_id") >= NO_ID, F.raise_error(F.lit("doc_id must be below 2**62"))).otherwise(F.col("doc_id"))
-    node = F.coalesce(known, F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NO_ID)))
+    total, low, high = prints.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    low = low or 0
+    if (high or 0) - low >= 1 << 63:
+        raise ValueError("doc_ids span 2**63 or more")
+    node_of = lambda c: (c - F.lit(low)) + F.lit(MOVED)
+    node = F.coalesce(node_of(F.col("doc_id")), F.shiftrightunsigned("fp", 1))
     classes = written(prints.groupBy("fp").agg(F.min(node).alias("rep"), F.count("*").alias("n")), "classes")
-    total = prints.count()
     # Rows that repeat a doc_id hold together, whatever their fingerprints.
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id")
     repeated = prints.join(few(several), "doc_id", "left_semi").distinct()
-    same_id = with_component(repeated, classes.withColumnRenamed("rep", "component"), total).select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+    same_id = with_component(repeated, classes.withColumnRenamed("rep", "component"), total).select(node_of(F.col("doc_id")).alias("u"), F.col("component").alias("v"))
     parts = connected(links(classes.select("fp", "rep"), budget).unionByName(same_id))
-    classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
+    classes = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("node"))
+    component = F.when(F.col("node") < 0, (F.col("node") - F.lit(MOVED)) + F.lit(low))
+    classes = classes.select("fp", "n", component.alias("component"), F.when(F.col("node") >= 0, F.col("node")).alias("loose"))
     return prints, written(classes, "components"), total
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``: near copies share the component's least doc_id."""
     out = with_component(*classified(docs, width, budget))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def few(table: DataFrame) -> DataFrame:
@@ -273,7 +279,7 @@ def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
         near = few(several)
         again = kept.join(near, key == near["_several"], "left_semi")
         kept = kept.join(near, key == near["_several"], "left_anti").unionByName(one_row(again, "doc_id"))
-    if not found.where("doc_id is null and component >= %d" % NO_ID).isEmpty():
+    if not found.where("doc_id is null and component is null").isEmpty():
         nameless = docs.where("doc_id is null")
         inner = nameless.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
 
@@ -284,7 +290,7 @@ def one_of_each(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
             B.give_back()
 
         own = inner.mapInArrow(run, f"row {inner.schema['row'].dataType.simpleString()}, fp long")
-        alone = with_component(own, classes.where(F.col("component") >= NO_ID), total)
-        alone = alone.groupBy("component").agg(F.min_by("row", F.struct(F.xxhash64(F.col("row.text").cast("string")), F.col("row.text").cast("string"))).alias("_row")).select("_row.*")
+        alone = with_component(own, classes.where("component is null"), total)
+        alone = alone.groupBy("loose").agg(F.min_by("row", F.struct(F.xxhash64(F.col("row.text").cast("string")), F.col("row.text").cast("string"))).alias("_row")).select("_row.*")
         kept = kept.unionByName(alone)
     return kept

@@ -6,9 +6,9 @@ with each block's byte offset, minimum, width and number of exceptions; then the
 A block's ids have the block's minimum subtracted. They are packed at the width that holds
 the given percentile of them; what doesn't fit leaves its upper bits in an exception list.
 
-Documents are range-partitioned by doc_id, so that file names in order hold documents in
-order; a file is written under a name of its own and renamed, so a task that runs again
-replaces its file with an equal one.
+Documents are range-partitioned by doc_id, so that files in order of partition and number hold
+documents in order; a file has a name of its own, and those that count are named in the
+manifest, a table: what a lost task left behind is named nowhere.
 
 Defined cases: null and empty texts have the end id alone; rows without doc_id come first;
 rows that repeat a doc_id are written each, in the order of a hash of their texts; other
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import _bytes as B
-from quernstone.llm._store import filesystem, new_folder, with_key, written
+from quernstone.llm._store import dealt, filesystem, new_folder, with_key, written
 from quernstone.llm.tokens import encoder, with_end
 
 MAGIC, VERSION, BLOCK = b"QPFR", 1, 128
 HEADER = struct.Struct("<4sHHQQQ")
 FILE_IDS = 2 << 20
+#: Documents of a range, about.
+RANGE = 8192
 
 
 def encode_file(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, before: int = 0, percentile: float = 0.9) -> bytes:
@@ -105,7 +107,7 @@ def decode_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, breaks: str = "words", percentile: float = 0.9) -> DataFrame:
-    """Writes the ids of ``docs`` into files in ``folder``, a shared folder's URI; returns (part, file, ids, documents)."""
+    """Writes the ids of ``docs`` into files in ``folder``, a shared folder's URI; returns the manifest (part, file, ids, documents, name)."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -119,12 +121,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, breaks:
         def flush():
             nonlocal held, seq, before
             doc_ids, known, counts, ids = (np.concatenate(x) for x in zip(*held))
-            name = f"{path}/part-{part:06d}-{seq:06d}.qpf"
-            passing = f"{path}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(passing) as out:
+            name = f"part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.qpf"
+            with store.open_output_stream(f"{path}/{name}") as out:
                 out.write(encode_file(doc_ids, known, counts, ids, before, percentile))
-            store.move(passing, name)
-            row = pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in (("part", part), ("file", seq), ("ids", len(ids)), ("documents", len(doc_ids)))})
+            row = pa.RecordBatch.from_pydict({k: pa.array([v], pa.int64()) for k, v in (("part", part), ("file", seq), ("ids", len(ids)), ("documents", len(doc_ids)))} | {"name": pa.array([name])})
             held, seq, before = [], seq + 1, before + len(ids)
             return row
 
@@ -141,15 +141,16 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, breaks:
             yield flush()
         B.give_back()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_key(docs)
+    n = max(1, -(-rows.count() // RANGE))
     # The order is total but for equal rows, so a task that runs again cuts the same files; rows of one doc_id may span ranges.
-    keyed = with_key(docs).select("doc_id", "text", F.xxhash64("text").alias("tag"), F.monotonically_increasing_id().alias("nth"))
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("tag"), F.monotonically_increasing_id().alias("nth"))
     ordered = keyed.repartitionByRange(n, "doc_id", "tag", "nth").sortWithinPartitions("doc_id", "tag", "text").select("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part long, file long, ids long, documents long"), "token-files")
+    return written(ordered.mapInArrow(run, "part long, file long, ids long, documents long, name string"), "token-files")
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, keep_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of the files in ``folder``, read as bytes by Spark."""
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of the files of ``manifest`` in ``folder``."""
     totals = manifest.groupBy("part").agg(F.sum("ids").alias("n")).orderBy("part").collect()  # one row for each partition
     if not totals:
         empty = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
@@ -160,10 +161,11 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, keep_ids: bo
         at += row["n"]
 
     def run(batches):
+        store, path = filesystem(folder)
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                doc_ids, known, counts, ids, before = decode_file(data.as_buffer().to_pybytes())
-                part = int(path.rsplit("/", 1)[1].split("-")[1])
+            for part, name in zip(batch.column("part").to_pylist(), batch.column("name").to_pylist()):
+                with store.open_input_stream(f"{path}/{name}") as data:
+                    doc_ids, known, counts, ids, before = decode_file(data.read())
                 ends = np.cumsum(counts.astype(np.int64))
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
@@ -172,7 +174,7 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, keep_ids: bo
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qpf").load(folder).select("path", "content")
+    files = dealt(manifest.select("part", "name"), "name", manifest.count(), 4)
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 

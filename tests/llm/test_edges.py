@@ -153,8 +153,12 @@ def test_trie_in_parts_finds_the_same_pairs(monkeypatch):
 
 
 def test_doc_ids_beyond_the_range_are_an_error(spark):
-    with pytest.raises(Exception, match="below 2"):
-        simhash.near_duplicates(spark.createDataFrame([(1 << 62, "a b c"), (1, "a b c")], "doc_id long, text string")).collect()
+    with pytest.raises(ValueError, match="span"):
+        simhash.near_duplicates(spark.createDataFrame([(1 << 62, "a b c"), (-(1 << 62), "a b c")], "doc_id long, text string")).collect()
+    wide = [((1 << 63) - 1, "a b c"), (1 << 62, "a b c"), (3, "d e f"), (None, "a b c"), (None, "x y z")]
+    got = simhash.near_duplicates(spark.createDataFrame(wide, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([((1 << 63) - 1, 1 << 62), (1 << 62, 1 << 62), (3, 3), (None, 1 << 62), (None, None)], key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(spark.createDataFrame(wide, "doc_id long, text string")).collect()), key=str) == sorted([(1 << 62, "a b c"), (3, "d e f"), (None, "x y z")], key=str)
 
 
 def test_unset_shared_folder_is_an_error_on_a_cluster(spark, monkeypatch):
