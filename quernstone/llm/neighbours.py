@@ -25,7 +25,8 @@ Defined cases: vectors that are null, zero, of another length than most or hold
 non-finite components take no part, as queries or as candidates, nor do rows without id;
 rows that repeat an id are one row, with the vector that is largest as an array; with fewer
 than ``k`` candidates all are returned; ties go to the smaller id; other columns are ignored;
-an empty table gives an empty result.
+an empty table gives an empty result; a vector whose squared length is beyond double
+precision (components of about 1e154) is an error, as no distance to it can be told.
 """
 
 from __future__ import annotations
@@ -249,6 +250,8 @@ def search(vectors, query_every, id_column, vector_column, k=20, recall=0.97, le
     if head is None:
         return spark.createDataFrame([], schema), {}
     fine, norm = fine.where(F.size("v") == head["d"]), float(np.sqrt(head["m"]))
+    if not np.isfinite(norm):
+        raise ValueError("a vector's squared length is beyond double precision")
     fitted = fine.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
     x = raised(vectors_of(fitted.column("v")), norm)
     tree = Tree(x, max(1, min(leaves, len(x) // 16, -(-head["n"] // leaf_rows))))

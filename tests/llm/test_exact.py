@@ -768,6 +768,39 @@ def test_op3_recall_order_and_scores(spark, folder):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("clusters", [0, 12])
+def test_op3_lower_trees(spark, clusters):
+    """Small samples and leaves, so that executors fit trees below the first: recall as a whole and of single queries."""
+    from quernstone.llm import neighbours
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16))
+    if clusters:
+        x = rng.normal(size=(clusters, 16))[rng.integers(0, clusters, 3000)] * 3 + 0.3 * x
+        x[:1000] = x[0] + 0.05 * rng.normal(size=(1000, 16))  # a third in one group
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    found, figures = neighbours.search(table, 20, "vec_id", "embedding", 20, sample=400, leaf_rows=16, leaves=12)
+    rows = collections.defaultdict(set)
+    for r in found.collect():
+        rows[r["query_id"]].add(r["vec_id"])
+    # More leaves than one fitted tree may have, none left out; sizes add up to all rows.
+    assert figures["leaves"] > 12 and figures["rows"] == 3000 == figures["sizes"].sum()
+    share = []
+    for q in range(0, 3000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        share.append(len(rows[q] & {*np.lexsort((np.arange(3000), -score))[:20].tolist()}) / 20)
+    assert np.mean(share) >= 0.95 and np.mean(np.array(share) >= 0.9) >= 0.9
+
+
+def test_op3_beyond_double_precision(spark):
+    from quernstone.llm import neighbours
+
+    table = spark.createDataFrame([(0, [1e160, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="beyond"):
+        neighbours.nearest(table, 20, "vec_id", "embedding")
+
+
 def test_pipeline_stages_against_brute_force(spark, folder):
     import corpus_pipeline as cp
     from quernstone.llm._store import written
