@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quernstone.config import DEFAULT_LIMIT, POOL_FACTOR, POOL_LEAST, RRF_K
 from quernstone.functions.text import first_filled, hit_url, snippet, trim_ws
-from quernstone.operators.lexical import LITERAL_TERMS, LexicalIndex, bm25
-from quernstone.operators.vector import knn
+from quernstone.operators.lexical import LITERAL_TERMS, LexicalIndex, bm25, top
+from quernstone.operators.vector import knn, nearest
 
 HIT = ("path", "title", "breadcrumb", "anchor", "release", "url", "snippet", "score")
 
@@ -21,18 +21,19 @@ def pool_size(limit: int) -> int:
     return max(POOL_FACTOR * max(limit, 0), POOL_LEAST)
 
 
-def fuse(lexical: DataFrame, vector: DataFrame) -> DataFrame:
+def fuse(lexical: DataFrame, vector: DataFrame, one: bool = False) -> DataFrame:
     """(query_id, id, score, position) of two arms (query_id, id, rank): summed reciprocal ranks; position orders ties.
 
     Ties keep the order in which the arms name the ids: all of the lexical arm by rank,
-    then those of the vector arm alone.
+    then those of the vector arm alone. one: both arms are of one query, two pools of rows in all.
     """
     share = lambda: F.lit(1.0) / (F.lit(float(RRF_K)) + F.col("rank") + F.lit(1.0))
     both = lexical.select("query_id", "id", share().alias("s"), F.col("rank").alias("lex"), F.lit(None).cast("int").alias("vec"))
     both = both.unionByName(vector.select("query_id", "id", share().alias("s"), F.lit(None).cast("int").alias("lex"), F.col("rank").alias("vec")))
-    one = both.groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.max("lex").alias("lex"), F.max("vec").alias("vec"))
+    both = both.coalesce(1) if one else both
+    each = both.groupBy("query_id", "id").agg(F.sum("s").alias("score"), F.max("lex").alias("lex"), F.max("vec").alias("vec"))
     counted = F.count("lex").over(Window.partitionBy("query_id"))  # at most two pools of rows for each query
-    return one.select("query_id", "id", "score", F.coalesce("lex", counted + F.col("vec")).alias("position"))
+    return each.select("query_id", "id", "score", F.coalesce("lex", counted + F.col("vec")).alias("position"))
 
 
 def winners(fused: DataFrame, chunks: DataFrame, limit: int, few: bool = False) -> DataFrame:
@@ -69,11 +70,28 @@ def hits(rows: DataFrame, docs_base: str) -> DataFrame:
 
 def search_batch(index: LexicalIndex, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = DEFAULT_LIMIT, docs_base: str = "https://docs.example.org") -> DataFrame:
     """Hits of each of ``queries`` (query_id, query) with ``query_vectors`` (query_id, embedding); blank queries have none."""
-    lexical, vector = arms(index, vectors, queries, query_vectors, pool_size(limit))
     counted = queries.limit(FEW + 1).count()
+    if counted == 1:
+        return search_one(index, chunks, vectors, queries, query_vectors, limit, docs_base)
+    lexical, vector = arms(index, vectors, queries, query_vectors, pool_size(limit))
     return hits(best_of_paths(fuse(lexical, vector), chunks, limit, counted if counted <= FEW else None), docs_base)
 
 
+def search_one(index: LexicalIndex, chunks: DataFrame, vectors: DataFrame, query: DataFrame, query_vector: DataFrame, limit: int, docs_base: str) -> DataFrame:
+    """search_batch() of one query: each arm is one ordered take, and what follows stays in one task, without a shuffle."""
+    pool = pool_size(limit)
+    asked = query.where(trim_ws(F.col("query")) != "")
+    found = query_vector.join(F.broadcast(asked.select("query_id")), "query_id").select("query_id", F.col("embedding").cast("array<double>").alias("q")).limit(1).collect()
+    lexical = bm25(index, asked, pool, one=True)
+    none = lexical.select("query_id", "id", "rank").limit(0)
+    vector = none
+    if found:
+        near = nearest(vectors, list(found[0]["q"]), pool).select(F.lit(found[0]["query_id"]).alias("query_id"), "id", "distance")
+        vector = top(near, pool, F.col("distance"), one=True)
+    fused = fuse(lexical, vector, one=True)
+    return hits(best_of_paths(fused, chunks, limit, 1), docs_base)
+
+
 def arms(index: LexicalIndex, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, pool: int) -> tuple[DataFrame, DataFrame]:
     """The lexical and the vector arm of ``queries``: none for blank ones, the vector arm alone for those without terms."""
     asked = queries.where(trim_ws(F.col("query")) != "")

@@ -203,14 +203,16 @@ def part_of_score(tf: Column, dl: Column) -> Column:
     return F.col("qtf") * F.col("idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.col("avgdl")))
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, pool: int) -> DataFrame:
+def bm25(index: LexicalIndex, queries: DataFrame, pool: int, one: bool = False) -> DataFrame:
     """(query_id, id, score, rank): each query's ``pool`` best chunks, lower scores better, ranks from 0, ties by id.
 
+    one: there is one query at most, so its best come from one ordered take.
+
     Scores rank by nine decimals, so that the order in which a sum was taken decides nothing.
     """
     weighted = weights(index, queries)
     scored = weighted.of(index, index.postings).groupBy("query_id", "id").agg((-F.sum(part_of_score(F.col("tf"), F.col("dl")))).alias("score"))
-    return top(scored, pool, F.round("score", 9))
+    return top(scored, pool, F.round("score", 9), one)
 
 
 @dataclass
@@ -253,7 +255,10 @@ def bm25_by_blocks(index: LexicalIndex, queries: DataFrame, pool: int) -> BlockS
     return BlockSearch(hits, blocks.select("query_id", "block", "bound", "first", "read"))
 
 
-def top(scored: DataFrame, pool: int, order) -> DataFrame:
-    """The first ``pool`` rows of each query by ``order`` and id, with rank from 0; planned as a group limit before the shuffle."""
+def top(scored: DataFrame, pool: int, order, one: bool = False) -> DataFrame:
+    """The first ``pool`` rows of each query by ``order`` and id, with rank from 0; planned as a group limit before the shuffle, and as an ordered take for one query."""
+    if one:
+        nth = F.row_number().over(Window.orderBy(order, "id"))
+        return scored.orderBy(order, "id").limit(pool).withColumn("rank", nth - 1)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id"))
     return scored.withColumn("rank", nth - 1).where(F.col("rank") < pool)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
 from quernstone.functions.tokenize import query_terms, stem, tokens
-from quernstone.operators import catalog, embed, hybrid, lexical, markdown
+from quernstone.operators import catalog, embed, hybrid, lexical, markdown, pivots
 from quernstone.operators.vector import knn
 from quernstone.plans import index, render, segments
 from quernstone.plans.stem_sql import stems
@@ -347,6 +347,15 @@ def knn_l2_topk(spark, sf_dir):
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 9).alias("distance"))
 
 
+@query(f"with {_KNN} select query_id, id, rank, round(distance, 9) as distance from vec")
+def knn_l2_topk_pruned(spark, sf_dir):
+    """The same rows as knn_l2_topk, from a stored index whose blocks are left out by distances to pivots."""
+    at = f"{session_folder(spark)}/pivots-{uuid.uuid4().hex}"
+    pivots.write_pivots(vectors_of(spark, sf_dir), at)
+    found = pivots.knn(pivots.open_pivots(spark, at), asked_vectors(spark, sf_dir), 40).hits
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 9).alias("distance"))
+
+
 def _arms(spark, sf_dir, limit=8):
     pool = hybrid.pool_size(limit)
     return lexical.bm25(lexical.stored(lexical.build(chunks_of(spark, sf_dir), stemmed=False)), asked(spark, sf_dir), pool), knn(vectors_of(spark, sf_dir), asked_vectors(spark, sf_dir), pool)

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from quernstone.config import DEFAULT_LIMIT, Config
 from quernstone.functions.tokenize import stem
 from quernstone.functions.vectors import l2_distance
-from quernstone.operators import catalog, embed, hybrid, lexical
+from quernstone.operators import catalog, embed, hybrid
 from quernstone.operators.markdown import parse_docs
-from quernstone.operators.vector import nearest
 from quernstone.plans import index, lifecycle
 from quernstone.sources import files, git
 
@@ -30,11 +29,9 @@ class Service:
             return []
         vector = embed.query(query, self.config.embed_model, self.spark)
         opened = index.open_index(self.spark, self.config)
-        pool = hybrid.pool_size(limit)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        near = nearest(opened.vectors, vector, pool).selectExpr("0L as query_id", "id", "distance")
-        arms = lexical.bm25(opened.lexical, asked, pool), lexical.top(near, pool, near["distance"])
-        rows = hybrid.hits(hybrid.best_of_paths(hybrid.fuse(*arms), opened.chunks, limit, queries=1), self.config.docs_base)
+        near = self.spark.createDataFrame([(0, vector)], "query_id long, embedding array<double>")
+        rows = hybrid.search_one(opened.lexical, opened.chunks, opened.vectors, asked, near, limit, self.config.docs_base)
         return [{k: r[k] for k in hybrid.HIT} for r in rows.orderBy("rank").collect()]
 
     def refs(self):
