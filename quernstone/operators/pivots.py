@@ -3,8 +3,8 @@
 Pivots are a few of the vectors. Each vector lies in the cell of its nearest pivot, at a stored
 distance; a cell's vectors in order of that distance fall into blocks of about BLOCK, of which
 the least and the greatest distance are kept. By the triangle inequality no vector of a block is
-nearer to a query than the query's distance to the pivot lies outside that range. Blocks of the least
-bounds are compared first; those whose bound is above the pool's last distance then can't hold a
+nearer to a query than the query's distance to the pivot lies outside that range. Blocks of the nearest
+pivots are compared first, with FIRST times the pool's rows; those whose bound is above the pool's last distance then can't hold a
 neighbour. Where distances tell little, as in many dimensions without clusters, nearly all blocks are compared,
 and the result is exact all the same.
 """
@@ -20,7 +20,7 @@ from quernstone.functions.vectors import l2_distance
 from quernstone.operators.lexical import top
 from quernstone.shared import written
 
-PIVOTS, BLOCK = 64, 64
+PIVOTS, BLOCK, FIRST = 64, 64, 4
 #: Pairs of a query and a block, and queries with their vectors, of up to so many are broadcast.
 PAIRS, QUERIES = 1_000_000, 20_000
 #: Distances are sums of rounded squares; bounds give way by this part of the distances they come from.
@@ -87,9 +87,9 @@ def knn(index: PivotIndex, queries: DataFrame, pool: int) -> PivotSearch:
     to_pivots = asked.crossJoin(F.broadcast(index.pivots)).select("query_id", "cell", F.coalesce(l2_distance(F.col("q"), F.col("p")), other).alias("away"))
     bounds = to_pivots.join(F.broadcast(index.blocks) if index.blocks.count() <= PAIRS else index.blocks, "cell")
     out = F.greatest(F.col("away") - F.col("hi"), F.col("lo") - F.col("away"), F.lit(0.0)) - SLACK * (1 + F.col("away") + F.col("hi"))
-    bounds = bounds.select("query_id", "cell", "block", "n", out.alias("bound"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("bound", "cell", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bounds = written(bounds.withColumn("first", before < pool), "pivot-bounds")
+    bounds = bounds.select("query_id", "cell", "block", "n", "away", out.alias("bound"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("away", "bound", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = written(bounds.withColumn("first", before < FIRST * pool).drop("away"), "pivot-bounds")
 
     def compared(pairs: DataFrame) -> DataFrame:
         many = pairs.count()
