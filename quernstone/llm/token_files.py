@@ -34,7 +34,7 @@ MAGIC, VERSION, BLOCK = b"QPFR", 1, 128
 HEADER = struct.Struct("<4sHHQQQ")
 FILE_IDS = 2 << 20
 #: Documents of a range, about.
-RANGE = 8192
+RANGE = 4096
 
 
 def encode_file(doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray, ids: np.ndarray, before: int = 0, percentile: float = 0.9) -> bytes:
@@ -173,6 +173,8 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame, keep_ids: bo
                 if keep_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
+                del doc_ids, known, counts, ids, raw, out
+                B.give_back()
 
     files = dealt(manifest.select("part", "name"), "name", manifest.count(), 4)
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids)
