@@ -23,6 +23,8 @@ from jobs.common import arguments, config_of, log, session
 from quernstone.operators import hybrid, lexical
 from quernstone.shared import written
 
+#: Answers of a file, at most about.
+FILE_ROWS = 500_000
 ANSWERS = "query_id long, rank int, path string, title string, breadcrumb string, anchor string, release string, url string, snippet string, score double, part string"
 
 
@@ -45,8 +47,9 @@ def run(spark: SparkSession, documents: str, vectors: str, questions: str, outpu
     of_questions = near.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
     found = hybrid.search_batch(index, docs, near, asked, of_questions, config["limit"], config["docs_base"])
     found = found.withColumn("part", F.expr(config["partition"]).cast("string"))
-    # One task for each part writes one file, in order of questions.
-    found.repartition("part").sortWithinPartitions("query_id", "rank").write.mode("overwrite").partitionBy("part").parquet(output)
+    # A part that most answers have is in as many tasks and files as it may fill.
+    salt = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-counts["questions"] * max(config["limit"], 1) // FILE_ROWS))))
+    found.repartition("part", salt).sortWithinPartitions("part", "query_id", "rank").write.mode("overwrite").partitionBy("part").parquet(output)
     counts["answers"] = read(spark, output).count()
     log.info("wrote %d answers to %s", counts["answers"], output)
     return counts

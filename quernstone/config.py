@@ -33,6 +33,7 @@ class Config:
     live: bool = False
     max_files: int | None = None
     tables: str = ""
+    incremental: bool = False
 
     @classmethod
     def load(cls, **overrides) -> Config:
@@ -46,6 +47,7 @@ class Config:
             live=_env("FETCH_SOURCE", "").strip().lower() == "live",
             max_files=int(cap) if cap.strip().isdigit() else None,
             tables=_env("INDEX_TABLES", ""),
+            incremental=_env("INDEX_INCREMENTAL", "").strip().lower() in ("1", "true", "yes"),
         )
         return replace(found, **{k: v for k, v in overrides.items() if v is not None})
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 import json
 import sys
 import time
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
 from quernstone.config import REFRESH_SECONDS, RECLONE_SECONDS, Config
-from quernstone.operators import catalog
-from quernstone.plans import index
+from quernstone.operators import catalog, embed
+from quernstone.plans import index, segments
 from quernstone.sources import git
+from quernstone.streaming import reindex
+
+#: Segments beyond which an index is compacted.
+MOST_SEGMENTS = 32
 
 
 def log(text: str) -> None:
@@ -54,9 +60,36 @@ def latest(spark: SparkSession, config: Config) -> str:
 
 def build_branch(spark: SparkSession, config: Config, branch: str | None = None) -> index.Manifest:
     branch = (branch or latest(spark, config)).lower()
+    if config.incremental:
+        return update_branch(spark, config, branch)
     return index.build(spark, git.documents(spark, config.clone_dir, branch), branch, git.tip_commit(config.clone_dir, branch), config)
 
 
+def update_branch(spark: SparkSession, config: Config, branch: str) -> index.Manifest:
+    """The index in segments of ``branch`` up to its tip: only what changed since the last update is chunked and embedded.
+
+    The stream's checkpoint knows the commit that is in the index. Where most chunks are dead, or
+    segments are many, what is live is written anew as one segment, and later updates go there.
+    """
+    root, before = config.index_uri, index.read_manifest(config)
+    mine = before is not None and before.version.startswith(index.SEGMENTED) and before.branch == branch and before.embed_model == embed.info(spark, config.embed_model)[0]
+    version = before.version if mine else f"{index.SEGMENTED}{uuid.uuid4().hex}"
+    # The checkpoint stays with the first folder, whatever is compacted later.
+    first = version.split(".")[0]
+    segments.create(spark, f"{root}/{version}", embed_model=config.embed_model)
+    reindex.follow_branch(spark, str(config.clone_dir), branch, f"{root}/{version}", f"{root}/{first}.checkpoint").awaitTermination()
+    live = segments.SegmentedIndex(spark, f"{root}/{version}")
+    if len(live.segments) > MOST_SEGMENTS or live.totals["dead_chunks"] * 2 > live.totals["chunks"]:
+        version = f"{first}.{uuid.uuid4().hex}"
+        segments.compact(spark, live.at, f"{root}/{version}")
+        live = segments.SegmentedIndex(spark, f"{root}/{version}")
+    model, dim = embed.info(spark, config.embed_model)
+    count = live.totals["chunks"] - live.totals["dead_chunks"]
+    made = index.Manifest(branch, git.tip_commit(config.clone_dir, branch), model, datetime.now(timezone.utc).isoformat(), count, live.docs.count(), dim, version, before.version if before and before.version != version else "")
+    index.publish(spark, made, config)
+    return made
+
+
 def _refresh(spark: SparkSession, config: Config, no_index: bool, force: bool, sync: bool, need_index: bool) -> None:
     if force or due(read_state(config), "last_fetch", time.time(), REFRESH_SECONDS):
         log("Refreshing the clone ...")

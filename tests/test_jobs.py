@@ -1,6 +1,7 @@
 """The jobs: two runs over growing input, reruns, and their SQL."""
 
 import logging
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -93,6 +94,27 @@ def test_answers_replace_the_last_ones(spark, tmp_path):
     assert answers.run(spark, *paths[:2], empty, at, config)["answers"] == 0
 
 
+def test_command_lines(tmp_path):
+    """Both jobs as they are run from a shell, with a configuration file, twice each."""
+    c = duckdb.connect()
+    for t, columns, n in (("documents", "*", 40), ("embeddings", "*", 40), ("benchmark", "*", 3)):
+        (tmp_path / t).mkdir()
+        c.sql(f"copy (select {columns} from '{FOLDER}/{t}.parquet' limit {n}) to '{tmp_path}/{t}/a.parquet'")
+    (tmp_path / "c.json").write_text('{"limit": 2}')
+    (tmp_path / "r.json").write_text('{"buckets": 2, "parts": 2}')
+    at = lambda name: str(tmp_path / name)
+    runs = {
+        "answers": ["--documents", at("documents"), "--vectors", at("embeddings"), "--questions", at("benchmark"), "--output", at("answers"), "--config", at("c.json")],
+        "reindex": ["--documents", at("documents"), "--output", at("index"), "--checkpoint", at("point"), "--config", at("r.json")],
+    }
+    for job, given in runs.items():
+        for n in range(2):
+            done = subprocess.run([sys.executable, "-m", f"jobs.{job}", *given], capture_output=True, text=True, cwd=Path(__file__).parent.parent, env={**os.environ, "SPARK_CONF_DIR": ""}, timeout=300)
+            assert done.returncode == 0, done.stderr[-2000:]
+            assert ("wrote 6 answers" if job == "answers" else f"in {1 - n} batches") in done.stderr
+    assert c.execute(f"select count(*), count(distinct query_id) from '{tmp_path}/answers/*/*.parquet'").fetchone() == (6, 3)
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.json").write_text('{"limit": 2}')
     assert config_of("answers", str(tmp_path / "c.json"))["limit"] == 2

@@ -149,3 +149,36 @@ def test_two_drivers_see_what_is_published(spark, tmp_path, monkeypatch):
     assert index.read_manifest(one) == made and index.open_index(spark, one).chunks.count() == 1
     newer = index.build(spark, docs.unionByName(docs.withColumn("path", docs["commit"])), "v1", "c2", two)
     assert index.read_manifest(one) == newer and newer.previous == made.version and index.open_index(spark, one).chunks.count() == 2
+
+
+def test_incremental_updates(spark, tmp_path, monkeypatch):
+    """Updates of an index in segments: searches see the tip, older texts are neither found nor embedded again, compaction changes nothing."""
+    folder = tmp_path / "origin"
+    (folder / "markdown").mkdir(parents=True)
+    run(folder, "init", "-q", "-b", "v1")
+    for name, text in (("a", "# Flow\nflows run steps"), ("b", "# Table\ntables hold records"), ("c", "# Zebra\nzebras run")):
+        (folder / f"markdown/{name}.md").write_text(text)
+    run(folder, "add", "-A")
+    run(folder, "commit", "-qm", "x")
+    service = Service(spark, Config(data_dir=tmp_path / "data", git_url=f"file://{folder}", embed_model="hashing-16", incremental=True))
+    service.ready()
+    made = index.read_manifest(service.config)
+    assert made.version.startswith(index.SEGMENTED) and (made.file_count, made.chunk_count) == (3, 3)
+    assert service.search("zebras")[0]["path"] == "c.md"
+    (folder / "markdown/c.md").write_text("# Lion\nlions sleep")
+    (folder / "markdown/b.md").unlink()
+    run(folder, "add", "-A")
+    run(folder, "commit", "-qm", "y")
+    service.ready(force=True)
+    now = index.read_manifest(service.config)
+    assert now.version == made.version and (now.file_count, now.chunk_count) == (2, 2) and now.commit != made.commit
+    assert {h["path"] for h in service.search("zebras lions tables")} == {"a.md", "c.md"} and "zebra" not in str(service.search("zebras")).lower()
+    monkeypatch.setattr(lifecycle, "MOST_SEGMENTS", 1)
+    (folder / "markdown/d.md").write_text("# Bear\nbears eat")
+    run(folder, "add", "-A")
+    run(folder, "commit", "-qm", "z")
+    service.ready(force=True)
+    last = index.read_manifest(service.config)
+    assert last.version != made.version and (last.file_count, last.chunk_count) == (3, 3)
+    assert service.search("bears")[0]["path"] == "d.md" and index.open_index(spark, service.config).vectors.count() == 3
+    assert lifecycle.build_branch(spark, service.config).version.split(".")[0] == made.version
