@@ -838,6 +838,43 @@ def test_pipeline_stages_against_brute_force(spark, folder):
     assert len(seen) == 5
 
 
+def plain_features(text):
+    """Statistics and shares of word buckets of one text, byte by byte."""
+    from quernstone.llm import _bytes as B
+    from quernstone.llm import quality
+
+    raw = (text or "").encode()
+    found = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.lower() for w in found]
+    n, size = max(len(found), 1), max(len(raw), 1)
+    lines = [x for x in raw.split(b"\n") if x]
+    signs = [c for c in range(33, 127) if not chr(c).isalnum()]
+    odd = b"*%&$#@^~<>{}[]\\|_="
+    part = lambda ok: sum(ok(c) for c in raw) / size
+    count = collections.Counter(low)
+    stats = [
+        math.log1p(len(found)), math.log1p(len(raw)), sum(map(len, found)) / n, len(count) / n, max(count.values(), default=0) / n, part(lambda c: 65 <= c <= 90), part(lambda c: 48 <= c <= 57), part(lambda c: c in signs), part(lambda c: c in odd),
+        part(lambda c: c == 33), part(lambda c: c == 124), part(lambda c: c >= 128), math.log1p(size / max(len(lines), 1)), 1 - len({*lines}) / max(len(lines), 1), sum(w[-1] in odd for w in found) / n, sum(2 * sum(65 <= c <= 90 for c in w) > len(w) for w in found) / n,
+    ]
+    buckets = collections.Counter()
+    for w, k in count.items():
+        hashed = int(B.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+        buckets[(hashed >> 24) % quality.BUCKETS] += k / n
+    return stats, buckets
+
+
+def test_op4_features_equal_plain_ones(texts):
+    from quernstone.llm import _bytes as B
+    from quernstone.llm import quality
+
+    some = [t for _, t in texts[:150]] + [None, "", "   \n\n ", "ONE two TWO two\nline\nline\n\n", "é!|* a* 12", "x" * 3000, "SHOUT " * 50]
+    row, bucket, share, stats = quality.inputs(*B.column_bytes(pa.array(some, pa.string())))
+    for i, t in enumerate(some):
+        want, buckets = plain_features(t)
+        assert stats[i] == pytest.approx(want), (i, quality.NAMES)
+        assert dict(zip(bucket[row == i].tolist(), share[row == i].tolist())) == pytest.approx(dict(buckets))
+
+
 def plain_quality(spark, docs, folder, texts):
     """Scores of the factorisation machine with every pair of inputs multiplied out."""
     from quernstone.llm import _bytes as B
