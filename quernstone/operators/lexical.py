@@ -39,7 +39,8 @@ class LexicalIndex:
     """postings (term, id, tf, dl), term_stats (term, df), corpus_stats (n_docs, avgdl); stemmed: whether terms are stems.
 
     buckets: how many hash buckets of terms the tables are stored in (a column ``bucket``), 0 if in none; blocks
-    (term, block, n, max_tf, min_dl) of a stored index; counted: the number of chunks, of an index that was just built.
+    (term, block, n, max_tf, min_dl) of a stored index; counted: the number of chunks, of an index that was just built; derived: whether
+    term_stats are counted from the postings each time, which a search then does for its own terms alone.
     """
 
     postings: DataFrame
@@ -49,6 +50,7 @@ class LexicalIndex:
     counted: DataFrame | None = None
     buckets: int = 0
     blocks: DataFrame | None = None
+    derived: bool = False
 
 
 def counts(words: Column) -> Column:
@@ -188,6 +190,10 @@ def weights(index: LexicalIndex, queries: DataFrame) -> Weights:
         wanted = queries.sparkSession.createDataFrame([r[:3] for r in few], wanted.schema)
         stats = among(stats, terms, buckets)
         wanted = F.broadcast(wanted)
+    elif index.derived:
+        asked = wanted.select("term").distinct()
+        near = F.broadcast if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda table: table)
+        stats = index.postings.join(near(asked), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n, df = F.col("n_docs"), F.col("df")
     idf = F.log((n - df + 0.5) / (df + 0.5))
     weighted = stats.join(wanted, "term").crossJoin(F.broadcast(index.corpus_stats))  # one row of statistics
