@@ -38,7 +38,7 @@ MANY = 8
 #: Different lengths up to which the relaxed problem is solved; with more, ceil(ids / capacity) is hardly below it.
 RELAXED = 256
 #: Pieces of a salt, about.
-SALTED = 50_000
+SALTED = 10_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
