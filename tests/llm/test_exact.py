@@ -838,7 +838,7 @@ def test_pipeline_stages_against_brute_force(spark, folder):
     assert len(seen) == 5
 
 
-def plain_features(text):
+def plain_statistics(text):
     """Statistics and shares of word buckets of one text, byte by byte."""
     from quernstone.llm import _bytes as B
     from quernstone.llm import quality
@@ -870,7 +870,7 @@ def test_op4_features_equal_plain_ones(texts):
     some = [t for _, t in texts[:150]] + [None, "", "   \n\n ", "ONE two TWO two\nline\nline\n\n", "é!|* a* 12", "x" * 3000, "SHOUT " * 50]
     row, bucket, share, stats = quality.inputs(*B.column_bytes(pa.array(some, pa.string())))
     for i, t in enumerate(some):
-        want, buckets = plain_features(t)
+        want, buckets = plain_statistics(t)
         assert stats[i] == pytest.approx(want), (i, quality.NAMES)
         assert dict(zip(bucket[row == i].tolist(), share[row == i].tolist())) == pytest.approx(dict(buckets))
 
