@@ -43,7 +43,7 @@ def run(spark: SparkSession, documents: str, vectors: str, questions: str, outpu
     asked = written(asked, "questions")
     counts = {"documents": docs.count(), "vectors": near.count(), "questions": asked.count()}
     log.info("read %(documents)d documents, %(vectors)d vectors, %(questions)d questions", counts)
-    index = lexical.stored(lexical.build(docs, config["stemmed"]))
+    index = lexical.build(docs, config["stemmed"])
     of_questions = near.withColumnRenamed("id", "query_id").join(asked.select("query_id"), "query_id", "left_semi")
     found = hybrid.search_batch(index, docs, near, asked, of_questions, config["limit"], config["docs_base"])
     found = found.withColumn("part", F.expr(config["partition"]).cast("string"))
